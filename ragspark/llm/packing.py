@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task long, local long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 50_000) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, longest first) with the number of bins of each."""
     left = {k: v for k, v in counts.items() if v}
     lengths, patterns = sorted(left), Counter()
@@ -132,44 +132,75 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 50_000)
     return sorted(search(patterns, capacity, rounds).items(), reverse=True)
 
 
-def search(patterns: Counter, capacity: int, rounds: int) -> Counter:
-    """Exchanges between underfull bins, each increasing the sum of squared fills; equal pairs move together."""
+def search(patterns: Counter, capacity: int, rounds: int, givers: int = 64) -> Counter:
+    """Exchanges between underfull bins, each increasing the sum of squared fills; equal pairs move together.
+
+    The emptiest bin gives until it is empty or nothing fits; then the next ones, ``givers`` of them at most. It ends
+    when no exchange is left, when the open bins are as few as their pieces allow, or after ``rounds`` exchanges
+    (a bound on the driver's work: the packing is whole after every exchange).
+    """
     full = Counter({p: n for p, n in patterns.items() if sum(p) == capacity})
     open_ = Counter({p: n for p, n in patterns.items() if sum(p) < capacity})
+    fill = {p: sum(p) for p in open_}
+    least = -(-sum(fill[p] * n for p, n in open_.items()) // capacity)
+    count, ranked, known = sum(open_.values()), sorted((f, p) for p, f in fill.items()), {}
     for _ in range(rounds):
-        # The least filled bin gives; the fullest that can take from it takes.
-        ranked = sorted(open_, key=lambda p: (sum(p), p))
-        for giver in ranked:
-            if step := next((s for taker in reversed(ranked) if (taker != giver or open_[taker] > 1) and (s := exchange(giver, taker, capacity))), None):
-                break
-        else:
+        step = None
+        if count > least:
+            step = next((s for _, g in ranked[:givers] for _, t in reversed(ranked) if (t != g or open_[t] > 1) and (s := _known(known, g, t, capacity))), None)
+        if not step:
             break
-        taker, less, more = step
+        giver, taker, less, more = step
         times = open_[giver] // 2 if giver == taker else min(open_[giver], open_[taker])
         for p, n in ((giver, -times), (taker, -times), (less, times), (more, times)):
-            if p:
-                (full if sum(p) == capacity else open_)[p] += n
-        open_ = +open_
+            if not p:
+                continue
+            size = sum(p)
+            if size == capacity:
+                full[p] += n
+                least -= n
+                continue
+            if p not in open_:
+                bisect.insort(ranked, (size, p))
+            open_[p] += n
+            count += n
+            if not open_[p]:
+                del open_[p]
+                ranked.pop(bisect.bisect_left(ranked, (size, p)))
     return full + open_
 
 
+def _known(known: dict, giver: tuple, taker: tuple, capacity: int):
+    if (giver, taker) not in known:
+        found = exchange(giver, taker, capacity)
+        known[giver, taker] = found and (giver, *found)
+    return known[giver, taker]
+
+
 def exchange(giver: tuple, taker: tuple, capacity: int):
-    """(taker, giver after, taker after) for the best move, one-for-one or two-for-one from the emptier to the
-    fuller bin; None if no exchange increases the sum of squared fills."""
+    """(taker, giver after, taker after) for the move, one-for-one or two-for-one (either way) between the emptier
+    and the fuller bin that fills the fuller most; None if no exchange increases the sum of squared fills."""
     if sum(giver) > sum(taker):
         return None
-    room, best = capacity - sum(taker), None
-    gives = [(x,) for x in set(giver)]
-    for give in gives + [tuple(sorted(p)) for p in _pairs(giver)]:
-        for back in [()] * (len(give) == 1) + [(y,) for y in set(taker)]:
-            gain = sum(give) - sum(back)
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = gain, give, back
-        if best and best[0] == room:
+    room, best = capacity - sum(taker), (0, (), ())
+    ones = sorted(set(taker))
+    twos = sorted((sum(p), p) for p in _pairs(taker))
+    for give in [(x,) for x in sorted(set(giver))] + sorted(_pairs(giver)):
+        size = sum(give)
+        if len(give) == 1:
+            if best[0] < size <= room:
+                best = size, give, ()
+            at = bisect.bisect_left(twos, (size - room,))
+            if at < len(twos) and size - twos[at][0] > best[0]:
+                best = size - twos[at][0], give, twos[at][1]
+        at = bisect.bisect_left(ones, size - room)  # the smallest piece back that makes it fit
+        if at < len(ones) and size - ones[at] > best[0]:
+            best = size - ones[at], give, (ones[at],)
+        if best[0] == room:
             break
-    if not best:
+    gain, give, back = best
+    if not gain:
         return None
-    _, give, back = best
     less, more = Counter(giver), Counter(taker)
     less.subtract(give)
     more.subtract(back)
