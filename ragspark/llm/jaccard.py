@@ -108,15 +108,16 @@ def _frequency(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
     return [np.packbits(own > 0).tobytes() + own[own > 0].tobytes() if (own := scale[i:j]).any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def signatures(tokens: np.ndarray, scale: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> np.ndarray:
-    """The signatures of one set; ``scale`` is 8 * log2 of each token's frequency, 0 where no other set has it."""
+def signatures(tokens: np.ndarray, scale: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set and what each costs: the prefix that ends with it tells apart sets that lack so many
+    tokens. ``scale`` is 8 * log2 of each token's frequency, 0 where no other set has it."""
     n = len(tokens)
     may_lack = n - -(-percent * n // 100)
     order = np.lexsort((tokens, scale))
     tokens, scale = tokens[order], scale[order]
     often = scale > 8 * math.log2(rare)
     level = n.bit_length() - 1
-    out = []
+    out, cost = [], []
     for own in (level, level + 1):
         if own > level and 100 * n < percent * (1 << own):
             break
@@ -126,9 +127,11 @@ def signatures(tokens: np.ndarray, scale: np.ndarray, percent: int = PERCENT, ra
         frequent = np.flatnonzero(group >= 0)
         if len(frequent):
             gain[frequent[np.unique(group[frequent], return_index=True)[1]]] = 0
-        end = int(np.searchsorted(np.cumsum(gain), may_lack + 1)) + 1
+        gain = np.cumsum(gain)
+        end = int(np.searchsorted(gain, may_lack + 1)) + 1
         one = (group[:end] < 0) & (scale[:end] > 0)
         out.append(K.mix(tokens[:end][one] ^ salt))
+        cost.append(gain[:end][one])
         if len(frequent) and frequent[0] < end:
             at = frequent[frequent < end]
             at = at[np.argsort(group[at], kind="stable")]
@@ -138,7 +141,8 @@ def signatures(tokens: np.ndarray, scale: np.ndarray, percent: int = PERCENT, ra
                     break
                 a, b = tokens[at[:-step][same]], tokens[at[step:][same]]
                 out.append(K.mix(np.minimum(a, b) * K._M1 + np.maximum(a, b) ^ salt))
-    return np.concatenate(out)
+                cost.append(gain[at[step:][same]])
+    return np.concatenate(out), np.concatenate(cost)
 
 
 def _send_signatures(token_buckets: int, buckets: int):
@@ -154,24 +158,29 @@ def _send_signatures(token_buckets: int, buckets: int):
                 bits = -(-len(own) // 8)
                 scale[own[np.unpackbits(np.frombuffer(p, np.uint8, bits), count=len(own)).astype(bool)]] = np.frombuffer(p, np.uint8, offset=bits)
             shared = np.add.reduceat(scale > 0, np.minimum(s.first[:-1], len(scale) - 1)) * (s.size > 0) if len(scale) else np.zeros(len(s.size))
-            made, owner = [], []
+            made, costs, owner = [], [], []
             for d in np.flatnonzero(s.once & (shared > 0)).tolist():
                 i, j = s.first[d], s.first[d + 1]
-                made.append(signatures(s.tokens[i:j], scale[i:j]))
-                owner.append(np.full(len(made[-1]), d))
+                own, cost = signatures(s.tokens[i:j], scale[i:j])
+                made.append(own)
+                costs.append(cost)
+                owner.append(np.full(len(own), d))
             if not made:
                 continue
-            made, owner = np.concatenate(made), np.concatenate(owner)
+            made, costs, owner = np.concatenate(made), np.concatenate(costs), np.concatenate(owner)
             order, begin = C.bucket_order(made, buckets)
-            made, owner = made[order], owner[order]
+            made, costs, owner = made[order], costs[order].astype("<u4"), owner[order]
             cls, size = s.cls[owner], s.size[owner].astype("<u4")
-            yield C.sent(chunk.as_py(), [(b, made[i:j].tobytes() + cls[i:j].tobytes() + size[i:j].tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i])
+            yield C.sent(chunk.as_py(), [(b, made[i:j].tobytes() + cls[i:j].tobytes() + size[i:j].tobytes() + costs[i:j].tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i])
 
     return run
 
 
+LISTS = "list long, cls long, size int, cost int, pivot long, pivot_size int, pivot_cost int"
+
+
 def _lists(batches):
-    """Rows (list, cls, size, pivot) of the lists with two classes or more; equal lists of a batch of buckets once."""
+    """Rows of LISTS for the lists with two classes or more; equal lists of a bucket once, with their least costs."""
     now, held = None, []
     for bucket, payload in C.rows_of(batches, ["bucket", "payload"]):
         bucket = bucket.as_py()
@@ -185,22 +194,34 @@ def _lists(batches):
 
 
 def _listed(held: list[bytes]):
-    sizes = [len(p) // 20 for p in held]
+    sizes = [len(p) // 24 for p in held]
     part = lambda kind, skip: np.concatenate([np.frombuffer(p, kind, n, skip * n) for p, n in zip(held, sizes, strict=True)])
-    sig, cls, size = part("<u8", 0), part("<i8", 8), part("<u4", 16)
-    order = np.lexsort((cls, sig))
-    sig, cls, size = sig[order], cls[order], size[order]
+    sig, cls, size, cost = part("<u8", 0), part("<i8", 8), part("<u4", 16), part("<u4", 20)
+    order = np.lexsort((cost, cls, sig))
+    sig, cls, size, cost = sig[order], cls[order], size[order], cost[order]
     keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])))
-    sig, cls, size = sig[keep], cls[keep], size[keep]
+    sig, cls, size, cost = sig[keep], cls[keep], size[keep], cost[keep]
     head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     count = np.diff(np.append(head, len(sig)))
     name = np.add.reduceat(K.mix(cls.view(K.U64) ^ K._M1), head)
-    chosen = np.zeros(len(head), bool)
-    chosen[np.unique(name, return_index=True)[1]] = True
-    chosen &= count > 1
-    every = np.repeat(chosen, count)
-    pivot = np.repeat(cls[head], count)
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name.view(np.int64), count)[every]), pa.array(cls[every]), pa.array(size[every].astype(np.int32)), pa.array(pivot[every])], names=["list", "cls", "size", "pivot"])
+    _, chosen, same = np.unique(name, return_index=True, return_inverse=True)
+    # The least cost of a class in equal lists: their members are in one order.
+    owner, at = K.many(count)
+    target = head[chosen][same][owner] + at
+    least = cost.copy()
+    np.minimum.at(least, target, cost)
+    out = np.zeros(len(head), bool)
+    out[chosen] = True
+    every = np.repeat(out & (count > 1), count)
+    pivot = np.repeat(head, count)
+    rows = (np.repeat(name.view(np.int64), count), cls, size.astype(np.int32), least.astype(np.int32), cls[pivot], size[pivot].astype(np.int32), least[pivot].astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(x[every]) for x in rows], names=[f.split()[0] for f in LISTS.split(", ")])
+
+
+def _may_link(percent: int) -> str:
+    """Whether a shared signature lies in the prefixes that this pair needs: a cost is at most what a set may lack."""
+    both = f"ceil({percent} * (sa + sb) / {100 + percent}.0)"
+    return f"ka <= sa - {both} + 1 AND kb <= sb - {both} + 1"
 
 
 def _texts(batches):
@@ -287,32 +308,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     tokens = chunks.table.select("chunk", "off", "body").mapInArrow(_send_tokens(token_buckets), C.SENT)
     known = save(C.meet(tokens, parts, _frequency), "frequency")
     sent = C.joined(chunks, known=known).select("chunk", "off", "body", "known").mapInArrow(_send_signatures(token_buckets, buckets), C.SENT)
-    lists = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "list long, cls long, size int, pivot long")
-    lists = save(lists.distinct(), "lists")
-    near = "100 * least(sa, sb) >= " + str(percent) + " * greatest(sa, sb)"
+    lists = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, LISTS)
+    same = [F.first(c).alias(c) for c in ("size", "pivot", "pivot_size")] + [F.min(c).alias(c) for c in ("cost", "pivot_cost")]
+    lists = save(lists.groupBy("list", "cls").agg(*same), "lists")
+    near = _may_link(percent)
 
     asked = lists.select("cls").distinct().join(members.where("n_shingles > 0").groupBy("cls").agg(F.min("chunk").alias("chunk")), "cls").groupBy("chunk").agg(F.collect_list("cls").alias("asked"))
     texts = save(chunks.table.select("chunk", "off", "body").join(asked.hint("shuffle_hash"), "chunk").select("off", "body", "asked").mapInArrow(_texts, "cls long, body binary"), "texts")
 
     # 1. Each list's pivot against its members.
-    size = lists.select(F.col("cls").alias("pivot"), F.col("size").alias("sa")).distinct()
-    star = lists.where("cls <> pivot").select("pivot", "cls", F.col("size").alias("sb")).distinct().join(size, "pivot").where(near)
-    tested = save(star.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), "tested")
+    star = lists.where("cls <> pivot").selectExpr("pivot AS a", "cls AS b", "pivot_size AS sa", "size AS sb", "pivot_cost AS ka", "cost AS kb")
+    tested = save(star.where(near).select("a", "b").distinct(), "tested")
     comp = save(components(links(tested, texts, parts, percent)), "components")
 
     def apart():
         """The lists whose classes are not in one component, with the components."""
-        named = lists.join(comp, "cls", "left").select("list", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+        named = lists.join(comp, "cls", "left").select("list", "cls", "size", "cost", F.coalesce("comp", "cls").alias("comp"))
         named = save(named, "named")
         mixed = named.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
         return save(named.join(mixed, "list"), "mixed")
 
     # 2. The representatives of the components that meet in a list, against the first one's.
     mixed = apart()
-    faces = mixed.groupBy("list", "comp").agg(F.max_by(F.struct("cls", "size"), F.xxhash64("cls")).alias("f"))
+    faces = mixed.groupBy("list", "comp").agg(F.min_by(F.struct("cls", "size", "cost"), F.struct("cost", F.xxhash64("cls"))).alias("f"))
     faces = save(faces, "faces")
     lead = faces.groupBy("list").agg(F.min_by("f", "comp").alias("g"))
-    pairs = faces.join(lead, "list").selectExpr("least(f.cls, g.cls) AS a", "greatest(f.cls, g.cls) AS b", "f.size AS sa", "g.size AS sb").where("a <> b").where(near).select("a", "b").distinct()
+    pairs = faces.join(lead, "list").selectExpr("least(f.cls, g.cls) AS a", "greatest(f.cls, g.cls) AS b", "f.size AS sa", "g.size AS sb", "f.cost AS ka", "g.cost AS kb").where("a <> b").where(near).select("a", "b").distinct()
     pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         comp = merged(comp, links(pairs, texts, parts, percent))
@@ -320,7 +341,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         mixed = apart()
 
     # 3. All pairs whose components are still apart.
-    one, two = (mixed.select("list", F.col("cls").alias(c), F.col("size").alias(f"s{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
+    one, two = (mixed.select("list", F.col("cls").alias(c), F.col("size").alias(f"s{c}"), F.col("cost").alias(f"k{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
     pairs = one.join(two, "list").where("a < b AND ca <> cb").where(near).select("a", "b").distinct()
     pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
