@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ragspark.llm import kernel as K
 from ragspark.llm.shared import new_path
 
-LIMIT = 2 << 20
+LIMIT = 1 << 20
 SENT = "bucket int, chunk long, payload binary"
 BACK = "chunk long, bucket int, payload binary"
 

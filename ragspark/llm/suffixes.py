@@ -37,51 +37,66 @@ from ragspark.llm.shared import save
 LENGTH, GRAM, SHALLOW, RUN = 400, 48, 32, 1000
 
 
-def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
-    """Minimum (or maximum) of every ``w`` neighbours, by prefixes and suffixes of blocks of ``w``."""
-    f, fill = (np.minimum, ~K.U64(0)) if least else (np.maximum, K.U64(0))
-    n = len(x)
-    padded = np.full(-(-n // w) * w, fill, K.U64)
-    padded[:n] = x
-    square = padded.reshape(-1, w)
-    ahead = f.accumulate(square, axis=1).ravel()
-    back = f.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[: n - w + 1], ahead[w - 1 : n])
+BLOCK = 1 << 17
+
+
+def sliding(x: np.ndarray, w: int, f) -> np.ndarray:
+    """``f`` (minimum or maximum) of every ``w`` neighbours, by doubling."""
+    out, n = x, 1
+    while 2 * n <= w:
+        out = f(out[: len(out) - n], out[n:])
+        n *= 2
+    return out if n == w else f(out[: len(x) - w + 1], out[w - n : w - n + len(x) - w + 1])
+
+
+def gram_hashes(view: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` grams of GRAM = 48 bytes; ``view``: the eight bytes from each position on."""
+    h = np.array(view[: n + 40])
+    h ^= h >> K.U64(33)
+    h *= K._M1
+    two = h[:-8] * K._M2
+    two += h[8:]
+    two ^= two >> K.U64(29)
+    six = two[:-32][:n] * K._M3
+    six += two[16:][:n]
+    six ^= six >> K.U64(31)
+    six *= K._M1
+    six += two[32:][:n]
+    return K.mix(six)
 
 
 def minima(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are the minimum of a string of ``length`` bytes within one text."""
-    none = np.zeros(0, np.int64), np.zeros(0, K.U64)
-    n = len(data) - gram + 1
-    if len(data) < length:
-        return none
+    n, w = len(data) - gram + 1, length - gram + 1
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, K.U64)]
     view = K.lanes(data)
-    hashed = np.zeros(n, K.U64)
-    for i in range(0, gram, 8):
-        hashed *= K._M1
-        hashed ^= view[i : i + n]
-        hashed ^= hashed >> K.U64(31)
-    hashed = K.mix(hashed)
-    w = length - gram + 1
-    low = sliding(hashed, w, True)  # of the strings
-    valid = np.ones(len(low), bool)
-    for cut in off[1:-1].tolist():
-        valid[max(0, cut - length + 1) : cut] = False
-    low[~valid] = 0
-    # A gram is chosen if the largest minimum of the strings that hold it is its own.
-    reach = np.zeros(n + w - 1, K.U64)
-    reach[w - 1 : w - 1 + len(low)] = low
-    place = np.flatnonzero(sliding(reach, w, False) == hashed)
-    return place, hashed[place]
+    for a in range(0, n if len(data) >= length else 0, BLOCK):
+        b = min(n, a + BLOCK)
+        left, right = max(0, a - w + 1), min(n, b + w - 1)
+        hashed = gram_hashes(view[left:], right - left)
+        rank = (hashed >> K.U64(32)).astype(np.uint32)
+        if len(rank) < w:
+            continue
+        low = sliding(rank, w, np.minimum)  # of the strings that start from `left` on
+        cuts = off[np.searchsorted(off, left, "right") : np.searchsorted(off, left + len(low) + length, "left")]
+        for cut in (cuts[cuts < len(data)] - left).tolist():
+            low[max(0, cut - length + 1) : max(0, cut)] = 0
+        # A gram is chosen if the largest minimum of the strings that hold it is its own.
+        reach = np.zeros(len(rank) + w - 1, np.uint32)
+        reach[w - 1 : w - 1 + len(low)] = low
+        own = np.flatnonzero(sliding(reach, w, np.maximum)[a - left : b - left] == rank[a - left : b - left]) + a
+        places.append(own)
+        hashes.append(hashed[own - left])
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 class Anchors:
     """The minima of a chunk and the contexts of those whose grams repeat."""
 
-    def __init__(self, off: bytes, body: bytes, buckets: int, length: int = LENGTH):
+    def __init__(self, off: bytes, body: bytes, place: bytes, hashed: bytes, buckets: int, length: int = LENGTH):
         self.data, self.off = C.unpack(off, body)
         self.length = length
-        place, hashed = minima(self.data, self.off, length)
+        place, hashed = np.frombuffer(place, "<u4").astype(np.int64), np.frombuffer(hashed, "<u8")
         order, self.begin = C.bucket_order(hashed, buckets)
         self.place, self.hashed = place[order], hashed[order]
 
@@ -275,12 +290,19 @@ def repeats(hashes, left, right, many, contexts, length: int = LENGTH) -> np.nda
     return out[:, back]
 
 
+def _minima(batches):
+    for chunk, off, body in C.rows_of(batches, ["chunk", "off", "body"]):
+        place, hashed = minima(*C.unpack(off.as_py(), body.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([place.astype("<u4").tobytes()], pa.binary()), pa.array([hashed.tobytes()], pa.binary())], names=["chunk", "place", "hash"])
+
+
 def _send_minima(buckets: int):
     def run(batches):
-        for chunk, off, body in C.rows_of(batches, ["chunk", "off", "body"]):
-            a = Anchors(off.as_py(), body.as_py(), buckets)
-            prints = C.fingerprint(a.hashed, buckets)
-            yield C.sent(chunk.as_py(), [(b, prints[i:j].tobytes()) for b, (i, j) in enumerate(zip(a.begin[:-1], a.begin[1:], strict=True)) if j > i])
+        for chunk, hashed in C.rows_of(batches, ["chunk", "hash"]):
+            hashed = np.frombuffer(hashed.as_py(), "<u8")
+            order, begin = C.bucket_order(hashed, buckets)
+            prints = C.fingerprint(hashed[order], buckets)
+            yield C.sent(chunk.as_py(), [(b, prints[i:j].tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i])
 
     return run
 
@@ -298,9 +320,9 @@ def _twice(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
 
 def _send_suffixes(buckets: int):
     def run(batches):
-        for chunk, off, body, hits in C.rows_of(batches, ["chunk", "off", "body", "hits"]):
+        for chunk, off, body, place, hashed, hits in C.rows_of(batches, ["chunk", "off", "body", "place", "hash", "hits"]):
             if hits := C.payloads(hits):
-                a = Anchors(off.as_py(), body.as_py(), buckets)
+                a = Anchors(off.as_py(), body.as_py(), place.as_py(), hashed.as_py(), buckets)
                 a.repeated(hits, buckets)
                 yield C.sent(chunk.as_py(), [(b, p) for b in range(buckets) if (p := a.payload(b))])
 
@@ -329,12 +351,12 @@ def _sort(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
 
 def _results(buckets: int, length: int = LENGTH):
     def run(batches):
-        for ids, off, body, hits, found in C.rows_of(batches, ["ids", "off", "body", "hits", "found"]):
+        for ids, off, body, place, hashed, hits, found in C.rows_of(batches, ["ids", "off", "body", "place", "hash", "hits", "found"]):
             ids, off = ids.as_py(), off.as_py()
             data, at = C.unpack(off, body.as_py())
             delta = np.zeros(len(data) + 1, np.int64)
             if hits := C.payloads(hits):
-                a = Anchors(off, body.as_py(), buckets)
+                a = Anchors(off, body.as_py(), place.as_py(), hashed.as_py(), buckets)
                 for begin, end in a.repeated(hits, buckets):
                     delta[begin] += 1
                     delta[end] -= 1
@@ -371,11 +393,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     the remaining bytes."""
     chunks = C.build(docs, key, text)
     buckets = chunks.buckets(10 << 20)
-    cols = ["chunk", "ids", "off", "body"]
-    grams = chunks.table.select("chunk", "off", "body").mapInArrow(_send_minima(buckets), C.SENT)
-    hits = save(C.meet(grams, chunks.parts, _twice), "hits")
-    near = C.joined(chunks, hits=hits).select(*cols, "hits").mapInArrow(_send_suffixes(buckets), C.SENT)
+    cols = ["chunk", "ids", "off", "body", "place", "hash"]
+    least = save(chunks.table.select("chunk", "off", "body").mapInArrow(_minima, "chunk long, place binary, hash binary"), "minima")
+    hits = save(C.meet(least.select("chunk", "hash").mapInArrow(_send_minima(buckets), C.SENT), chunks.parts, _twice), "hits")
+    near = C.joined(chunks, hits=hits).join(least.hint("shuffle_hash"), "chunk").select(*cols, "hits").mapInArrow(_send_suffixes(buckets), C.SENT)
     found = save(C.meet(near, chunks.parts, _sort), "found")
-    out = C.joined(chunks, hits=hits, found=found).select(*cols, "hits", "found")
+    out = C.joined(chunks, hits=hits, found=found).join(least.hint("shuffle_hash"), "chunk").select(*cols, "hits", "found")
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return out.mapInArrow(_results(buckets), schema).withColumnRenamed("key", key)
