@@ -86,7 +86,7 @@ def minima(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         reach[w - 1 : w - 1 + len(low)] = low
         own = np.flatnonzero(sliding(reach, w, np.maximum)[a - left : b - left] == rank[a - left : b - left]) + a
         places.append(own)
-        hashes.append(hashed[own - left])
+        hashes.append(K.mix(hashed[own - left] ^ K._M3))  # minima are small numbers: mixed again, they fill the hash space
     return np.concatenate(places), np.concatenate(hashes)
 
 
@@ -266,7 +266,7 @@ def repeats(hashes, left, right, many, contexts, length: int = LENGTH) -> np.nda
     body = np.frombuffer(b"".join(contexts), np.uint8)
     at = np.concatenate(([0], np.cumsum(left + right)))[:-1] + left
     padded = np.concatenate((np.zeros(most, np.uint8), body, np.zeros(length, np.uint8)))
-    after = padded[(most + at)[:, None] + np.arange(length)[None, :]]
+    after = np.lib.stride_tricks.sliding_window_view(padded, length)[most + at]
     after[np.arange(length)[None, :] >= right[:, None]] = 0
     order, common = deep_shallow(np.unique(hashes, return_inverse=True)[1], after, right)
     left, right, at, many = left[order], right[order], at[order], many[order]
@@ -392,7 +392,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """A row per document: key, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes removed: start, end) and kept,
     the remaining bytes."""
     chunks = C.build(docs, key, text)
-    buckets = chunks.buckets(10 << 20)
+    buckets = chunks.buckets(4 << 20)
     cols = ["chunk", "ids", "off", "body", "place", "hash"]
     least = save(chunks.table.select("chunk", "off", "body").mapInArrow(_minima, "chunk long, place binary, hash binary"), "minima")
     hits = save(C.meet(least.select("chunk", "hash").mapInArrow(_send_minima(buckets), C.SENT), chunks.parts, _twice), "hits")
