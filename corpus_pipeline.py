@@ -13,6 +13,7 @@ first by text stays; rows with a null id cannot be named as copies, so the secon
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +22,38 @@ from pyspark.sql.window import Window
 
 from ragspark.llm import decontaminate, jaccard, language, packing, secrets
 from ragspark.llm.queries import table, tokenizer_path
-from ragspark.llm.shared import fresh, save
+from ragspark.llm.shared import fresh, noted, remove, save
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def stage(f):
+    """A stage whose own tables go when the next one starts: by then its result is written and read again."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = _tables.setdefault(spark.sparkContext.applicationId, [])
+        remove(spark, held)
+        with noted() as made:
+            out = f(spark, docs, sf_dir)
+        held.extend(made)
+        return out
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs, language.train(docs))
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The component's smallest id names the document that stays, so one narrow join decides."""
     named = save(jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = docs.join(named, "doc_id", "left_semi")
+    # A merge join at every size: it is the same plan for ten thousand ids and for ten billion.
+    kept = docs.join(named.hint("merge"), "doc_id", "left_semi")
     twice = save(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if not twice.isEmpty():
         n = fresh(docs.columns, "n_")
@@ -40,14 +62,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, str(tokenizer_path()))
 
@@ -66,6 +91,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+    for name, apply in STAGES:
+        docs = save(apply(spark, docs, sf_dir), name)
     return docs

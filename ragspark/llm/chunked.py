@@ -85,6 +85,7 @@ def rows_of(batches, columns: list[str]):
         at = [b.column(b.schema.get_field_index(c)) for c in columns]
         for i in range(b.num_rows):
             yield tuple(c[i] for c in at)
+    K.release()
 
 
 def bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

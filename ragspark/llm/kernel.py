@@ -7,6 +7,7 @@ shingles and windows are hashed to 64 bits with numpy.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,15 @@ LOWER[0x41:0x5B] += 0x20
 CHUNK = 4 << 20
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * _M2
@@ -68,6 +78,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first), data[off[first] : off[last]], off[first : last + 1] - off[first]
             first = last
+    release()
 
 
 def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,8 +21,33 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _made:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def noted():
+    """Yields a list that gets the paths made meanwhile."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield paths
+    finally:
+        _made.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    paths.clear()
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
