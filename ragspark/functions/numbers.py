@@ -35,7 +35,7 @@ def posted_score(text: Column, as_of: str) -> Column:
     """1 up to 7 days, 0.7 to 30, 0.3 to 90, else 0; "N days ago" goes before today and yesterday, these before a date."""
     low = F.lower(F.trim(text))
     days = F.regexp_extract(low, r"(\d+)\s+days?\s+ago", 1).try_cast("double")
-    since = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.try_to_timestamp(F.trim(text)))) / 86_400_000_000)
+    since = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.try_to_timestamp(F.trim(text)))) / 86_400_000_000
     tier = lambda d: F.when(d <= 7, 1.0).when(d <= 30, 0.7).when(d <= 90, 0.3).otherwise(0.0)
     return F.when(text.isNull(), 0.0).when(days.isNotNull(), tier(days)).when(low.contains("today") | low.contains("yesterday"), 1.0).when(since.isNotNull(), tier(since)).otherwise(0.0)
 

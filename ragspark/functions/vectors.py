@@ -14,15 +14,20 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once per row; inside a lambda nothing else guarantees that."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either is all zeros; vectors have equal dimensions (checked when a corpus is prepared)."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    parts = F.struct(dot(a, b).alias("d"), (norm(a) * norm(b)).alias("n"))
+    return let(parts, lambda p: F.when(p["n"] > 0, p["d"] / p["n"]).otherwise(F.lit(0.0)))
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    scaled = lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x.cast("double") / p["n"]).otherwise(x.cast("double")))
+    return let(a, lambda v: let(F.struct(v.alias("v"), norm(v).alias("n")), scaled))
 
 
 def shortened(a: Column, dims: int) -> Column:

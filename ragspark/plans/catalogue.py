@@ -268,12 +268,12 @@ def rescore_engagement(spark, sf):
 
 @query(
     r"""WITH p AS (SELECT p_partkey, lower(p_name) AS name, p_retailprice AS d FROM part),
-t AS (SELECT p_partkey, d, CASE WHEN name IN ('part 1', 'part-1', 'part_1') THEN 1000 WHEN name IN ('part', '1') THEN 800 WHEN starts_with(name, 'part 1') OR starts_with(name, 'part-1') THEN 500
-WHEN contains(name, 'part 1') OR contains(name, 'part-1') OR contains(name, 'part_1') THEN 100 WHEN contains(name, 'part') AND contains(name, '1') THEN 50 WHEN contains(name, 'part') THEN 10 END AS tier FROM p)
+t AS (SELECT p_partkey, d, CASE WHEN name IN ('red widget', 'red-widget', 'red_widget') THEN 1000 WHEN name IN ('red', 'widget') THEN 800 WHEN starts_with(name, 'red widget') OR starts_with(name, 'red-widget') THEN 500
+WHEN contains(name, 'red widget') OR contains(name, 'red-widget') OR contains(name, 'red_widget') THEN 100 WHEN contains(name, 'red') AND contains(name, 'widget') THEN 50 WHEN contains(name, 'red') OR contains(name, 'widget') THEN 10 END AS tier FROM p)
 SELECT p_partkey, round(tier + log10(greatest(d, 1)), 6) AS score FROM t WHERE tier IS NOT NULL"""
 )
 def name_tiers(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", fusion.name_score(F.col("p_name"), F.col("p_retailprice"), "part 1").alias("score"))
+    p = table(spark, sf, "part").select("p_partkey", fusion.name_score(F.col("p_name"), F.col("p_retailprice"), "red widget").alias("score"))
     return p.where("score IS NOT NULL").select("p_partkey", F.round("score", 6).alias("score"))
 
 
@@ -519,7 +519,7 @@ def transcript_groups(spark, sf):
 
 WANT = listings.Constraints(location=("asia", "europe"), work_mode=("remote", "hybrid"), max_salary=8000.0, exclude_titles=("000000007",))
 LISTING = """SELECT s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 4 > 0 THEN n_name END AS company, CASE WHEN s_suppkey % 5 > 0 THEN r_name || ', ' || n_name END AS location,
-['remote', 'hybrid', 'onsite', 'unknown'][(s_suppkey % 4 + 1)::INT] AS work_mode, CASE WHEN s_suppkey % 3 > 0 THEN '$' || (abs(s_acctbal)::BIGINT // 100)::VARCHAR || ' - ' || (abs(s_acctbal)::BIGINT // 1000)::VARCHAR || 'k' END AS salary_raw,
+['remote', 'hybrid', 'onsite', 'unknown'][(s_suppkey % 4 + 1)::INT] AS work_mode, CASE WHEN s_suppkey % 3 > 0 THEN '$' || (floor(abs(s_acctbal))::BIGINT // 100)::VARCHAR || ' - ' || (floor(abs(s_acctbal))::BIGINT // 1000)::VARCHAR || 'k' END AS salary_raw,
 CASE s_suppkey % 4 WHEN 0 THEN 'Posted 3 days ago' WHEN 1 THEN '2024-01-10' WHEN 2 THEN 'posted today' ELSE '45 days ago' END AS posted_raw, (s_suppkey % 10) / 10.0::DOUBLE AS semantic
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 PASSED = f"""WITH l AS ({LISTING}), m AS (SELECT *, greatest(regexp_extract(salary_raw, '\\$(\\d+)', 1)::DOUBLE, 1000 * regexp_extract(salary_raw, '(\\d+)k', 1)::DOUBLE) AS pay FROM l),
@@ -530,7 +530,7 @@ p AS (SELECT * FROM m WHERE (location IS NULL OR contains(lower(location), 'asia
 def listing_rows(spark, sf) -> DataFrame:
     s, n, r = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "region")
     j = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    k, pay = F.col("s_suppkey"), F.round(F.abs("s_acctbal")).cast("long")
+    k, pay = F.col("s_suppkey"), F.floor(F.abs("s_acctbal"))
     whole = lambda d: F.floor(pay / d).cast("string")
     return j.select(
         k.alias("id"),
@@ -558,3 +558,127 @@ CASE WHEN work_mode <> 'unknown' THEN 'work mode: ' || work_mode END, CASE WHEN
 )
 def listing_rank(spark, sf):
     return listings.rank(listing_rows(spark, sf), WANT, AS_OF).select("id", "overall", F.array_join("matched", "; ").alias("matched"))
+
+
+# --- Arrow passes, sources and the stream ----------------------------------------------------------------------------
+
+
+@query()
+def html_elements(spark, sf):
+    from ragspark.operators import elements
+
+    return elements.extract(table(spark, sf, "pages"), "page_id", "html")
+
+
+@query()
+def element_topn_restore(spark, sf):
+    from ragspark.operators import elements
+
+    return elements.finalized(elements.extract(table(spark, sf, "pages"), "page_id", "html"), "page_id", 5)
+
+
+@query()
+def page_article(spark, sf):
+    from ragspark.sources import web
+
+    return web.read_pages(table(spark, sf, "pages"))
+
+
+@query()
+def chunk_documents(spark, sf):
+    from ragspark.operators import chunking
+
+    return chunking.chunks(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query()
+def chunk_pages(spark, sf):
+    from ragspark.operators import chunking
+    from ragspark.sources import web
+
+    return chunking.chunks(web.read_pages(table(spark, sf, "pages")), "page_id", "text")
+
+
+@query()
+def semantic_crawl(spark, sf):
+    from ragspark.plans import tools
+    from ragspark.sources import web
+
+    pages = web.read_pages(table(spark, sf, "pages"))
+    rows, _ = tools.semantic_crawl(pages, QUESTION)
+    return rows.select("position", "page_id", "section", "fused_score", "rank")
+
+
+@query()
+def semantic_reddit(spark, sf):
+    from ragspark.plans import tools
+
+    rows, _ = tools.semantic_reddit(comments(spark, sf).withColumnRenamed("conv_id", "thread"), QUESTION)
+    return rows.select("thread", "id", "fused_score", "rank")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::VARCHAR AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark, sf):
+    """The events as a stream over the file, counted per day and type."""
+    from ragspark.streaming import events
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    shape = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = events.run_available(events.counts(stream, "event_type"), folder)
+    return out.select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+@query(
+    f"SELECT o_orderkey, CASE WHEN k = 0 THEN n::DOUBLE WHEN k = 1 THEN n * 7.0::DOUBLE WHEN k = 2 THEN round(n / 24.0::DOUBLE, 6) ELSE round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(o_orderdate::DATE::TIMESTAMP)) / 86400000000.0, 6) END AS days FROM (SELECT *, o_orderkey % 4 AS k, o_orderkey % 50 AS n FROM orders)"
+)
+def age_days(spark, sf):
+    k, n = F.col("o_orderkey") % 4, (F.col("o_orderkey") % 50).cast("string")
+    text = F.when(k == 0, F.concat(n, F.lit(" days ago"))).when(k == 1, F.concat(n, F.lit(" weeks ago"))).when(k == 2, F.concat(n, F.lit(" hours ago"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(N.age_days(text, AS_OF), 6).alias("days"))
+
+
+@query("SELECT c_custkey, greatest(floor(abs(c_acctbal))::BIGINT % 1000 * 1000, (floor(abs(c_acctbal))::BIGINT // 10))::DOUBLE AS pay FROM customer")
+def salary_max(spark, sf):
+    whole = F.floor(F.abs("c_acctbal"))
+    text = F.concat(F.lit("$"), F.format_string("%,d", F.floor(whole / 10)), F.lit(" to "), (whole % 1000).cast("string"), F.lit("k a year"))
+    return table(spark, sf, "customer").select("c_custkey", N.salary_max(text).alias("pay"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'vid' || lpad(o_orderkey::VARCHAR, 8, '0') WHEN o_orderkey % 3 = 1 THEN 'vid' || lpad(o_orderkey::VARCHAR, 8, '0') END AS video FROM orders")
+def video_ids(spark, sf):
+    own = F.concat(F.lit("vid"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, own).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("https://www.youtube.com/watch?list=a&v="), own, F.lit("&t=3"))).otherwise(F.concat(F.lit("https://example.com/"), own))
+    return table(spark, sf, "orders").select("o_orderkey", U.video_id(text).alias("video"))
+
+
+@query("WITH f AS (SELECT p_partkey, ['src', 'docs', 'node_modules', 'lib', 'tests'][(p_partkey % 5 + 1)::INT] || '/' || replace(p_name, ' ', '_') || ['.py', '.md', '.png'][(p_partkey % 3 + 1)::INT] AS path, (p_partkey * 400)::BIGINT AS size FROM part), k AS (SELECT p_partkey, path, round((25.0 * (starts_with(path, 'src/') OR starts_with(path, 'lib/'))::INT - 25.0 * (starts_with(path, 'docs/') OR starts_with(path, 'tests/'))::INT - 4.0 - length(path) / 1000.0)::DOUBLE, 6) AS priority FROM f WHERE NOT starts_with(path, 'node_modules/') AND ((ends_with(path, '.py') AND size <= 100000) OR (ends_with(path, '.md') AND size <= 500000))) SELECT * FROM k ORDER BY priority DESC, path, p_partkey LIMIT 100".replace("priority DESC, path, p_partkey", "priority DESC, path, p_partkey"))
+def repository_files(spark, sf):
+    from ragspark.sources import records
+
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    files = p.select("p_partkey", F.concat(pick(("src", "docs", "node_modules", "lib", "tests"), 5), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), pick((".py", ".md", ".png"), 3)).alias("path"), F.lit("file").alias("type"), (k * 400).alias("size"))
+    kept = files.where(records.is_corpus_file(F.col("path"), F.col("type"), F.col("size")))
+    return kept.select("p_partkey", "path", F.round(records.file_priority(F.col("path")), 6).alias("priority")).orderBy(F.desc("priority"), "path", "p_partkey").limit(100)
+
+
+@query(POOLS + ", t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\w+'), lambda x: lower(x)) AS w FROM documents JOIN g USING (doc_id) WHERE rank <= 30), s AS (SELECT doc_id, round(len(list_intersect(list_distinct(w), ['and', 'ering', 'of', 'stion', 'the', 'thention'])) / 6.0::DOUBLE + 1.0::DOUBLE / (10.0 + len(w)), 6) AS rerank_score FROM t) SELECT doc_id, rerank_score, row_number() OVER (ORDER BY rerank_score DESC, doc_id) AS rerank_rank, round(rerank_score - (SELECT median(rerank_score) FROM s), 6) AS median_delta FROM s ORDER BY rerank_score DESC, doc_id LIMIT 10")
+def rerank_topk(spark, sf):
+    first = hybrid(spark, sf, pool_vectors=30, pool_words=10).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return retrieve.rerank(first, retrieve.overlap_scorer(QUESTION), 10, key="doc_id").select("doc_id", "rerank_score", "rerank_rank", "median_delta")
+
+
+@query(
+    STATS
+    + f", e AS (SELECT s.doc_id, embedding, coalesce((link_density >= 0.2 AND link_density < 0.4) OR (words_per_line >= 3 AND words_per_line < 5), false) AS b FROM s JOIN embeddings ON vec_id = s.doc_id), m AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, unnest(range(64)) AS i FROM e) GROUP BY i), c AS (SELECT list(m ORDER BY i) AS ce FROM m) SELECT doc_id FROM e, c WHERE NOT b OR {cos('embedding', 'ce')} >= 0.2"
+)
+def coherence_filter(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    return retrieve.coherent(d, hygiene.is_borderline(hygiene.line_stats(F.col("text")))).select("doc_id")
