@@ -250,7 +250,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
     before = counts.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before")
-    numbered = parts.join(before, ["length", "task"]).selectExpr(f"`{key}`", "piece", "start", "length", "ids_crc32", "before + local AS number")
+    # The counts grow with the tasks, so they are merged in and never broadcast.
+    numbered = parts.join(before.hint("merge"), ["length", "task"]).selectExpr(f"`{key}`", "piece", "start", "length", "ids_crc32", "before + local AS number")
 
     def run(batches):
         for b in batches:
