@@ -34,7 +34,7 @@ KINDS = {
     "access": r"((AKIA[A-Z0-9]{16,}))",
     "hex": r"(([0-9a-f]{24,}))",
 }
-GENERIC = r"((?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,}))"
+GENERIC = r"((?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,}))"
 ORDER = [*KINDS, "generic"]
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 

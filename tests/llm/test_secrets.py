@@ -54,6 +54,7 @@ TEXTS = [
     "password=Qw8" + "Tt4" * 10,
     "no_" + "x" * 40 + " only lower 1",
     "token=" + "a1B" * 20 + "\n" + "deadbeef" * 4 + " AKIA" + "Z9" * 10,
+    "lower_only_run_with_digit_1_and_no_capital then LATER",
     "key " * 2000 + "secret=abcdef " * 300,
 ]
 
