@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.llm import blocks, decontaminate, jaccard, language, packing, quality, secrets, suffixes, urls, warc
+from ragspark.llm.sql import SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,18 +78,3 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
-
-
-SQL: dict[str, str] = {}
-
-# Base 32 of a SHA-1: its 160 bits, five at a time.
-SQL["op1_warc"] = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
-bits AS (SELECT *, list_aggregate(list_transform(string_split(hex, ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), 'string_agg', '') AS b FROM p),
-d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, (5 * i + 1)::INT, 1)::INT + 8 * substr(b, (5 * i + 2)::INT, 1)::INT + 4 * substr(b, (5 * i + 3)::INT, 1)::INT + 2 * substr(b, (5 * i + 4)::INT, 1)::INT + substr(b, (5 * i + 5)::INT, 1)::INT, 1)), 'string_agg', '') AS payload_digest FROM bits),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
-SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
-FROM m
-"""
