@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import new_path
+from ragspark.llm.shared import new_path, small_batches
 
 LIMIT = 1 << 20
 SENT = "bucket int, chunk long, payload binary"
@@ -42,6 +42,7 @@ class Chunks:
 
 def build(docs: DataFrame, key: str, text: str, limit: int = LIMIT) -> Chunks:
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (128 << 20)))

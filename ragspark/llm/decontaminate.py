@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
+from ragspark.llm.shared import small_batches
 
 WIDTH = 13
 GATE = 3
@@ -132,6 +133,7 @@ def _batch_matches(suffixes: Suffixes, data: np.ndarray, off: np.ndarray):
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with ``n_words`` (long), ``n_hit`` (words inside any occurrence of a window) and ``matches``,
     an array of (item, doc_start, item_start, n_words): the longest verbatim matches with their places."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     blocks, ids, texts, held = [], [], [], 0
     for row in benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
+from ragspark.llm.shared import small_batches
 
 FOLDS, BITS, ORDERS, ALPHA, MAX_LANGUAGES = 5, 15, 3, 0.5, 1024
 UNKNOWN = "und"
@@ -57,6 +58,7 @@ def _decoded(data: np.ndarray, off: np.ndarray) -> list[str]:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", folds: int = FOLDS, alpha: float = ALPHA):
     """(labels, log prior, log-probability matrix) from the training rows of ``docs``."""
+    small_batches(docs.sparkSession)
     size = 1 << BITS
 
     def count(batches):
@@ -111,6 +113,7 @@ def score(texts: list[str], labels: list[str], prior: np.ndarray, matrix: np.nda
 def predict(docs: DataFrame, model, text: str = "text", limit: int = 1 << 18) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     plain = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

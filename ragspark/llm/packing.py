@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import save
+from ragspark.llm.shared import save, small_batches
 
 CAPACITY, END = 1024, 2
 
@@ -244,6 +244,7 @@ class Places:
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = save(pieces(docs, tokenizer, key, text, capacity, end), "pieces")
     counts = parts.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = save(counts, "counts")

@@ -21,6 +21,14 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of ``rows`` rows at most in this session: rows with whole texts are large, and a batch of the
+    usual 10,000 would take hundreds of MB in each Python worker and in the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 _made: list[list[str]] = []
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import new_path, save
+from ragspark.llm.shared import new_path, save, small_batches
 
 SEGMENT, CHUNK, RECORDS, SALTS = 1 << 15, 1 << 12, 4096, 16
 CRLF, END = b"\r\n", b"\r\n\r\n"
@@ -98,6 +98,7 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = 0, segment_bytes: int = SEGMENT, records_per_file: int = RECORDS, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes (page_id, url, html) to archives under ``path``."""
+    small_batches(pages.sparkSession)
     again = save(revisits(pages, least), "revisits")
     rows = pages.select("page_id", "url", "html")
     if again.isEmpty():
