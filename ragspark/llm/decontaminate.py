@@ -12,7 +12,7 @@ Words are maximal runs of digits, ASCII letters and non-ASCII characters, A-Z lo
 than ``width`` words, but not none, has one window, the whole item. Defined results: null or empty text has no
 words and no matches; items with null or empty text have no windows; equal items (or repeated rows) each match;
 an empty benchmark matches nothing; other columns of the training table pass through, whatever their names
-(a column named like an output is replaced).
+(one named like an output, or ``hits``, is replaced; ``remove_contaminated`` gives all back).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import small_batches
+from ragspark.llm.shared import set_aside, small_batches
 
 WIDTH = 13
 GATE = 3
@@ -183,4 +183,5 @@ def contaminated() -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
-    return matches(docs, benchmark, **options).where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, restore = set_aside(docs, "n_words", "n_hit", "matches", "hits")
+    return restore(matches(own, benchmark, **options).where(~contaminated()))

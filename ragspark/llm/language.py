@@ -9,7 +9,7 @@ the label, source and id never enter a prediction.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any training row every text
 is ``und``; a null id is held out; ties go to the label that sorts first; other columns pass through (those named
-like an output are replaced).
+like an output are replaced; ``keep_identified`` gives all back).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import small_batches
+from ragspark.llm.shared import set_aside, small_batches
 
 FOLDS, BITS, ORDERS, ALPHA, MAX_LANGUAGES = 5, 15, 3, 0.5, 1024
 UNKNOWN = "und"
@@ -127,4 +127,5 @@ def predict(docs: DataFrame, model, text: str = "text", limit: int = 1 << 18) ->
 
 def keep_identified(docs: DataFrame, model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is identified with a score of ``least`` or more."""
-    return predict(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, restore = set_aside(docs, "lang_pred", "score")
+    return restore(predict(own, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

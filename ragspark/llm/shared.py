@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -71,3 +72,17 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def set_aside(df: DataFrame, *names: str):
+    """``df`` with its columns of these names renamed, and a function that selects ``df``'s own columns again."""
+    taken, moved = list(df.columns), {}
+    for c in df.columns:
+        if c.lower() in names:
+            moved[c] = fresh(taken, c)
+            taken.append(moved[c])
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns])
+
+    return df.withColumnsRenamed(moved) if moved else df, restore

@@ -71,5 +71,6 @@ def test_extra_columns_and_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     out = D.matches(d, b).collect()
     assert out[0]["n_words"] == 2 and out[0]["odd name"] == "z" and not out[0]["matches"]
-    assert D.remove_contaminated(d, b).columns == d.columns
+    kept = D.remove_contaminated(d.withColumn("hits", d.doc_id), b)
+    assert kept.columns == [*d.columns, "hits"] and tuple(kept.collect()[0]) == (1, "a b", 5, 6, "z", 1)
     assert D.matches(d.limit(0), b).count() == 0

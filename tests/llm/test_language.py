@@ -69,4 +69,4 @@ def test_edges(spark):
     assert {r.lang_pred for r in L.predict(none, L.train(none)).collect()} == {"und"}
     assert L.predict(df.limit(0), L.train(df)).count() == 0
     kept = L.keep_identified(df, L.train(df))
-    assert kept.columns == df.columns and kept.where("text IS NULL OR text = ''").count() == 0
+    assert kept.columns == df.columns and kept.where("text IS NULL OR text = '' OR score <> 0.5").count() == 0
