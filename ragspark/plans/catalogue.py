@@ -185,15 +185,19 @@ WHOLE = HYBRID.replace("{words}", "1000000000").replace("{vectors}", "1000000000
 POOLS = HYBRID.replace("{words}", "10").replace("{vectors}", "30")
 
 
-def hybrid(spark, sf, **pools) -> DataFrame:
+def lists(spark, sf) -> tuple[DataFrame, DataFrame]:
     words = lexical.bm25(table(spark, sf, "documents"), one_query(spark)).select("doc_id", F.col("score").alias("lexical_score")).where("lexical_score > 0")
     vectors = retrieve.vector_list(table(spark, sf, "embeddings"), vector_zero(spark, sf), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
-    return retrieve.fuse(vectors, words, "doc_id", **pools)
+    return vectors, words
+
+
+def hybrid(spark, sf, **pools) -> DataFrame:
+    return retrieve.fuse(*lists(spark, sf), "doc_id", **pools)
 
 
 @query(WHOLE + "SELECT doc_id, vector_score, lexical_score, fused_score, rank FROM g WHERE rank <= 10")
 def hybrid_topk(spark, sf):
-    return hybrid(spark, sf).where("rank <= 10").select("doc_id", "vector_score", "lexical_score", "fused_score", "rank")
+    return retrieve.fuse_top(*lists(spark, sf), 10, "doc_id").select("doc_id", "vector_score", "lexical_score", "fused_score", "rank")
 
 
 @query(WHOLE + "SELECT count(vector_score) AS vector, count(lexical_score) AS lexical, count(*) AS fused FROM g")
@@ -204,7 +208,7 @@ def hybrid_trace(spark, sf):
 @query(WHOLE + "SELECT doc_id, fused_score, rank FROM g WHERE rank <= 20")
 def profile_recall(spark, sf):
     own = retrieve.profile("recall")
-    return hybrid(spark, sf, rrf_k=own.rrf_k).where(F.col("rank") <= own.top_k).select("doc_id", "fused_score", "rank")
+    return retrieve.fuse_top(*lists(spark, sf), own.top_k, "doc_id", own.rrf_k).select("doc_id", "fused_score", "rank")
 
 
 @query(POOLS + "SELECT doc_id, vector_score, lexical_score, fused_score, rank FROM g WHERE rank <= 10")

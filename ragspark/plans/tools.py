@@ -110,9 +110,9 @@ def page_corpus(pages: DataFrame, key: str = "page_id", url: str = "url", text:
     made = chunking.chunks(web.text_pages(pages, key, text), key, text)
     made = made.join(pages.select(key, F.col(url).alias("url")), key)
     once = keep_first(made, F.sha2("content", 256), key, "chunk_index")
-    w = Window.orderBy(key, "chunk_index")
-    out = once.withColumn("position", F.row_number().over(w).cast("long") - 1).withColumnRenamed("content", "text")
-    return out.where(F.col("position") < most)
+    # The limit comes first, so the numbering sees `most` rows and not the corpus.
+    once = once.orderBy(key, "chunk_index").limit(most)
+    return once.withColumn("position", F.row_number().over(Window.orderBy(key, "chunk_index")).cast("long") - 1).withColumnRenamed("content", "text")
 
 
 def semantic_search(

@@ -305,3 +305,13 @@ def test_arguments():
     for bad in (lambda: bounded("n", 6, 1, 5), lambda: bounded("n", True, 0, 5), lambda: exactly_one(a=1, b=2)):
         with pytest.raises(ValidationError):
             bad()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fuse_top_equals_the_whole_fusion(spark, seed):
+    rng = random.Random(seed)
+    rows = lambda name: spark.createDataFrame([(i, round(rng.random(), 2)) for i in rng.sample(range(1500), 900)], f"position long, {name} double")
+    vectors, words = rows("vector_score"), rows("lexical_score")
+    want = retrieve.fuse(vectors, words).where("rank <= 5").orderBy("rank").collect()
+    assert retrieve.fuse_top(vectors, words, 5).orderBy("rank").collect() == want
+    assert retrieve.fuse_top(None, words, 3).count() == 3
