@@ -59,11 +59,16 @@ def _repeats(w: Column) -> Column:
         same = F.filter(p, lambda x, i: ((i > 0) & (x["h"] == F.get(p, i - 1)["h"])) | F.coalesce(x["h"] == F.get(p, i + 1)["h"], F.lit(False)))
         return let(F.sort_array(F.transform(same, lambda x: x["i"])), lambda at: F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["end"])).alias("n"), (i + 3).alias("end")), lambda a: a["n"]))
 
+    def sorted_places(h: Column) -> Column:
+        # Most short texts repeat nothing; only the others are sorted with their places.
+        once = F.size(F.array_distinct(h)) == F.size(h)
+        return F.when(once, F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), places))
+
     def grams(x: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.struct(F.xxhash64(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)).alias("h"), i.alias("i")))
-        return F.when(F.size(x) < 3, F.lit(0)).otherwise(let(F.sort_array(each), places))
+        each = F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.xxhash64(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))
+        return F.when(F.size(x) < 3, F.lit(0)).otherwise(let(each, sorted_places))
 
-    return let(w, grams)
+    return let(F.transform(w, lambda x: F.xxhash64(x)), grams)
 
 
 def _deleted(text: Column, characters: str) -> Column:
@@ -73,9 +78,9 @@ def _deleted(text: Column, characters: str) -> Column:
 def line_fails(line: Column, min_words: int = 4, nav_share: float = 0.2) -> Column:
     """Whether a line with a word fails a rule."""
     marks = F.length(line) - F.length(_deleted(line, "|>»·•"))
-    size = F.size(words(line))
+    size = F.size(words(line))  # the costly part, so it comes last
     navigation = (marks >= 3) & (marks >= nav_share * size)
-    unmarked = (size >= min_words) & ~line.rlike(ENDS_WELL) & ~line.rlike(r"""[.!?:;,…|>][^\x20\x09-\x0D]*[\x20\x09-\x0D]*$""")
+    unmarked = ~line.rlike(ENDS_WELL) & ~line.rlike(r"""[.!?:;,…|>][^\x20\x09-\x0D]*[\x20\x09-\x0D]*$""") & (size >= min_words)
     phrase = F.lower(line).rlike("|".join(BOILERPLATE))
     return unmarked | navigation | phrase
 
