@@ -26,6 +26,7 @@ from ragspark.llm.secrets import let
 from ragspark.llm.shared import fresh
 
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = r"[|>»·•]"
@@ -45,6 +46,8 @@ BOILERPLATE = [
     "terms of service",
     "terms of use",
 ]
+#: The phrases with their first letters taken out, so that most places of a line fail at once.
+PHRASES = "|".join(f"{c}(?:{'|'.join(p[1:] for p in BOILERPLATE if p[0] == c)})" for c in sorted({p[0] for p in BOILERPLATE}))
 ENDS_WELL = r"""[.!?:;,…。！？][)\]}"'”’»›]*[\x20\x09-\x0D]*$"""
 
 
@@ -79,9 +82,9 @@ def line_fails(line: Column, min_words: int = 4, nav_share: float = 0.2) -> Colu
     """Whether a line with a word fails a rule."""
     marks = F.length(line) - F.length(_deleted(line, "|>»·•"))
     size = F.size(words(line))  # the costly part, so it comes last
-    navigation = (marks >= 3) & (marks >= nav_share * size)
+    navigation = line.rlike(SEPARATORS) & (marks >= 3) & (marks >= nav_share * size)
     unmarked = ~line.rlike(ENDS_WELL) & ~line.rlike(r"""[.!?:;,…|>][^\x20\x09-\x0D]*[\x20\x09-\x0D]*$""") & (size >= min_words)
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
+    phrase = F.lower(line).rlike(PHRASES)
     return unmarked | navigation | phrase
 
 
@@ -93,8 +96,10 @@ def statistics(docs: DataFrame, text: str = "text", max_lost: float = 0.5, **rul
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def line_stats(lines: Column) -> Column:
-        full = F.filter(lines, lambda x: F.length(_deleted(x, WHITE)) > 0)
-        good = F.filter(lines, lambda x: (F.length(_deleted(x, WHITE)) > 0) & ~line_fails(x, **rules))
+        return let(F.filter(lines, lambda x: x.rlike(WORD)), full_stats)
+
+    def full_stats(full: Column) -> Column:
+        good = F.filter(full, lambda x: ~line_fails(x, **rules))
         return F.struct((F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"), F.array_join(good, "\n").alias("cleaned"))
 
     w, w_, l_ = words(whole), fresh(docs.columns, "w_"), fresh(docs.columns, "l_")
