@@ -18,6 +18,7 @@ from ragspark.functions import text as T
 from ragspark.functions import urls as U
 from ragspark.operators import chunking, fusion, hygiene, lexical, listings, markup, retrieve, threads
 from ragspark.operators.dedup import dedup_papers, keep_first, prefix_budget
+from ragspark.operators.tables import numbered
 from ragspark.sources import records, web
 
 WEB_WEIGHTS = {"rrfAnchor": 0.6, "recency": 0.25, "hasDeepLinks": 0.15}
@@ -104,15 +105,16 @@ def repository_search(repos: DataFrame, text: str = "", language: str | None = N
     return df.orderBy(F.desc("stars"), "name").limit(bounded("limit", limit, 1, 1000))
 
 
-def page_corpus(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "text", most: int = 5000) -> DataFrame:
+def page_corpus(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "text", most: int | None = None) -> DataFrame:
     """Chunks of the pages with text, equal texts once, numbered: the chunk dedup goes before anything that costs per
-    chunk, which the optimiser would not do by itself."""
+    chunk, which the optimiser would not do by itself. More than ``most`` of them are an error."""
     made = chunking.chunks(web.text_pages(pages, key, text), key, text)
     made = made.join(pages.select(key, F.col(url).alias("url")), key)
     once = keep_first(made, F.sha2("content", 256), key, "chunk_index")
-    # The limit comes first, so the numbering sees `most` rows and not the corpus.
-    once = once.orderBy(key, "chunk_index").limit(most)
-    return once.withColumn("position", F.row_number().over(Window.orderBy(key, "chunk_index")).cast("long") - 1).withColumnRenamed("content", "text")
+    out = numbered(once, key, "chunk_index").withColumnRenamed("content", "text")
+    if most is not None and (n := out.count()) > most:
+        raise ValidationError(f"{n} chunks, and at most {most} are allowed")
+    return out
 
 
 def semantic_search(

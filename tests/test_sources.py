@@ -180,3 +180,12 @@ def test_stream(spark, tmp_path):
     assert sorted((str(r.start), r.k, r.n) for r in out.collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-02 00:00:00", "b", 1)]
     once = events.run_available(events.first_seen(read(), "k"), str(tmp_path), "append")
     assert sorted(r.k for r in once.collect()) == ["a", "b"]
+
+
+def test_page_corpus_keeps_every_page(spark):
+    """More chunks than the 5000 that were kept once; the numbers follow the order without gaps."""
+    pages = spark.range(5200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.com/"), "id").alias("url"), F.concat(F.lit("The fox of house "), "id", F.lit(" eats plenty of food on every single day of the year.")).alias("text"))
+    rows = tools.page_corpus(pages).select("position", "page_id").collect()
+    assert sorted((r.position, r.page_id) for r in rows) == [(i, i) for i in range(5200)]
+    with pytest.raises(ValidationError):
+        tools.page_corpus(pages, most=5000)
