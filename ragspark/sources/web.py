@@ -49,8 +49,9 @@ def metadata(html: str | None, url: str | None) -> dict:
     }
 
 
-def article(html: str | None, most: int = 50_000) -> tuple[str | None, str]:
-    """The text of the article (article, main, or the block with most paragraph text), else of the page, and which."""
+def article(html: str | None, most: int | None = None) -> tuple[str | None, str]:
+    """The text of the article (article, main, or the block with most paragraph text), else of the page, and which.
+    ``most``: cut to so many characters, with a mark, where one page is the answer of a tool (there 50,000)."""
     root = markup.parse(html)
     best = root.first("article") or root.first("main") or root.first("[role=main]")
     method = "article"
@@ -62,10 +63,10 @@ def article(html: str | None, most: int = 50_000) -> tuple[str | None, str]:
     if best is None or len(best.text(GONE).strip()) < 40:
         best, method = root, "page"
     text = markup.collapsed(best.text(GONE))
-    return (text if text is None or len(text) <= most else text[:most] + T.TRUNCATED), method
+    return (text if text is None or most is None or len(text) <= most else text[:most] + T.TRUNCATED), method
 
 
-def read_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most: int = 50_000) -> DataFrame:
+def read_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most: int | None = None) -> DataFrame:
     """Metadata and text of every page in one Arrow pass."""
 
     def run(batches):

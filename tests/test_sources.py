@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.errors import ValidationError
-from ragspark.operators import listings
+from ragspark.functions import text as T
+from ragspark.operators import chunking, listings
 from ragspark.plans import tools
 from ragspark.sources import records, web
 from ragspark.sources.store import Store, canonical, corpus_id
@@ -189,3 +190,14 @@ def test_page_corpus_keeps_every_page(spark):
     assert sorted((r.position, r.page_id) for r in rows) == [(i, i) for i in range(5200)]
     with pytest.raises(ValidationError):
         tools.page_corpus(pages, most=5000)
+
+
+def test_long_pages_are_read_to_the_end(spark):
+    """Beyond the 50,000 characters that one answer of a tool may have."""
+    html = "<article>" + "".join(f"<p>Sentence number {i} of a long page about nothing much.</p>" for i in range(1500)) + "<p>The last word is zebra.</p></article>"
+    read = web.read_pages(spark.createDataFrame([(1, "http://a.com", html)], "page_id int, url string, html string"))
+    [r] = read.collect()
+    assert len(r.text) > 50_000 and r.text.endswith("The last word is zebra.")
+    made = chunking.chunks(read, "page_id", "text").orderBy("chunk_index").collect()
+    assert made[-1].content.endswith("The last word is zebra.")
+    assert len(web.article(html, 50_000)[0]) == 50_000 + len(T.TRUNCATED)
