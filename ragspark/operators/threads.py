@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.text import trimmed
 from ragspark.functions.urls import absolute
+from ragspark.operators.tables import saved
 
 SEGMENTS, CHARS, SECONDS = 12, 1200, 60.0
 
@@ -38,19 +39,29 @@ def with_parents(comments: DataFrame, depth: int = 2, base_url: str | None = Non
     return df.drop("_next", *[f"_b{i}" for i in range(depth)])
 
 
-def flattened(comments: DataFrame, thread: str, most: int = 64) -> DataFrame:
+def flattened(comments: DataFrame, thread: str, most: int | None = None, paths: bool = True) -> DataFrame:
     """Pre-order of each thread's tree: depth and path (zero-padded positions), for comments that hang together from
-    a root (null parent) within ``most`` levels. One join per level, ending at the deepest."""
-    spot = F.lpad(F.col("position").cast("string"), 10, "0")
-    level = comments.where("parent_id IS NULL").withColumn("depth", F.lit(0)).withColumn("path", spot)
-    out = level
-    for d in range(1, most):
-        above = level.select(thread, F.col("id").alias("parent_id"), F.col("path").alias("_path"))
-        level = comments.join(above, [thread, "parent_id"]).withColumn("depth", F.lit(d)).withColumn("path", F.concat_ws("/", "_path", spot)).select(*out.columns)
-        if level.isEmpty():
+    a root (null parent), within ``most`` levels if given. Every comment knows an ancestor, at first its parent, and
+    takes over what that one knows, so the reach doubles with each join, and a depth of n takes log2 n of them. Depths
+    have no gaps: a round that finds no root leaves orphans and cycles only. ``paths``: a path is as long as its
+    comment is deep, so without it deep threads stay small."""
+    start = comments.withColumn("depth", F.lit(0))
+    start = start.withColumn("path", F.lpad(F.col("position").cast("string"), 10, "0")) if paths else start
+    columns = start.columns
+    start = saved(start.withColumn("_up", F.col("parent_id")), "threads")
+    out, below = start.where("_up IS NULL"), start.where("_up IS NOT NULL")
+    while True:
+        above = out.unionByName(below).select(thread, F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_depth"), *[F.col("path").alias("_path")] * paths)
+        made = {"depth": F.col("depth") + 1 + F.col("_depth"), "_up": F.col("_next")} | ({"path": F.concat_ws("/", "_path", "path")} if paths else {})
+        level = saved(below.join(above, [thread, "_up"]).withColumns(made).select(*columns, "_up"), "threads")
+        found, below = level.where("_up IS NULL"), level.where("_up IS NOT NULL")
+        if found.isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        out = out.unionByName(found)
+        if below.isEmpty():
+            break
+    out = out.drop("_up")
+    return out if most is None else out.where(F.col("depth") < most)
 
 
 def _fold(segments: Column) -> Column:

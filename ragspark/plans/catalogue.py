@@ -503,8 +503,8 @@ def parent_context(spark, sf):
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations")
 def thread_flatten(spark, sf):
-    c = comments(spark, sf).withColumn("parent_id", threads.bare_id(F.col("parent_id")))
-    return threads.flattened(c, "conv_id").select("conv_id", F.col("position").alias("turn"), F.col("depth").cast("long").alias("depth"))
+    c = comments(spark, sf).select("conv_id", "id", threads.bare_id(F.col("parent_id")).alias("parent_id"), "position")
+    return threads.flattened(c, "conv_id", paths=False).select("conv_id", F.col("position").alias("turn"), F.col("depth").cast("long").alias("depth"))
 
 
 @query(

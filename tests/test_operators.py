@@ -206,6 +206,18 @@ def test_parents_and_flatten(spark):
     assert [(r.id, r.depth) for r in threads.flattened(tree, "thread").orderBy("path").collect()] == [("1", 0), ("2", 1), ("3", 2), ("6", 1), ("5", 2)]
 
 
+def test_deep_threads_stay_whole(spark):
+    """Deeper than 64 levels, beside a cycle, an orphan's chain and an id that two comments share."""
+    rows = [("a", str(i), str(i - 1) if i else None, i) for i in range(150)] + [("b", "1", "2", 0), ("b", "2", "1", 1), ("b", "3", "9", 2), ("b", "4", "3", 3)]
+    rows += [("c", "0", None, 0), ("c", "1", "0", 1), ("c", "1", "0", 2), ("c", "2", "1", 3), ("c", "3", "2", 4)]
+    df = spark.createDataFrame(rows, "thread string, id string, parent_id string, position int")
+    got = threads.flattened(df, "thread").orderBy("path").collect()
+    assert [(r.id, r.depth) for r in got if r.thread == "a"] == [(str(i), i) for i in range(150)]
+    assert [(r.id, r.depth) for r in got if r.thread == "c"] == [("0", 0), ("1", 1), ("2", 2), ("3", 3), ("1", 1), ("2", 2), ("3", 3)]
+    assert not [r for r in got if r.thread == "b"]
+    assert threads.flattened(df, "thread", most=64, paths=False).where("thread = 'a'").count() == 64
+
+
 def test_transcripts(spark):
     def groups(segs):
         df = spark.createDataFrame([("v", i, t, float(i), d) for i, (t, d) in enumerate(segs)], "video_id string, seg_no int, text string, offset double, duration double")
