@@ -155,22 +155,31 @@ def semantic_crawl(pages: DataFrame, query: str, **options) -> tuple[DataFrame,
     return semantic_search(chunks, query, **options)
 
 
-def semantic_youtube(videos: DataFrame, segments: DataFrame, query: str, channel: str | None = None, budget: int = 250_000_000, **options) -> tuple[DataFrame, dict]:
-    """Videos (video_id, title, channel) and transcript segments to the best passages."""
+def _search_within(made: DataFrame, query: str, budget: int | None, *order: str, options: dict) -> tuple[DataFrame, dict]:
+    """The search over all rows, or over those in order that fit the budget, with the number of the others."""
+    if budget is None:
+        return semantic_search(numbered(made, *order), query, **options)
+    kept = numbered(prefix_budget(made, F.octet_length("text"), budget, *order).drop("used"), *order)
+    dropped = made.count() - kept.count()
+    rows, counts = semantic_search(kept, query, **options)
+    return rows, counts | {"truncated": dropped > 0, "dropped": dropped}
+
+
+def semantic_youtube(videos: DataFrame, segments: DataFrame, query: str, channel: str | None = None, budget: int | None = None, **options) -> tuple[DataFrame, dict]:
+    """Videos (video_id, title, channel) and transcript segments to the best passages; with a ``budget``, of the first
+    so many bytes, and how many were dropped."""
     if channel is not None:
         videos = videos.where(F.lower("channel").contains(channel.lower()))
     made = threads.transcript_chunks(segments.join(videos.select("video_id"), "video_id", "left_semi")).join(videos.select("video_id", F.coalesce("title", "video_id").alias("section")), "video_id")
-    made = prefix_budget(made, F.octet_length("text"), budget, "video_id", "chunk_index").drop("used")
-    made = made.withColumn("url", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id")).withColumn("position", F.row_number().over(Window.orderBy("video_id", "chunk_index")).cast("long") - 1)
-    return semantic_search(made, query, **options)
+    made = made.withColumn("url", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id"))
+    return _search_within(made, query, budget, "video_id", "chunk_index", options=options)
 
 
-def semantic_reddit(comments: DataFrame, query: str, budget: int = 250_000_000, depth: int = 2, **options) -> tuple[DataFrame, dict]:
-    """Comments (thread, id, parent_id, author, body, permalink, position) to the best, with their ancestors."""
+def semantic_reddit(comments: DataFrame, query: str, budget: int | None = None, depth: int = 2, **options) -> tuple[DataFrame, dict]:
+    """Comments (thread, id, parent_id, author, body, permalink, position) to the best, with their ancestors; with a
+    ``budget``, of the first so many bytes, and how many were dropped."""
     made = threads.with_parents(comments, depth, "https://www.reddit.com", ("thread",))
-    made = prefix_budget(made, F.octet_length("text"), budget, "thread", "position").drop("used")
-    made = made.withColumn("position", F.row_number().over(Window.orderBy("thread", "position")).cast("long") - 1)
-    return semantic_search(made, query, **options)
+    return _search_within(made, query, budget, "thread", "position", options=options)
 
 
 # --- job listings ----------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Normalisers, pages, the store, the tools and the stream on small inputs."""
 
+import inspect
 import json
 
 import pytest
@@ -201,3 +202,13 @@ def test_long_pages_are_read_to_the_end(spark):
     made = chunking.chunks(read, "page_id", "text").orderBy("chunk_index").collect()
     assert made[-1].content.endswith("The last word is zebra.")
     assert len(web.article(html, 50_000)[0]) == 50_000 + len(T.TRUNCATED)
+
+
+def test_budgets_are_options_and_are_told(spark):
+    c = spark.createDataFrame([("t", str(i), None, "u", f"the {w} eats food", None, i) for i, w in enumerate(["fox", "wolf", "bear"])], "thread string, id string, parent_id string, author string, body string, permalink string, position int")
+    rows, counts = tools.semantic_reddit(c, "bear food", budget=35, top_k=1)
+    assert counts["truncated"] and counts["dropped"] == 1 and rows.collect()[0].id != "2"
+    for tool in (tools.semantic_reddit, tools.semantic_youtube):
+        assert inspect.signature(tool).parameters["budget"].default is None
+    rows, counts = tools.semantic_reddit(c, "bear food", top_k=1)
+    assert rows.collect()[0].id == "2" and "dropped" not in counts
