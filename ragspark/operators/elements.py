@@ -24,19 +24,24 @@ FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 RANKS = {"heading": 100, "table": 90, "code": 85, "list": 75, "image": 65, "text": 50}
 
 
-def cut(text: str) -> str:
-    return text if len(text) <= MOST_TEXT else text[:MOST_TEXT] + MARK
-
-
-def _long(whole: str, /, **fields) -> dict:
-    """The fields, and the marks of a text that was cut."""
-    return fields | ({"truncated": True, "original_length": len(whole)} if len(whole) > MOST_TEXT else {})
+def limited(made: list[dict], most: int | None, most_text: int | None) -> list[dict]:
+    """At most ``most`` elements, and texts of at most ``most_text`` characters; an element that was cut says so."""
+    made = made[:most]
+    if most_text is None:
+        return made
+    out = []
+    for e in made:
+        texts = {f: v for f, v in e.items() if f in ("text", "markdown", "caption", "alt", "title", "content", "items") and v is not None}
+        long = [v for f, t in texts.items() for v in (t if f == "items" else [t]) if len(v) > most_text]
+        cut = lambda t: t if len(t) <= most_text else t[:most_text] + MARK
+        out.append(e | {f: list(map(cut, t)) if f == "items" else cut(t) for f, t in texts.items()} | {"truncated": True, "original_length": max(map(len, long))} if long else e)
+    return out
 
 
 def _heading(n: markup.Node) -> dict | None:
     text = n.text().strip()
     anchor = n.first("a[id]")
-    return {"type": "heading", "level": int(n.tag[1]), "text": cut(text), "id": n.attrs.get("id") or (anchor.attrs.get("id") if anchor else None)} if text else None
+    return {"type": "heading", "level": int(n.tag[1]), "text": text, "id": n.attrs.get("id") or (anchor.attrs.get("id") if anchor else None)} if text else None
 
 
 def _table(n: markup.Node) -> dict:
@@ -46,24 +51,24 @@ def _table(n: markup.Node) -> dict:
     if lines:
         lines.insert(1, "|" + " --- |" * cols)
     caption, md = n.first("caption"), "\n".join(lines)
-    return _long(md, type="table", markdown=cut(md), caption=cut(caption.text().strip()) if caption else None, n_rows=len(rows), n_cols=cols)
+    return dict(type="table", markdown=md, caption=caption.text().strip() if caption else None, n_rows=len(rows), n_cols=cols)
 
 
 def _image(n: markup.Node) -> dict:
     src = n.attrs.get("src")
     bad = src is not None and src.lower().startswith(("javascript:", "data:", "vbscript:"))
-    return {"type": "image", "src": None if bad else src, "alt": cut(n.attrs.get("alt") or ""), "title": cut(n.attrs.get("title") or "")}
+    return {"type": "image", "src": None if bad else src, "alt": n.attrs.get("alt") or "", "title": n.attrs.get("title") or ""}
 
 
 def _code(n: markup.Node) -> dict:
     code = n.first("code")
     named = re.search(r"(?:language|lang)-(\w+)", (code.attrs.get("class") or "") if code else "")
     content = (code or n).text().strip()
-    return _long(content, type="code", language=named[1] if named else None, content=cut(content))
+    return dict(type="code", language=named[1] if named else None, content=content)
 
 
 def _list(n: markup.Node) -> dict | None:
-    items = [cut(c.text().strip()) for c in n.elements() if c.tag == "li"]
+    items = [c.text().strip() for c in n.elements() if c.tag == "li"]
     return {"type": "list", "ordered": n.tag == "ol", "items": items} if items else None
 
 
@@ -71,20 +76,20 @@ def _text(n: markup.Node) -> dict | None:
     if n.parent.tag == "li" or n.inside({"table", "ul", "ol"}) or any(c.tag in BLOCKS for c in n.elements()):
         return None
     text = n.text().strip()
-    return _long(text, type="text", text=cut(text)) if text else None
+    return dict(type="text", text=text) if text else None
 
 
 MAKERS = {f"h{i}": _heading for i in range(1, 7)} | {"table": _table, "img": _image, "pre": _code, "ul": _list, "ol": _list, "p": _text, "div": _text}
 
 
-def from_html(html: str | None) -> list[dict]:
+def from_html(html: str | None, most: int | None = MOST_RAW, most_text: int | None = MOST_TEXT) -> list[dict]:
     out = []
     for n in markup.parse(html).walk():
         if n.tag in MAKERS and not n.inside(IGNORED) and (made := MAKERS[n.tag](n)):
             out.append(made)
-            if len(out) == MOST_RAW:
+            if len(out) == most:
                 break
-    return out
+    return limited(out, most, most_text)
 
 
 ITEM = re.compile(r"^(?:[-*]|(\d+\.))\s+(.+)$")
@@ -96,7 +101,7 @@ def _plain(text: str) -> str:
     return re.sub(r"`([^`]+)`", r"\1", text)
 
 
-def from_markdown(text: str | None) -> list[dict]:
+def from_markdown(text: str | None, most: int | None = MOST_RAW, most_text: int | None = MOST_TEXT) -> list[dict]:
     """Line by line; fences, tables and lists take the lines that belong to them."""
     out, lines, at = [], (text or "").split("\n"), 0
 
@@ -107,47 +112,48 @@ def from_markdown(text: str | None) -> list[dict]:
             at += 1
         return lines[start:at]
 
-    while at < len(lines) and len(out) < MOST_RAW:
+    while at < len(lines) and (most is None or len(out) < most):
         line = lines[at].strip()
         if m := re.match(r"^(#{1,6})\s+(.+)$", line):
-            out.append({"type": "heading", "level": len(m[1]), "text": cut(m[2].strip())})
+            out.append({"type": "heading", "level": len(m[1]), "text": m[2].strip()})
             at += 1
         elif m := re.match(r"^(`{3,})(\w*)", line):
             at += 1
             body = "\n".join(take(lambda x: not re.fullmatch(m[1] + "`*", x.strip()))).rstrip()
-            out.append(_long(body, type="code", language=m[2], content=cut(body)))
+            out.append(dict(type="code", language=m[2], content=body))
             at += 1
         elif ROW.match(line):
             rows = [x.strip() for x in take(lambda x: ROW.match(x.strip()))]
             if len(rows) > 1 and re.fullmatch(r"\|[\s\-:|]+\|", rows[1]):
                 del rows[1]
             md = "\n".join(rows)
-            out.append(_long(md, type="table", markdown=cut(md), n_rows=len(rows), n_cols=sum(bool(c.strip()) for c in rows[0].split("|"))))
+            out.append(dict(type="table", markdown=md, n_rows=len(rows), n_cols=sum(bool(c.strip()) for c in rows[0].split("|"))))
         elif m := ITEM.match(line):
             items = []
             for x in take(lambda x: x.strip() and (ITEM.match(x.strip()) or x[0].isspace())):
                 if i := ITEM.match(x.strip()):
-                    items.append(cut(_plain(i[2])))
+                    items.append(_plain(i[2]))
                 else:
-                    items[-1] = cut(f"{items[-1]} {_plain(x.strip())}")
+                    items[-1] = f"{items[-1]} {_plain(x.strip())}"
             out.append({"type": "list", "ordered": m[1] is not None, "items": items})
         elif IMAGE.search(line):
-            out += [{"type": "image", "src": src, "alt": cut(alt), "title": cut(title) if title else None} for alt, src, title in IMAGE.findall(line)]
+            out += [{"type": "image", "src": src, "alt": alt, "title": title if title else None} for alt, src, title in IMAGE.findall(line)]
             at += 1
         else:
             if plain := _plain(line):
-                out.append(_long(plain, type="text", text=cut(plain)))
+                out.append(dict(type="text", text=plain))
             at += 1
-    return out
+    return limited(out, most, most_text)
 
 
-def extract(df: DataFrame, key: str, text: str, kind: str = "html") -> DataFrame:
-    """A row per element: key, position and SCHEMA's fields. One Arrow pass, no shuffle."""
+def extract(df: DataFrame, key: str, text: str, kind: str = "html", most: int | None = None, most_text: int | None = None) -> DataFrame:
+    """A row per element: key, position and SCHEMA's fields. One Arrow pass, no shuffle. Whole, unless limits (a single
+    answer's are MOST_RAW and MOST_TEXT) are given."""
     make = {"html": from_html, "markdown": from_markdown}[kind]
 
     def run(batches):
         for b in batches:
-            rows = [[k, i, *(e.get("id" if f == "element_id" else f) for f in FIELDS[1:])] for k, t in zip(b[key], b[text], strict=True) for i, e in enumerate(make(t))]
+            rows = [[k, i, *(e.get("id" if f == "element_id" else f) for f in FIELDS[1:])] for k, t in zip(b[key], b[text], strict=True) for i, e in enumerate(make(t, most, most_text))]
             yield pd.DataFrame(rows, columns=[key, *FIELDS], dtype=object)
 
     return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")

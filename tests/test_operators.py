@@ -300,6 +300,16 @@ def test_html_elements(spark):
     assert len(two) == 50 and two[0].type == "heading" and two[0].omitted == 11
 
 
+def test_elements_are_whole_unless_limited(spark):
+    html = "<h2>" + "h" * 10_001 + "</h2>" + "<p>t</p>" * 1100
+    got = elements.extract(spark.createDataFrame([(1, html)], "id int, h string"), "id", "h")
+    assert got.count() == 1101 and len(got.where("position = 0").first().text) == 10_001
+    assert {r.omitted for r in elements.finalized(got, "id", 5).collect()} == {1096}
+    cut = elements.from_html(html)
+    assert len(cut) == 1000 and cut[0]["truncated"] and cut[0]["original_length"] == 10_001 and cut[0]["text"].endswith(elements.MARK)
+    assert elements.from_markdown("- " + "y" * 10_001)[0]["truncated"] and len(elements.from_markdown("a\n" * 1100, None, None)) == 1100
+
+
 def test_markdown_elements():
     md = "# H\ntext `code`\n\n- a\n- b\n  more\n\n1. x\n| a | b |\n|---|---|\n| 1 | 2 |\n![alt](s.png \"t\")\n```py\ny\n```"
     got = elements.from_markdown(md)
