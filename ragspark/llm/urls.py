@@ -8,8 +8,8 @@ blocked shares along the reversed links, so it reaches the hosts that link to bl
 blocked when its host's distrust exceeds its trust by ``threshold`` (a fully blocked seed has 1 - damping = 0.15 of
 its own), otherwise allowed.
 
-Links are the href values of the html; relative ones lead to the page's own host, and links within a host carry
-nothing. Host edges are summed before any join, the table of verdicts is written first, so the join to the pages is
+Links are the href values of the html; those with // in front lead to the host named there, other relative ones to
+the page's own host, and links within a host carry nothing. Host edges are summed before any join, the table of verdicts is written first, so the join to the pages is
 broadcast if small or split by the adaptive skew join.
 
 Defined results: a null url or one without ``://`` has an empty host and path, matches no rule and is allowed; null
@@ -49,8 +49,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, n) between different hosts; ``pages`` has host and html."""
-    target = F.explode(F.transform(F.filter(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)), lambda u: u.contains("://")), host_of))
-    links = pages.where(F.col("html").contains("://")).select(F.col("host").alias("source"), target.alias("target"))
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    # A link that starts with // takes the page's scheme, which the host does not depend on.
+    whole = F.transform(found, lambda u: F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))
+    target = F.explode(F.transform(F.filter(whole, lambda u: u.contains("://")), host_of))
+    links = pages.where(F.col("html").contains("//")).select(F.col("host").alias("source"), target.alias("target"))
     return links.where("source <> target AND source <> '' AND target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 

@@ -83,3 +83,9 @@ def test_edges_and_propagation(spark):
     by = {r.page_id: r.verdict for r in got}
     assert by[2] == "block" and by[5] == "allow" and by[9] == "allow" and by[10] == "block" and by[11] == "allow"
     assert U.judge(df.limit(0)).count() == 0
+
+
+def test_links_without_a_scheme(spark):
+    pages = [("a.test", '<a href="//Bad.org/x?y"> <a href=//b.test> <a href="/own//path">'), ("b.test", "<a href='//b.test/'>")]
+    got = U.host_edges(spark.createDataFrame(pages, "host string, html string")).collect()
+    assert order(got) == order([("a.test", "bad.org", 1), ("a.test", "b.test", 1)])
