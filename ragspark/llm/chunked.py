@@ -97,6 +97,13 @@ def bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return order, np.searchsorted(own[order], np.arange(buckets + 1))
 
 
+def distinct(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes (so in the order of their buckets), how often each is there, the index of each given one
+    among them, and where the buckets begin. A chunk asks once about a hash that many of its texts hold."""
+    values, own, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    return values, count, own, np.searchsorted(values >> K.U64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=K.U64))
+
+
 def fingerprint(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The 32 bits that follow the bucket's."""
     return (hashes >> K.U64(32 - (buckets.bit_length() - 1))).astype(np.uint32)

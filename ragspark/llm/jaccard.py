@@ -12,14 +12,18 @@ of either set, so it suffices to look at prefixes of that order:
 The number of groups follows the set size (a level per power of two); a set near the upper end of its level also
 sends its signatures for the next one, so partners of different levels meet in the larger one's.
 
-Documents with equal sets are one class. Classes that share a signature form a list; no list is expanded into all
-its pairs while its members may still prove connected: first each list's pivot is compared with its members, then
-the representatives of the components that meet in a list, and at last all pairs of a list whose components are
-still apart. Every comparison is exact on the shingle sets; the components are those of all links.
+Documents with equal sets are one class. Classes that share a signature form a list, without the classes whose
+prefix is too long for every partner there. No list is expanded into all its pairs while its members may still prove
+connected: first each list's pivot is compared with its members; then, in rounds, a list that still holds several
+components gets fresh pivots, four times as many each round, which are compared with the members of other components
+only and then leave the list. It ends when no list holds two components; the last rounds of a list that never becomes
+one compare all that its prefixes allow, so no link is lost. Every comparison is exact on the shingle sets; the
+components are those of all links. Shingles, classes and signatures are told apart by 64-bit hashes.
 
 Defined results: null or empty text, or one without words, has no shingles and links with nothing; with fewer words
-than a shingle the whole sequence is one; repeated rows are equal documents; a null key is never the smallest, and a
-component of null keys only has a null id; other columns are ignored; an empty table gives no rows.
+than a shingle the whole sequence is one; a text of any length is taken whole; repeated rows are equal documents; a
+null key is never the smallest, and a component of null keys only has a null id; keys are whole numbers (or text that
+casts to long); other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,32 +82,39 @@ def _members(batches):
 
 
 def _counted(s: Sets, buckets: int):
-    """Tokens of one text per class in bucket order, and where the buckets begin."""
+    """Where the tokens of one text per class are, and C.distinct of them."""
     at = np.flatnonzero(s.once[s.doc])
-    order, begin = C.bucket_order(s.tokens[at], buckets)
-    return at[order], begin
+    return at, *C.distinct(s.tokens[at], buckets)
 
 
 def _send_tokens(buckets: int):
+    """Payloads: the number of tokens, their fingerprints, the bits of those that several texts hold, their counts."""
+
     def run(batches):
         for chunk, off, body in C.rows_of(batches, ["chunk", "off", "body"]):
-            s = Sets(*C.unpack(off.as_py(), body.as_py()))
-            at, begin = _counted(s, buckets)
-            prints = C.fingerprint(s.tokens[at], buckets)
-            yield C.sent(chunk.as_py(), [(b, prints[i:j].tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i])
+            _, values, count, _, begin = _counted(Sets(*C.unpack(off.as_py(), body.as_py())), buckets)
+            prints, many = C.fingerprint(values, buckets), count > 1
+            parts = []
+            for b, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                if j > i:
+                    parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(many[i:j]).tobytes() + count[i:j][many[i:j]].astype("<u4").tobytes()))
+            yield C.sent(chunk.as_py(), parts)
 
     return run
 
 
 def _frequency(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
     """For each payload the bits of the tokens that others have too, then their frequencies: 8 * log2, in a byte."""
-    sizes = [len(p) // 4 for p in payloads]
-    prints = np.concatenate([np.frombuffer(p, "<u4") for p in payloads])
+    sizes = [int(np.frombuffer(p, "<u4", 1)[0]) for p in payloads]
+    prints = np.concatenate([np.frombuffer(p, "<u4", n, 4) for p, n in zip(payloads, sizes, strict=True)])
+    weight = np.ones(len(prints), np.int64)
+    many = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, -(-n // 8), 4 + 4 * n), count=n) for p, n in zip(payloads, sizes, strict=True)]).astype(bool)
+    weight[many] = np.concatenate([np.frombuffer(p, "<u4", offset=4 + 4 * n + -(-n // 8)) for p, n in zip(payloads, sizes, strict=True)])
     order = np.argsort(prints)
     head = np.flatnonzero(np.concatenate(([True], prints[order][1:] != prints[order][:-1])))
-    count = np.diff(np.append(head, len(prints)))
+    count = np.add.reduceat(weight[order], head)
     scale = np.zeros(len(prints), np.uint8)
-    scale[order] = np.repeat(np.minimum(255, 8 * np.log2(count)).astype(np.uint8), count)
+    scale[order] = np.repeat(np.minimum(255, 8 * np.log2(count)).astype(np.uint8), np.diff(np.append(head, len(prints))))
     at = np.cumsum([0, *sizes])
     return [np.packbits(own > 0).tobytes() + own[own > 0].tobytes() if (own := scale[i:j]).any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
@@ -145,23 +156,25 @@ def signatures(tokens: np.ndarray, scale: np.ndarray, percent: int = PERCENT, ra
     return np.concatenate(out), np.concatenate(cost)
 
 
-def _send_signatures(token_buckets: int, buckets: int):
+def _send_signatures(token_buckets: int, buckets: int, percent: int):
     def run(batches):
         for chunk, off, body, known in C.rows_of(batches, ["chunk", "off", "body", "known"]):
             if not (known := C.payloads(known)):
                 continue
             s = Sets(*C.unpack(off.as_py(), body.as_py()))
-            at, begin = _counted(s, token_buckets)
-            scale = np.zeros(len(s.tokens), np.uint8)
+            at, values, _, own, begin = _counted(s, token_buckets)
+            told = np.zeros(len(values), np.uint8)
             for b, p in known.items():
-                own = at[begin[b] : begin[b + 1]]
-                bits = -(-len(own) // 8)
-                scale[own[np.unpackbits(np.frombuffer(p, np.uint8, bits), count=len(own)).astype(bool)]] = np.frombuffer(p, np.uint8, offset=bits)
+                i, n = int(begin[b]), int(begin[b + 1] - begin[b])
+                bits = -(-n // 8)
+                told[i + np.flatnonzero(np.unpackbits(np.frombuffer(p, np.uint8, bits), count=n))] = np.frombuffer(p, np.uint8, offset=bits)
+            scale = np.zeros(len(s.tokens), np.uint8)
+            scale[at] = told[own]
             shared = np.add.reduceat(scale > 0, np.minimum(s.first[:-1], len(scale) - 1)) * (s.size > 0) if len(scale) else np.zeros(len(s.size))
             made, costs, owner = [], [], []
             for d in np.flatnonzero(s.once & (shared > 0)).tolist():
                 i, j = s.first[d], s.first[d + 1]
-                own, cost = signatures(s.tokens[i:j], scale[i:j])
+                own, cost = signatures(s.tokens[i:j], scale[i:j], percent)
                 made.append(own)
                 costs.append(cost)
                 owner.append(np.full(len(own), d))
@@ -179,28 +192,34 @@ def _send_signatures(token_buckets: int, buckets: int):
 LISTS = "list long, cls long, size int, cost int, pivot long, pivot_size int, pivot_cost int"
 
 
-def _lists(batches):
+def _lists(percent: int):
     """Rows of LISTS for the lists with two classes or more; equal lists of a bucket once, with their least costs."""
-    now, held = None, []
-    for bucket, payload in C.rows_of(batches, ["bucket", "payload"]):
-        bucket = bucket.as_py()
-        if bucket != now and held:
-            yield from _listed(held)
-            held = []
-        now = bucket
-        held.append(payload.as_py())
-    if held:
-        yield from _listed(held)
-
-
-def _listed(held: list[bytes]):
+
+    def run(batches):
+        now, held = None, []
+        for bucket, payload in C.rows_of(batches, ["bucket", "payload"]):
+            bucket = bucket.as_py()
+            if bucket != now and held:
+                yield from _listed(held, percent)
+                held = []
+            now = bucket
+            held.append(payload.as_py())
+        if held:
+            yield from _listed(held, percent)
+
+    return run
+
+
+def _listed(held: list[bytes], percent: int):
     sizes = [len(p) // 24 for p in held]
     part = lambda kind, skip: np.concatenate([np.frombuffer(p, kind, n, skip * n) for p, n in zip(held, sizes, strict=True)])
     sig, cls, size, cost = part("<u8", 0), part("<i8", 8), part("<u4", 16), part("<u4", 20)
     order = np.lexsort((cost, cls, sig))
     sig, cls, size, cost = sig[order], cls[order], size[order], cost[order]
     keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])))
-    sig, cls, size, cost = sig[keep], cls[keep], size[keep], cost[keep]
+    sig, cls, size, cost = _alive(sig[keep], cls[keep], size[keep].astype(np.int64), cost[keep].astype(np.int64), percent)
+    if not len(sig):
+        return
     head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     count = np.diff(np.append(head, len(sig)))
     name = np.add.reduceat(K.mix(cls.view(K.U64) ^ K._M1), head)
@@ -213,11 +232,38 @@ def _listed(held: list[bytes]):
     out = np.zeros(len(head), bool)
     out[chosen] = True
     every = np.repeat(out & (count > 1), count)
-    pivot = np.repeat(head, count)
+    pivot = np.repeat(_cheapest(least, head), count)
     rows = (np.repeat(name.view(np.int64), count), cls, size.astype(np.int32), least.astype(np.int32), cls[pivot], size[pivot].astype(np.int32), least[pivot].astype(np.int32))
     yield pa.RecordBatch.from_arrays([pa.array(x[every]) for x in rows], names=[f.split()[0] for f in LISTS.split(", ")])
 
 
+def _alive(sig, cls, size, cost, percent: int):
+    """The entries, sorted by list and class, without those whose prefix no partner in their list is short enough
+    for: a class of ``size`` may lack ``cost`` - 1 tokens beside one of ``most`` tokens at most."""
+    while len(sig):
+        most = (100 + percent) * (size + 1 - cost) // percent - size
+        order = np.lexsort((size, sig))
+        same = np.cumsum(np.concatenate(([0], sig[order][1:] != sig[order][:-1])))
+        span = int(max(size.max(), most.max()) - min(0, most.min())) + 2
+        # In the order of sizes within a list: the largest bound among the partners small enough for this entry.
+        bound = np.maximum.accumulate(same * span + most[order])
+        at = np.searchsorted(same * span + size[order], same * span + np.minimum(most[order], span - 1), "right") - 1
+        fits = (at >= 0) & (same[at] == same) & (bound[at] - same * span >= size[order])
+        fits &= np.bincount(same)[same] > 1
+        if fits.all():
+            return sig, cls, size, cost
+        live = np.sort(order[fits])
+        sig, cls, size, cost = sig[live], cls[live], size[live], cost[live]
+    return sig, cls, size, cost
+
+
+def _cheapest(cost: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The first of the entries with the least cost in each list."""
+    low = np.repeat(np.minimum.reduceat(cost, head), np.diff(np.append(head, len(cost))))
+    at = np.flatnonzero(cost == low)
+    return at[np.searchsorted(at, head)]
+
+
 def _may_link(percent: int) -> str:
     """Whether a shared signature lies in the prefixes that this pair needs: a cost is at most what a set may lack."""
     both = f"ceil({percent} * (sa + sb) / {100 + percent}.0)"
@@ -307,8 +353,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     token_buckets, buckets = chunks.buckets(6 << 20), chunks.buckets(32 << 20)
     tokens = chunks.table.select("chunk", "off", "body").mapInArrow(_send_tokens(token_buckets), C.SENT)
     known = save(C.meet(tokens, parts, _frequency), "frequency")
-    sent = C.joined(chunks, known=known).select("chunk", "off", "body", "known").mapInArrow(_send_signatures(token_buckets, buckets), C.SENT)
-    lists = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, LISTS)
+    sent = C.joined(chunks, known=known).select("chunk", "off", "body", "known").mapInArrow(_send_signatures(token_buckets, buckets, percent), C.SENT)
+    lists = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(percent), LISTS)
     same = [F.first(c).alias(c) for c in ("size", "pivot", "pivot_size")] + [F.min(c).alias(c) for c in ("cost", "pivot_cost")]
     lists = save(lists.groupBy("list", "cls").agg(*same), "lists")
     near = _may_link(percent)
@@ -318,34 +364,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 
     # 1. Each list's pivot against its members.
     star = lists.where("cls <> pivot").selectExpr("pivot AS a", "cls AS b", "pivot_size AS sa", "size AS sb", "pivot_cost AS ka", "cost AS kb")
-    tested = save(star.where(near).select("a", "b").distinct(), "tested")
+    tested = save(star.where(near).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), "tested")
     comp = save(components(links(tested, texts, parts, percent)), "components")
 
-    def apart():
-        """The lists whose classes are not in one component, with the components."""
-        named = lists.join(comp, "cls", "left").select("list", "cls", "size", "cost", F.coalesce("comp", "cls").alias("comp"))
-        named = save(named, "named")
+    # 2. Fresh pivots for the lists whose classes are not in one component, until there are none.
+    left, n = lists.select("list", "cls", "size", "cost"), 1
+    while True:
+        named = save(left.join(comp, "cls", "left").select("list", "cls", "size", "cost", F.coalesce("comp", "cls").alias("comp")), "named")
         mixed = named.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
-        return save(named.join(mixed, "list"), "mixed")
-
-    # 2. The representatives of the components that meet in a list, against the first one's.
-    mixed = apart()
-    faces = mixed.groupBy("list", "comp").agg(F.min_by(F.struct("cls", "size", "cost"), F.struct("cost", F.xxhash64("cls"))).alias("f"))
-    faces = save(faces, "faces")
-    lead = faces.groupBy("list").agg(F.min_by("f", "comp").alias("g"))
-    pairs = faces.join(lead, "list").selectExpr("least(f.cls, g.cls) AS a", "greatest(f.cls, g.cls) AS b", "f.size AS sa", "g.size AS sb", "f.cost AS ka", "g.cost AS kb").where("a <> b").where(near).select("a", "b").distinct()
-    pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        comp = merged(comp, links(pairs, texts, parts, percent))
-        tested = tested.unionByName(pairs)
-        mixed = apart()
-
-    # 3. All pairs whose components are still apart.
-    one, two = (mixed.select("list", F.col("cls").alias(c), F.col("size").alias(f"s{c}"), F.col("cost").alias(f"k{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
-    pairs = one.join(two, "list").where("a < b AND ca <> cb").where(near).select("a", "b").distinct()
-    pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        comp = merged(comp, links(pairs, texts, parts, percent))
+        left = save(named.join(mixed, "list", "left_semi"), "left")
+        if left.isEmpty():
+            break
+        pivots = left.groupBy("list", F.pmod(F.xxhash64("cls"), F.lit(n)).alias("part")).agg(F.min_by(F.struct("cls", "size", "cost", "comp"), F.struct("cost", F.xxhash64("cls", F.lit(n)))).alias("p"))
+        pivots = save(pivots.selectExpr("list", "p.cls AS pivot", "p.size AS sa", "p.cost AS ka", "p.comp AS own"), "pivots")
+        met = pivots.join(left.selectExpr("list", "cls", "size AS sb", "cost AS kb", "comp"), "list").where("own <> comp AND pivot <> cls").where(near)
+        pairs = met.selectExpr("least(pivot, cls) AS a", "greatest(pivot, cls) AS b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
+        if not pairs.isEmpty():
+            comp = merged(comp, links(pairs, texts, parts, percent))
+            tested = tested.unionByName(pairs)
+        left, n = left.drop("comp").join(pivots.select("list", F.col("pivot").alias("cls")), ["list", "cls"], "left_anti"), 4 * n
 
     lowest = members.groupBy("cls").agg(F.min("key").alias("low")).join(comp, "cls", "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
     lowest = save(lowest, "lowest")

@@ -113,3 +113,36 @@ def test_components(spark):
             comp[hi] = lo
     got = {r.cls: r.comp for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(comp)}
+
+
+def test_many_near_copies_are_not_compared_in_pairs(spark, monkeypatch):
+    """Two thousand near copies of a few texts that share a long passage: the same components with few comparisons."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    bases = [[f"b{k}w{i}" for i in range(35)] for k in range(4)]
+    rows = []
+    for i in range(2000):
+        words = list(bases[i % 4]) + passage
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            words[rng.randrange(len(words))] = f"x{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    compared = []
+    links = J.links
+    monkeypatch.setattr(J, "links", lambda pairs, *a: compared.append(pairs.count()) or links(pairs, *a))
+    got = digest(J.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == order(brute(rows))
+    assert len({c for _, _, c in got}) >= 4
+    assert 0 < sum(compared) < 20 * len(rows)
+
+
+def test_equal_tokens_of_a_chunk_are_sent_once():
+    """A shingle that every text holds costs a chunk four bytes and a count, however many texts there are."""
+    texts = [f"a b c d e own{i}" for i in range(500)]
+    data = "".join(texts).encode()
+    off = np.cumsum([0, *map(len, texts)]).astype("<i8")
+    row = J.pa.RecordBatch.from_arrays([J.pa.array([7], J.pa.int64()), J.pa.array([off.tobytes()]), J.pa.array([J.zstandard.compress(data)])], names=["chunk", "off", "body"])
+    (sent,) = J._send_tokens(16)([row])
+    payloads = sent.column(2).to_pylist()
+    assert sum(int(np.frombuffer(p, "<u4", 1)[0]) for p in payloads) == 501
+    both = J._frequency(0, [payloads[0], payloads[0]])
+    assert both[0] is not None and both[0] == both[1]
