@@ -2,13 +2,13 @@
 
 1. language: documents whose language is not identified go;
 2. near_copies: of each component of near copies (five-word shingles, Jaccard 0.75 or more) one document stays, that
-   with the smallest id (of repeated rows with that id, the first by text);
+   with the smallest id, null last (of rows that share it, the first by their texts' hash);
 3. decontaminate: documents contaminated with benchmark passages go;
 4. secrets: every document stays, its secrets are cut out of the text;
 5. packing: the texts become sequences of at most 1024 tokens, a row per piece.
 
-Stages 1 to 4 return the columns of ``documents``. Rows that share an id are taken as one document, of which the
-first by text stays; rows with a null id cannot be named as copies, so the second stage keeps them.
+Stages 1 to 4 return the columns of ``documents``. Rows are documents of their own, even where they share an id or have
+none: only copies go. Null and empty texts are no copies of each other, texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ragspark.llm import decontaminate, jaccard, language, packing, secrets
 from ragspark.llm.queries import table, tokenizer_path
@@ -50,16 +49,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The component's smallest id names the document that stays, so one narrow join decides."""
-    named = save(jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    # A merge join at every size: it is the same plan for ten thousand ids and for ten billion.
-    kept = docs.join(named.hint("merge"), "doc_id", "left_semi")
-    twice = save(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if not twice.isEmpty():
-        n = fresh(docs.columns, "n_")
-        again = kept.join(twice, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n) == 1)
-        kept = kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Where ids are unique, a component's smallest id names the document that stays, so one narrow join decides.
+    Where some are not, the rows are numbered first, and the numbers take the ids' part."""
+    shared = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        named = save(jaccard.join(docs).where("doc_id = component_id").select("doc_id"), "kept")
+        # A merge join at every size: it is the same plan for ten thousand ids and for ten billion.
+        return docs.join(named.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    row = fresh(docs.columns, "row_")
+    own = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    component = jaccard.join(own, key=row).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    ids = own.select(row, "doc_id", "text").join(component, row).groupBy("component_id").agg(F.min(order).alias("first"))
+    named = save(ids.select(F.col(f"first.{row}").alias(row)), "kept")
+    return own.join(named.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 @stage
