@@ -35,6 +35,40 @@ def shortened(a: Column, dims: int) -> Column:
     return unit(F.slice(a, 1, dims))
 
 
+#: What marks a query as code (fixed values): anywhere in it, or at its start in lower case.
+CODE_MARKS = ["{", "}", ";", "(", ")", "=", "def ", "class ", "function ", "const ", "let ", "var ", "import ", "from ", "#include"]
+
+
+def query_prompt(text: Column) -> Column:
+    """A query as the embedding model wants it, with its task."""
+    code = F.lit(False)
+    for mark in CODE_MARKS:
+        code = code | text.contains(mark) | F.lower(text).startswith(mark.strip())
+    return F.concat(F.lit("task: "), F.when(code, "code retrieval").otherwise("search result"), F.lit(" | query: "), text)
+
+
+def document_prompt(text: Column, title: Column | None = None) -> Column:
+    """A document as the embedding model wants it; without a title it is none."""
+    return F.concat(F.lit("title: "), F.lit("none") if title is None else F.coalesce(title, F.lit("none")), F.lit(" | text: "), text)
+
+
+def packed(a: Column) -> Column:
+    """32-bit little-endian floats as base64, by Arrow batches: Spark has no bytes of a float."""
+    import numpy as np
+
+    return F.base64(F.pandas_udf(lambda s: s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes()), "binary", F.PandasUDFType.SCALAR)(a))
+
+
+def unpacked(text: Column) -> Column:
+    """The floats of ``packed``; null for what is no whole number of them."""
+    import numpy as np
+
+    def read(b):
+        return None if b is None or len(b) % 4 else np.frombuffer(b, "<f4")
+
+    return F.pandas_udf(lambda s: s.map(read), "array<float>", F.PandasUDFType.SCALAR)(F.try_to_binary(text, F.lit("base64")))
+
+
 def finite(a: Column) -> Column:
     """Non-empty, without nulls and non-finite elements."""
     return (F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

@@ -166,6 +166,17 @@ def rank_of(kind: Column, level: Column) -> Column:
     return out
 
 
+def merged(elements: DataFrame, page: str, group: str, most: int = MOST) -> DataFrame:
+    """The elements of several pages (position within each) as one document per ``group``: truncated texts go and count
+    as omitted, the others are cut to the ``most`` best in the order of pages and positions."""
+    cut = (F.col("type") == "text") & F.coalesce(F.col("truncated"), F.lit(False))
+    lost = elements.groupBy(group).agg(F.count_if(cut).alias("_lost"))
+    rank = rank_of(F.col("type"), F.coalesce("level", F.lit(0)))
+    w = Window.partitionBy(group)
+    df = elements.where(~cut).withColumn("_n", F.row_number().over(w.orderBy(F.desc(rank), page, "position"))).withColumn("_over", F.greatest(F.count("*").over(w) - most, F.lit(0)))
+    return df.where(F.col("_n") <= most).join(lost, group).withColumn("omitted", F.col("_over") + F.col("_lost")).drop("_n", "_over", "_lost")
+
+
 def finalized(elements: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """The ``most`` highest-ranked elements of each key in document order, with ``omitted``."""
     rank = rank_of(F.col("type"), F.coalesce("level", F.lit(0)))

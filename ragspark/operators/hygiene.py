@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ragspark.functions.text import trimmed
+from ragspark.functions.vectors import let
 
 #: Phrases of consent banners (fixed values), matched without regard to case.
 BANNER_EXACT = [
@@ -35,15 +35,19 @@ LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 
 def banner_ratio(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lines, banner_lines, ratio): exact lines, and the other lines of runs of three or more keyword lines
-    that hold a button word. Blank lines do not count. Runs are found per page as gaps and islands."""
-    each = pages.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).where(trimmed(F.col("line")) != "")
-    each = each.select(key, "at", F.col("line").rlike("(?i)" + "|".join(BANNER_EXACT)).alias("exact"), F.col("line").rlike(BANNER_WORDS).alias("word"), F.col("line").rlike(BANNER_BUTTONS).alias("button"))
-    each = each.withColumn("word", F.col("word") | F.col("exact"))
-    w = Window.partitionBy(key).orderBy("at")
-    island = each.withColumn("island", F.row_number().over(w) - F.sum(F.col("word").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = island.groupBy(key, "island", "word").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"), F.bool_or("button").alias("button"))
-    hit = F.when(F.col("word"), F.when((F.col("n") >= 3) & F.col("button"), F.col("n")).otherwise(F.col("exact"))).otherwise(0)
-    out = run.groupBy(key).agg(F.sum("n").alias("lines"), F.sum(hit).alias("banner_lines"))
+    that hold a button word. Blank lines do not count. One fold over each page's own lines, without a shuffle; pages
+    without lines have no row."""
+    exact = lambda x: x.rlike("(?i)" + "|".join(BANNER_EXACT))
+    flags = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S")), lambda x: F.struct(exact(x).alias("exact"), x.rlike(BANNER_WORDS).alias("word"), x.rlike(BANNER_BUTTONS).alias("button")))
+    zero = F.struct(F.lit(0).alias("done"), F.lit(0).alias("n"), F.lit(0).alias("exact"), F.lit(False).alias("button"))
+    total = lambda a: a["done"] + F.when((a["n"] >= 3) & a["button"], a["n"]).otherwise(a["exact"])
+
+    def step(a: Column, x: Column) -> Column:
+        more = F.struct(a["done"].alias("done"), (a["n"] + 1).alias("n"), (a["exact"] + x["exact"].cast("int")).alias("exact"), (a["button"] | x["button"]).alias("button"))
+        return F.when(x["exact"] | x["word"], more).otherwise(F.struct(total(a).alias("done"), F.lit(0).alias("n"), F.lit(0).alias("exact"), F.lit(False).alias("button")))
+
+    found = let(flags, lambda f: F.struct(F.size(f).cast("long").alias("lines"), F.aggregate(f, zero, step, total).cast("long").alias("banner_lines")))
+    out = pages.select(key, found.alias("_b")).where("_b.lines > 0").select(key, "_b.lines", "_b.banner_lines")
     return out.withColumn("ratio", F.col("banner_lines") / F.col("lines"))
 
 
@@ -54,12 +58,8 @@ def quality(text: Column) -> Column:
     return F.when(plain == "", "empty").when(plain.rlike(PLACEHOLDERS), "placeholder").when((F.length(plain) < 40) & ~F.coalesce(shaped, F.lit(False)), "little").otherwise("meaningful")
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(trimmed(text), "\n"), lambda x: trimmed(x) != "")
-
-
 def _words(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(F.split(trimmed(x), r"\s+")))
+    return F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))))
 
 
 def link_chars(text: Column) -> Column:
@@ -67,6 +67,7 @@ def link_chars(text: Column) -> Column:
 
 
 def is_list_line(line: Column) -> Column:
+    """A dash, star or plus, or a number with a dot, then a space."""
     return line.rlike(r"^\s*[-*+]\s|^\s*\d+\.\s")
 
 
@@ -80,20 +81,29 @@ def is_pure_link(line: Column) -> Column:
     return (F.length(plain) > 0) & (F.length(F.regexp_extract(plain, f"({LINK})", 1)) / F.greatest(F.length(plain), F.lit(1)) > 0.8)
 
 
-def line_stats(text: Column) -> Column:
-    """Struct of the densities that the boilerplate rules use; divisions by zero give null."""
-    plain, lines = trimmed(F.coalesce(text, F.lit(""))), _lines(F.coalesce(text, F.lit("")))
-    n = F.nullif(F.size(lines), F.lit(0))
-    return F.struct(
-        F.size(lines).alias("lines"),
-        (link_chars(plain) / F.nullif(F.length(plain), F.lit(0))).alias("link_density"),
-        (F.size(F.filter(lines, is_list_line)) / n).alias("list_density"),
-        (F.size(F.filter(lines, lambda x: F.length(x) < 40)) / n).alias("short_density"),
-        (_words(lines) / n).alias("words_per_line"),
-        (F.size(F.filter(lines, is_breadcrumb)) / n).alias("breadcrumb_density"),
-        (F.size(F.filter(lines, is_pure_link)) / n).alias("pure_link_density"),
-        plain.contains("```").alias("code"),
-    )
+def line_stats(text: Column, context: bool = False) -> Column:
+    """Struct of the densities that the boilerplate rules use; divisions by zero give null. With ``context`` those of
+    breadcrumbs and of lines that are links only, too. Text and lines are made once and gone through once."""
+
+    def count(test) -> Column:
+        return lambda lines: F.size(F.filter(lines, test))
+
+    def stats(p: Column) -> Column:
+        plain, lines, n = p["plain"], p["lines"], F.nullif(F.size(p["lines"]), F.lit(0))
+        links = lambda x: x.contains("](")  # noqa: E731  so that most lines need no search
+        more = [(count(lambda x: links(x) & is_breadcrumb(x))(lines) / n).alias("breadcrumb_density"), (count(lambda x: links(x) & is_pure_link(x))(lines) / n).alias("pure_link_density")] if context else []
+        return F.struct(
+            F.size(lines).alias("lines"),
+            (F.when(links(plain), link_chars(plain)).otherwise(F.lit(0)) / F.nullif(F.length(plain), F.lit(0))).alias("link_density"),
+            (count(is_list_line)(lines) / n).alias("list_density"),
+            (count(lambda x: F.length(x) < 40)(lines) / n).alias("short_density"),
+            (_words(lines) / n).alias("words_per_line"),
+            *more,
+            plain.contains("```").alias("code"),
+        )
+
+    plain = trimmed(F.coalesce(text, F.lit("")))
+    return let(plain, lambda t: let(F.struct(t.alias("plain"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\S")).alias("lines")), stats))
 
 
 def is_boilerplate(s: Column) -> Column:

@@ -41,7 +41,8 @@ class Node:
         return next(self.select(selector), None)
 
     def select(self, selector: str) -> Iterator[Node]:
-        """A subset of CSS: tag, .class, #id, [attr], [attr=value], joined, with spaces for descent and commas."""
+        """A subset of CSS: tag, .class, #id, [attr], [attr=value] (also ^=, $=, *=), joined, with spaces for descent and
+        commas."""
         ways = [[_simple(s) for s in way.split()] for way in selector.split(",")]
         for n in self.walk():
             if any(_fits(n, way) for way in ways):
@@ -51,13 +52,14 @@ class Node:
 def _simple(text: str):
     tag = re.match(r"[A-Za-z][\w-]*|\*?", text)[0].lower()
     tests = []
-    for kind, name, attr, value in re.findall(r"([.#])([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", text):
+    for kind, name, attr, op, value in re.findall(r"([.#])([\w-]+)|\[([\w-]+)(?:([\^$*]?=)[\"']?([^\"'\]]*)[\"']?)?\]", text):
         if kind == ".":
             tests.append(lambda n, c=name: c in (n.attrs.get("class") or "").split())
         elif kind == "#":
             tests.append(lambda n, c=name: n.attrs.get("id") == c)
-        elif "=" in text[text.index(f"[{attr}") :].split("]")[0]:
-            tests.append(lambda n, a=attr, v=value: n.attrs.get(a) == v)
+        elif op:
+            test = {"=": str.__eq__, "^=": str.startswith, "$=": str.endswith, "*=": str.__contains__}[op]
+            tests.append(lambda n, a=attr, v=value, t=test: t(n.attrs.get(a) or "", v) and a in n.attrs)
         else:
             tests.append(lambda n, a=attr: a in n.attrs)
     return lambda n: (tag in ("", "*") or n.tag == tag) and all(t(n) for t in tests)

@@ -5,27 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again, so its lineage ends here; where that
-    is unset and Spark runs in one process, in a new folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, a new one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, so its lineage ends here."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, to be broadcast if it has ``most`` rows at most; a larger one is joined as the planner likes."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
     """``df`` with the rows' numbers from 0 in ``order``, which must be unique: sorted ranges, each counting on from
     those before it. They are saved first, as another run could draw the ranges elsewhere."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())

@@ -103,7 +103,7 @@ def recall_at_5(spark, sf):
     """The share of benchmark items whose first 40 characters stand in one of their five best documents."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     best = lexical.top(lexical.bm25(docs, items, query_text="item"), 5, "query_id")
-    hit = best.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(items), "query_id").groupBy("query_id").agg(F.max(F.col("text").contains(F.substring("item", 1, 40)).cast("int")).alias("hit"))
+    hit = best.join(docs.select("doc_id", "text"), "doc_id").join(items, "query_id").groupBy("query_id").agg(F.max(F.col("text").contains(F.substring("item", 1, 40)).cast("int")).alias("hit"))
     return items.join(hit, "query_id", "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
@@ -202,7 +202,7 @@ def hybrid_topk(spark, sf):
 
 @query(WHOLE + "SELECT count(vector_score) AS vector, count(lexical_score) AS lexical, count(*) AS fused FROM g")
 def hybrid_trace(spark, sf):
-    return retrieve.trace(hybrid(spark, sf))
+    return retrieve.trace(retrieve.merged(*lists(spark, sf), "doc_id"))
 
 
 @query(WHOLE + "SELECT doc_id, fused_score, rank FROM g WHERE rank <= 20")
@@ -244,7 +244,7 @@ def rrf_last_wins(spark, sf):
 
 @query(WHOLE + ", c AS (SELECT doc_id, coalesce(lexical_score, 0) AS s FROM g) SELECT doc_id, round(s, 6) AS raw, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 6) AS normalized, round(min(s) OVER (), 6) AS corpus_min, round(max(s) OVER (), 6) AS corpus_max, round(median(s) OVER (), 6) AS median FROM c")
 def score_stats(spark, sf):
-    d = retrieve.score_stats(hybrid(spark, sf), "lexical_score")
+    d = retrieve.score_stats(retrieve.merged(*lists(spark, sf), "doc_id"), "lexical_score")
     return d.select("doc_id", *[F.round(F.col(f"lexical_score_detail.{c}"), 6).alias(c) for c in ("raw", "normalized", "corpus_min", "corpus_max", "median")])
 
 
@@ -366,15 +366,17 @@ def lru_evict(spark, sf):
     return dedup.evict(c, 1_706_745_600_000, 31 * 86_400_000).select("corpus_id")
 
 
-@query("SELECT sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS content_hash FROM documents")
+@query("WITH e AS (SELECT doc_id AS n, sha256(text) AS h FROM documents), a AS (SELECT n // 1000 AS b, sha256(string_agg(h, chr(10) ORDER BY n)) AS h FROM e GROUP BY 1), c AS (SELECT b // 1000 AS c, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM a GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY c)) AS content_hash FROM c")
 def content_hash(spark, sf):
     return retrieve.content_hash(table(spark, sf, "documents"), "text", "doc_id")
 
 
-@query("SELECT doc_id, sha256(concat_ws('|', 'document', source, lang, '64', '400', '50')) AS corpus_id FROM documents")
+@query("""SELECT doc_id, sha256('{"lang":"' || lang || '","source":"' || source || '"}|model|64|{"overlap":50,"size":400}') AS corpus_id FROM documents""")
 def corpus_id(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.sha2(F.concat_ws("|", F.lit("document"), "source", "lang", F.lit("64"), F.lit("400"), F.lit("50")), 256).alias("corpus_id"))
+    from ragspark.sources import store
+
+    source = F.to_json(F.struct("lang", "source"))
+    return table(spark, sf, "documents").select("doc_id", store.corpus_key(source, "model", 64, size=400, overlap=50).alias("corpus_id"))
 
 
 # --- hygiene ---------------------------------------------------------------------------------------------------------
@@ -629,13 +631,12 @@ def json_props(spark, sf):
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark, sf):
     """The events as a stream over the file, counted per day and type."""
+    from ragspark.operators.tables import folder
     from ragspark.streaming import events
-    import tempfile
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
     shape = table(spark, sf, "events").schema
     stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = events.run_available(events.counts(stream, "event_type"), folder)
+    out = events.run_available(events.counts(stream, "event_type"), folder(spark))
     return out.select(F.unix_micros("start").alias("start"), "event_type", "n")
 
 

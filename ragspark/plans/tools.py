@@ -18,7 +18,7 @@ from ragspark.functions import text as T
 from ragspark.functions import urls as U
 from ragspark.operators import chunking, fusion, hygiene, lexical, listings, markup, retrieve, threads
 from ragspark.operators.dedup import dedup_papers, keep_first, prefix_budget
-from ragspark.operators.tables import numbered
+from ragspark.operators.tables import numbered, saved
 from ragspark.sources import records, web
 
 WEB_WEIGHTS = {"rrfAnchor": 0.6, "recency": 0.25, "hasDeepLinks": 0.15}
@@ -43,10 +43,13 @@ def _best(scored: DataFrame, limit: int, *ties: str) -> DataFrame:
 
 
 def web_search(parts: dict[str, DataFrame], as_of: str, limit: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
-    """Backends' results (raw answers by backend name, None for one that failed), fused by URL and rescored by
-    recency and deep links."""
+    """Backends' raw answers by backend name (None for one that failed), fused and rescored."""
+    return web_results({n: records.normalize(d, n) for n, d in parts.items() if d is not None}, as_of, limit, weights)
+
+
+def web_results(rows: dict[str, DataFrame], as_of: str, limit: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+    """Backends' results (title, url, position, ...), fused by URL and rescored by recency and deep links."""
     bounded("limit", limit, 1, 50)
-    rows = {n: records.normalize(d, n) for n, d in parts.items() if d is not None}
     flat = _union({n: d.withColumn("deep_links", F.transform("deep_links", lambda x: x["url"])) for n, d in rows.items()}, ["title", "url", "domain", "description", "age", "extra_snippet", "deep_links"])
     fused = fusion.rrf(flat.withColumn("key", U.normalized(F.col("url"))))
     items = fusion.web_signals(fused.select("rrf_score", "first_ranking", "first_rank", "payload.*").drop("position", "ranking"), as_of)
@@ -131,12 +134,12 @@ def semantic_search(
     bounded("top_k", top_k, 1, 50)
     spark = chunks.sparkSession
     own = retrieve.profile(profile)
-    chunks = chunks.persist()  # used by both lists, the filters and the result; lost blocks are computed again
-    vectors = chunks.select("position", embedder(F.col("text")).alias("vector")).persist()
+    chunks = saved(chunks, "chunks")  # used by both lists, the filters and the result
+    vectors = saved(chunks.select("position", embedder(F.col("text")).alias("vector")), "vectors")
     mine = spark.createDataFrame([(query,)], "text string").select(embedder(F.col("text")).alias("v")).collect()[0]["v"]
     words = lexical.bm25(chunks, spark.createDataFrame([(0, query)], "query_id int, text string"), "position").select("position", F.col("score").alias("lexical_score")).where("lexical_score > 0")
     limits = {"pool_vectors": max(3 * top_k, 30), "pool_words": top_k} if pools else {}
-    fused = retrieve.fuse(retrieve.vector_list(vectors, mine), words, rrf_k=own.rrf_k, **limits)
+    fused = saved(retrieve.fuse(retrieve.vector_list(vectors, mine), words, rrf_k=own.rrf_k, **limits), "fused")
     scored = retrieve.score_stats(fused, "vector_score", "lexical_score", "fused_score").join(chunks, "position").join(vectors, "position")
     near = retrieve.coherent(scored, hygiene.is_borderline(hygiene.line_stats(F.col("text"))))
     kept, warned = lexical.soft_constraint(near, chunks, query)
@@ -147,6 +150,23 @@ def semantic_search(
     return kept.orderBy("rank").limit(top_k), counts
 
 
+def search_then_crawl(results: DataFrame, pages: DataFrame, most_seeds: int = 10, most_pages: int = 50) -> DataFrame:
+    """The pages of a crawl table that the best safe results (position, url) of a search lead to, each page once."""
+    seeds = results.where((F.col("url") != "") & U.is_safe(F.col("url"))).orderBy("position").limit(bounded("most_seeds", most_seeds, 1, 50))
+    first = seeds.groupBy(U.normalized(F.col("url")).alias("_key")).agg(F.min("position").alias("seed_position"))
+    met = pages.withColumn("_key", U.normalized(F.col("url"))).join(first, "_key").drop("_key")
+    return keep_first(met, U.normalized(F.col("url")), "page_id").orderBy("seed_position").limit(bounded("most_pages", most_pages, 1, 1000))
+
+
+def status_counts(listings_: DataFrame) -> DataFrame:
+    """One row: listings found, fetched, only in search results, of aggregators, to be checked by hand, without pay."""
+    is_ = lambda s: F.count_if(F.col("verification_status") == s)
+    return listings_.agg(
+        F.count("*").alias("listings"), is_("listing_page_fetched").alias("fetched"), is_("search_result_only").alias("search_only"),
+        is_("aggregator_result").alias("aggregator"), is_("needs_manual_check").alias("manual"), F.count_if(F.col("salary_raw").isNull()).alias("without_pay"),
+    )
+
+
 def semantic_crawl(pages: DataFrame, query: str, **options) -> tuple[DataFrame, dict]:
     """Pages (page_id, url, text) to the best chunks."""
     chunks = page_corpus(pages)
@@ -184,7 +204,7 @@ def semantic_reddit(comments: DataFrame, query: str, budget: int | None = None,
 
 # --- job listings ----------------------------------------------------------------------------------------------------
 
-#: Pay, in the order in which patterns are tried; caveats and post dates (fixed values).
+#: Pay, in the order in which patterns are tried; caveats, post dates, work modes and field selectors (fixed values).
 SALARY = [
     r"\$\d+(?:,\d{3})*(?:\.\d+)?\s*[–-]\s*\$?\d+(?:,\d{3})*(?:\.\d+)?\s*/\s*hr",
     r"\$\d+(?:,\d{3})*(?:\.\d+)?\s*[–-]\s*\$?\d+(?:,\d{3})*(?:\.\d+)?\s*a\s*year",

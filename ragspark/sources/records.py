@@ -264,6 +264,65 @@ def is_binary(content: Column, path: Column) -> Column:
     return F.contains(content, F.lit(b"\x00")) | F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "jar", "class", "exe", "dll", "so", "woff", "woff2", "ttf", "mp3", "mp4", "wasm")
 
 
+#: Languages by the last part of a file's name (fixed values).
+LANGUAGES = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "rb": "ruby", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin",
+    "swift": "swift", "cs": "csharp", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp", "css": "css", "scss": "scss", "html": "html", "xml": "xml", "json": "json", "yaml": "yaml",
+    "yml": "yaml", "md": "markdown", "sql": "sql", "sh": "bash", "bash": "bash", "zsh": "bash", "dockerfile": "dockerfile",
+}
+
+
+def language_of(path: Column) -> Column:
+    """By what follows the last dot (the whole name without one), text for the others."""
+    known = F.create_map(*[F.lit(x) for p in LANGUAGES.items() for x in p])
+    return F.coalesce(known[F.lower(F.substring_index(path, ".", -1))], F.lit("text"))
+
+
+def file_body(content: Column) -> Column:
+    """The bytes of a base64 body, which may be broken into lines; null if it is none."""
+    return F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64"))
+
+
+def followed(tree: DataFrame, links: DataFrame, hops: int = 5, group: tuple[str, ...] = ()) -> DataFrame:
+    """``tree`` (path, type, ...) with ``real_path``: where a symlink leads, by up to ``hops`` of ``links`` (path, target,
+    both from the root); null where a link is broken, too long or goes in a circle."""
+    at = tree.withColumn("real_path", F.col("path"))
+    step = links.select(*group, F.col("path").alias("real_path"), F.col("target").alias("_to"))
+    for _ in range(hops):
+        at = at.join(step, [*group, "real_path"], "left").withColumn("real_path", F.coalesce("_to", "real_path")).drop("_to")
+    ends = tree.where("type <> 'symlink'").select(*group, F.col("path").alias("real_path"), F.lit(True).alias("_ok"))
+    return at.join(ends, [*group, "real_path"], "left").withColumn("real_path", F.when(F.col("_ok"), F.col("real_path"))).drop("_ok")
+
+
+def repository_details(repos: DataFrame, releases: DataFrame, readmes: DataFrame) -> DataFrame:
+    """Repositories (name, ...) with their latest release (name, tag, published) and README (name, content in base64)."""
+    latest = releases.groupBy("name").agg(F.max_by(F.struct("tag", "published"), F.struct("published", "tag")).alias("release"))
+    text = readmes.select("name", F.decode(file_body(F.col("content")), "utf-8").alias("readme"))
+    return repos.join(latest, "name", "left").join(text, "name", "left")
+
+
+def chosen_papers(papers: DataFrame, category: str | None = None, date_from: str | None = None, date_to: str | None = None, sort: str = "relevance", limit: int = 20) -> DataFrame:
+    """arXiv papers of a category and a range of days (both ends in), by relevance (position), submission or update."""
+    if sort not in ("relevance", "submittedDate", "lastUpdatedDate"):
+        raise ValidationError("sort must be one of relevance, submittedDate, lastUpdatedDate")
+    if category is not None:
+        papers = papers.where(F.array_contains("categories", category))
+    if date_from is not None:
+        papers = papers.where(F.to_date("published") >= F.lit(date_from).cast("date"))
+    if date_to is not None:
+        papers = papers.where(F.to_date("published") <= F.lit(date_to).cast("date"))
+    order = {"relevance": ["position"], "submittedDate": [F.desc("published"), "position"], "lastUpdatedDate": [F.desc("updated"), "position"]}[sort]
+    return papers.orderBy(*order).limit(limit)
+
+
+def without_known(candidates: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
+    """The candidate names, and their forms with hyphens and underscores, that are not among the known ones."""
+    plain = F.lower(F.trim(F.col(name)))
+    forms = F.array_distinct(F.array(plain, F.regexp_replace(plain, r"[\s_]+", "-"), F.regexp_replace(plain, r"[\s-]+", "_")))
+    each = candidates.select(F.explode(forms).alias(name)).where(F.col(name) != "").distinct()
+    return each.join(known.select(F.lower(name).alias(name)), name, "left_anti")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Files of one JSON answer each, as (path, raw)."""
     return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import vectors as V
 from ragspark.operators.dedup import evict
+from ragspark.operators.retrieve import content_hash
 
 TTL_MS = 7 * 86_400_000
 
@@ -24,6 +25,11 @@ def corpus_id(source: dict, model: str, dims: int, **chunking) -> str:
     return hashlib.sha256("|".join([canonical(source), model, str(dims), canonical(chunking)]).encode()).hexdigest()
 
 
+def corpus_key(source: Column, model: str, dims: int, **chunking) -> Column:
+    """``corpus_id`` of a column of canonical sources."""
+    return F.sha2(F.concat_ws("|", source, F.lit(model), F.lit(str(dims)), F.lit(canonical(chunking))), 256)
+
+
 class Store:
     """Writes replace a corpus's own partitions only; reads prune to them."""
 
@@ -46,12 +52,13 @@ class Store:
     def write(self, corpus: str, chunks: DataFrame, embeddings: DataFrame, source: dict, now_ms: int, model: str, dims: int) -> bool:
         """Stores (position, text, ...) and (position, vector); an empty corpus is not stored."""
         own = chunks.withColumn("corpus_id", F.lit(corpus))
-        size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + F.octet_length(F.to_json(F.struct(*chunks.columns)))).alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), "\n"), 256).alias("hash")).collect()[0]
+        size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + F.octet_length(F.to_json(F.struct(*chunks.columns)))).alias("bytes")).collect()[0]
         if not size["n"]:
             return False
+        whole = content_hash(own, "text", "position").collect()[0]["content_hash"]
         self._write(own, "chunks")
         self._write(embeddings.withColumn("corpus_id", F.lit(corpus)), "embeddings")
-        head = (corpus, canonical(source), model, dims, size["n"], size["hash"], now_ms, now_ms, size["bytes"] + 4 * dims * size["n"])
+        head = (corpus, canonical(source), model, dims, size["n"], whole, now_ms, now_ms, size["bytes"] + 4 * dims * size["n"])
         self._write(self.spark.createDataFrame([head], "corpus_id string, source string, model string, dims int, n_chunks long, content_hash string, created_at long, last_accessed_at long, total_bytes long"), "corpora")
         return True
 
@@ -65,9 +72,9 @@ class Store:
         chunks, vectors = self._read("chunks", corpus), self._read("embeddings", corpus)
         if chunks is None or vectors is None:
             return None
-        found = chunks.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), "\n"), 256).alias("hash")).collect()[0]
+        whole = content_hash(chunks, "text", "position").collect()[0]["content_hash"]
         good = vectors.agg(F.count("*").alias("n"), F.bool_and((F.size("vector") == head["dims"]) & V.finite(F.col("vector"))).alias("ok")).collect()[0]
-        if found["n"] != head["n_chunks"] or found["hash"] != head["content_hash"] or good["n"] != head["n_chunks"] or not good["ok"]:
+        if chunks.count() != head["n_chunks"] or whole != head["content_hash"] or good["n"] != head["n_chunks"] or not good["ok"]:
             return None
         self._write(self.spark.createDataFrame([head], heads.schema).withColumn("last_accessed_at", F.lit(now_ms).cast("long")), "corpora")
         return chunks.drop("corpus_id"), vectors.drop("corpus_id")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragspark.functions import numbers as N
 from ragspark.functions import text as T
 from ragspark.functions import urls as U
 from ragspark.operators import hygiene, markup
@@ -95,6 +96,137 @@ def select_nodes(pages: DataFrame, selectors: dict[str, str], key: str = "page_i
     return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, field string, position int, value string")
 
 
+def select_xpath(pages: DataFrame, paths: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, field, position, value): the texts that XPath expressions (those of the standard library's trees) find."""
+    from xml.etree import ElementTree as E
+
+    def tree(node: markup.Node) -> E.Element:
+        out, last = E.Element(node.tag, {k: v or "" for k, v in node.attrs.items()}), None
+        for c in node.children:
+            if isinstance(c, str):
+                if last is None:
+                    out.text = (out.text or "") + c
+                else:
+                    last.tail = (last.tail or "") + c
+            else:
+                out.append(last := tree(c))
+        return out
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, h in zip(b[key], b[html], strict=True):
+                root = tree(markup.parse(h))
+                rows += [(k, name, i, markup.collapsed("".join(n.itertext()))) for name, p in paths.items() for i, n in enumerate(root.findall(p))]
+            yield pd.DataFrame(rows, columns=[key, "field", "position", "value"])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, field string, position int, value string")
+
+
+#: Selectors of a trending page's and a tweet list's parts, tried in order (fixed values).
+TRENDING = {
+    "row": ["article.Box-row", "article[class*=Box-row]", "article.border"],
+    "link": ["h2 a", "h1 a", "h2 a[href]"],
+    "description": ["p", "p.col-9"],
+    "language": ["[itemprop=programmingLanguage]"],
+    "stars": ["a[href$=stargazers]"],
+    "forks": ["a[href$=forks]", "a[href$=/network/members]"],
+    "today": ["span.d-inline-block.float-sm-right", "span.float-sm-right", "span[class*=float-sm-right]"],
+}
+TWEETS = {
+    "row": [".timeline-item", ".tweet-body", ".tweet-item", ".post"],
+    "content": [".tweet-content", ".tweet-text", ".content"],
+    "date": [".tweet-date a", ".tweet-date", "time", ".timestamp"],
+    "handle": [".username", ".handle"],
+    "author": [".fullname", ".display-name"],
+    "likes": [".icon-heart", ".likes"],
+    "retweets": [".icon-retweet", ".retweets"],
+    "replies": [".icon-comment", ".replies"],
+    "link": [".tweet-link", ".tweet-date a"],
+}
+
+
+def _found(node: markup.Node, selectors: list[str]) -> list[markup.Node]:
+    return next((got for s in selectors if (got := list(node.select(s)))), [])
+
+
+def _text(nodes: list[markup.Node]) -> str:
+    return "".join(n.text() for n in nodes).strip()
+
+
+def trending(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Repositories of trending pages: rank, owner, repo, url, description, language, stars, forks, today; rows without
+    a valid owner and name are left out. Markup in one Arrow pass, numbers by expression."""
+    fields = ["href", "description", "language", "stars", "forks", "today"]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, h in zip(b[key], b[html], strict=True):
+                for i, a in enumerate(_found(markup.parse(h), TRENDING["row"])):
+                    link = _found(a, TRENDING["link"])
+                    texts = [_text(_found(a, TRENDING[f])) for f in fields[1:5]]
+                    rows.append((k, i, (link[0].attrs.get("href") or "") if link else "", *texts, _text(_found(a, TRENDING["today"])[-1:])))
+            yield pd.DataFrame(rows, columns=[key, "at", *fields])
+
+    df = pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, at int, " + ", ".join(f"{f} string" for f in fields))
+    parts = F.split(F.regexp_replace("href", r"^/", ""), "/")
+    name, n = r"^[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?$", lambda c: F.coalesce(F.regexp_extract(F.replace(F.col(c), F.lit(","), F.lit("")), r"(\d+)", 1).try_cast("long"), F.lit(0))
+    df = df.withColumns({"owner": F.trim(F.get(parts, F.lit(0))), "repo": F.trim(F.get(parts, F.lit(1)))}).where(F.col("owner").rlike(name) & F.col("repo").rlike(name))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("rank")
+    return df.select(key, rank, "owner", "repo", F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "repo").alias("url"), "description", "language", *[n(c).alias(c) for c in ("stars", "forks", "today")])
+
+
+def tweets(pages: DataFrame, base: str, key: str = "page_id", html: str = "html", most: int = 1000) -> DataFrame:
+    """Posts of timeline pages: position, author, handle, content (cut to ``most`` characters, with a mark), url,
+    timestamp, likes, retweets, replies; posts without text are left out."""
+    counts = ["likes", "retweets", "replies"]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, h in zip(b[key], b[html], strict=True):
+                for i, t in enumerate(_found(markup.parse(h), TWEETS["row"])):
+                    date, link = _found(t, TWEETS["date"]), _found(t, TWEETS["link"])
+                    # The counts stand beside their icons.
+                    beside = [_text([n.parent for n in _found(t, TWEETS[c])]) for c in counts]
+                    title = date[0].attrs.get("title") if date else None
+                    rows.append((k, i, _text(_found(t, TWEETS["author"])[:1]), _text(_found(t, TWEETS["handle"])[:1]), _text(_found(t, TWEETS["content"])), (link[0].attrs.get("href") or "") if link else "", title if title is not None else _text(date), *beside))
+            yield pd.DataFrame(rows, columns=[key, "position", "author", "handle", "content", "href", "timestamp", *counts])
+
+    df = pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, author string, handle string, content string, href string, timestamp string, " + ", ".join(f"{c} string" for c in counts))
+    url = F.when(F.col("href") == "", "").otherwise(U.absolute(F.col("href"), base))
+    number = lambda c: N.with_suffix(F.regexp_extract(F.replace(F.col(c), F.lit(","), F.lit("")), r"([\d.]+[KkMm]?)", 1)).alias(c)
+    return df.where("content <> ''").select(key, "position", "author", "handle", T.truncated(F.col("content"), most).alias("content"), url.alias("url"), F.nullif("timestamp", F.lit("")).alias("timestamp"), *[number(c) for c in counts])
+
+
+def seed_budgets(seeds: DataFrame, most: int, order: str = "position", group: tuple[str, ...] = ()) -> DataFrame:
+    """``seeds`` with the share of ``most`` pages that each gets where every seed uses its share up: what is left,
+    divided by the seeds still to come and rounded up, at least one; seeds beyond the last page get none."""
+    w = Window.partitionBy(*group)
+    i, n = F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w)
+    # Rounding up deals the remainder to the first seeds.
+    share = F.floor(F.lit(most) / n) + (i < F.lit(most) % n).cast("long")
+    return seeds.withColumn("budget", share.cast("long")).where("budget > 0")
+
+
+def crawl_seeds(pages: DataFrame, seeds: DataFrame, most: int, order: str = "page_id", prefix: bool = True) -> DataFrame:
+    """The pages (url, ...) of a crawl table that crawls from several seeds (position, seed) keep: each seed's own page
+    first, then those directly below it (on its host, without ``prefix``), within the seed's share of ``most`` pages;
+    a page goes to the first seed that keeps it, once by URL and once by content."""
+    from_ = seed_budgets(seeds.select("position", F.col("seed"), U.host(F.col("seed")).alias("_host"), F.regexp_replace(U.path(F.col("seed")), r"/+$", "").alias("_base")), most)
+    own = pages.where(U.is_safe(F.col("url"))).withColumns({"_host": U.host(F.col("url")), "_way": F.regexp_replace(U.path(F.col("url")), r"/+$", "")})
+    near = own.join(from_, "_host")
+    if prefix:
+        rest = F.expr("substring(_way, length(_base) + 2)")
+        near = near.where((F.col("_way") == F.col("_base")) | (F.expr("startswith(_way, concat(_base, '/'))") & ~rest.contains("/") & (rest != "")))
+    near = near.withColumn("_other", (F.col("url") != F.col("seed")).cast("int"))
+    once = keep_first(near, U.normalized(F.col("url")), "position", "_other", order)
+    once = keep_first(once, F.sha2("text", 256), "position", "_other", order)
+    ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy("position").orderBy("_other", order)))
+    return ranked.where("_n <= budget").drop("_host", "_way", "_base", "_other", "_n", "budget", "seed").withColumnRenamed("position", "seed_position")
+
+
 def crawl(pages: DataFrame, seed: str, most: int = 100, budget: int = 250_000_000, prefix: bool = False, order: str = "page_id") -> DataFrame:
     """The pages of a crawl table that a crawl from ``seed`` would keep: safe URLs of its host, once by URL and once
     by content, the seed first, within the number of pages and characters."""

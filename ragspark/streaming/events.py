@@ -24,12 +24,20 @@ def counts(events: DataFrame, *keys: str, column: str = "ts", width: str = "1 da
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns its result: from memory in complete mode, else from files."""
+    """Runs a stream over what there is and returns its result from files; in complete mode each batch writes the whole
+    result anew, and the last one counts."""
     spark: SparkSession = stream.sparkSession
     name = f"s{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/{name}.state").trigger(availableNow=True)
     if mode == "complete":
-        writer.outputMode("complete").format("memory").queryName(name).start().awaitTermination()
-        return spark.table(name)
+        last: list[str] = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            path = f"{folder}/{name}/{number}"
+            batch.write.mode("overwrite").parquet(path)
+            last[:] = [path]
+
+        writer.outputMode("complete").foreachBatch(write).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
     writer.outputMode(mode).format("parquet").option("path", f"{folder}/{name}").start().awaitTermination()
     return spark.read.parquet(f"{folder}/{name}")
