@@ -49,41 +49,39 @@ class Words:
 
 
 def _probes(words: Words, block: int, buckets: int):
-    """Probes in bucket order, whether each is a block, and where the buckets begin."""
+    """Places of the probes and, for the different ones in bucket order: which one each place has, their hashes, whether
+    any is a block, whether there are several, and where the buckets begin."""
     place, hashed = words.windows(block)
-    order, begin = C.bucket_order(hashed, buckets)
-    place, hashed = place[order], hashed[order]
-    return place, C.fingerprint(hashed, buckets), words.position(place) % block == 0, begin
+    values, count, own, begin = C.distinct(hashed, buckets)
+    fixed = np.zeros(len(values), bool)
+    fixed[own[words.position(place) % block == 0]] = True
+    return place, own, values, fixed, count > 1, begin
 
 
 def _send_probes(block: int, buckets: int):
+    """Payloads: the number of probes, their fingerprints, the bits of blocks, the bits of those that repeat here."""
+
     def run(batches):
         for chunk, off, body in C.rows_of(batches, ["chunk", "off", "body"]):
-            _, prints, fixed, begin = _probes(Words(off.as_py(), body.as_py()), block, buckets)
-            parts = [(b, prints[i:j].tobytes() + np.packbits(fixed[i:j]).tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i]
+            _, _, values, fixed, many, begin = _probes(Words(off.as_py(), body.as_py()), block, buckets)
+            prints, parts = C.fingerprint(values, buckets), []
+            for b, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                if j > i:
+                    parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(fixed[i:j]).tobytes() + np.packbits(many[i:j]).tobytes()))
             yield C.sent(chunk.as_py(), parts)
 
     return run
 
 
-def _count(payload: bytes) -> int:
-    """Entries in a payload of 4 bytes and a bit each."""
-    n = len(payload) * 8 // 33
-    while 4 * n + -(-n // 8) < len(payload):
-        n += 1
-    return n
-
-
 def _hits(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
-    """For each payload the bits of its entries that meet another entry, one of the two a block."""
-    sizes = [_count(p) for p in payloads]
-    prints = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(payloads, sizes, strict=True)])
-    fixed = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=4 * n), count=n) for p, n in zip(payloads, sizes, strict=True)]).astype(bool)
+    """For each payload the bits of its probes that are there twice or more, one of them a block."""
+    sizes = [int(np.frombuffer(p, "<u4", 1)[0]) for p in payloads]
+    prints = np.concatenate([np.frombuffer(p, "<u4", n, 4) for p, n in zip(payloads, sizes, strict=True)])
+    bits = lambda k: np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, -(-n // 8), 4 + 4 * n + k * -(-n // 8)), count=n) for p, n in zip(payloads, sizes, strict=True)]).astype(np.int64)
     order = np.argsort(prints)
-    sorted_ = prints[order]
-    head = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    size = np.diff(np.append(head, len(sorted_)))
-    good = (size > 1) & (np.add.reduceat(fixed[order].astype(np.int64), head) > 0)
+    head = np.flatnonzero(np.concatenate(([True], prints[order][1:] != prints[order][:-1])))
+    size = np.diff(np.append(head, len(prints)))
+    good = ((size > 1) | (np.add.reduceat(bits(1)[order], head) > 0)) & (np.add.reduceat(bits(0)[order], head) > 0)
     hit = np.zeros(len(prints), bool)
     hit[order] = np.repeat(good, size)
     at = np.cumsum([0, *sizes])
@@ -93,11 +91,10 @@ def _hits(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
 def _candidates(words: Words, ids, hits: dict[int, bytes], block: int, window: int, buckets: int):
     """Windows whose own block was hit: (places removed already, places sent in bucket order, hash, key, position,
     where the buckets begin)."""
-    place, _, _, begin = _probes(words, block, buckets)
+    place, own, values, _, _, begin = _probes(words, block, buckets)
+    told = C.told(hits, begin, len(values))
     hit = np.zeros(len(words.hashes) + block, bool)
-    for b, bits in hits.items():
-        own = place[begin[b] : begin[b + 1]]
-        hit[own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)]] = True
+    hit[place[told[own]]] = True
     place, hashed = words.windows(window)
     position = words.position(place)
     near = hit[place + (-position) % block]

@@ -109,6 +109,15 @@ def fingerprint(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> K.U64(32 - (buckets.bit_length() - 1))).astype(np.uint32)
 
 
+def told(answers: dict[int, bytes], begin: np.ndarray, n: int) -> np.ndarray:
+    """The bits of the answers, by bucket, as one mask over the ``n`` hashes whose buckets begin there."""
+    mask = np.zeros(n, bool)
+    for b, bits in answers.items():
+        i, j = int(begin[b]), int(begin[b + 1])
+        mask[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
+    return mask
+
+
 def sent(chunk: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([p for _, p in parts], pa.binary())], names=["bucket", "chunk", "payload"])
 

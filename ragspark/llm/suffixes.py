@@ -7,7 +7,7 @@ in all its copies, the minimum of the hashes of its GRAM-byte grams. So
 1. the suffixes to sort are those that start at such minima (about one in 180), and of these the ones whose gram
    occurs twice in the corpus (an exchange of 4 bytes for each);
 2. they meet by gram, with the bytes around them (``length`` to the right, the rest of a string to the left), and
-   each group's suffixes are sorted deep-shallow: a multikey sort on 8-byte lanes to a shallow depth, then a blind
+   each group's suffixes are sorted deep-shallow: multikey quicksort on 8-byte lanes to a shallow depth, then a blind
    trie for each group that is still equal, which gives the order and the common prefixes of neighbours;
 3. as in the induced step of deep-shallow sorting, the suffixes that start before a minimum take their order from it:
    for every offset, two suffixes share ``length`` bytes if they agree up to their minima and these share the rest,
@@ -16,9 +16,12 @@ in all its copies, the minimum of the hashes of its GRAM-byte grams. So
 Suffixes with the same bytes all around are sent once per chunk, with the note that they repeat. Inside a long
 periodic run (equal grams at equal distances, the bytes compared) every byte repeats, so only its ends are sent.
 
-Defined results: null or empty text has no bytes; rows that repeat a key are documents of their own, and their texts
-repeat each other; matches never cross documents; a null key stays null; other columns are ignored; an empty table
-gives no rows.
+Grams and the bytes before a minimum are told apart by 64-bit hashes.
+
+Defined results: null or empty text has no bytes; a text of any length is judged whole; rows that repeat a key are
+documents of their own, and their texts repeat each other; of equal strings none is favoured, all their bytes go;
+matches never cross documents; a null key stays null, other keys are whole numbers (or text that casts to long);
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,16 +100,13 @@ class Anchors:
         self.data, self.off = C.unpack(off, body)
         self.length = length
         place, hashed = np.frombuffer(place, "<u4").astype(np.int64), np.frombuffer(hashed, "<u8")
-        order, self.begin = C.bucket_order(hashed, buckets)
-        self.place, self.hashed = place[order], hashed[order]
+        values, _, self.own, self.begin = C.distinct(hashed, buckets)
+        self.place, self.hashed, self.n = place, hashed, len(values)
 
     def repeated(self, hits: dict[int, bytes], buckets: int):
         """Sets the suffixes to send, in bucket order: place, hash, left and right bytes, whether they repeat here;
         ``same`` maps every hit place to its suffix. Returns the periodic runs (begin, end), removed already."""
-        hit = np.zeros(len(self.place), bool)
-        for b, bits in hits.items():
-            i, j = self.begin[b], self.begin[b + 1]
-            hit[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
+        hit = C.told(hits, self.begin, self.n)[self.own]
         place, hashed = self.place[hit], self.hashed[hit]
         order = np.argsort(place)
         place, hashed = place[order], hashed[order]
@@ -221,15 +221,45 @@ def prefix(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
+def multikey(group: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """The order of rows by group and then lanes, by multikey quicksort: each segment of rows that are equal so far is
+    parted at a pivot of its next lane into smaller, equal and larger ones, and only the equal ones go on to the lane
+    after it. All segments take a step at the same time."""
+    order = np.argsort(group, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1])))
+    size = np.diff(np.append(head, len(order)))
+    lane = np.zeros(len(head), np.int64)
+    while True:
+        live = (size > 1) & (lane < lanes.shape[1])
+        head, size, lane = head[live], size[live], lane[live]
+        if not len(head):
+            return order
+        owner, at = K.many(size)
+        place = head[owner] + at
+        row = order[place]
+        key = lanes[row, lane[owner]]
+        # The pivot is the median of the first, middle and last key.
+        three = np.sort(np.stack([lanes[order[head + i], lane] for i in (np.zeros_like(size), size // 2, size - 1)]), axis=0)
+        pivot = three[1][owner]
+        part = 3 * owner + (key >= pivot) + (key > pivot)
+        moved = np.argsort(part, kind="stable")
+        order[place] = row[moved]
+        count = np.bincount(part, minlength=3 * len(head))
+        begin = np.cumsum(count) - count
+        head, lane = np.repeat(head - (np.cumsum(size) - size), 3) + begin, np.repeat(lane, 3)
+        lane[1::3] += 1
+        size = count
+
+
 def deep_shallow(group: np.ndarray, text: np.ndarray, size: np.ndarray, known: int = GRAM, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes (rows of ``text``, of the given sizes) by group and bytes, and each one's common prefix
     with the one before (0 where a group begins). The first ``known`` bytes are equal within a group.
 
-    The multikey sort compares 8-byte lanes from ``known`` to the shallow depth; suffixes that are still equal go to
-    a blind trie."""
+    Multikey quicksort compares 8-byte lanes from ``known`` to the shallow depth, and the sizes up to there last;
+    suffixes that are still equal go to a blind trie."""
     depth = known + shallow
     key = np.ascontiguousarray(text[:, known:depth]).view(">u8").astype(K.U64)
-    order = np.lexsort((np.minimum(size, depth), *key.T[::-1], group))
+    order = multikey(group, np.column_stack((key, np.minimum(size, depth).astype(K.U64))))
     g, k, s = group[order], key[order], size[order]
     common = np.zeros(len(order), np.int64)
     if not len(order):
@@ -297,24 +327,30 @@ def _minima(batches):
 
 
 def _send_minima(buckets: int):
+    """Payloads: the number of minima, their fingerprints, the bits of those that repeat in the chunk."""
+
     def run(batches):
         for chunk, hashed in C.rows_of(batches, ["chunk", "hash"]):
-            hashed = np.frombuffer(hashed.as_py(), "<u8")
-            order, begin = C.bucket_order(hashed, buckets)
-            prints = C.fingerprint(hashed[order], buckets)
-            yield C.sent(chunk.as_py(), [(b, prints[i:j].tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i])
+            values, count, _, begin = C.distinct(np.frombuffer(hashed.as_py(), "<u8"), buckets)
+            prints, many, parts = C.fingerprint(values, buckets), count > 1, []
+            for b, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                if j > i:
+                    parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(many[i:j]).tobytes()))
+            yield C.sent(chunk.as_py(), parts)
 
     return run
 
 
 def _twice(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
-    prints = np.concatenate([np.frombuffer(p, "<u4") for p in payloads])
+    """For each payload the bits of its minima that are there twice or more."""
+    sizes = [int(np.frombuffer(p, "<u4", 1)[0]) for p in payloads]
+    prints = np.concatenate([np.frombuffer(p, "<u4", n, 4) for p, n in zip(payloads, sizes, strict=True)])
+    hit = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=4 + 4 * n), count=n) for p, n in zip(payloads, sizes, strict=True)]).astype(bool)
     order = np.argsort(prints)
     same = prints[order[1:]] == prints[order[:-1]]
-    hit = np.zeros(len(prints), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
-    at = np.cumsum([0, *[len(p) // 4 for p in payloads]])
+    at = np.cumsum([0, *sizes])
     return [np.packbits(own).tobytes() if (own := hit[i:j]).any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
 

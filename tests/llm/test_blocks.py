@@ -64,3 +64,18 @@ def test_edges(spark):
     twice = df.where("doc_id IN (4, 9)").unionAll(df.where("doc_id IN (4, 9)"))
     assert {r.n_removed for r in B.dedup(twice).collect()} == {0}
     assert B.dedup(df.limit(0)).count() == 0
+
+
+def test_a_frequent_block_is_sent_once_a_chunk():
+    """A gram that all texts of a chunk hold costs one entry, however many texts there are."""
+    import numpy as np
+
+    def payload(n):
+        texts = [f"own{i} " + " ".join(f"w{j}" for j in range(10)) + " " for i in range(n)]
+        data, off = "".join(texts).encode(), np.cumsum([0, *map(len, texts)]).astype("<i8")
+        row = B.pa.RecordBatch.from_arrays([B.pa.array([7], B.pa.int64()), B.pa.array([off.tobytes()]), B.pa.array([B.C.zstandard.compress(data)])], names=["chunk", "off", "body"])
+        (sent,) = B._send_probes(10, 16)([row])
+        return sum(int(np.frombuffer(p, "<u4", 1)[0]) for p in sent.column(2).to_pylist())
+
+    # The text's own first block, and the shared window that follows.
+    assert payload(100) == 101 and payload(400) == 401
