@@ -1,18 +1,20 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each shard (a few MB of training text) gets a suffix array over its words; every suffix of the test items is
-binary-searched in it, which yields all verbatim matches of ``width`` words with their places, and neighbouring
-ones are joined to the longest matches. A training suffix whose first three words start no test suffix cannot
-match, so it is left out of its shard's array.
-
-The test items are the stated query set: they are read block by block (``block_bytes`` of text each), each block
-is broadcast alone, and the training table passes by once per block without any shuffle.
-
-Words are maximal runs of digits, ASCII letters and non-ASCII characters, A-Z lower-cased. A test item of fewer
-than ``width`` words, but not none, has one window, the whole item. Defined results: null or empty text has no
-words and no matches; items with null or empty text have no windows; equal items (or repeated rows) each match;
-an empty benchmark matches nothing; other columns of the training table pass through, whatever their names
-(one named like an output, or ``hits``, is replaced; ``remove_contaminated`` gives all back).
+Each shard (a few MB of training text) gets a suffix array over its words: all suffixes of its texts, in the order of
+their first ``width`` words, by prefix doubling on word ranks. Every suffix of the test items is binary-searched in
+it, which yields all verbatim matches of ``width`` words with their places, and neighbouring ones are joined to the
+longest matches. Equal test suffixes are searched once.
+
+The test items are the stated query set: they are dealt into blocks of about ``block_bytes`` of text by a hash. One
+block at a time is read and broadcast, and the training table passes by without any shuffle; between two blocks it is
+written, so a block's memory is free before the next one is read. What several blocks find in a text is united.
+
+Words are maximal runs of digits, ASCII letters and non-ASCII characters, A-Z lower-cased, told apart by 64-bit
+hashes. A test item of fewer than ``width`` words, but not none, has one window, the whole item. Defined results:
+null or empty text has no words and no matches; a text of any length is searched whole; items with null or empty text
+have no windows; equal items (or repeated rows) each match, each row of the training table is judged by itself; an
+empty benchmark matches nothing; other columns of the training table pass through, whatever their names (one named
+like an output, or ``hits``, is replaced; ``remove_contaminated`` gives all back).
 """
 
 from __future__ import annotations
@@ -24,16 +26,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import set_aside, small_batches
+from ragspark.llm.shared import save, set_aside, small_batches
 
-WIDTH = 13
-GATE = 3
+WIDTH, BLOCK = 13, 32 << 20
 MATCHES = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("doc_start", T.LongType()), T.StructField("item_start", T.LongType()), T.StructField("n_words", T.LongType())]))
+HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_HIT = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _MATCH = pa.struct([("item", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])
 
 
+class Shard:
+    """The suffix array of a shard: the places of its words in the order of the (up to) ``width`` words from each on,
+    texts apart. ``rank`` numbers the words from 1 in the order of their hashes, which are in ``known``."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, width: int):
+        self.known, self.rank = np.unique(hashes, return_inverse=True)
+        self.rank = self.rank.astype(np.int64) + 1
+        size = np.diff(first)
+        self.stop = np.repeat(first[1:], size)
+        level, n = self.rank, 1
+        while n < width:
+            after = np.zeros_like(level)
+            after[:-n] = level[n:]
+            after[np.arange(len(level)) + n >= self.stop] = 0
+            level = np.unique((level << 32) + after, return_inverse=True)[1].astype(np.int64) + 1
+            n *= 2
+        self.order = np.argsort(level, kind="stable")
+
+    def word(self, place: np.ndarray, k: int) -> np.ndarray:
+        """The rank of the word ``k`` after each place, 0 beyond the text."""
+        at = place + k
+        out = np.zeros(len(at), np.int64)
+        within = at < self.stop[place]
+        out[within] = self.rank[at[within]]
+        return out
+
+
 class Suffixes:
-    """The suffixes of a block of test items, as word hashes."""
+    """The suffixes of a block of test items, as word hashes; ``kind`` numbers the different ones."""
 
     def __init__(self, ids: list[str], texts: list[str | None], width: int = WIDTH):
         self.ids, self.width = ids, width
@@ -42,76 +72,67 @@ class Suffixes:
         self.words = K.hash_ranges(K.LOWER[data], starts, ends)
         size = np.diff(first)
         count = np.where(size >= width, size - width + 1, (size > 0).astype(np.int64))
-        self.item, at = K.many(count)
-        self.item_start = at
-        self.start = first[:-1][self.item] + at
-        self.length = np.minimum(size[self.item], width)  # words to compare
-        self.gates = {}
-        for n in range(1, GATE + 1):
-            at_n = self.start[np.minimum(self.length, GATE) == n]
-            if len(at_n):
-                self.gates[n] = np.unique(K.windows(self.words, n)[at_n])
+        self.item, self.item_start = K.many(count)
+        start = first[:-1][self.item] + self.item_start
+        length = np.minimum(size[self.item], width)  # words to compare
+        name = length.astype(K.U64)
+        for k in range(width):
+            within = length > k
+            name[within] = K.mix(name[within] * K._M1 ^ self.words[start[within] + k])
+        _, chosen, self.kind = np.unique(name, return_index=True, return_inverse=True)
+        self.start, self.length = start[chosen], length[chosen]
+        self.by_kind = np.argsort(self.kind, kind="stable")
+        self.begin = np.searchsorted(self.kind[self.by_kind], np.arange(len(chosen) + 1))
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) of every occurrence in the texts whose words have these hashes."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """(kind, place) of every occurrence in the texts whose words have these hashes."""
         if not len(hashes) or not len(self.start):
-            return none
-        able = np.zeros(len(hashes), bool)
-        for n, gate in self.gates.items():
-            grams = K.windows(hashes, n)
-            bits = np.zeros(1 << 16, bool)
-            bits[(gate >> K.U64(48)).astype(np.int64)] = True
-            may = np.flatnonzero(bits[(grams >> K.U64(48)).astype(np.int64)])
-            may = may[gate[np.minimum(np.searchsorted(gate, grams[may]), len(gate) - 1)] == grams[may]]
-            able[may] = True
-        place = np.flatnonzero(able)
-        if not len(place):
-            return none
-        # The suffix array: places in the order of their first `width` words, 0 beyond the end of the text.
-        stop = first[np.searchsorted(first, place, "right")]
-        key = np.zeros((self.width, len(place)), K.U64)
-        for k in range(self.width):
-            within = place + k < stop
-            key[k, within] = hashes[place[within] + k]
-        order = np.lexsort(key[::-1])
-        key, place, stop = key[:, order], place[order], stop[order]
-        return self._occurrences(key, place, stop)
-
-    def _occurrences(self, key, place, stop):
-        """Binary search of every test suffix for the first and the last place that starts with it."""
-        mine = np.zeros((self.width, len(self.start)), K.U64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shard = Shard(hashes, first, self.width)
+        at = np.minimum(np.searchsorted(shard.known, self.words), len(shard.known) - 1)
+        told = np.where(shard.known[at] == self.words, at + 1, -1)  # the words' ranks in this shard
+        mine, able = np.zeros((self.width, len(self.start)), np.int64), np.ones(len(self.start), bool)
         for k in range(self.width):
             within = self.length > k
-            mine[k, within] = self.words[self.start[within] + k]
-        bounds = []
-        for upper in (False, True):
-            low, high = np.zeros(len(self.start), np.int64), np.full(len(self.start), len(place), np.int64)
-            while (open_ := low < high).any():
-                mid = np.minimum((low + high) // 2, len(place) - 1)
-                less, equal = np.zeros(len(mid), bool), np.ones(len(mid), bool)
-                for k in range(self.width):
-                    live = equal & (self.length > k)
-                    if not live.any():
-                        break
-                    less |= live & (key[k, mid] < mine[k])
-                    equal &= ~live | (key[k, mid] == mine[k])
-                right = less | (equal & upper)
-                low = np.where(open_ & right, mid + 1, low)
-                high = np.where(open_ & ~right, mid, high)
-            bounds.append(low)
-        window, at = K.many(bounds[1] - bounds[0])
-        at = at + bounds[0][window]
-        fits = place[at] + self.length[window] <= stop[at]
-        return window[fits], place[at][fits]
-
-
-def _longest(suffixes: Suffixes, window: np.ndarray, place: np.ndarray, first: np.ndarray):
+            mine[k, within] = told[self.start[within] + k]
+            able &= mine[k] >= 0
+        kind = np.flatnonzero(able)  # a suffix with a word that the shard lacks is nowhere in it
+        low, high = (self._bound(shard, mine[:, kind], self.length[kind], upper) for upper in (False, True))
+        own, step = K.many(high - low)
+        return kind[own], shard.order[low[own] + step]
+
+    def _bound(self, shard: Shard, mine: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+        """Binary search of every test suffix: the first entry of the array that does not come before it, or (upper)
+        the first that comes after all that start with it."""
+        low, high = np.zeros(mine.shape[1], np.int64), np.full(mine.shape[1], len(shard.order), np.int64)
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) // 2
+            place, live = shard.order[mid], np.arange(len(open_))
+            right, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for k in range(self.width):
+                live = live[length[open_[live]] > k]
+                if not len(live):
+                    break
+                word, sought = shard.word(place[live], k), mine[k, open_[live]]
+                right[live[word < sought]] = True
+                equal[live[word != sought]] = False
+                live = live[word == sought]
+            if upper:
+                right |= equal
+            low[open_[right]] = mid[right] + 1
+            high[open_[~right]] = mid[~right]
+        return low
+
+
+def _longest(suffixes: Suffixes, kind: np.ndarray, place: np.ndarray, first: np.ndarray):
     """Windows that follow each other in the text and in the item, joined: text, item, both starts, words."""
+    begin = suffixes.begin
+    which, at = K.many(begin[kind + 1] - begin[kind])
+    window, place, length = suffixes.by_kind[begin[kind][which] + at], place[which], suffixes.length[kind][which]
     item, start = suffixes.item[window], suffixes.item_start[window]
     text = np.searchsorted(first, place, "right") - 1
     order = np.lexsort((place, place - start, item, text))
-    text, item, start, place, length = text[order], item[order], start[order], place[order], suffixes.length[window][order]
+    text, item, start, place, length = text[order], item[order], start[order], place[order], length[order]
     new = np.ones(len(place), bool)
     if len(place) > 1:
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] != 1) | (place[1:] - place[:-1] != 1)
@@ -121,55 +142,64 @@ def _longest(suffixes: Suffixes, window: np.ndarray, place: np.ndarray, first: n
 
 
 def _batch_matches(suffixes: Suffixes, data: np.ndarray, off: np.ndarray):
+    """Where each text's words begin; text, start and end of the runs of words inside an occurrence; the matches."""
     data = K.LOWER[data]
     starts, ends, first = K.words(data, off, K.NON_WORD)
-    window, place = suffixes.search(K.hash_ranges(data, starts, ends), first)
-    hit = np.zeros(len(starts), bool)
-    for n in np.unique(suffixes.length[window]):
-        hit |= K.cover(place[suffixes.length[window] == n], int(n), len(starts))
-    return first, hit, _longest(suffixes, window, place, first)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 32 << 20) -> DataFrame:
+    kind, place = suffixes.search(K.hash_ranges(data, starts, ends), first)
+    edge = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(edge, place, 1)
+    np.add.at(edge, place + suffixes.length[kind], -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    cut = np.zeros(len(starts) + 1, bool)
+    cut[first] = True
+    begins = np.flatnonzero(hit & (cut[:-1] | ~np.concatenate(([False], hit[:-1])))) if len(hit) else np.zeros(0, np.int64)
+    stops = np.flatnonzero(hit & (cut[1:] | ~np.concatenate((hit[1:], [False])))) + 1 if len(hit) else begins
+    text = np.searchsorted(first, begins, "right") - 1
+    return first, (text, begins - first[text], stops - first[text]), _longest(suffixes, kind, place, first)
+
+
+def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
+    """(id, text) lists of one block of items after the other, dealt by a hash; one empty block of an empty table."""
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 16)).collect()[0][0] or 0
+    n = max(1, -(-size // block_bytes))
+    for i in range(n):
+        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()  # about block_bytes
+        yield i == n - 1, [r["id"] for r in own], [r["text"] for r in own]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
     """``docs`` with ``n_words`` (long), ``n_hit`` (words inside any occurrence of a window) and ``matches``,
     an array of (item, doc_start, item_start, n_words): the longest verbatim matches with their places."""
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    blocks, ids, texts, held = [], [], [], 0
-    for row in benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        held += len((row[1] or "").encode())
-        if held >= block_bytes:
-            blocks.append(sc.broadcast((ids, texts)))
-            ids, texts, held = [], [], 0
-    if ids or not blocks:
-        blocks.append(sc.broadcast((ids, texts)))
     names = ["n_words", "hits", "matches"]
     plain = T.StructType([f for f in docs.schema.fields if f.name not in names])
-    schema = T.StructType([*plain.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("matches", MATCHES)])
+    schema = T.StructType([*plain.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("matches", MATCHES)])
     df = docs.select(*[F.col(f"`{f.name}`") for f in plain.fields])
-    for block in blocks:
-        df = df.mapInArrow(_matcher(block, text, width), schema)
-    spans = "aggregate(hits, 0L, (a, x) -> a + x)"
-    return df.withColumn("n_hit", F.expr(spans)).drop("hits") if len(blocks) == 1 else df.withColumn("n_hit", F.expr("size(array_distinct(flatten(transform(matches, m -> sequence(m.doc_start, m.doc_start + m.n_words - 1)))))").cast("long")).drop("hits")
+    for last, ids, texts in blocks(benchmark, item_id, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        df = df.mapInArrow(_matcher(shared, text, width), schema)
+        if not last:
+            df = save(df, "block")
+            shared.destroy()
+    union = "aggregate(array_sort(hits), named_struct('n', 0L, 'at', 0L), (a, h) -> named_struct('n', a.n + greatest(0L, h.end - greatest(h.start, a.at)), 'at', greatest(a.at, h.end)), a -> a.n)"
+    return df.withColumn("n_hit", F.expr(union)).drop("hits")
 
 
 def _matcher(block, text: str, width: int):
     def run(batches):
         suffixes = Suffixes(*block.value, width)
-        for rows, data, off in K.chunks(batches, text):
-            first, hit, (doc, item, item_start, doc_start, length) = _batch_matches(suffixes, data, off)
-            found = [[] for _ in range(rows.num_rows)]
-            if "matches" in rows.schema.names:
-                found = [x or [] for x in rows.column(rows.schema.get_field_index("matches")).to_pylist()]
+        for rows, data, off in K.chunks(batches, text, 1 << 20):
+            first, (owner, begins, stops), (doc, item, item_start, doc_start, length) = _batch_matches(suffixes, data, off)
+            before = {n: rows.column(rows.schema.get_field_index(n)).to_pylist() if n in rows.schema.names else [] for n in ("hits", "matches")}
+            hits, found = ([list(x or []) for x in before[n] or [[]] * rows.num_rows] for n in ("hits", "matches"))
+            for d, a, z in zip(owner.tolist(), begins.tolist(), stops.tolist(), strict=True):
+                hits[d].append({"start": a, "end": z})
             for d, i, s, p, n in zip(doc.tolist(), item.tolist(), item_start.tolist(), doc_start.tolist(), length.tolist(), strict=True):
                 found[d].append({"item": suffixes.ids[i], "doc_start": p, "item_start": s, "n_words": n})
-            total = np.concatenate(([0], np.cumsum(hit)))
-            n_hit = total[first[1:]] - total[first[:-1]]
             keep = [i for i, n in enumerate(rows.schema.names) if n not in ("n_words", "hits", "matches")]
             yield pa.RecordBatch.from_arrays(
-                [*[rows.column(i) for i in keep], pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1), pa.int32()), pa.array(n_hit, pa.int64())), pa.array(found, pa.list_(_MATCH))],
+                [*[rows.column(i) for i in keep], pa.array(np.diff(first)), pa.array(hits, pa.list_(_HIT)), pa.array(found, pa.list_(_MATCH))],
                 names=[*[rows.schema.names[i] for i in keep], "n_words", "hits", "matches"],
             )
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 
 from ragspark.llm import decontaminate as D
@@ -55,7 +56,7 @@ def test_edges_and_blocks(spark):
     docs = [None, "", "...", "Solo", "x solo y solo", long, item.upper(), f"été {item}, {item} été", "é", "İ i"]
     items = [(1, item), (2, None), (3, "solo"), (4, "SOLO!"), (5, ""), (6, "é"), (6, "é"), (7, "w1 w2"), (8, " ".join(f"w{i}" for i in range(40, 53)))]
     want = list(brute(docs, items))
-    for options in ({}, {"block_bytes": 10}):
+    for options in ({}, {"block_bytes": 150}, {"block_bytes": 10}):
         got = [(r.n_words, r.n_hit, len({m["item"] for m in r.matches})) for r in result(spark, docs, items, **options)]
         assert got == [w[:3] for w in want]
 
@@ -74,3 +75,31 @@ def test_extra_columns_and_empty_tables(spark):
     kept = D.remove_contaminated(d.withColumn("hits", d.doc_id), b)
     assert kept.columns == [*d.columns, "hits"] and tuple(kept.collect()[0]) == (1, "a b", 5, 6, "z", 1)
     assert D.matches(d.limit(0), b).count() == 0
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    """Three blocks of items and more: each is dropped before the next is read, and none holds all items."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(60)]
+    docs = [" ".join(f"i{i}w{j}" for i in (d, d + 1, 59 - d) for j in range(3, 20)) for d in range(20)]
+    sizes, whole = [], D.blocks
+
+    def watched(*args):
+        for last, ids, texts in whole(*args):
+            sizes.append(len(ids))
+            yield last, ids, texts
+
+    monkeypatch.setattr(D, "blocks", watched)
+    got = [(r.n_words, r.n_hit, len({m["item"] for m in r.matches})) for r in result(spark, docs, items, block_bytes=3000)]
+    assert got == [w[:3] for w in brute(docs, items)]
+    assert len(sizes) >= 3 and sum(sizes) == 60 and max(sizes) < 45
+
+
+def test_suffix_array_holds_every_place_in_order():
+    words = "b a c a b a c a b".split()
+    rank = {w: i for i, w in enumerate("abc")}
+    first = np.array([0, 5, 5, 9])
+    shard = D.Shard(np.array([rank[w] for w in words], np.uint64), first, 4)
+    stop = [5] * 5 + [9] * 4
+    assert sorted(shard.order.tolist()) == list(range(9))
+    suffix = [words[p : min(stop[p], p + 4)] for p in shard.order]
+    assert suffix == sorted(suffix)
