@@ -5,26 +5,28 @@ credential name, cloud access keys of 20 or more characters, hexadecimal runs of
 
 Ownership: every candidate value - of the base findings and of generic tokens (24 or more characters of the base-64
 alphabet with upper case, lower case and digits, not touching a base finding) - is hashed, and its distinct
-repositories and distinct owners are counted over the whole corpus. A value that more than ``max_owners`` owners
-hold is a widely copied example; a generic token with fewer owners is a live-looking credential of its owner and
-joins the findings as kind ``generic``. Base findings stay whatever their verdict.
+repositories and distinct owners are counted over the whole corpus. A value that more than ``max_owners`` owners or
+more than ``max_repositories`` repositories hold is a widely copied example; a generic token with fewer of both is a
+live-looking credential of its owner and joins the findings as kind ``generic``. Base findings stay whatever their
+verdict.
 
 Positions are code points, ends exclusive; a match's span is the whole match, its hashed value is the assigned value
 or the whole match. Positions come from the text around the matches: split at the pattern, each gap's length is
-known, and so is each match's.
+known, and so is each match's; running sums go by blocks, so nothing is quadratic in a text's matches.
 
 Skew: distinct counts go through (value, owner, repository), so a value in a third of all rows is counted in parts;
 the verdicts are written first, so the join back may be broadcast if small or split by the adaptive skew join.
 
-Defined results: null text has no findings; a null owner or repository counts as one of its own; repeated rows are
-judged each by itself; an empty table gives no rows; other columns pass through (those named like an output are
-replaced).
+Defined results: null or empty text has no findings, a text of any length is scanned whole; findings with equal starts
+are listed in the order of their kinds; a null owner or repository counts as one of its own; repeated rows are judged
+each by itself; an empty table gives no rows; other columns pass through (those named like an output are replaced).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragspark.llm.shared import fresh, save
 
@@ -37,6 +39,7 @@ KINDS = {
 GENERIC = r"((?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,}))"
 ORDER = [*KINDS, "generic"]
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+BLOCK = 256
 
 
 def let(value: Column, body) -> Column:
@@ -44,16 +47,33 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine, start: int = 0) -> Column:
+    """The running fold of an array of whole numbers, BLOCK of them at a time: an array that grows by one is copied
+    each time, so it is kept short."""
+
+    def fold(xs: Column, first: Column | None = None) -> Column:
+        last = lambda acc: F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1)), F.lit(start) if first is None else first)
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(combine(last(acc), x))))
+
+    def joined(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(start)), fold(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return let(F.struct(blocks.alias("b"), before.alias("at")), lambda p: F.flatten(F.transform(p["b"], lambda b, i: F.transform(b, lambda x: combine(p["at"][i], x)))))
+
+    def cut(xs: Column) -> Column:
+        whole = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        return let(F.transform(whole, lambda i: fold(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))), joined)
+
+    return let(values, lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(xs))
+
+
 def spans(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
     """The matches of ``pattern`` (group 1 the match, group 2 its value) as (start, rank, end, value)."""
 
     def located(pair: Column) -> Column:
         # Running ends: after each gap and match; a match starts where the ends before it and its gap reach.
         found, gaps = pair["found"], pair["gaps"]
-        size = F.size(found)
         steps = F.transform(found, lambda m, i: F.length(gaps[i]) + F.length(m))
-        ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1)), F.lit(0)) + x)))
-        return let(F.struct(found.alias("found"), ends.alias("ends"), pair["values"].alias("values"), size.alias("n")), _rows)
+        return let(F.struct(found.alias("found"), running(steps, lambda a, x: a + x).alias("ends"), pair["values"].alias("values")), _rows)
 
     def _rows(p: Column) -> Column:
         rows = F.transform(p["found"], lambda m, i: F.struct((p["ends"][i] - F.length(m)).alias("start"), F.lit(rank).alias("rank"), p["ends"][i].alias("end"), p["values"][i].alias("value")))
@@ -64,17 +84,21 @@ def spans(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """(start, rank, end, value_hash) of the base findings, and of the generic tokens that touch none."""
+    """(start, rank, end, value_hash) of the base findings and of all generic tokens."""
+    every = [spans(text, p, i, 6 if k == "assign" else 0) for i, (k, p) in enumerate(KINDS.items())]
+    return F.transform(F.concat(*every, spans(text, GENERIC, len(KINDS))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash")))
 
-    def apart(p: Column) -> Column:
-        generic = F.filter(p["generic"], lambda g: ~F.exists(p["base"], lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-        return F.transform(F.concat(p["base"], generic), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash")))
 
-    base = F.concat(*[spans(text, p, i, 6 if k == "assign" else 0) for i, (k, p) in enumerate(KINDS.items())])
-    return let(F.struct(base.alias("base"), spans(text, GENERIC, len(KINDS)).alias("generic")), apart)
+def _apart(each: DataFrame) -> DataFrame:
+    """``each`` (row, start, rank, end, ...) without the generic tokens that touch a base finding of their row."""
+    base, by_start = F.col("rank") < len(KINDS), Window.partitionBy("row").orderBy("start")
+    before = F.max(F.when(base, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(base, F.col("start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    alone = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
+    return each.withColumn("before", before).withColumn("after", after).where(base | alone).drop("before", "after")
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 10) -> DataFrame:
     """``docs`` without its text, with ``findings``: an array of (start, rank, end, kind, value_hash, n_owners,
     n_repositories, verdict), by start and then kind; verdict is ``copied`` or ``live``."""
     row, held = fresh(docs.columns, "row_"), fresh(docs.columns, "held_")
@@ -82,13 +106,13 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     found = docs.select(F.monotonically_increasing_id().alias(row), *plain, candidates(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias(held))
     found = save(found, "findings")
     each = found.where(F.size(held) > 0).select(F.col(row).alias("row"), F.struct(F.col(f"`{owner}`")).alias("owner"), F.struct(F.col(f"`{repository}`")).alias("repository"), F.explode(held).alias("s"))
-    each = each.withColumn("value_hash", F.col("s.value_hash"))
+    each = save(_apart(each.select("row", "owner", "repository", "s.*")), "candidates")
     by_owner = each.groupBy("value_hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
     owned = save(by_owner.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")), "ownership")
-    judged = each.join(owned, "value_hash").where((F.col("s.rank") < len(KINDS)) | (F.col("n_owners") <= max_owners))
-    kind = F.element_at(F.array(*map(F.lit, ORDER)), F.col("s.rank") + 1).alias("kind")
-    verdict = F.when(F.col("n_owners") > max_owners, "copied").otherwise("live").alias("verdict")
-    finding = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), kind, "value_hash", "n_owners", "n_repositories", verdict)
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)
+    judged = each.join(owned, "value_hash").where((F.col("rank") < len(KINDS)) | ~copied)
+    kind = F.element_at(F.array(*map(F.lit, ORDER)), F.col("rank") + 1).alias("kind")
+    finding = F.struct("start", "rank", "end", kind, "value_hash", "n_owners", "n_repositories", F.when(copied, "copied").otherwise("live").alias("verdict"))
     judged = judged.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     none = F.array().cast(judged.schema["findings"].dataType)
     return found.join(judged, row, "left").select(*plain, F.coalesce("findings", none).alias("findings"))
@@ -112,12 +136,24 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", **option
 
     def cut(p: Column) -> Column:
         # Between findings the text stays; a finding that begins inside an earlier one is swallowed by it.
-        return F.aggregate(
-            p["f"],
-            F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-            lambda a, f: F.when(f["start"] >= a["at"], F.struct(F.concat(a["out"], p["t"].substr(a["at"] + 1, f["start"] - a["at"]), F.lit(mark)).alias("out"), f["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], f["end"]).alias("at"))),
-            lambda a: F.concat(a["out"], p["t"].substr(a["at"] + 1, F.length(p["t"]))),
-        )
+        ends = running(F.transform(p["f"], lambda f: f["end"]), lambda a, x: F.greatest(a, x))
+        return let(F.struct(p["t"].alias("t"), p["f"].alias("f"), F.concat(F.array(F.lit(0)), ends, F.array(F.length(p["t"]))).alias("at")), heads)
+
+    def heads(p: Column) -> Column:
+        # What stays before each finding that no earlier one reaches into, and after the last one.
+        each = F.transform(p["f"], lambda f, i: F.struct(p["at"][i].alias("a"), f["start"].alias("z")))
+        whole = F.concat(F.filter(each, lambda g: g["z"] >= g["a"]), F.array(F.struct(p["at"][F.size(p["f"])].alias("a"), F.length(p["t"]).alias("z"))))
+        return let(F.struct(p["t"].alias("t"), whole.alias("g")), pieces)
+
+    def pieces(p: Column) -> Column:
+        # By blocks, so that the way to a place in the text is short.
+        def block(own: Column) -> Column:
+            first = own[0]["a"]
+            part = p["t"].substr(first + 1, F.element_at(own, -1)["z"] - first)
+            return let(F.struct(part.alias("t"), own.alias("g")), lambda q: F.array_join(F.transform(q["g"], lambda g: q["t"].substr(g["a"] - q["g"][0]["a"] + 1, g["z"] - g["a"])), mark))
+
+        whole = F.sequence(F.lit(0), F.floor((F.size(p["g"]) - 1) / BLOCK).cast("int"))
+        return F.array_join(F.transform(whole, lambda i: let(F.slice(p["g"], i * BLOCK + 1, F.lit(BLOCK)), block)), mark)
 
     new = F.when(F.col(held).isNotNull(), let(F.struct(F.col(f"`{text}`").alias("t"), F.col(held).alias("f")), cut)).otherwise(F.col(f"`{text}`"))
     out = out.withColumn(text, new)

@@ -39,8 +39,8 @@ f AS ({_FOUND}),
 p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM f),
 s AS (SELECT doc_id, source, rank, kind, v, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM p WHERE {_OK}),
 c AS (SELECT * FROM s WHERE kind <> 'generic' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind <> 'generic' AND b.start < s.stop AND s.start < b.stop)),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
-k AS (SELECT c.*, kind || ':' || start || ':' || stop AS span FROM c JOIN o USING (v) WHERE kind <> 'generic' OR owners <= 2),
+o AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM c GROUP BY v),
+k AS (SELECT c.*, kind || ':' || start || ':' || stop AS span FROM c JOIN o USING (v) WHERE kind <> 'generic' OR (owners <= 2 AND repositories <= 10)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
 coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'generic'), '') AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
