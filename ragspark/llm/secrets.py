@@ -91,9 +91,11 @@ def candidates(text: Column) -> Column:
 
 def _apart(each: DataFrame) -> DataFrame:
     """``each`` (row, start, rank, end, ...) without the generic tokens that touch a base finding of their row."""
-    base, by_start = F.col("rank") < len(KINDS), Window.partitionBy("row").orderBy("start")
-    before = F.max(F.when(base, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(base, F.col("start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    base = F.col("rank") < len(KINDS)
+    # Both ways from the first row on: a frame that only shrinks would be summed up anew for every row.
+    onward = lambda *o: Window.partitionBy("row").orderBy(*o).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.max(F.when(base, F.col("end"))).over(onward("start"))
+    after = F.min(F.when(base, F.col("start"))).over(onward(F.desc("start")))
     alone = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
     return each.withColumn("before", before).withColumn("after", after).where(base | alone).drop("before", "after")
 
