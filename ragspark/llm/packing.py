@@ -3,16 +3,18 @@
 A sequence is a multiset of lengths, so the packing is planned on the number of pieces of each length: at most
 ``capacity`` counters reach the driver, whatever the input. The plan is a list of bin patterns with multiplicities:
 
-1. Best-fit decreasing: the longest piece left opens a bin, which takes the longest piece that still fits until
-   none does; the pattern is repeated as often as the counters allow.
+1. Best-fit decreasing: lengths from the longest to the shortest, each piece into the open bin with the least room
+   that it fits, or else into a new one; bins with equal contents are filled together.
 2. Local search: of the underfull bins, pairs exchange pieces one-for-one, two-for-one, or one moves, as long as the
-   sum of squared fills increases; a bin that runs empty is gone.
+   sum of squared fills increases; a bin that runs empty is gone. It ends when the open bins are as few as their
+   pieces allow or no exchange is left; ``rounds`` and ``givers`` end it earlier where they are given.
 
 The pieces then learn their places with one join on (task, length): each task numbers its own pieces of a length, the
 counts per task and length are summed up to offsets, and the number of a piece within its length finds its bin.
 
-Defined results: null or empty text is the end token alone; repeated rows are packed each by itself; an empty table
-gives no rows; other columns are ignored.
+Defined results: null or empty text is the end token alone; a text of any length is encoded whole and only cut into
+pieces of ``capacity``; pieces of equal length are alike, whichever of their places each gets; repeated rows are
+packed each by itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ def encoder(path: str):
     """Texts to id lists, as the byte-level BPE file ``path`` of the tokenizers library has them.
 
     A byte-level BPE vocabulary whose ids are in the order of its merges is run by tiktoken, which gives the same
-    ids faster; any other file is run by tokenizers itself.
+    ids faster; any other file, and a text whose runs of spaces are too long for tiktoken, is run by tokenizers.
     """
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if (ranks := _ranks(spec)) is not None:
@@ -51,9 +55,17 @@ def encoder(path: str):
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {k: v for k, v in ranks.items() if v not in special.values()}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda texts: [own.encode(t, allowed_special="all") for t in texts]
-    from tokenizers import Tokenizer
+        held: list[Tokenizer] = []
 
+        def ids(text: str) -> list[int]:
+            try:
+                return own.encode(text, allowed_special="all")
+            except ValueError:
+                if not held:
+                    held.append(Tokenizer.from_file(path))
+                return held[0].encode(text, add_special_tokens=False).ids
+
+        return lambda texts: [ids(t) for t in texts]
     whole = Tokenizer.from_file(path)
     return lambda texts: [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -107,49 +119,76 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task long, local long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """Patterns (lengths, longest first) with the number of bins of each, by best-fit decreasing."""
+    rooms: list[int] = []  # of the open bins, ascending
+    bins: dict[int, Counter] = {}  # by room
+    full = Counter()
+
+    def put(pattern: tuple, room: int, times: int) -> None:
+        if not room:
+            full[pattern] += times
+            return
+        if room not in bins:
+            bisect.insort(rooms, room)
+            bins[room] = Counter()
+        bins[room][pattern] += times
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            at = bisect.bisect_left(rooms, length)
+            # A bin that has taken one piece has the least room of all that fit, so it takes as many as it holds.
+            room = rooms[at] if at < len(rooms) else capacity
+            each = min(left, room // length)
+            times = left // each
+            pattern = ()
+            if at < len(rooms):
+                pattern, there = next(iter(bins[room].items()))
+                times = min(times, there)
+                bins[room] -= Counter({pattern: times})
+                if not bins[room]:
+                    del bins[room], rooms[at]
+            put(pattern + (length,) * each, room - each * length, times)
+            left -= each * times
+    for found in bins.values():
+        full += found
+    return full
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, givers: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, longest first) with the number of bins of each."""
-    left = {k: v for k, v in counts.items() if v}
-    lengths, patterns = sorted(left), Counter()
-    while lengths:
-        room, take = capacity, Counter()
-        while room:
-            at = bisect.bisect_right(lengths, room) - 1
-            while at >= 0 and take[lengths[at]] >= left[lengths[at]]:
-                at -= 1
-            if at < 0:
-                break
-            n = min(left[lengths[at]] - take[lengths[at]], room // lengths[at])
-            take[lengths[at]] += n
-            room -= n * lengths[at]
-        take = +take
-        times = min(left[k] // n for k, n in take.items())
-        patterns[tuple(sorted(take.elements(), reverse=True))] += times
-        for k, n in take.items():
-            left[k] -= n * times
-            if not left[k]:
-                lengths.remove(k)
-    return sorted(search(patterns, capacity, rounds).items(), reverse=True)
-
-
-def search(patterns: Counter, capacity: int, rounds: int, givers: int = 64) -> Counter:
+    return sorted(search(best_fit(counts, capacity), capacity, rounds, givers).items(), reverse=True)
+
+
+def search(patterns: Counter, capacity: int, rounds: int | None = None, givers: int | None = None) -> Counter:
     """Exchanges between underfull bins, each increasing the sum of squared fills; equal pairs move together.
 
-    The emptiest bin gives until it is empty or nothing fits; then the next ones, ``givers`` of them at most. It ends
-    when no exchange is left, when the open bins are as few as their pieces allow, or after ``rounds`` exchanges
-    (a bound on the driver's work: the packing is whole after every exchange).
+    The emptiest bin gives until it is empty or nothing fits; then the next ones. It ends when no exchange is left or
+    when the open bins are as few as their pieces allow; ``rounds`` bounds the exchanges and ``givers`` the patterns
+    that may give, for a driver that must be done sooner (the packing is whole after every exchange).
     """
     full = Counter({p: n for p, n in patterns.items() if sum(p) == capacity})
     open_ = Counter({p: n for p, n in patterns.items() if sum(p) < capacity})
-    fill = {p: sum(p) for p in open_}
-    least = -(-sum(fill[p] * n for p, n in open_.items()) // capacity)
-    count, ranked, known = sum(open_.values()), sorted((f, p) for p, f in fill.items()), {}
-    for _ in range(rounds):
-        step = None
-        if count > least:
-            step = next((s for _, g in ranked[:givers] for _, t in reversed(ranked) if (t != g or open_[t] > 1) and (s := _known(known, g, t, capacity))), None)
-        if not step:
-            break
+    fill = sum(sum(p) * n for p, n in open_.items())
+    count, ranked, known = sum(open_.values()), sorted((sum(p), p) for p in open_), {}
+    # The takers that each giver has still to look at, the fullest last; what comes later is looked at first.
+    takers = [p for _, p in ranked]
+    waiting = {p: list(takers) for p in takers}
+    done = 0
+
+    def found():
+        for _, g in ranked[:givers]:
+            mine = waiting[g]
+            while mine:
+                t = mine[-1]
+                if open_[t] > (t == g) and (step := _known(known, g, t, capacity)):
+                    return step
+                mine.pop()
+        return None
+
+    while count > -(-fill // capacity) and (rounds is None or done < rounds) and (step := found()):
+        done += 1
         giver, taker, less, more = step
         times = open_[giver] // 2 if giver == taker else min(open_[giver], open_[taker])
         for p, n in ((giver, -times), (taker, -times), (less, times), (more, times)):
@@ -158,15 +197,21 @@ def search(patterns: Counter, capacity: int, rounds: int, givers: int = 64) -> C
             size = sum(p)
             if size == capacity:
                 full[p] += n
-                least -= n
+                fill -= n * size
                 continue
-            if p not in open_:
-                bisect.insort(ranked, (size, p))
-            open_[p] += n
+            before, now = open_[p], open_[p] + n
             count += n
-            if not open_[p]:
-                del open_[p]
+            open_[p] = now
+            if not now:
+                del open_[p], waiting[p]
                 ranked.pop(bisect.bisect_left(ranked, (size, p)))
+                continue
+            if not before:
+                waiting[p] = [t for _, t in ranked]
+                bisect.insort(ranked, (size, p))
+            if before < 2:  # new for all, or a pair of its own for the first time
+                for mine in waiting.values():
+                    mine.append(p)
     return full + open_
 
 
@@ -241,15 +286,15 @@ class Places:
         return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``."""
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, rounds: int | None = None, givers: int | None = None) -> DataFrame:
+    """Pieces with ``sequence_id`` and ``offset``; ``rounds`` and ``givers`` as for search()."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = save(pieces(docs, tokenizer, key, text, capacity, end), "pieces")
     counts = parts.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = save(counts, "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
+    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity, rounds, givers)))
     before = counts.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before")
     # The counts grow with the tasks, so they are merged in and never broadcast.
     numbered = parts.join(before.hint("merge"), ["length", "task"]).selectExpr(f"`{key}`", "piece", "start", "length", "ids_crc32", "before + local AS number")

@@ -89,3 +89,38 @@ def test_search_empties_a_bin():
 def test_two_for_one():
     step = P.exchange((3, 3, 1), (5, 4), 10)
     assert step is not None and sum(step[2]) == 10
+
+
+def test_long_runs_of_spaces_have_the_library_ids(spark):
+    """Texts that tiktoken rejects: the ids are those of tokenizers, and packing them does not fail."""
+    texts = {1: " " * 1_200_000 + "x", 2: "\n" * 1_000_000 + "y", 3: "z" * 1_000_000, 4: "end"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check([tuple(r) for r in P.pack(df, Q.tokenizer_path(), rounds=5, givers=8).collect()], texts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_decreasing(seed):
+    """The same bins as piece by piece."""
+    rng = np.random.default_rng(seed)
+    counts = {int(k): int(n) for k, n in zip(rng.integers(1, 65, 25), rng.integers(1, 40, 25), strict=True)}
+    bins = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [b for b in bins if sum(b) + length <= 64]
+            if fits:
+                max(fits, key=sum).append(length)
+            else:
+                bins.append([length])
+    got = P.best_fit(counts, 64)
+    assert sum(got.values()) == len(bins)
+    assert sorted(sum(p) for p, n in got.items() for _ in range(n)) == sorted(map(sum, bins))
+
+
+def test_search_ends_without_an_exchange_that_helps():
+    """Nothing bounds the search but that no pair of open bins has an exchange left."""
+    rng = np.random.default_rng(3)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(rng.integers(17, 29, 400), return_counts=True), strict=True)}
+    bins = dict(P.plan(counts, 64))
+    open_ = [p for p in bins if sum(p) < 64]
+    if sum(bins.values()) > -(-sum(k * n for k, n in counts.items()) // 64):
+        assert not any(P.exchange(g, t, 64) for g in open_ for t in open_ if sum(g) <= sum(t) and (g != t or bins[g] > 1))
