@@ -98,9 +98,9 @@ SQL["op10_link_graph"] = rf"""
 WITH p AS (SELECT page_id, coalesce({_HOST.replace("{u}", "url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 r AS (SELECT page_id, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule FROM ({_FIT}) GROUP BY page_id),
 l AS (SELECT host AS source, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM p),
-e AS (SELECT source, target, count(*)::DOUBLE AS n FROM (SELECT source, {_HOST.replace("{u}", "link")} AS target FROM l WHERE contains(link, '://')) WHERE source <> target AND source <> '' AND target <> '' GROUP BY source, target),
+e AS (SELECT source, target, count(*)::DOUBLE AS n FROM (SELECT source, {_HOST.replace("{u}", "link")} AS target FROM (SELECT source, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM l WHERE regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//'))) WHERE source <> target AND source <> '' AND target <> '' GROUP BY source, target),
 seeds AS (SELECT host, avg(coalesce(verdict = 'allow', false)::INT) AS trusted, avg(coalesce(verdict = 'block', false)::INT) AS blocked FROM p LEFT JOIN r USING (page_id) WHERE host <> '' GROUP BY host),
 {_walk("t", "trusted", "source", "target")}, {_walk("d", "blocked", "target", "source")}
-SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN round(coalesce(d{ROUNDS}.v, 0) - coalesce(t{ROUNDS}.v, 0), 9) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN d{ROUNDS}.v > 0 AND round(d{ROUNDS}.v - coalesce(t{ROUNDS}.v, 0) - {THRESHOLD} * (SELECT avg(v) FROM d{ROUNDS} WHERE v > 0), 9) >= 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN r USING (page_id) LEFT JOIN t{ROUNDS} ON t{ROUNDS}.host = p.host LEFT JOIN d{ROUNDS} ON d{ROUNDS}.host = p.host
 """

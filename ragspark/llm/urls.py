@@ -4,17 +4,20 @@ Rules name a host and a path prefix; a rule fits its host and all subdomains, th
 
 Propagation: every host has a share of pages that a block rule blocks and of pages that an allow rule allows.
 Trust is a personalised PageRank from the allowed shares along the links between hosts; distrust is one from the
-blocked shares along the reversed links, so it reaches the hosts that link to blocked ones. A page without a rule is
-blocked when its host's distrust exceeds its trust by ``threshold`` (a fully blocked seed has 1 - damping = 0.15 of
-its own), otherwise allowed.
+blocked shares along the reversed links, so it reaches the hosts that link to blocked ones. Both start from shares
+and not from distributions, so a host's trust and distrust have one unit; what reaches a host without links ends
+there. A page without a rule is blocked when its host's distrust exceeds its trust by ``threshold`` times the mean
+distrust of the hosts that have any (so the verdict does not depend on the size of the graph), otherwise allowed.
 
-Links are the href values of the html; those with // in front lead to the host named there, other relative ones to
-the page's own host, and links within a host carry nothing. Host edges are summed before any join, the table of verdicts is written first, so the join to the pages is
-broadcast if small or split by the adaptive skew join.
+Links are the href values of the html, resolved as a browser does: those that begin with a scheme and ``//``, or with
+``//`` alone, lead to the host named there; every other one stays on the page's own host, whatever stands in its
+query, and links within a host carry nothing. Host edges are summed before any join, the table of verdicts is written
+first, so the join to the pages is broadcast if small or split by the adaptive skew join.
 
 Defined results: a null url or one without ``://`` has an empty host and path, matches no rule and is allowed; null
-html has no links; repeated rows count as pages of their own; an empty table gives no rows; other columns are
-ignored.
+html has no links, html of any length is searched whole; rules of equal length fit one url only if they are equal,
+and then the later one wins; repeated rows count as pages of their own; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from ragspark.llm.shared import save
 
 #: The rules of the contract: verdict, host, path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.05
+DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+#: Links that name a host.
+OUTWARD = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,9 +55,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, n) between different hosts; ``pages`` has host and html."""
     found = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    out = F.filter(found, lambda u: u.rlike(OUTWARD))
     # A link that starts with // takes the page's scheme, which the host does not depend on.
-    whole = F.transform(found, lambda u: F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))
-    target = F.explode(F.transform(F.filter(whole, lambda u: u.contains("://")), host_of))
+    target = F.explode(F.transform(out, lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))))
     links = pages.where(F.col("html").contains("//")).select(F.col("host").alias("source"), target.alias("target"))
     return links.where("source <> target AND source <> '' AND target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
 
@@ -86,7 +91,8 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     both = trust.select("host", F.col("value").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("value").alias("distrust")))
     hosts = save(both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "hosts")
     out = parts.drop("html").join(hosts, "host", "left")
+    mean = hosts.where("distrust > 0").agg(F.avg("distrust")).collect()[0][0] or 0.0
     # Rounded, so that the order of a sum decides nothing.
-    over = F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9)
-    verdict = F.coalesce("fit.verdict", F.when(over >= threshold, "block").otherwise("allow"))
+    over = F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) - threshold * mean, 9)
+    verdict = F.coalesce("fit.verdict", F.when((over >= 0) & (F.coalesce("distrust", F.lit(0.0)) > 0), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -23,7 +23,9 @@ def brute(pages, rules=U.RULES):
         if host:
             shares[host].append(rule[0])
             for u in re.findall(r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", html or ""):
-                target = split(u)[0]
+                if not re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", u):
+                    continue
+                target = split("x:" + u if u.startswith("//") else u)[0]
                 if target and target != host:
                     edges[host, target] += 1
 
@@ -41,8 +43,10 @@ def brute(pages, rules=U.RULES):
         return value
 
     trust, distrust = walk("allow", edges), walk("block", {(b, a): n for (a, b), n in edges.items()})
+    bad = [v for v in distrust.values() if v > 0]
+    least = U.THRESHOLD * sum(bad) / max(1, len(bad))
     for page_id, host, path, rule, verdict in rows:
-        yield page_id, host, path, rule, verdict or ("block" if distrust.get(host, 0) - trust.get(host, 0) >= U.THRESHOLD else "allow")
+        yield page_id, host, path, rule, verdict or ("block" if distrust.get(host, 0) > 0 and round(distrust[host] - trust.get(host, 0) - least, 9) >= 0 else "allow")
 
 
 def order(rows):
@@ -87,5 +91,17 @@ def test_edges_and_propagation(spark):
 
 def test_links_without_a_scheme(spark):
     pages = [("a.test", '<a href="//Bad.org/x?y"> <a href=//b.test> <a href="/own//path">'), ("b.test", "<a href='//b.test/'>")]
+    # A host named in a query is no link; schemes are case-blind; very long html is searched to its end.
+    pages += [("c.test", '<a href="/login?next=http://victim.test/y"> <a href="page?u=//victim.test"> <a href="HTTPS://End.test#x"> <a href="mailto:x//y">')]
+    pages += [("d.test", "<p> text //" * 100_000 + "<a href=http://last.test>" * 2)]
     got = U.host_edges(spark.createDataFrame(pages, "host string, html string")).collect()
-    assert order(got) == order([("a.test", "bad.org", 1), ("a.test", "b.test", 1)])
+    assert order(got) == order([("a.test", "bad.org", 1), ("a.test", "b.test", 1), ("c.test", "end.test", 1), ("d.test", "last.test", 2)])
+
+
+def test_distrust_shared_by_many(spark):
+    """A blocked host with ten hosts that link to it: each of them is blocked, however little each one gets."""
+    pages = [(0, "http://bad.org/es/1", None)] + [(i, f"http://h{i}.test/", '<a href="http://bad.org/">') for i in range(1, 11)] + [(99, "http://clean.test/", '<a href="http://h1.test/?q=http://bad.org">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in U.judge(df).collect()}
+    assert got == {r[0]: r[4] for r in brute(pages)}
+    assert all(got[i] == "block" for i in range(2, 11))
