@@ -5,14 +5,15 @@ Base statistics of the whole text decide ``base_failed``. Then every line with a
 * punctuation: a line of prose ends in a sentence mark (closing quotes and brackets may follow); a line fails if it
   has ``min_words`` words or more and no sentence mark or separator anywhere in its last word;
 * navigation: separators (| > » · •) stand between at least ``nav_share`` of the words, three of them at least;
-* boilerplate: it contains one of the fixed phrases of BOILERPLATE.
+* boilerplate: it contains one of the fixed phrases of BOILERPLATE, which has some of each of four languages.
 
 Lines that fail are removed, and a document that loses more than ``max_lost`` of its word characters is rejected.
 
 A repeated three-word window is found without a shuffle: the windows' hashes are sorted with their places inside
 the row, equal neighbours are repeats, and the places they cover are counted.
 
-Defined results: null or empty text has no words and fails; repeated rows are judged each by itself; an empty table
+Defined results: null or empty text has no words and fails; a text of any length is judged whole; of equal lines the
+first counts and the others are duplicates; exactly ``max_lost`` is still kept; repeated rows are judged each by itself; an empty table
 gives no rows; other columns pass through (those named like an output are replaced). Nothing is quadratic in a
 text's length.
 """
@@ -31,8 +32,24 @@ WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = r"[|>»·•]"
 
-#: Phrases that mark a line of a page's furniture, in lower case.
+#: Phrases that mark a line of a page's furniture, in lower case: English, German, Spanish and French.
 BOILERPLATE = [
+    "aceptar cookies",
+    "accepter les cookies",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "en savoir plus",
+    "inscrivez-vous",
+    "leer más",
+    "mehr erfahren",
+    "mentions légales",
+    "nutzungsbedingungen",
+    "politique de confidentialité",
+    "política de privacidad",
+    "regístrate",
+    "todos los derechos reservados",
+    "tous droits réservés",
+    "weiterlesen",
     "all rights reserved",
     "accept cookies",
     "click here",
