@@ -1,14 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the hashed 1- to 3-grams of all labelled training texts, task by task; the counts meet in a Spark
-sum, and the log-probability matrix (2**BITS rows, a column per language, at most MAX_LANGUAGES) is broadcast.
+sum, and the log-probability matrix (2**BITS rows, a column per language, at most MAX_LANGUAGES, so 64 MB) is
+broadcast; the sums reach the driver as Arrow columns.
 Scoring gathers the matrix rows of a batch's n-grams and sums them per text with numpy.
 
 The training rows are those with a label and an id whose crc32 (of its decimal text) is not divisible by FOLDS;
 the label, source and id never enter a prediction.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any training row every text
-is ``und``; a null id is held out; ties go to the label that sorts first; other columns pass through (those named
+is ``und``; a text of any length is scored whole; a null id is held out; ties go to the label that sorts first; other columns pass through (those named
 like an output are replaced; ``keep_identified`` gives all back).
 """
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import set_aside, small_batches
+from ragspark.llm.shared import save, set_aside, small_batches
 
-FOLDS, BITS, ORDERS, ALPHA, MAX_LANGUAGES = 5, 15, 3, 0.5, 1024
+FOLDS, BITS, ORDERS, ALPHA, MAX_LANGUAGES = 5, 15, 3, 0.5, 256
 UNKNOWN = "und"
 
 
@@ -78,17 +79,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
 
     rows = docs.where(F.col(f"`{label}`").isNotNull() & ~held_out(doc_id, folds)).select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"))
     sums = rows.mapInArrow(count, "label string, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
-    by_label = sums.groupBy("label").agg(F.collect_list(F.struct("code", "n")).alias("counts"))
-    found = sorted(by_label.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["label"])
+    sums = save(sums, "counts")
+    found = sorted(r["label"] for r in sums.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    table = sums.toArrow()
     counts = np.zeros((size + 1, len(found)), np.float64)
-    for j, r in enumerate(found):
-        code, n = np.array(r["counts"], np.int64).reshape(-1, 2).T
-        counts[code, j] = n
+    column = {label: j for j, label in enumerate(found)}
+    at = np.array([column[x] for x in table["label"].to_pylist()], np.int64)
+    counts[table["code"].to_numpy(), at] = table["n"].to_numpy()
     rows_of = counts[size]
     smooth = counts[:size] + alpha
-    return [r["label"] for r in found], np.log(rows_of / rows_of.sum()) if found else rows_of, np.log(smooth / smooth.sum(0))
+    return found, np.log(rows_of / rows_of.sum()) if found else rows_of, np.log(smooth / smooth.sum(0))
 
 
 def has_letter(text: str) -> bool:
