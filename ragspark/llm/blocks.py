@@ -3,13 +3,15 @@
 The index holds every non-overlapping block of ``block`` words (half a window), the probes are all rolling windows
 of ``block`` words: any ``window`` words contain a whole block, so a repeat of a window makes a probe of one text hit
 a block of the other. Around the hits the repeats are extended to full windows: a window whose own block was hit is
-compared, by its 64-bit hash, with all other such windows, and every one but the first occurrence is removed;
-neighbouring removed windows join to the maximal exact repeats.
+compared with all other such windows, and every one but the first occurrence is removed; neighbouring removed windows
+join to the maximal exact repeats. Windows are compared by 64-bit hashes of their words: the words themselves are in
+other chunks and do not travel.
 
 First is the smaller (key, word position). Windows that repeat within a chunk are settled there, so what a
 frequent passage sends on is one entry per chunk.
 
-Defined results: null or empty text has no words; rows that repeat a key and a text are one document (neither is
+Defined results: null or empty text has no words; a text of any length is searched whole; keys are whole numbers (or
+text that casts to long); rows that repeat a key and a text are one document (neither is
 earlier than the other, except at different positions); a null key sorts before all others; other columns are
 ignored; an empty table gives no rows.
 """

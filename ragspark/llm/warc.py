@@ -11,7 +11,7 @@ holds them, and read whole with ``binaryFile``; ``records_per_file`` times ``seg
 Reading: every record of a file is parsed; one group by origin id collects the segments of a record, which are
 ordered by number, checked against the total length, joined, and freed of their chunked framing.
 
-Defined results: null html is an empty payload; a null id or url is left out of the headers and read back as null;
+Defined results: null html is an empty payload; html of any length is cut into segments and comes back whole; a null id or url is left out of the headers and read back as null;
 rows that repeat an id and a payload are all responses (none has a smaller id); a null id counts as smaller than
 any other; records with a missing segment or a wrong length have ``status`` set and a null payload; an empty table
 gives archives without records; other columns are ignored.

@@ -42,12 +42,22 @@ def test_run_equals_brute_force(spark):
 def test_edges(spark, n):
     name, stage = P.STAGES[n]
     prose = "this is a plain sentence with some words number %d in it and more of them follow here today"
-    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, prose % 3, "en", "a", 91), (3, prose % 3, "en", "a", 91), (None, prose % 4, "en", "b", 91), (5, "password=abcdef123 " + prose % 5, None, None, 99), (6, "123 !", "en", "a", 5), (7, "wort und der die das " * 20, "de", "c", 400)]
+    long = prose % 8 + " and " + " ".join(f"this{i} is the{i} very long of and" for i in range(30_000))
+    rows = [(8, long, "en", "e", len(long)), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, prose % 3, "en", "a", 91), (3, prose % 3, "en", "a", 91), (None, prose % 4, "en", "b", 91), (5, "password=abcdef123 " + prose % 5, None, None, 99), (6, "123 !", "en", "a", 5), (7, "wort und der die das " * 20, "de", "c", 400)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id_ string")
     out = stage(spark, df, SF)
     got = out.collect()
-    if name != "packing":
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got)
+    every = [1, 2, 3, 3, 5, 6, 7, 8, None]
+    # Language: what has no letter goes. Near copies: of the repeated row one stays. Packing: a piece for each 1024 ids.
+    kept = {"language": [3, 3, 5, 7, 8, None], "near_copies": [1, 2, 3, 5, 6, 7, 8, None], "decontaminate": every, "secrets": every}
+    if name == "packing":
+        n = 1 + len(test_packing.P.encoder(str(P.tokenizer_path()))([long])[0])
+        assert ids == sorted((i is None, i or 0) for i in [*every, *[8] * (-(-n // 1024) - 1)])
+    else:
         assert out.columns == df.columns
-    texts = [r["text"] for r in got] if name != "packing" else []
-    assert {"language": len(got) == 5, "near_copies": len(got) == 6 or len(got) == 7, "decontaminate": len(got) == 8, "secrets": len(got) == 8 and any("<secret>" in (t or "") for t in texts), "packing": len(got) == 8}[name], got
+        assert ids == sorted((i is None, i or 0) for i in kept[name])
+        texts = {r["doc_id"]: r["text"] for r in got}
+        assert texts[8] == long
+        assert texts[5] == ("<secret> " + prose % 5 if name == "secrets" else "password=abcdef123 " + prose % 5)
     assert stage(spark, df.limit(0), SF).count() == 0
