@@ -134,8 +134,8 @@ def semantic_search(
     bounded("top_k", top_k, 1, 50)
     spark = chunks.sparkSession
     own = retrieve.profile(profile)
-    chunks = saved(chunks, "chunks")  # used by both lists, the filters and the result
-    vectors = saved(chunks.select("position", embedder(F.col("text")).alias("vector")), "vectors")
+    # Chunks come numbered, so their table is written already; vectors are kept as 32-bit floats, as models give them.
+    vectors = saved(chunks.select("position", embedder(F.col("text")).cast("array<float>").alias("vector")), "vectors")
     mine = spark.createDataFrame([(query,)], "text string").select(embedder(F.col("text")).alias("v")).collect()[0]["v"]
     words = lexical.bm25(chunks, spark.createDataFrame([(0, query)], "query_id int, text string"), "position").select("position", F.col("score").alias("lexical_score")).where("lexical_score > 0")
     limits = {"pool_vectors": max(3 * top_k, 30), "pool_words": top_k} if pools else {}
