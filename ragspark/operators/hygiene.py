@@ -46,7 +46,10 @@ def banner_ratio(pages: DataFrame, key: str, text: str) -> DataFrame:
         more = F.struct(a["done"].alias("done"), (a["n"] + 1).alias("n"), (a["exact"] + x["exact"].cast("int")).alias("exact"), (a["button"] | x["button"]).alias("button"))
         return F.when(x["exact"] | x["word"], more).otherwise(F.struct(total(a).alias("done"), F.lit(0).alias("n"), F.lit(0).alias("exact"), F.lit(False).alias("button")))
 
-    found = let(flags, lambda f: F.struct(F.size(f).cast("long").alias("lines"), F.aggregate(f, zero, step, total).cast("long").alias("banner_lines")))
+    count = lambda n, hits: F.struct(n.cast("long").alias("lines"), hits.cast("long").alias("banner_lines"))
+    some = F.col(text).rlike("(?i)" + "|".join([*BANNER_EXACT, BANNER_WORDS.removeprefix("(?i)")]))  # most pages have no such word at all
+    folded = let(flags, lambda f: count(F.size(f), F.aggregate(f, zero, step, total)))
+    found = F.when(some, folded).otherwise(count(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))), F.lit(0)))
     out = pages.select(key, found.alias("_b")).where("_b.lines > 0").select(key, "_b.lines", "_b.banner_lines")
     return out.withColumn("ratio", F.col("banner_lines") / F.col("lines"))
 
