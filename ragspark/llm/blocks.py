@@ -2,13 +2,13 @@
 
 The index holds every non-overlapping block of ``block`` words (half a window), the probes are all rolling windows
 of ``block`` words: any ``window`` words contain a whole block, so a repeat of a window makes a probe of one text hit
-a block of the other. Around the hits the repeats are extended to full windows: a window whose own block was hit is
-compared with all other such windows, and every one but the first occurrence is removed; neighbouring removed windows
-join to the maximal exact repeats. Windows are compared by 64-bit hashes of their words: the words themselves are in
-other chunks and do not travel.
+a block of the other. All places with a hit meet by their block, with the words around it, and are extended word by
+word to both sides: two places share the windows that start up to as many words before the block, and end up to as
+many after it, as they have in common there. Of every such window all but the first occurrence are removed;
+neighbouring removed windows join to the maximal exact repeats. Words are told apart by 64-bit hashes.
 
-First is the smaller (key, word position). Windows that repeat within a chunk are settled there, so what a
-frequent passage sends on is one entry per chunk.
+First is the smaller (key, word position). Places with the same words all around are settled inside their chunk, so
+what a frequent passage sends on is one entry per chunk.
 
 Defined results: null or empty text has no words; a text of any length is searched whole; keys are whole numbers (or
 text that casts to long); rows that repeat a key and a text are one document (neither is
@@ -22,13 +22,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from ragspark.llm import chunked as C
 from ragspark.llm import kernel as K
 from ragspark.llm.shared import save
 
-WINDOW = 20
+WINDOW, SLICE = 20, 1 << 16
 NULL_KEY = np.iinfo(np.int64).min
 
 
@@ -90,55 +91,106 @@ def _hits(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
     return [np.packbits(own).tobytes() if (own := hit[i:j]).any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _candidates(words: Words, ids, hits: dict[int, bytes], block: int, window: int, buckets: int):
-    """Windows whose own block was hit: (places removed already, places sent in bucket order, hash, key, position,
-    where the buckets begin)."""
-    place, own, values, _, _, begin = _probes(words, block, buckets)
-    told = C.told(hits, begin, len(values))
-    hit = np.zeros(len(words.hashes) + block, bool)
-    hit[place[told[own]]] = True
-    place, hashed = words.windows(window)
-    position = words.position(place)
-    near = hit[place + (-position) % block]
-    place, hashed, position = place[near], hashed[near], position[near]
-    keys = np.array([NULL_KEY if x is None else x for x in ids], np.int64)
-    key = keys[np.searchsorted(words.first, place, "right") - 1]
-    order = np.lexsort((position, key, hashed))
-    h, k, p = hashed[order], key[order], position[order]
-    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    top = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    first = np.zeros(len(h), bool)
-    first[order] = (k == k[top]) & (p == p[top])
-    removed = place[~first]
-    place, hashed, key, position = place[first], hashed[first], key[first], position[first]
-    order, begin = C.bucket_order(hashed, buckets)
-    return removed, place[order], hashed[order], key[order], position[order], begin
-
-
-def _send_windows(block: int, window: int, buckets: int):
+class Hits:
+    """The places of a chunk whose block was hit, in bucket order, with the words around them. ``sent`` are the first
+    of those with equal words, ``same`` maps each place to its one, ``behind`` marks those that come after it."""
+
+    def __init__(self, words: Words, ids, hits: dict[int, bytes], block: int, window: int, buckets: int):
+        place, own, values, _, _, begin = _probes(words, block, buckets)
+        hit = C.told(hits, begin, len(values))[own]
+        place, gram = place[hit], values[own[hit]]
+        side = window - block
+        text = np.searchsorted(words.first, place, "right") - 1
+        left = np.minimum(place - words.first[text], side)
+        right = np.minimum(words.first[text + 1] - place - block, side)
+        keys = np.array([NULL_KEY if x is None else x for x in ids], np.int64)
+        key, position = keys[text], place - words.first[text]
+        able = np.flatnonzero(left + right >= side)
+        able = able[np.lexsort((position[able], key[able], gram[able]))]
+        self.place, self.gram, self.left, self.right, self.key, self.position = (x[able] for x in (place, gram, left, right, key, position))
+        self.words, self.block, self.step = words.hashes, block, np.arange(side)
+        name, equal = np.empty(len(able), K.U64), np.empty(len(able), bool)
+        slices = [np.arange(i, min(i + SLICE, len(able))) for i in range(0, len(able), SLICE)]  # the words around take 160 bytes a place
+        for at in slices:
+            own = self.gram[at]
+            for column in (self.left[at].astype(K.U64), self.right[at].astype(K.U64), *self.around(at).T):
+                own = K.mix(own * K._M1 ^ column)
+            name[at] = own
+        _, first, own = np.unique(name, return_index=True, return_inverse=True)
+        first = first[own]  # the earliest, as the places are in order within a block
+        for at in slices:
+            to = first[at]
+            equal[at] = (self.gram[at] == self.gram[to]) & (self.left[at] == self.left[to]) & (self.right[at] == self.right[to]) & (self.around(at) == self.around(to)).all(1)
+        first = np.where(equal, first, np.arange(len(first)))
+        self.behind = (self.key != self.key[first]) | (self.position != self.position[first])
+        self.sent, self.same = np.unique(first, return_inverse=True)
+        self.begin = np.searchsorted(self.gram[self.sent] >> K.U64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=K.U64))
+
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """The hashes of the words before a place, the nearest first, and of those after its block; 0 beyond the text."""
+        place, step = self.place[at][:, None], self.step
+        words = np.column_stack((place - 1 - step, place + self.block + step))
+        there = np.column_stack((step < self.left[at][:, None], step < self.right[at][:, None]))
+        return np.where(there, self.words[np.clip(words, 0, max(0, len(self.words) - 1))], K.U64(0))
+
+    def payload(self, i: int, j: int) -> bytes:
+        own = self.sent[i:j]
+        parts = (self.gram[own], self.key[own], self.position[own].astype("<u4"), self.left[own].astype(np.uint8), self.right[own].astype(np.uint8), self.around(own))
+        return zstandard.compress(np.array([j - i], "<u4").tobytes() + b"".join(x.tobytes() for x in parts), 1)
+
+
+def _send_hits(block: int, window: int, buckets: int):
     def run(batches):
         for chunk, ids, off, body, hits in C.rows_of(batches, ["chunk", "ids", "off", "body", "hits"]):
             if hits := C.payloads(hits):
-                _, _, h, k, p, begin = _candidates(Words(off.as_py(), body.as_py()), ids.as_py(), hits, block, window, buckets)
-                parts = [(b, h[i:j].tobytes() + k[i:j].tobytes() + p[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i]
-                yield C.sent(chunk.as_py(), parts)
+                h = Hits(Words(off.as_py(), body.as_py()), ids.as_py(), hits, block, window, buckets)
+                yield C.sent(chunk.as_py(), [(b, h.payload(i, j)) for b, (i, j) in enumerate(zip(h.begin[:-1].tolist(), h.begin[1:].tolist(), strict=True)) if j > i])
 
     return run
 
 
-def _later(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
-    """For each payload the bits of its windows that occur earlier in another one."""
-    sizes = [len(p) // 20 for p in payloads]
-    part = lambda kind, width, skip: np.concatenate([np.frombuffer(p, kind, n, skip * n) for p, n in zip(payloads, sizes, strict=True)])
-    h, k, p = part("<u8", 8, 0), part("<i8", 8, 8), part("<u4", 4, 16)
-    order = np.lexsort((p, k, h))
-    sh, sk, sp = h[order], k[order], p[order]
-    new = np.concatenate(([True], sh[1:] != sh[:-1]))
-    top = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = np.zeros(len(h), bool)
-    later[order] = (sk != sk[top]) | (sp != sp[top])
-    at = np.cumsum([0, *sizes])
-    return [np.packbits(own).tobytes() if (own := later[i:j]).any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
+def extended(gram: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """For n = 0, 1, ...: the class of each place among those with the same block and the same first n ``words``."""
+    order = np.lexsort((*words.T[::-1], gram))
+    new = np.concatenate(([True], gram[order][1:] != gram[order][:-1]))
+    out = []
+    for n in range(words.shape[1] + 1):
+        if n:
+            column = words[order, n - 1]
+            new[1:] |= column[1:] != column[:-1]
+        own = np.empty(len(order), np.int64)
+        own[order] = np.cumsum(new)
+        out.append(own)
+    return out
+
+
+def _later(side: int):
+    def answer(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
+        """For each payload a mask per place: bit n is set if the window that starts n words before the block occurs
+        earlier elsewhere."""
+        held, sizes = [], []
+        for p in payloads:
+            p = zstandard.decompress(p)
+            n = int(np.frombuffer(p, "<u4", 1)[0])
+            held.append((np.frombuffer(p, "<u8", n, 4), np.frombuffer(p, "<i8", n, 4 + 8 * n), np.frombuffer(p, "<u4", n, 4 + 16 * n), np.frombuffer(p, np.uint8, n, 4 + 20 * n), np.frombuffer(p, np.uint8, n, 4 + 21 * n), np.frombuffer(p, "<u8", 2 * side * n, 4 + 22 * n).reshape(n, 2 * side)))
+            sizes.append(n)
+        gram, key, position, left, right, around = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((position, key))
+        gram, key, position, left, right, around = (x[order] for x in (gram, key, position, left, right, around))
+        before, after = extended(gram, around[:, :side]), extended(gram, around[:, side:])
+        mask = np.zeros(len(gram), K.U64)
+        for n in range(side + 1):
+            able = np.flatnonzero((left >= n) & (right >= side - n))
+            _, first, own = np.unique(before[n][able] * (len(gram) + 1) + after[side - n][able], return_index=True, return_inverse=True)
+            top = able[first][own]
+            late = able[(key[able] != key[top]) | (position[able] != position[top])]
+            mask[late] |= K.U64(1 << n)
+        back = np.empty_like(mask)
+        back[order] = mask
+        at = np.cumsum([0, *sizes])
+        return [back[i:j].tobytes() if back[i:j].any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    return answer
 
 
 def _results(block: int, window: int, buckets: int):
@@ -147,11 +199,15 @@ def _results(block: int, window: int, buckets: int):
             words, ids, later = Words(off.as_py(), body.as_py()), ids.as_py(), C.payloads(later)
             gone = np.zeros(len(words.starts), bool)
             if hits := C.payloads(hits):
-                removed, place, _, _, _, begin = _candidates(words, ids, hits, block, window, buckets)
+                h = Hits(words, ids, hits, block, window, buckets)
+                mask = np.zeros(len(h.sent), K.U64)
                 for b, bits in later.items():
-                    own = place[begin[b] : begin[b + 1]]
-                    removed = np.append(removed, own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)])
-                gone = K.cover(removed, window, len(gone))
+                    mask[h.begin[b] : h.begin[b + 1]] = np.frombuffer(bits, "<u8")
+                mask, removed = mask[h.same], []
+                for n in range(window - block + 1):
+                    late = h.behind | ((mask >> K.U64(n)) & K.U64(1)).astype(bool)
+                    removed.append(h.place[late & (h.left >= n) & (h.right >= window - block - n)] - n)
+                gone = K.cover(np.concatenate(removed), window, len(gone))
             kept = np.flatnonzero(~gone)
             size = words.ends[kept] - words.starts[kept] + 1
             owner, at = K.many(size)
@@ -181,15 +237,15 @@ def _results(block: int, window: int, buckets: int):
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """A row per document: key, n_words, n_removed, kept_sha256, spans (words removed: start, end) and kept, the
-    remaining words joined by one space."""
+    remaining words joined by one space. ``window`` is 126 words at most."""
     block = window // 2
     chunks = C.build(docs, key, text)
     buckets = chunks.buckets(6 << 20)
     cols = ["chunk", "ids", "off", "body"]
     probes = chunks.table.select("chunk", "off", "body").mapInArrow(_send_probes(block, buckets), C.SENT)
     hits = save(C.meet(probes, chunks.parts, _hits), "hits")
-    near = C.joined(chunks, hits=hits).select(*cols, "hits").mapInArrow(_send_windows(block, window, buckets), C.SENT)
-    later = save(C.meet(near, chunks.parts, _later), "later")
+    near = C.joined(chunks, hits=hits).select(*cols, "hits").mapInArrow(_send_hits(block, window, buckets), C.SENT)
+    later = save(C.meet(near, chunks.parts, _later(window - block)), "later")
     out = C.joined(chunks, hits=hits, later=later).select(*cols, "hits", "later")
     return out.mapInArrow(_results(block, window, buckets), "key long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string").withColumnRenamed("key", key)
 
