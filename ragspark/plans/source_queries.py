@@ -234,6 +234,51 @@ def markdown_elements(spark, sf):
     return out.select("p_partkey", "position", "type", "level", "text", F.array_join("items", "|").alias("items"), "language", "n_rows", "src")
 
 
+PAGE = "concat('<title>', p_name, ' | Site</title><meta name=\"description\" content=\"', p_type, '\"><nav>menu</nav><article><h2>', p_name, '</h2><p>The ', p_type, ' part has the brand <b>', p_brand, '</b> &amp; is sold in many places.</p><ul><li>one</li><li>', p_brand, '</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td>', p_size, '</td><td>2</td></tr></table><pre><code class=\"language-py\">x = ', p_size, '</code></pre><img src=\"https://i.test/', p_partkey, '.png\" alt=\"al\"><script>no</script></article>')"
+PAGE_SQL = """SELECT p_partkey, unnest([
+{'position': 0, 'type': 'heading', 'level': 2, 'text': p_name, 'items': NULL, 'language': NULL, 'markdown': NULL, 'src': NULL},
+{'position': 1, 'type': 'text', 'level': NULL, 'text': 'The ' || p_type || ' part has the brand ' || p_brand || ' & is sold in many places.', 'items': NULL, 'language': NULL, 'markdown': NULL, 'src': NULL},
+{'position': 2, 'type': 'list', 'level': NULL, 'text': NULL, 'items': 'one|' || p_brand, 'language': NULL, 'markdown': NULL, 'src': NULL},
+{'position': 3, 'type': 'table', 'level': NULL, 'text': NULL, 'items': NULL, 'language': NULL, 'markdown': '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_size || ' | 2 |', 'src': NULL},
+{'position': 4, 'type': 'code', 'level': NULL, 'text': NULL, 'items': NULL, 'language': 'py', 'markdown': NULL, 'src': NULL},
+{'position': 5, 'type': 'image', 'level': NULL, 'text': NULL, 'items': NULL, 'language': NULL, 'markdown': NULL, 'src': 'https://i.test/' || p_partkey || '.png'}], recursive := true) FROM part"""
+
+
+def built_pages(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", F.lit("https://a.test/").alias("url"), F.expr(PAGE).alias("html"))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("p_partkey", "position", "type", "level", "text", F.array_join("items", "|").alias("items"), "language", "markdown", "src")
+
+
+@query(PAGE_SQL)
+def page_elements(spark, sf):
+    """All six kinds of elements of a built page, in order."""
+    return _shown(elements.extract(built_pages(spark, sf), "p_partkey", "html"))
+
+
+@query(f"SELECT *, 3 AS omitted FROM ({PAGE_SQL}) WHERE position IN (0, 3, 4)")
+def best_page_elements(spark, sf):
+    """The three best of six, in document order."""
+    found = elements.finalized(elements.extract(built_pages(spark, sf), "p_partkey", "html"), "p_partkey", 3)
+    return _shown(found).join(found.select("p_partkey", "position", "omitted"), ["p_partkey", "position"])
+
+
+@query("SELECT p_partkey, p_name || ' | Site' AS title, p_type AS description, p_name || 'The ' || p_type || ' part has the brand ' || p_brand || ' & is sold in many places.one' || p_brand || 'ab' || p_size || '2x = ' || p_size AS text, 'article' AS method FROM part")
+def page_texts(spark, sf):
+    """Metadata and article text of a built page."""
+    return web.read_pages(built_pages(spark, sf), "p_partkey").select("p_partkey", "title", "description", "text", "method")
+
+
+@query("SELECT p_partkey, 0 AS chunk_index, 1 AS total_chunks, a || chr(10) || chr(10) || b AS content, '# ' || p_name || ' > ## Details' AS section, p_name AS page_title, ceil(length(a || b) / 4.0 + 0.5) AS token_estimate FROM (SELECT *, 'The ' || p_type || ' part has the brand ' || p_brand || ' and number ' || p_partkey || ', and it is sold in many places.' AS a, 'This one is ' || p_size || ' long, which is told to all who ask for it in the shop.' AS b FROM part)")
+def chunk_sections(spark, sf):
+    """Two short sections under a title make one chunk."""
+    text = F.expr("concat('# ', p_name, '\n\nThe ', p_type, ' part has the brand ', p_brand, ' and number ', p_partkey, ', and it is sold in many places.\n\n## Details\n\nThis one is ', p_size, ' long, which is told to all who ask for it in the shop.\n')")
+    made = chunking.chunks(table(spark, sf, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return made.select("p_partkey", "chunk_index", "total_chunks", "content", "section", "page_title", "token_estimate")
+
+
 @query("SELECT g, count(*)::BIGINT AS kept, max(n) - 50 AS omitted FROM (SELECT p_partkey % 10 AS g, 7 * count(*) OVER (PARTITION BY p_partkey % 10) AS n, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) AS i FROM part, (SELECT unnest(range(7)))) WHERE i <= 50 GROUP BY g".replace("7 * count(*)", "count(*)"))
 def merged_elements(spark, sf):
     """The elements of several pages as one document of at most fifty."""
