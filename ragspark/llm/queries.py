@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import blocks, decontaminate, jaccard, language, packing, quality, secrets, suffixes, urls, warc
+from ragspark.llm import blocks, decontaminate, interaction, jaccard, language, merkle, multiindex, packing, quality, secrets, suffixes, urls, warc
 from ragspark.llm.sql import SQL  # noqa: F401
 
 
@@ -76,5 +76,22 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.when(tampered, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), now={"n_chars": n_chars})
+    digests = [merkle.told(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return rows.select("doc_id", *digests, merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.told(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = interaction.failures(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return interaction.audit(interaction.labelled(flags, table(spark, sf_dir, "labels"))).drop("filter")
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -127,3 +127,80 @@ seeds AS (SELECT host, avg(coalesce(verdict = 'allow', false)::INT) AS trusted,
 SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN d{ROUNDS}.v > 0 AND round(d{ROUNDS}.v - coalesce(t{ROUNDS}.v, 0) - {THRESHOLD} * (SELECT avg(v) FROM d{ROUNDS} WHERE v > 0), 9) >= 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN r USING (page_id) LEFT JOIN t{ROUNDS} ON t{ROUNDS}.host = p.host LEFT JOIN d{ROUNDS} ON d{ROUNDS}.host = p.host
 """
+
+# CRC-32 of the decimal doc_id, bit by bit; a tree is a recursion over its levels.
+_FIELD = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_LEAF = lambda n: "sha256(" + " || ".join(_FIELD(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+_LEVELS = """
+  UNION ALL
+  SELECT lvl + 1, grp, idx // 2 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) AS hash, (any_value(n) + 1) // 2 AS n
+  FROM {0} WHERE n > 1 GROUP BY lvl, grp, idx // 2"""
+_CRC = "list_reduce([4294967295] || list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda i: (ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1), lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+SQL["op11_merkle"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {_LEAF('n_chars')} AS leaf,
+         CASE WHEN xor({_CRC}, 4294967295) % 7 = 0 THEN {_LEAF('(n_chars + 1)')} ELSE {_LEAF('n_chars')} END AS later
+  FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM d),
+nodes AS (SELECT 0 AS lvl, grp, idx::BIGINT AS idx, leaf AS hash, n::BIGINT AS n FROM leaves {_LEVELS.format('nodes')}),
+ends AS MATERIALIZED (SELECT grp, lvl, hash, row_number() OVER (ORDER BY grp) - 1 AS idx FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, 0 AS grp, idx::BIGINT AS idx, hash, (SELECT count(*) FROM ends)::BIGINT AS n FROM ends {_LEVELS.format('tops')}),
+low AS MATERIALIZED (SELECT * FROM nodes), high AS MATERIALIZED (SELECT * FROM tops),
+at_node AS (
+  SELECT l.doc_id, l.grp, l.idx AS leaf_idx, x.lvl, 0 AS tree, x.idx, x.hash FROM leaves l JOIN low x ON x.grp = l.grp AND x.n > 1 AND xor(x.idx, 1) = l.idx >> x.lvl::INT
+  UNION ALL
+  SELECT l.doc_id, l.grp, l.idx, x.lvl, 1, x.idx, x.hash FROM leaves l JOIN ends e ON e.grp = l.grp JOIN high x ON x.n > 1 AND xor(x.idx, 1) = e.idx >> x.lvl::INT),
+proof AS MATERIALIZED (SELECT grp, leaf_idx, string_agg(hash, '' ORDER BY tree, lvl) AS sibs FROM at_node GROUP BY grp, leaf_idx),
+fold AS (
+  SELECT l.grp, l.idx AS leaf_idx, 0 AS step, l.later AS hash FROM leaves l
+  UNION ALL
+  SELECT f.grp, f.leaf_idx, f.step + 1,
+         CASE WHEN f.step < e.lvl
+              THEN sha256(CASE WHEN a.hash IS NULL THEN f.hash WHEN a.idx % 2 = 0 THEN a.hash || f.hash ELSE f.hash || a.hash END)
+              ELSE sha256(CASE WHEN b.hash IS NULL THEN f.hash WHEN b.idx % 2 = 0 THEN b.hash || f.hash ELSE f.hash || b.hash END) END
+  FROM fold f JOIN ends e ON e.grp = f.grp
+  LEFT JOIN low a ON f.step < e.lvl AND a.grp = f.grp AND a.lvl = f.step AND xor(a.idx, 1) = f.leaf_idx >> f.step::INT
+  LEFT JOIN high b ON f.step >= e.lvl AND b.lvl = f.step - e.lvl AND xor(b.idx, 1) = e.idx >> (f.step - e.lvl)::INT
+  WHERE f.step < e.lvl + (SELECT max(lvl) FROM high)),
+folds AS (SELECT grp, leaf_idx, arg_max(hash, step) AS folded_root FROM fold GROUP BY grp, leaf_idx),
+root AS (SELECT hash AS root FROM high WHERE n = 1)
+SELECT l.doc_id, l.leaf, e.hash AS subroot, root, sha256(coalesce(p.sibs, '')) AS proof_sha256, f.folded_root, f.folded_root = root AS verified
+FROM leaves l JOIN ends e USING (grp) JOIN folds f ON f.grp = l.grp AND f.leaf_idx = l.idx LEFT JOIN proof p ON p.grp = l.grp AND p.leaf_idx = l.idx, root
+"""
+
+# Every order is run on the documents' flags, without a cube.
+_WORDS12 = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+SQL["op12_filter_interaction"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, part, t, len({_WORDS12}) AS n, len(list_distinct({_WORDS12})) AS own, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again FROM d),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+fl AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (n < 200)::INT + 2 * (100 * own < 50 * n)::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * again::INT AS failed
+       FROM w LEFT JOIN lab USING (doc_id)),
+orders AS (SELECT '' AS o, 0 AS len UNION ALL SELECT o || c, len + 1 FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE len < 5 AND NOT contains(o, c)),
+steps AS (SELECT o AS filter_order, s AS step, substr(o, s, 1) AS f, (1 << (instr('ABCDE', substr(o, s, 1)) - 1)::INT) AS bit,
+                 list_sum(list_transform(range(1, s), lambda i: 1 << (instr('ABCDE', substr(o, i::INT, 1)) - 1)::INT))::INT AS before
+          FROM orders, (SELECT unnest(range(1, 6))::INT AS s) WHERE len = 5),
+r AS (SELECT part, filter_order, step, f,
+        count(*) FILTER ((failed & (coalesce(before, 0) | bit)) = 0) AS kept,
+        count(*) FILTER ((failed & coalesce(before, 0)) = 0 AND (failed & bit) > 0) AS removed,
+        count(*) FILTER ((failed & coalesce(before, 0)) > 0 AND (failed & bit) > 0) AS redundant,
+        count(*) FILTER (failed = bit) AS unique_fails,
+        count(*) FILTER ((failed & coalesce(before, 0)) = 0 AND (failed & bit) > 0 AND good = 1) AS good_lost,
+        count(*) FILTER ((failed & coalesce(before, 0)) = 0 AND (failed & bit) > 0 AND toxic = 1) AS toxic_lost
+      FROM fl, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+SQL["op13_multi_index"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS MATERIALIZED (
+  SELECT vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
