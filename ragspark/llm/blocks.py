@@ -53,12 +53,12 @@ class Words:
 
 def _probes(words: Words, block: int, buckets: int):
     """Places of the probes and, for the different ones in bucket order: which one each place has, their hashes, whether
-    any is a block, whether there are several, and where the buckets begin."""
+    any is a block, whether there are several, and the buckets' spans."""
     place, hashed = words.windows(block)
-    values, count, own, begin = C.distinct(hashed, buckets)
+    values, count, own, spans = C.distinct(hashed, buckets)
     fixed = np.zeros(len(values), bool)
     fixed[own[words.position(place) % block == 0]] = True
-    return place, own, values, fixed, count > 1, begin
+    return place, own, values, fixed, count > 1, spans
 
 
 def _send_probes(block: int, buckets: int):
@@ -66,11 +66,10 @@ def _send_probes(block: int, buckets: int):
 
     def run(batches):
         for chunk, off, body in C.rows_of(batches, ["chunk", "off", "body"]):
-            _, _, values, fixed, many, begin = _probes(Words(off.as_py(), body.as_py()), block, buckets)
+            _, _, values, fixed, many, spans = _probes(Words(off.as_py(), body.as_py()), block, buckets)
             prints, parts = C.fingerprint(values, buckets), []
-            for b, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                if j > i:
-                    parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(fixed[i:j]).tobytes() + np.packbits(many[i:j]).tobytes()))
+            for b, i, j in spans:
+                parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(fixed[i:j]).tobytes() + np.packbits(many[i:j]).tobytes()))
             yield C.sent(chunk.as_py(), parts)
 
     return run
@@ -96,8 +95,8 @@ class Hits:
     of those with equal words, ``same`` maps each place to its one, ``behind`` marks those that come after it."""
 
     def __init__(self, words: Words, ids, hits: dict[int, bytes], block: int, window: int, buckets: int):
-        place, own, values, _, _, begin = _probes(words, block, buckets)
-        hit = C.told(hits, begin, len(values))[own]
+        place, own, values, _, _, spans = _probes(words, block, buckets)
+        hit = C.told(hits, spans, len(values))[own]
         place, gram = place[hit], values[own[hit]]
         side = window - block
         text = np.searchsorted(words.first, place, "right") - 1
@@ -124,7 +123,7 @@ class Hits:
         first = np.where(equal, first, np.arange(len(first)))
         self.behind = (self.key != self.key[first]) | (self.position != self.position[first])
         self.sent, self.same = np.unique(first, return_inverse=True)
-        self.begin = np.searchsorted(self.gram[self.sent] >> K.U64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=K.U64))
+        self.spans = C.Spans.of_sorted(C.bucket_of(self.gram[self.sent], buckets))
 
     def around(self, at: np.ndarray) -> np.ndarray:
         """The hashes of the words before a place, the nearest first, and of those after its block; 0 beyond the text."""
@@ -144,7 +143,7 @@ def _send_hits(block: int, window: int, buckets: int):
         for chunk, ids, off, body, hits in C.rows_of(batches, ["chunk", "ids", "off", "body", "hits"]):
             if hits := C.payloads(hits):
                 h = Hits(Words(off.as_py(), body.as_py()), ids.as_py(), hits, block, window, buckets)
-                yield C.sent(chunk.as_py(), [(b, h.payload(i, j)) for b, (i, j) in enumerate(zip(h.begin[:-1].tolist(), h.begin[1:].tolist(), strict=True)) if j > i])
+                yield C.sent(chunk.as_py(), [(b, h.payload(i, j)) for b, i, j in h.spans])
 
     return run
 
@@ -202,7 +201,7 @@ def _results(block: int, window: int, buckets: int):
                 h = Hits(words, ids, hits, block, window, buckets)
                 mask = np.zeros(len(h.sent), K.U64)
                 for b, bits in later.items():
-                    mask[h.begin[b] : h.begin[b + 1]] = np.frombuffer(bits, "<u8")
+                    mask[slice(*h.spans.at(b))] = np.frombuffer(bits, "<u8")
                 mask, removed = mask[h.same], []
                 for n in range(window - block + 1):
                     late = h.behind | ((mask >> K.U64(n)) & K.U64(1)).astype(bool)

@@ -1,6 +1,8 @@
 """Texts in chunks, and the exchange of fingerprints between them.
 
-A chunk is a row with a few MB of compressed texts. The chunk table is written once, bucketed by chunk, so joining
+A chunk is a row with 1 to 16 MB of compressed texts: the larger the corpus, the more buckets it has, and the larger
+its chunks, so that a message to a bucket stays worth its row. What a chunk does depends on the buckets it has
+something for, never on the number of all. The chunk table is written once, bucketed by chunk, so joining
 small results back to it moves no text. Chunks send packed rows (bucket, chunk, payload) to the tasks that own the
 buckets of a hash space; what comes back is keyed by (chunk, bucket) and refers to a payload's entries by their
 order, which the chunk derives again. So a question about every position of the corpus costs a few bytes a position
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from ragspark.llm import kernel as K
 from ragspark.llm.shared import new_path, small_batches
 
-LIMIT = 1 << 20
+#: Bytes of text in a chunk: LIMIT up to CORPUS bytes, then as the square root of the corpus, up to MOST.
+LIMIT, CORPUS, MOST = 1 << 20, 64 << 30, 16 << 20
 SENT = "bucket int, chunk long, payload binary"
 BACK = "chunk long, bucket int, payload binary"
 
@@ -40,11 +43,38 @@ class Chunks:
         return 1 << max(4, int(np.ceil(np.log2(max(1, self.size / bytes_each)))))
 
 
-def build(docs: DataFrame, key: str, text: str, limit: int = LIMIT) -> Chunks:
+def chunk_bytes(size: int) -> int:
+    return int(min(MOST, max(LIMIT, LIMIT * (size / CORPUS) ** 0.5)))
+
+
+@dataclass
+class Spans:
+    """The buckets that occur, ascending, and where each one's entries begin (one more at the end)."""
+
+    bucket: np.ndarray
+    begin: np.ndarray
+
+    @classmethod
+    def of_sorted(cls, own: np.ndarray) -> Spans:
+        """``own``: the entries' buckets, ascending."""
+        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        return cls(own[head].astype(np.int64), np.append(head, len(own)))
+
+    def __iter__(self):
+        return zip(self.bucket.tolist(), self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True)
+
+    def at(self, bucket: int) -> tuple[int, int]:
+        """Where the entries of an occurring bucket begin and end."""
+        i = int(np.searchsorted(self.bucket, bucket))
+        return int(self.begin[i]), int(self.begin[i + 1])
+
+
+def build(docs: DataFrame, key: str, text: str, limit: int | None = None) -> Chunks:
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    limit = limit or chunk_bytes(size)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (128 << 20)))
 
     def run(batches):
@@ -89,19 +119,24 @@ def rows_of(batches, columns: list[str]):
     K.release()
 
 
-def bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices in the order of their buckets (stable), and where each bucket begins (one more at the end)."""
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The first bits."""
+    return hashes >> K.U64(64 - (buckets.bit_length() - 1))
+
+
+def bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, Spans]:
+    """Indices in the order of their buckets (stable), and the buckets' spans."""
     bits = buckets.bit_length() - 1
-    own = (hashes >> K.U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    own = bucket_of(hashes, buckets).astype(np.uint16 if bits <= 16 else np.uint32)
     order = np.argsort(own, kind="stable")
-    return order, np.searchsorted(own[order], np.arange(buckets + 1))
+    return order, Spans.of_sorted(own[order])
 
 
-def distinct(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans]:
     """The distinct hashes (so in the order of their buckets), how often each is there, the index of each given one
-    among them, and where the buckets begin. A chunk asks once about a hash that many of its texts hold."""
+    among them, and the buckets' spans. A chunk asks once about a hash that many of its texts hold."""
     values, own, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    return values, count, own, np.searchsorted(values >> K.U64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=K.U64))
+    return values, count, own, Spans.of_sorted(bucket_of(values, buckets))
 
 
 def fingerprint(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -109,11 +144,11 @@ def fingerprint(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> K.U64(32 - (buckets.bit_length() - 1))).astype(np.uint32)
 
 
-def told(answers: dict[int, bytes], begin: np.ndarray, n: int) -> np.ndarray:
-    """The bits of the answers, by bucket, as one mask over the ``n`` hashes whose buckets begin there."""
+def told(answers: dict[int, bytes], spans: Spans, n: int) -> np.ndarray:
+    """The bits of the answers, by bucket, as one mask over the ``n`` hashes with these spans."""
     mask = np.zeros(n, bool)
     for b, bits in answers.items():
-        i, j = int(begin[b]), int(begin[b + 1])
+        i, j = spans.at(b)
         mask[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
     return mask
 

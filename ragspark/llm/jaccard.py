@@ -92,12 +92,11 @@ def _send_tokens(buckets: int):
 
     def run(batches):
         for chunk, off, body in C.rows_of(batches, ["chunk", "off", "body"]):
-            _, values, count, _, begin = _counted(Sets(*C.unpack(off.as_py(), body.as_py())), buckets)
+            _, values, count, _, spans = _counted(Sets(*C.unpack(off.as_py(), body.as_py())), buckets)
             prints, many = C.fingerprint(values, buckets), count > 1
             parts = []
-            for b, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                if j > i:
-                    parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(many[i:j]).tobytes() + count[i:j][many[i:j]].astype("<u4").tobytes()))
+            for b, i, j in spans:
+                parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(many[i:j]).tobytes() + count[i:j][many[i:j]].astype("<u4").tobytes()))
             yield C.sent(chunk.as_py(), parts)
 
     return run
@@ -162,10 +161,11 @@ def _send_signatures(token_buckets: int, buckets: int, percent: int):
             if not (known := C.payloads(known)):
                 continue
             s = Sets(*C.unpack(off.as_py(), body.as_py()))
-            at, values, _, own, begin = _counted(s, token_buckets)
+            at, values, _, own, spans = _counted(s, token_buckets)
             told = np.zeros(len(values), np.uint8)
             for b, p in known.items():
-                i, n = int(begin[b]), int(begin[b + 1] - begin[b])
+                i, j = spans.at(b)
+                n = j - i
                 bits = -(-n // 8)
                 told[i + np.flatnonzero(np.unpackbits(np.frombuffer(p, np.uint8, bits), count=n))] = np.frombuffer(p, np.uint8, offset=bits)
             scale = np.zeros(len(s.tokens), np.uint8)
@@ -181,10 +181,10 @@ def _send_signatures(token_buckets: int, buckets: int, percent: int):
             if not made:
                 continue
             made, costs, owner = np.concatenate(made), np.concatenate(costs), np.concatenate(owner)
-            order, begin = C.bucket_order(made, buckets)
+            order, spans = C.bucket_order(made, buckets)
             made, costs, owner = made[order], costs[order].astype("<u4"), owner[order]
             cls, size = s.cls[owner], s.size[owner].astype("<u4")
-            yield C.sent(chunk.as_py(), [(b, made[i:j].tobytes() + cls[i:j].tobytes() + size[i:j].tobytes() + costs[i:j].tobytes()) for b, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if j > i])
+            yield C.sent(chunk.as_py(), [(b, made[i:j].tobytes() + cls[i:j].tobytes() + size[i:j].tobytes() + costs[i:j].tobytes()) for b, i, j in spans])
 
     return run
 

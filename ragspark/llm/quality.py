@@ -65,7 +65,9 @@ BOILERPLATE = [
 ]
 #: The phrases with their first letters taken out, so that most places of a line fail at once.
 PHRASES = "|".join(f"{c}(?:{'|'.join(p[1:] for p in BOILERPLATE if p[0] == c)})" for c in sorted({p[0] for p in BOILERPLATE}))
-ENDS_WELL = r"""[.!?:;,…。！？][)\]}"'”’»›]*[\x20\x09-\x0D]*$"""
+#: On a line read backwards: its last word ends in a mark and closing characters, or holds a mark that stands for a
+#: sentence's end or a separator. Nothing is tried twice (possessive), so a line's length in one word costs no more.
+ENDS_WELL = r"""^[\x20\x09-\x0D]*+(?:[)\]}"'”’»›]*+[.!?:;,…。！？]|[^\x20\x09-\x0D.!?:;,…|>]*+[.!?:;,…|>])"""
 
 
 def words(text: Column) -> Column:
@@ -100,7 +102,7 @@ def line_fails(line: Column, min_words: int = 4, nav_share: float = 0.2) -> Colu
     marks = F.length(line) - F.length(_deleted(line, "|>»·•"))
     size = F.size(words(line))  # the costly part, so it comes last
     navigation = line.rlike(SEPARATORS) & (marks >= 3) & (marks >= nav_share * size)
-    unmarked = ~line.rlike(ENDS_WELL) & ~line.rlike(r"""[.!?:;,…|>][^\x20\x09-\x0D]*[\x20\x09-\x0D]*$""") & (size >= min_words)
+    unmarked = ~F.reverse(line).rlike(ENDS_WELL) & (size >= min_words)
     phrase = F.lower(line).rlike(PHRASES)
     return unmarked | navigation | phrase
 

@@ -16,7 +16,11 @@ in all its copies, the minimum of the hashes of its GRAM-byte grams. So
 Suffixes with the same bytes all around are sent once per chunk, with the note that they repeat. Inside a long
 periodic run (equal grams at equal distances, the bytes compared) every byte repeats, so only its ends are sent.
 
-Grams and the bytes before a minimum are told apart by 64-bit hashes.
+A gram with more than HOT places is not sorted in one task: the strings of ``length`` bytes around its places are
+hashed whole, and these hashes, which fall into all buckets, are counted as the grams are. Equal strings hold their
+minimum at the same offset, so no repeat is lost between the two ways.
+
+Grams, the bytes before a minimum and the strings around hot grams are told apart by 64-bit hashes.
 
 Defined results: null or empty text has no bytes; a text of any length is judged whole; rows that repeat a key are
 documents of their own, and their texts repeat each other; of equal strings none is favoured, all their bytes go;
@@ -32,12 +36,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ragspark.llm import chunked as C
 from ragspark.llm import kernel as K
 from ragspark.llm.shared import save
 
 LENGTH, GRAM, SHALLOW, RUN = 400, 48, 32, 1000
+#: Places of a gram whose surroundings one task takes: 12 MB of text.
+HOT = 1 << 14
 
 
 BLOCK = 1 << 17
@@ -93,6 +100,26 @@ def minima(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def string_hashes(view: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of ``length`` bytes from ``starts`` on; ``view``: the eight bytes from each position on."""
+    out = np.empty(len(starts), K.U64)
+    for a in range(0, len(starts), BLOCK):
+        own = starts[a : a + BLOCK]
+        h = np.zeros(len(own), K.U64)
+        for k in (*range(0, length - 8, 8), length - 8):
+            h = (h ^ view[own + k]) * K._M1
+            h ^= h >> K.U64(32)
+        out[a : a + BLOCK] = K.mix(h)
+    return out
+
+
+def chosen(hits: dict[int, bytes], spans: C.Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over a chunk's distinct hashes, from the answers of ``_twice``: those that repeat, those that are hot."""
+    own = C.told({b: p[1:] for b, p in hits.items()}, spans, n)
+    hot = {b: p for b, p in hits.items() if p[0]}
+    return own, C.told({b: p[1 + -(-(spans.at(b)[1] - spans.at(b)[0]) // 8) :] for b, p in hot.items()}, spans, n)
+
+
 class Anchors:
     """The minima of a chunk and the contexts of those whose grams repeat."""
 
@@ -100,19 +127,20 @@ class Anchors:
         self.data, self.off = C.unpack(off, body)
         self.length = length
         place, hashed = np.frombuffer(place, "<u4").astype(np.int64), np.frombuffer(hashed, "<u8")
-        values, _, self.own, self.begin = C.distinct(hashed, buckets)
+        values, _, self.own, self.spans = C.distinct(hashed, buckets)
         self.place, self.hashed, self.n = place, hashed, len(values)
 
     def repeated(self, hits: dict[int, bytes], buckets: int):
         """Sets the suffixes to send, in bucket order: place, hash, left and right bytes, whether they repeat here;
         ``same`` maps every hit place to its suffix. Returns the periodic runs (begin, end), removed already."""
-        hit = C.told(hits, self.begin, self.n)[self.own]
+        hit, hot = (x[self.own] for x in chosen(hits, self.spans, self.n))
+        hit &= ~hot
         place, hashed = self.place[hit], self.hashed[hit]
         order = np.argsort(place)
         place, hashed = place[order], hashed[order]
         periodic, inner = self._periodic(place, hashed)
         place, hashed = place[~inner], hashed[~inner]
-        order, self.sent_begin = C.bucket_order(hashed, buckets)
+        order, _ = C.bucket_order(hashed, buckets)
         place, hashed = place[order], hashed[order]
         doc = np.searchsorted(self.off, place, "right") - 1
         left = np.minimum(place - self.off[doc], self.length - GRAM)
@@ -131,10 +159,22 @@ class Anchors:
                 many[at] = True
         keep = np.array(keep, np.int64)
         self.sent_hash, self.left, self.right, self.many = hashed[keep], left[keep], right[keep], np.array(many, bool)
-        self.sent_begin = np.searchsorted(keep, self.sent_begin)
+        self.sent = C.Spans.of_sorted(C.bucket_of(self.sent_hash, buckets))
         self.body, self.sent_place = body, place[keep]
         return periodic
 
+    def strings(self, hits: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the strings start that hold a hot gram, and their hashes."""
+        place = self.place[chosen(hits, self.spans, self.n)[1][self.own]]
+        doc = np.searchsorted(self.off, place, "right") - 1
+        low, high = np.maximum(self.off[doc], place - (self.length - GRAM)), np.minimum(self.off[doc + 1] - self.length, place)
+        able = low <= high
+        change = np.zeros(len(self.data) + 1, np.int64)
+        np.add.at(change, low[able], 1)
+        np.add.at(change, high[able] + 1, -1)
+        starts = np.flatnonzero(np.cumsum(change) > 0)
+        return starts, string_hashes(K.lanes(self.data), starts, self.length)
+
     def _periodic(self, place: np.ndarray, hashed: np.ndarray):
         inner, spans = np.zeros(len(place), bool), []
         if len(place) > 2:
@@ -148,10 +188,7 @@ class Anchors:
                     inner |= (place > first + RUN) & (place < last - RUN)
         return spans, inner
 
-    def payload(self, b: int) -> bytes | None:
-        i, j = int(self.sent_begin[b]), int(self.sent_begin[b + 1])
-        if i == j:
-            return None
+    def payload(self, i: int, j: int) -> bytes:
         head = np.array([j - i], "<u4").tobytes() + self.sent_hash[i:j].tobytes() + self.left[i:j].astype("<u2").tobytes() + self.right[i:j].astype("<u2").tobytes() + self.many[i:j].tobytes()
         text = b"".join(self.body[p - a : p + z] for p, a, z in zip(self.sent_place[i:j].tolist(), self.left[i:j].tolist(), self.right[i:j].tolist(), strict=True))
         return zstandard.compress(head + text, 3)
@@ -326,32 +363,54 @@ def _minima(batches):
         yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([place.astype("<u4").tobytes()], pa.binary()), pa.array([hashed.tobytes()], pa.binary())], names=["chunk", "place", "hash"])
 
 
-def _send_minima(buckets: int):
-    """Payloads: the number of minima, their fingerprints, the bits of those that repeat in the chunk."""
+def _asked(hashes: np.ndarray, buckets: int, whole: bool) -> list[tuple[int, bytes]]:
+    """Payloads: the number of distinct hashes, their fingerprints (or the ``whole`` hashes, where nothing is compared
+    later), the bits of those that repeat in the chunk, and how often these do."""
+    values, count, _, spans = C.distinct(hashes, buckets)
+    prints, many = values if whole else C.fingerprint(values, buckets), count > 1
+    return [(b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(many[i:j]).tobytes() + count[i:j][many[i:j]].astype("<u4").tobytes()) for b, i, j in spans]
 
+
+def _send_minima(buckets: int):
     def run(batches):
         for chunk, hashed in C.rows_of(batches, ["chunk", "hash"]):
-            values, count, _, begin = C.distinct(np.frombuffer(hashed.as_py(), "<u8"), buckets)
-            prints, many, parts = C.fingerprint(values, buckets), count > 1, []
-            for b, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                if j > i:
-                    parts.append((b, np.array([j - i], "<u4").tobytes() + prints[i:j].tobytes() + np.packbits(many[i:j]).tobytes()))
-            yield C.sent(chunk.as_py(), parts)
+            yield C.sent(chunk.as_py(), _asked(np.frombuffer(hashed.as_py(), "<u8"), buckets, False))
 
     return run
 
 
-def _twice(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
-    """For each payload the bits of its minima that are there twice or more."""
-    sizes = [int(np.frombuffer(p, "<u4", 1)[0]) for p in payloads]
-    prints = np.concatenate([np.frombuffer(p, "<u4", n, 4) for p, n in zip(payloads, sizes, strict=True)])
-    hit = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=4 + 4 * n), count=n) for p, n in zip(payloads, sizes, strict=True)]).astype(bool)
-    order = np.argsort(prints)
-    same = prints[order[1:]] == prints[order[:-1]]
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    at = np.cumsum([0, *sizes])
-    return [np.packbits(own).tobytes() if (own := hit[i:j]).any() else None for i, j in zip(at[:-1], at[1:], strict=True)]
+def _send_strings(buckets: int):
+    def run(batches):
+        for chunk, off, body, place, hashed, hits in C.rows_of(batches, ["chunk", "off", "body", "place", "hash", "hits"]):
+            hits = C.payloads(hits)
+            if any(p[0] for p in hits.values()):
+                a = Anchors(off.as_py(), body.as_py(), place.as_py(), hashed.as_py(), buckets)
+                yield C.sent(chunk.as_py(), _asked(a.strings(hits)[1], buckets, True))
+
+    return run
+
+
+def _twice(most: int, width: int):
+    """For each payload whether it has hot hashes (one byte), the bits of its hashes that are there twice or more, and
+    those of the hot ones, which are there more than ``most`` times. ``width``: bytes of a hash sent."""
+
+    def answer(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
+        sizes = [int(np.frombuffer(p, "<u4", 1)[0]) for p in payloads]
+        prints = np.concatenate([np.frombuffer(p, f"<u{width}", n, 4) for p, n in zip(payloads, sizes, strict=True)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, -(-n // 8), 4 + width * n), count=n) for p, n in zip(payloads, sizes, strict=True)]).astype(bool)
+        weight = np.ones(len(prints), np.int64)
+        weight[many] = np.concatenate([np.frombuffer(p, "<u4", offset=4 + width * n + -(-n // 8)) for p, n in zip(payloads, sizes, strict=True)])
+        order = np.argsort(prints)
+        head = np.flatnonzero(np.concatenate(([True], prints[order][1:] != prints[order][:-1])))
+        total = np.empty(len(prints), np.int64)
+        total[order] = np.repeat(np.add.reduceat(weight[order], head), np.diff(np.append(head, len(prints))))
+        out, at = [], np.cumsum([0, *sizes])
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            hot = total[i:j] > most
+            out.append(bytes([int(hot.any())]) + np.packbits(total[i:j] > 1).tobytes() + (np.packbits(hot).tobytes() if hot.any() else b"") if (total[i:j] > 1).any() else None)
+        return out
+
+    return answer
 
 
 def _send_suffixes(buckets: int):
@@ -360,7 +419,7 @@ def _send_suffixes(buckets: int):
             if hits := C.payloads(hits):
                 a = Anchors(off.as_py(), body.as_py(), place.as_py(), hashed.as_py(), buckets)
                 a.repeated(hits, buckets)
-                yield C.sent(chunk.as_py(), [(b, p) for b in range(buckets) if (p := a.payload(b))])
+                yield C.sent(chunk.as_py(), [(b, a.payload(i, j)) for b, i, j in a.sent])
 
     return run
 
@@ -387,7 +446,7 @@ def _sort(bucket: int, payloads: list[bytes]) -> list[bytes | None]:
 
 def _results(buckets: int, length: int = LENGTH):
     def run(batches):
-        for ids, off, body, place, hashed, hits, found in C.rows_of(batches, ["ids", "off", "body", "place", "hash", "hits", "found"]):
+        for ids, off, body, place, hashed, hits, found, wide in C.rows_of(batches, ["ids", "off", "body", "place", "hash", "hits", "found", "wide"]):
             ids, off = ids.as_py(), off.as_py()
             data, at = C.unpack(off, body.as_py())
             delta = np.zeros(len(data) + 1, np.int64)
@@ -396,7 +455,7 @@ def _results(buckets: int, length: int = LENGTH):
                 for begin, end in a.repeated(hits, buckets):
                     delta[begin] += 1
                     delta[end] -= 1
-                runs = [(np.frombuffer(p, "<u4").reshape(-1, 3).astype(np.int64), a.sent_begin[b]) for b, p in C.payloads(found).items()]
+                runs = [(np.frombuffer(p, "<u4").reshape(-1, 3).astype(np.int64), a.sent.at(b)[0]) for b, p in C.payloads(found).items()]
                 if runs:
                     owner = np.concatenate([r[:, 0] + b for r, b in runs])
                     low, high = (np.concatenate([r[:, c] for r, _ in runs]) for c in (1, 2))
@@ -407,6 +466,12 @@ def _results(buckets: int, length: int = LENGTH):
                     r = first[which] + k
                     np.add.at(delta, a.all_place[which] - high[r], 1)
                     np.add.at(delta, a.all_place[which] - low[r] + length, -1)
+                if wide := C.payloads(wide):
+                    starts, strings = a.strings(hits)
+                    values, _, own, spans = C.distinct(strings, buckets)
+                    starts = starts[chosen(wide, spans, len(values))[0][own]]
+                    np.add.at(delta, starts, 1)
+                    np.add.at(delta, starts + length, -1)
             gone = np.cumsum(delta[:-1]) > 0
             total = np.concatenate(([0], np.cumsum(gone)))[at]
             kept, cut = data[~gone].tobytes(), at - total
@@ -424,16 +489,20 @@ def _results(buckets: int, length: int = LENGTH):
     return run
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """A row per document: key, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes removed: start, end) and kept,
     the remaining bytes."""
     chunks = C.build(docs, key, text)
-    buckets = chunks.buckets(4 << 20)
+    buckets, never = chunks.buckets(4 << 20), 1 << 62
     cols = ["chunk", "ids", "off", "body", "place", "hash"]
     least = save(chunks.table.select("chunk", "off", "body").mapInArrow(_minima, "chunk long, place binary, hash binary"), "minima")
-    hits = save(C.meet(least.select("chunk", "hash").mapInArrow(_send_minima(buckets), C.SENT), chunks.parts, _twice), "hits")
-    near = C.joined(chunks, hits=hits).join(least.hint("shuffle_hash"), "chunk").select(*cols, "hits").mapInArrow(_send_suffixes(buckets), C.SENT)
-    found = save(C.meet(near, chunks.parts, _sort), "found")
-    out = C.joined(chunks, hits=hits, found=found).join(least.hint("shuffle_hash"), "chunk").select(*cols, "hits", "found")
+    hits = save(C.meet(least.select("chunk", "hash").mapInArrow(_send_minima(buckets), C.SENT), chunks.parts, _twice(hot, 4)), "hits")
+    asked = C.joined(chunks, hits=hits).join(least.hint("shuffle_hash"), "chunk").select(*cols, "hits")
+    answers = {"hits": hits, "found": save(C.meet(asked.mapInArrow(_send_suffixes(buckets), C.SENT), chunks.parts, _sort), "found")}
+    if not hits.where(F.substring("payload", 1, 1) == F.lit(b"\x01")).isEmpty():
+        answers["wide"] = save(C.meet(asked.mapInArrow(_send_strings(buckets), C.SENT), chunks.parts, _twice(never, 8)), "wide")
+    out = C.joined(chunks, **answers).join(least.hint("shuffle_hash"), "chunk")
+    if "wide" not in answers:
+        out = out.withColumn("wide", F.lit(None).cast("array<struct<bucket:int,payload:binary>>"))
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
-    return out.mapInArrow(_results(buckets), schema).withColumnRenamed("key", key)
+    return out.select(*cols, "hits", "found", "wide").mapInArrow(_results(buckets), schema).withColumnRenamed("key", key)

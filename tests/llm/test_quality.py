@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from ragspark.llm import quality as R
 from ragspark.llm import queries as Q
 
@@ -60,3 +62,21 @@ def test_edges(spark):
     assert R.statistics(df.limit(0)).count() == 0
     by = {r.doc_id: r for r in out.collect()}
     assert by[9].kept and not by[10].kept and "Home" not in by[10].cleaned
+
+
+@pytest.mark.parametrize("line", ["a b c " + "." * 1_000_000 + " x", '"k":1,' * 170_000, "a b c data:" + "iVBORw0KGgo/+" * 80_000, "q" * 1_000_000, "a b c " + "。)" * 300_000 + "x", "a b c " + ")" * 1_000_000])
+def test_one_long_line(spark, line):
+    import time
+
+    df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    R.statistics(df).collect()
+    df = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    start = time.monotonic()
+    got = R.statistics(df).select("n_words", "base_failed").collect()
+    assert time.monotonic() - start < 5 and got == [(len(line.split()), True)]
+
+
+def test_last_words(spark):
+    lines = ["a b c end", "a b c end.", 'a b c end.")  ', "a b c x.y", "a b c e|", "a b c 。)", "a b c 。x", "a. b. c. end", "a b end", "a b c \u00a0. \t", "a b c )."]
+    out = spark.createDataFrame([(x,) for x in lines], "line string").select(R.line_fails(R.F.col("line"))).collect()
+    assert [r[0] for r in out] == [True, False, False, False, False, False, True, True, False, False, False]

@@ -41,8 +41,8 @@ def test_query_equals_brute_force(spark):
     assert sum(r.n_removed for r in got) > 0
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(1, 6000), (2, 2 << 20), (3, 1)])
-def test_random_overlaps(spark, monkeypatch, seed, limit):
+@pytest.mark.parametrize(("seed", "limit", "hot"), [(1, 6000, S.HOT), (2, 2 << 20, S.HOT), (3, 1, S.HOT), (4, 6000, 0), (5, 6000, 6), (6, 1, 8)])
+def test_random_overlaps(spark, monkeypatch, seed, limit, hot):
     monkeypatch.setattr(S.C.build, "__defaults__", (limit,))
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 9)))
@@ -56,7 +56,7 @@ def test_random_overlaps(spark, monkeypatch, seed, limit):
             text += " ".join(word() for _ in range(rng.randrange(30))) + p[a : a + rng.choice([398, 399, 400, 401, 402, 450, 700])]
         rows.append((i, text))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert digest(S.dedup(df)) == order(brute(rows))
+    assert digest(S.dedup(df, hot=hot)) == order(brute(rows))
 
 
 def test_edges(spark):
@@ -64,7 +64,7 @@ def test_edges(spark):
     rows = [(0, None), (1, ""), (2, "a" * 399), (3, "b" * 400), (4, "c" * 401), (5, "Is onhe. " * 2000), (6, "x" * 600 + "Is onhe. " * 60 + "y"), (7, unique), (8, "é🙂" * 80), (None, "z" + unique[:500]), (9, "Is onhe. " * 45), (10, "a" * 9000 + unique[100:480] + "a" * 420), (11, "\n" * 30_000)]
     rows += [(12, "q" * 30 + unique[5000:5800]), (12, "q" * 30 + unique[5000:5800]), (13, unique[200:599]), (14, unique[7000:7400])]
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, kept string, key int")
-    assert digest(S.dedup(df)) == order(brute(rows))
+    assert digest(S.dedup(df)) == digest(S.dedup(df, hot=1)) == order(brute(rows))
     out = {r.doc_id: r for r in S.dedup(df.where("doc_id IN (7, 14)")).collect()}
     assert [tuple(s) for s in out[7].spans] == [(7000, 7400)] and out[14].kept == b""
     assert S.dedup(df.limit(0)).count() == 0
@@ -89,3 +89,34 @@ def test_deep_shallow_sorts(seed):
             assert common[n] == S.prefix(keys[n][1], keys[n - 1][1])
         else:
             assert common[n] == 0
+
+
+def test_cost_of_empty_buckets():
+    """A chunk's work follows what it has, not the number of buckets (2^22: 18 TB of text)."""
+    import time
+
+    hashes = np.random.default_rng(1).integers(0, 2**64, 5800, np.uint64)
+
+    def seconds(buckets):
+        start = time.perf_counter()
+        for _ in range(20):
+            S._asked(hashes, buckets, False)
+            S.C.bucket_order(hashes, buckets)
+        return time.perf_counter() - start
+
+    seconds(1 << 12)
+    assert seconds(1 << 22) < 4 * seconds(1 << 12) + 0.1
+    assert S.C.chunk_bytes(1 << 30) == 1 << 20 and S.C.chunk_bytes(1 << 40) == 4 << 20 and S.C.chunk_bytes(1 << 50) == 16 << 20
+
+
+def test_a_hot_gram_is_no_task_of_its_own():
+    """However many chunks hold a gram, above HOT places none sends its surroundings."""
+    text = ("some words that many texts hold in the middle of others, and nobody knows why they all begin " * 6).encode()
+    off = np.array([0, len(text)], "<i8")
+    place, hashed = S.minima(np.frombuffer(text, np.uint8), off)
+    asked = dict(S._asked(hashed, 16, False))
+    answers = {b: S._twice(3, 4)(b, [p] * 10)[0] for b, p in asked.items()}
+    a = S.Anchors(off.tobytes(), S.zstandard.compress(text), place.astype("<u4").tobytes(), hashed.tobytes(), 16)
+    assert a.repeated(answers, 16) == [] and list(a.sent) == []
+    starts, strings = a.strings(answers)
+    assert len(starts) == len(text) - 399 and len(np.unique(strings)) < len(starts)
