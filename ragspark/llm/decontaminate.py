@@ -1,13 +1,16 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each shard (a few MB of training text) gets a suffix array over its words: all suffixes of its texts, in the order of
-their first ``width`` words, by prefix doubling on word ranks. Every suffix of the test items is binary-searched in
-it, which yields all verbatim matches of ``width`` words with their places, and neighbouring ones are joined to the
-longest matches. Equal test suffixes are searched once.
+Each shard of the training text gets a suffix array over its words: all suffixes of its texts, in the order of their
+first ``width`` words, by prefix doubling on word ranks. The suffixes of the test items are binary-searched in it,
+which yields all verbatim matches of ``width`` words with their places, and neighbouring ones are joined to the longest
+matches. Equal test suffixes are searched once, and only those whose first LEAD words stand together in the shard, a
+slice of them at a time. A shard is as large as a quarter of the items' block, 1 MB at least and 8 MB at most, so that
+what a block costs is spread over much text, in bounded memory.
 
 The test items are the stated query set: they are dealt into blocks of about ``block_bytes`` of text by a hash. One
 block at a time is read and broadcast, and the training table passes by without any shuffle; between two blocks it is
-written, so a block's memory is free before the next one is read. What several blocks find in a text is united.
+written, so a block's memory is free before the next one is read, and the table written before it is deleted. What
+several blocks find in a text is united.
 
 Words are maximal runs of digits, ASCII letters and non-ASCII characters, A-Z lower-cased, told apart by 64-bit
 hashes. A test item of fewer than ``width`` words, but not none, has one window, the whole item. Defined results:
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm import kernel as K
-from ragspark.llm.shared import save, set_aside, small_batches
+from ragspark.llm.shared import noted, remove, save, set_aside, small_batches
 
-WIDTH, BLOCK = 13, 32 << 20
+WIDTH, BLOCK, LEAD = 13, 16 << 20, 4
+#: Least and most bytes of a shard; test suffixes that are searched at a time.
+SHARD, SLICE = (1 << 20, 8 << 20), 1 << 16
 MATCHES = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("doc_start", T.LongType()), T.StructField("item_start", T.LongType()), T.StructField("n_words", T.LongType())]))
 HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _HIT = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -81,6 +86,13 @@ class Suffixes:
             name[within] = K.mix(name[within] * K._M1 ^ self.words[start[within] + k])
         _, chosen, self.kind = np.unique(name, return_index=True, return_inverse=True)
         self.start, self.length = start[chosen], length[chosen]
+        # The suffixes by their first words; those of fewer words are always searched.
+        led = np.flatnonzero(self.length >= LEAD)
+        self.short = np.flatnonzero(self.length < LEAD)
+        self.leads, self.lead = np.unique(K.windows(self.words, LEAD)[self.start[led]], return_inverse=True) if len(led) else (np.zeros(0, K.U64), led)
+        self.led = led[np.argsort(self.lead, kind="stable")]
+        self.lead_begin = np.searchsorted(np.sort(self.lead), np.arange(len(self.leads) + 1))
+        self.bytes = len(data)
         self.by_kind = np.argsort(self.kind, kind="stable")
         self.begin = np.searchsorted(self.kind[self.by_kind], np.arange(len(chosen) + 1))
 
@@ -88,18 +100,35 @@ class Suffixes:
         """(kind, place) of every occurrence in the texts whose words have these hashes."""
         if not len(hashes) or not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        kinds = np.concatenate((self.short, self._led_by(np.unique(K.windows(hashes, LEAD)))))
         shard = Shard(hashes, first, self.width)
-        at = np.minimum(np.searchsorted(shard.known, self.words), len(shard.known) - 1)
-        told = np.where(shard.known[at] == self.words, at + 1, -1)  # the words' ranks in this shard
-        mine, able = np.zeros((self.width, len(self.start)), np.int64), np.ones(len(self.start), bool)
-        for k in range(self.width):
-            within = self.length > k
-            mine[k, within] = told[self.start[within] + k]
-            able &= mine[k] >= 0
-        kind = np.flatnonzero(able)  # a suffix with a word that the shard lacks is nowhere in it
-        low, high = (self._bound(shard, mine[:, kind], self.length[kind], upper) for upper in (False, True))
-        own, step = K.many(high - low)
-        return kind[own], shard.order[low[own] + step]
+        for i in range(0, len(kinds), SLICE):
+            kind = np.sort(kinds[i : i + SLICE])
+            mine = np.zeros((self.width, len(kind)), np.int64)
+            for k in range(self.width):  # the words' ranks in this shard; a suffix with a word that it lacks is nowhere in it
+                within = self.length[kind] > k
+                word = self.words[self.start[kind[within]] + k]
+                at = np.minimum(np.searchsorted(shard.known, word), len(shard.known) - 1)
+                mine[k, within] = at + 1
+                there = np.ones(len(kind), bool)
+                there[within] = shard.known[at] == word
+                kind, mine = kind[there], mine[:, there]
+            low, high = (self._bound(shard, mine, self.length[kind], upper) for upper in (False, True))
+            own, step = K.many(high - low)
+            found.append((kind[own], shard.order[low[own] + step]))
+        return np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found])
+
+    def _led_by(self, windows: np.ndarray) -> np.ndarray:
+        """The suffixes whose first words are one of the (sorted) windows."""
+        if not len(windows) or not len(self.leads):
+            return np.zeros(0, np.int64)
+        few, many = (self.leads, windows) if len(self.leads) < len(windows) else (windows, self.leads)
+        at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+        same = many[at] == few
+        lead = np.flatnonzero(same) if few is self.leads else at[same]
+        own, step = K.many(self.lead_begin[lead + 1] - self.lead_begin[lead])
+        return self.led[self.lead_begin[lead][own] + step]
 
     def _bound(self, shard: Shard, mine: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
         """Binary search of every test suffix: the first entry of the array that does not come before it, or (upper)
@@ -176,20 +205,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     plain = T.StructType([f for f in docs.schema.fields if f.name not in names])
     schema = T.StructType([*plain.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("matches", MATCHES)])
     df = docs.select(*[F.col(f"`{f.name}`") for f in plain.fields])
+    spark, before = docs.sparkSession, []
     for last, ids, texts in blocks(benchmark, item_id, item_text, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        shared = spark.sparkContext.broadcast((ids, texts))
         df = df.mapInArrow(_matcher(shared, text, width), schema)
         if not last:
-            df = save(df, "block")
+            with noted() as made:
+                df = save(df, "block")
             shared.destroy()
+            remove(spark, before)
+            before = made
     union = "aggregate(array_sort(hits), named_struct('n', 0L, 'at', 0L), (a, h) -> named_struct('n', a.n + greatest(0L, h.end - greatest(h.start, a.at)), 'at', greatest(a.at, h.end)), a -> a.n)"
     return df.withColumn("n_hit", F.expr(union)).drop("hits")
 
 
+def shards(batches, text: str, limit: int):
+    """(rows, bytes, offsets) of about ``limit`` bytes of text each, from as many Arrow batches as it takes."""
+    held, size = [], 0
+
+    def joined():
+        rows = pa.Table.from_batches([r for r, _, _ in held]).combine_chunks().to_batches()[0] if len(held) > 1 else held[0][0]
+        return rows, np.concatenate([d for _, d, _ in held]), np.cumsum(np.concatenate([[0], *[np.diff(o) for _, _, o in held]]))
+
+    for rows, data, off in K.chunks(batches, text, limit):
+        if held and size + len(data) > limit:
+            yield joined()
+            held, size = [], 0
+        held.append((rows, data, off))
+        size += len(data)
+    if held:
+        yield joined()
+
+
 def _matcher(block, text: str, width: int):
     def run(batches):
         suffixes = Suffixes(*block.value, width)
-        for rows, data, off in K.chunks(batches, text, 1 << 20):
+        for rows, data, off in shards(batches, text, min(SHARD[1], max(SHARD[0], suffixes.bytes // 4))):
             first, (owner, begins, stops), (doc, item, item_start, doc_start, length) = _batch_matches(suffixes, data, off)
             before = {n: rows.column(rows.schema.get_field_index(n)).to_pylist() if n in rows.schema.names else [] for n in ("hits", "matches")}
             hits, found = ([list(x or []) for x in before[n] or [[]] * rows.num_rows] for n in ("hits", "matches"))
