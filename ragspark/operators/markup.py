@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+#: Tags whose inside is asked for.
+NOTED = {"script", "style", "noscript", "svg", "nav", "header", "footer", "table", "ul", "ol"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: A start tag closes these open ones, up to the given containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -13,29 +15,47 @@ ENDS_PARAGRAPH = {"p", "div", "ul", "ol", "table", "pre", "blockquote", "h1", "h
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag", "within")
+
+    def __del__(self):
+        # Trees are freed level by level: a deep one would overflow the interpreter's stack.
+        left = self.children
+        self.children = []
+        while left:
+            n = left.pop()
+            if isinstance(n, Node):
+                left += n.children
+                n.children = []
 
     def __init__(self, tag: str, attrs: dict[str, str | None] | None = None, parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs or {}, parent, []
+        # The noted tags among the ancestors, shared with the parent where nothing is added.
+        self.within = frozenset() if parent is None else parent.within if parent.tag not in NOTED or parent.tag in parent.within else parent.within | {parent.tag}
 
     def walk(self) -> Iterator[Node]:
-        """All elements below, in document order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All elements below, in document order, however deep."""
+        left = self.elements()[::-1]
+        while left:
+            n = left.pop()
+            yield n
+            left += n.elements()[::-1]
 
     def text(self, without: frozenset[str] = frozenset()) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag in without else c.text(without) for c in self.children)
+        out, left = [], self.children[::-1]
+        while left:
+            c = left.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag not in without:
+                left += c.children[::-1]
+        return "".join(out)
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
-    def inside(self, tags) -> bool:
-        n = self.parent
-        while n is not None and n.tag not in tags:
-            n = n.parent
-        return n is not None
+    def inside(self, tags: frozenset[str] | set[str]) -> bool:
+        """Whether an ancestor is one of ``tags``, which are among NOTED."""
+        return not self.within.isdisjoint(tags)
 
     def first(self, selector: str) -> Node | None:
         return next(self.select(selector), None)
@@ -110,7 +130,7 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
-    """The tree of a page; deep nesting is cut at what the parser can hold."""
+    """The tree of a page."""
     b = _Builder()
     b.feed(html or "")
     b.close()

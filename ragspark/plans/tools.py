@@ -110,11 +110,13 @@ def repository_search(repos: DataFrame, text: str = "", language: str | None = N
 
 def page_corpus(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "text", most: int | None = None) -> DataFrame:
     """Chunks of the pages with text, equal texts once, numbered: the chunk dedup goes before anything that costs per
-    chunk, which the optimiser would not do by itself. More than ``most`` of them are an error."""
-    made = chunking.chunks(web.text_pages(pages, key, text), key, text)
-    made = made.join(pages.select(key, F.col(url).alias("url")), key)
-    once = keep_first(made, F.sha2("content", 256), key, "chunk_index")
-    out = numbered(once, key, "chunk_index").withColumnRenamed("content", "text")
+    chunk, which the optimiser would not do by itself. Every row is a page of its own, also without a key or with one
+    that others have. More than ``most`` chunks are an error."""
+    row = "_row"
+    own = saved(web.text_pages(pages.select(key, url, text), key, text).withColumn(row, F.monotonically_increasing_id()), "pages")
+    made = chunking.chunks(own, row, text).join(own.select(row, key, F.col(url).alias("url")), row)
+    once = keep_first(made, F.sha2("content", 256), key, "chunk_index", row)
+    out = numbered(once, key, "chunk_index", row).withColumnRenamed("content", "text").drop(row)
     if most is not None and (n := out.count()) > most:
         raise ValidationError(f"{n} chunks, and at most {most} are allowed")
     return out

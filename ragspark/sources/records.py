@@ -22,18 +22,15 @@ from ragspark.functions import urls as U
 class Source:
     schema: str
     items: str
-    columns: Callable[[], dict[str, Column]]
+    columns: Callable[[Callable[[Column, int], Column]], dict[str, Column]]  # given what cuts a text at its cap
     keep: str
+    most: int | None = None  # items of an answer
 
 
 def _i(name: str) -> Column:
     return F.col(f"i.{name}")
 
 
-def _cap(c: Column, n: int) -> Column:
-    return T.truncated(c, n)
-
-
 def _or(*cs: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in cs])
 
@@ -50,126 +47,130 @@ SOURCES: dict[str, Source] = {
     "brave": Source(
         "web struct<results:array<struct<title:string,url:string,description:string,age:string,page_age:string,extra_snippets:array<string>,deep_results:struct<buttons:array<struct<title:string,url:string>>>>>>",
         "web.results",
-        lambda: _web("title", "url", _i("description"), age=_or(_i("age"), _i("page_age")), extra_snippet=F.array_join(_i("extra_snippets"), " "), deep_links=_i("deep_results.buttons")),
+        lambda cap: _web("title", "url", _i("description"), age=_or(_i("age"), _i("page_age")), extra_snippet=F.array_join(_i("extra_snippets"), " "), deep_links=_i("deep_results.buttons")),
         "title IS NOT NULL AND url IS NOT NULL",
     ),
     "searxng": Source(
         "results array<struct<title:string,url:string,content:string,publishedDate:string,engines:array<string>>>",
         "results",
-        lambda: _web("title", "url", _i("content"), age=_i("publishedDate"), extra_snippet=F.concat(F.lit("via "), F.array_join(_i("engines"), ", ")), deep_links=F.array().cast("array<struct<title:string,url:string>>")),
+        lambda cap: _web("title", "url", _i("content"), age=_i("publishedDate"), extra_snippet=F.concat(F.lit("via "), F.array_join(_i("engines"), ", ")), deep_links=F.array().cast("array<struct<title:string,url:string>>")),
         "title IS NOT NULL AND url IS NOT NULL",
     ),
     "exa": Source(
         "results array<struct<title:string,url:string,text:string,publishedDate:string,score:double>>",
         "results",
-        lambda: _web("title", "url", _i("text"), age=_i("publishedDate"), extra_snippet=F.lit(None).cast("string"), deep_links=F.array().cast("array<struct<title:string,url:string>>")),
+        lambda cap: _web("title", "url", _i("text"), age=_i("publishedDate"), extra_snippet=F.lit(None).cast("string"), deep_links=F.array().cast("array<struct<title:string,url:string>>")),
         "url IS NOT NULL",
     ),
     "hackernews": Source(
         "hits array<struct<objectID:string,title:string,story_title:string,url:string,author:string,points:long,num_comments:long,created_at:string,story_text:string,comment_text:string,_tags:array<string>>>",
         "hits",
-        lambda: {"id": _i("objectID"), "title": _or(_i("title"), _i("story_title")), "url": _i("url"), "author": _i("author"), "points": F.coalesce(_i("points"), F.lit(0)), "num_comments": F.coalesce(_i("num_comments"), F.lit(0)), "created": F.try_to_timestamp(_i("created_at")), "text": _cap(T.stripped_html(_or(_i("story_text"), _i("comment_text"))), 2000)},
+        lambda cap: {"id": _i("objectID"), "title": _or(_i("title"), _i("story_title")), "url": _i("url"), "author": _i("author"), "points": F.coalesce(_i("points"), F.lit(0)), "num_comments": F.coalesce(_i("num_comments"), F.lit(0)), "created": F.try_to_timestamp(_i("created_at")), "text": cap(T.stripped_html(_or(_i("story_text"), _i("comment_text"))), 2000)},
         "title IS NOT NULL OR text IS NOT NULL",
     ),
     "reddit": Source(
         "data struct<children:array<struct<data:struct<id:string,title:string,selftext:string,subreddit:string,author:string,score:long,num_comments:long,created_utc:double,permalink:string,url:string,is_video:boolean>>>>",
         "data.children",
-        lambda: {"id": _i("data.id"), "title": _i("data.title"), "text": _cap(_i("data.selftext"), 2000), "subreddit": _i("data.subreddit"), "author": _i("data.author"), "score": F.coalesce(_i("data.score"), F.lit(0)), "num_comments": F.coalesce(_i("data.num_comments"), F.lit(0)), "created": F.timestamp_seconds(_i("data.created_utc")), "permalink": U.absolute(_i("data.permalink"), "https://www.reddit.com"), "url": _i("data.url"), "is_video": F.coalesce(_i("data.is_video"), F.lit(False))},
+        lambda cap: {"id": _i("data.id"), "title": _i("data.title"), "text": cap(_i("data.selftext"), 2000), "subreddit": _i("data.subreddit"), "author": _i("data.author"), "score": F.coalesce(_i("data.score"), F.lit(0)), "num_comments": F.coalesce(_i("data.num_comments"), F.lit(0)), "created": F.timestamp_seconds(_i("data.created_utc")), "permalink": U.absolute(_i("data.permalink"), "https://www.reddit.com"), "url": _i("data.url"), "is_video": F.coalesce(_i("data.is_video"), F.lit(False))},
         "title <> ''",
     ),
     "stackoverflow": Source(
         "items array<struct<question_id:long,title:string,body:string,link:string,tags:array<string>,score:long,answer_count:long,is_answered:boolean,accepted_answer_id:long,creation_date:long,view_count:long>>",
         "items",
-        lambda: {"id": _i("question_id").cast("string"), "title": T.decoded(_i("title")), "text": _cap(T.stripped_html(_i("body")), 3000), "url": _i("link"), "tags": _i("tags"), "score": _i("score"), "answers": _i("answer_count"), "accepted": _i("accepted_answer_id").isNotNull(), "created": F.timestamp_seconds(_i("creation_date")), "views": _i("view_count")},
+        lambda cap: {"id": _i("question_id").cast("string"), "title": T.decoded(_i("title")), "text": cap(T.stripped_html(_i("body")), 3000), "url": _i("link"), "tags": _i("tags"), "score": _i("score"), "answers": _i("answer_count"), "accepted": _i("accepted_answer_id").isNotNull(), "created": F.timestamp_seconds(_i("creation_date")), "views": _i("view_count")},
         "title <> ''",
     ),
     "npm": Source(
         "objects array<struct<package:struct<name:string,version:string,description:string,keywords:array<string>,date:string,links:struct<npm:string,repository:string>,publisher:struct<username:string>>,score:struct<final:double>>>",
         "objects",
-        lambda: {"name": _i("package.name"), "version": _i("package.version"), "description": _i("package.description"), "keywords": _i("package.keywords"), "published": F.try_to_timestamp(_i("package.date")), "url": _or(_i("package.links.npm"), F.concat(F.lit("https://www.npmjs.com/package/"), _i("package.name"))), "repository": _i("package.links.repository"), "publisher": _i("package.publisher.username"), "score": _i("score.final")},
+        lambda cap: {"name": _i("package.name"), "version": _i("package.version"), "description": _i("package.description"), "keywords": _i("package.keywords"), "published": F.try_to_timestamp(_i("package.date")), "url": _or(_i("package.links.npm"), F.concat(F.lit("https://www.npmjs.com/package/"), _i("package.name"))), "repository": _i("package.links.repository"), "publisher": _i("package.publisher.username"), "score": _i("score.final")},
         "name <> ''",
     ),
     "pypi": Source(
         "info struct<name:string,version:string,summary:string,author:string,license:string,home_page:string,package_url:string,requires_python:string,keywords:string>",
         "array(info)",
-        lambda: {"name": _i("name"), "version": _i("version"), "description": _cap(_i("summary"), 500), "author": _i("author"), "license": _i("license"), "url": _or(_i("package_url"), _i("home_page")), "requires_python": _i("requires_python"), "keywords": F.filter(F.transform(F.split(_i("keywords"), ","), lambda k: F.trim(k)), lambda k: k != "")},
+        lambda cap: {"name": _i("name"), "version": _i("version"), "description": cap(_i("summary"), 500), "author": _i("author"), "license": _i("license"), "url": _or(_i("package_url"), _i("home_page")), "requires_python": _i("requires_python"), "keywords": F.filter(F.transform(F.split(_i("keywords"), ","), lambda k: F.trim(k)), lambda k: k != "")},
         "name <> ''",
     ),
-    "pypi_top": Source("rows array<struct<project:string,download_count:long>>", "rows", lambda: {"name": _i("project"), "downloads": _i("download_count")}, "name IS NOT NULL AND downloads IS NOT NULL"),
+    "pypi_top": Source("rows array<struct<project:string,download_count:long>>", "rows", lambda cap: {"name": _i("project"), "downloads": _i("download_count")}, "name IS NOT NULL AND downloads IS NOT NULL"),
     "news": Source(
         "articles array<struct<title:string,url:string,domain:string,language:string,seendate:string,sourcecountry:string,socialimage:string>>",
         "articles",
-        lambda: {"title": _i("title"), "url": _i("url"), "domain": _or(_i("domain"), U.domain(_i("url"))), "language": _i("language"), "published": N.compact_timestamp(_i("seendate")), "country": _i("sourcecountry"), "image": _i("socialimage")},
+        lambda cap: {"title": _i("title"), "url": _i("url"), "domain": _or(_i("domain"), U.domain(_i("url"))), "language": _i("language"), "published": N.compact_timestamp(_i("seendate")), "country": _i("sourcecountry"), "image": _i("socialimage")},
         "title <> '' AND url <> ''",
     ),
     "patents": Source(
         "patents array<struct<patent_id:string,patent_title:string,patent_abstract:string,patent_date:string,assignees:array<struct<assignee_organization:string>>,inventors:array<struct<inventor_name_first:string,inventor_name_last:string>>>>",
         "patents",
-        lambda: {"id": _i("patent_id"), "title": _i("patent_title"), "text": _cap(_i("patent_abstract"), 2000), "granted": F.try_to_date(_i("patent_date")), "assignees": F.array_compact(F.transform(_i("assignees"), lambda a: a["assignee_organization"])), "inventors": F.transform(_i("inventors"), lambda a: F.concat_ws(" ", a["inventor_name_first"], a["inventor_name_last"])), "url": F.concat(F.lit("https://patents.google.com/patent/US"), _i("patent_id"))},
+        lambda cap: {"id": _i("patent_id"), "title": _i("patent_title"), "text": cap(_i("patent_abstract"), 2000), "granted": F.try_to_date(_i("patent_date")), "assignees": F.array_compact(F.transform(_i("assignees"), lambda a: a["assignee_organization"])), "inventors": F.transform(_i("inventors"), lambda a: F.concat_ws(" ", a["inventor_name_first"], a["inventor_name_last"])), "url": F.concat(F.lit("https://patents.google.com/patent/US"), _i("patent_id"))},
         "id <> ''",
     ),
     "podcasts": Source(
         "results array<struct<id:string,title_original:string,description_original:string,publisher_original:string,audio:string,link:string,pub_date_ms:long,audio_length_sec:long,podcast:struct<title_original:string>>>",
         "results",
-        lambda: {"id": _i("id"), "title": _i("title_original"), "text": _cap(T.stripped_html(_i("description_original")), 1000), "show": _i("podcast.title_original"), "publisher": _i("publisher_original"), "audio": _i("audio"), "url": _i("link"), "published": F.timestamp_millis(_i("pub_date_ms")), "seconds": _i("audio_length_sec")},
+        lambda cap: {"id": _i("id"), "title": _i("title_original"), "text": cap(T.stripped_html(_i("description_original")), 1000), "show": _i("podcast.title_original"), "publisher": _i("publisher_original"), "audio": _i("audio"), "url": _i("link"), "published": F.timestamp_millis(_i("pub_date_ms")), "seconds": _i("audio_length_sec")},
         "title <> ''",
     ),
     "producthunt": Source(
         "data struct<posts:struct<edges:array<struct<node:struct<id:string,name:string,tagline:string,description:string,url:string,website:string,votesCount:long,commentsCount:long,createdAt:string,topics:struct<edges:array<struct<node:struct<name:string>>>>>>>>>",
         "data.posts.edges",
-        lambda: {"id": _i("node.id"), "name": _i("node.name"), "tagline": _i("node.tagline"), "text": _cap(_i("node.description"), 500), "url": _i("node.url"), "website": _i("node.website"), "votes": _i("node.votesCount"), "num_comments": _i("node.commentsCount"), "created": F.try_to_timestamp(_i("node.createdAt")), "topics": F.transform(_i("node.topics.edges"), lambda t: t["node"]["name"])},
+        lambda cap: {"id": _i("node.id"), "name": _i("node.name"), "tagline": _i("node.tagline"), "text": cap(_i("node.description"), 500), "url": _i("node.url"), "website": _i("node.website"), "votes": _i("node.votesCount"), "num_comments": _i("node.commentsCount"), "created": F.try_to_timestamp(_i("node.createdAt")), "topics": F.transform(_i("node.topics.edges"), lambda t: t["node"]["name"])},
         "name <> ''",
     ),
     "youtube": Source(
         "items array<struct<id:struct<videoId:string>,snippet:struct<title:string,description:string,channelTitle:string,publishedAt:string>>>",
         "items",
-        lambda: {"video_id": _i("id.videoId"), "title": T.decoded(_i("snippet.title")), "text": _i("snippet.description"), "channel": _i("snippet.channelTitle"), "published": F.try_to_timestamp(_i("snippet.publishedAt")), "url": F.concat(F.lit("https://www.youtube.com/watch?v="), _i("id.videoId"))},
+        lambda cap: {"video_id": _i("id.videoId"), "title": T.decoded(_i("snippet.title")), "text": _i("snippet.description"), "channel": _i("snippet.channelTitle"), "published": F.try_to_timestamp(_i("snippet.publishedAt")), "url": F.concat(F.lit("https://www.youtube.com/watch?v="), _i("id.videoId"))},
         "video_id <> '' AND title <> ''",
     ),
-    "transcript": Source("video_id string, segments array<struct<text:string,offset:double,duration:double>>", "slice(segments, 1, 1500)", lambda: {"video_id": F.col("j.video_id"), "text": T.decoded(_i("text")), "offset": _i("offset"), "duration": _i("duration")}, "text IS NOT NULL"),
+    "transcript": Source("video_id string, segments array<struct<text:string,offset:double,duration:double>>", "segments", lambda cap: {"video_id": F.col("j.video_id"), "text": T.decoded(_i("text")), "offset": _i("offset"), "duration": _i("duration")}, "text IS NOT NULL", 1500),
     "semantic_scholar": Source(
         "data array<struct<paperId:string,title:string,abstract:string,year:int,citationCount:long,venue:string,externalIds:struct<DOI:string>,authors:array<struct<name:string>>,url:string>>",
         "data",
-        lambda: {"id": _i("paperId"), "title": _i("title"), "text": _cap(_i("abstract"), 2000), "year": _i("year"), "citations": _i("citationCount"), "venue": F.when(_i("venue") != "", _i("venue")), "doi": _i("externalIds.DOI"), "authors": F.transform(_i("authors"), lambda a: a["name"]), "url": _i("url")},
+        lambda cap: {"id": _i("paperId"), "title": _i("title"), "text": cap(_i("abstract"), 2000), "year": _i("year"), "citations": _i("citationCount"), "venue": F.when(_i("venue") != "", _i("venue")), "doi": _i("externalIds.DOI"), "authors": F.transform(_i("authors"), lambda a: a["name"]), "url": _i("url")},
         "title <> ''",
     ),
     "github_repo": Source(
         "items array<struct<full_name:string,description:string,html_url:string,language:string,stargazers_count:long,forks_count:long,open_issues_count:long,default_branch:string,topics:array<string>,pushed_at:string,license:struct<spdx_id:string>>>",
         "items",
-        lambda: {"name": _i("full_name"), "description": _i("description"), "url": _i("html_url"), "language": _i("language"), "stars": _i("stargazers_count"), "forks": _i("forks_count"), "issues": _i("open_issues_count"), "branch": _i("default_branch"), "topics": _i("topics"), "pushed": F.try_to_timestamp(_i("pushed_at")), "license": _i("license.spdx_id")},
+        lambda cap: {"name": _i("full_name"), "description": _i("description"), "url": _i("html_url"), "language": _i("language"), "stars": _i("stargazers_count"), "forks": _i("forks_count"), "issues": _i("open_issues_count"), "branch": _i("default_branch"), "topics": _i("topics"), "pushed": F.try_to_timestamp(_i("pushed_at")), "license": _i("license.spdx_id")},
         "name <> ''",
     ),
     "github_tree": Source(
         "sha string, truncated boolean, tree array<struct<path:string,mode:string,type:string,sha:string,size:long>>",
         "tree",
-        lambda: {"path": _i("path"), "name": F.substring_index(_i("path"), "/", -1), "type": F.when(_i("mode") == "120000", "symlink").when(_i("type") == "blob", "file").when(_i("type") == "tree", "dir").when(_i("type") == "commit", "submodule").otherwise(_i("type")), "size": _i("size"), "sha": _i("sha")},
+        lambda cap: {"path": _i("path"), "name": F.substring_index(_i("path"), "/", -1), "type": F.when(_i("mode") == "120000", "symlink").when(_i("type") == "blob", "file").when(_i("type") == "tree", "dir").when(_i("type") == "commit", "submodule").otherwise(_i("type")), "size": _i("size"), "sha": _i("sha")},
         "path <> ''",
     ),
     "github_code": Source(
         "items array<struct<name:string,path:string,html_url:string,repository:struct<full_name:string>,text_matches:array<struct<fragment:string,matches:array<struct<text:string,indices:array<int>>>>>>>",
         "items",
-        lambda: {"name": _i("name"), "path": _i("path"), "url": _i("html_url"), "repository": _i("repository.full_name"), "fragments": F.transform(F.filter(_i("text_matches"), lambda m: m["fragment"] != ""), lambda m: m["fragment"]), "matches": F.flatten(F.transform(_i("text_matches"), lambda m: F.transform(F.filter(m["matches"], lambda x: F.size(x["indices"]) == 2), lambda x: F.struct(x["text"].alias("text"), x["indices"][0].alias("start"), x["indices"][1].alias("end")))))},
+        lambda cap: {"name": _i("name"), "path": _i("path"), "url": _i("html_url"), "repository": _i("repository.full_name"), "fragments": F.transform(F.filter(_i("text_matches"), lambda m: m["fragment"] != ""), lambda m: m["fragment"]), "matches": F.flatten(F.transform(_i("text_matches"), lambda m: F.transform(F.filter(m["matches"], lambda x: F.size(x["indices"]) == 2), lambda x: F.struct(x["text"].alias("text"), x["indices"][0].alias("start"), x["indices"][1].alias("end")))))},
         "path <> ''",
     ),
 }
 
 
-def normalize(raw: DataFrame, source: str, column: str = "raw", limit: int | None = None) -> DataFrame:
+def normalize(raw: DataFrame, source: str, column: str = "raw", limit: int | None = None, whole: bool = False) -> DataFrame:
     """The rows of ``source`` in the answers of ``column``, with their position (from 1) in each answer and the other
-    columns of ``raw``."""
+    columns of ``raw``. Texts and transcripts are cut at the source's caps, unless they are wanted ``whole``."""
     if source not in SOURCES:
         raise ValidationError(f"source must be one of {', '.join(SOURCES)}")
     s = SOURCES[source]
     others = [F.col(f"`{c}`") for c in raw.columns if c != column]
     parsed = raw.select(*others, F.from_json(column, s.schema).alias("j"))
-    items = s.items.replace("array(", "array(j.").replace("slice(", "slice(j.") if "(" in s.items else f"j.{s.items}"
+    items = s.items.replace("array(", "array(j.") if "(" in s.items else f"j.{s.items}"
+    if s.most is not None and not whole:
+        items = f"slice({items}, 1, {s.most})"
+    cap = (lambda c, n: c) if whole else T.truncated
     each = parsed.select(*others, "j", F.posexplode(F.expr(items)).alias("at", "i"))
-    out = each.select(*others, (F.col("at") + 1).alias("position"), *[c.alias(n) for n, c in s.columns().items()]).where(s.keep)
+    out = each.select(*others, (F.col("at") + 1).alias("position"), *[c.alias(n) for n, c in s.columns(cap).items()]).where(s.keep)
     return out if limit is None else out.where(F.col("position") <= limit)
 
 
-def arxiv(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Entries of Atom feeds, by regular expression: the feed's shape is fixed."""
+def arxiv(raw: DataFrame, column: str = "raw", most_text: int | None = 2000) -> DataFrame:
+    """Entries of Atom feeds, by regular expression: the feed's shape is fixed. An entry that was never updated has its
+    day of publication as ``updated``."""
     tag = lambda n: T.collapsed(T.decoded(F.regexp_extract("entry", rf"(?s)<{n}[^>]*>(.*?)</{n}>", 1)))
     entry = F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("entry")
     df = raw.select(*[F.col(f"`{c}`") for c in raw.columns if c != column], entry)
@@ -177,8 +178,9 @@ def arxiv(raw: DataFrame, column: str = "raw") -> DataFrame:
         *[F.col(f"`{c}`") for c in df.columns if c != "entry"],
         F.regexp_extract(tag("id"), r"abs/(.+?)(?:v\d+)?$", 1).alias("id"),
         tag("title").alias("title"),
-        T.truncated(tag("summary"), 2000).alias("text"),
+        (tag("summary") if most_text is None else T.truncated(tag("summary"), most_text)).alias("text"),
         F.try_to_timestamp(tag("published")).alias("published"),
+        F.coalesce(F.try_to_timestamp(tag("updated")), F.try_to_timestamp(tag("published"))).alias("updated"),
         N.year_of(tag("published")).alias("year"),
         F.regexp_extract_all("entry", F.lit(r"(?s)<author>\s*<name>(.*?)</name>"), F.lit(1)).alias("authors"),
         F.regexp_extract_all("entry", F.lit(r'<category[^>]*term="([^"]*)"'), F.lit(1)).alias("categories"),
@@ -187,9 +189,9 @@ def arxiv(raw: DataFrame, column: str = "raw") -> DataFrame:
     ).where("title IS NOT NULL")
 
 
-def comments(raw: DataFrame, column: str = "raw", most_depth: int = 64) -> DataFrame:
+def comments(raw: DataFrame, column: str = "raw", most_depth: int | None = None) -> DataFrame:
     """Comment trees (listing of listings) as an adjacency list: id, parent_id without its prefix, author, body,
-    permalink, depth, position; stubs for more comments are dropped. The nesting has no schema, so one Arrow pass
+    permalink, depth, position; stubs for more comments are dropped, and levels from ``most_depth`` on if it is given. The nesting has no schema, so one Arrow pass
     walks it."""
     import json
 
@@ -210,7 +212,7 @@ def comments(raw: DataFrame, column: str = "raw", most_depth: int = 64) -> DataF
                 yield data.get("id"), (data.get("parent_id") or "")[3:] or None, data.get("author"), data.get("body") or "", link and (link if link.startswith("http") else f"https://www.reddit.com{link}"), depth, at
                 at += 1
                 below = data.get("replies")
-                if isinstance(below, dict) and depth + 1 < most_depth:
+                if isinstance(below, dict) and (most_depth is None or depth + 1 < most_depth):
                     stack += [(c, depth + 1) for c in reversed((below.get("data") or {}).get("children") or [])]
 
     keep = [c for c in raw.columns if c != column]
@@ -246,10 +248,11 @@ def file_priority(path: Column) -> Column:
     return 25.0 * (count(CORE_DIRS) - count(SURFACE_DIRS)) - 2.0 * F.size(parts) - F.length(path) / 1000.0
 
 
-def corpus_files(tree: DataFrame, most: int = 100, extensions: list[str] | None = None) -> DataFrame:
-    """The best ``most`` files of a tree (path, type, size)."""
+def corpus_files(tree: DataFrame, most: int | None = 100, extensions: list[str] | None = None) -> DataFrame:
+    """The best ``most`` files of a tree (path, type, size), all of them for None."""
     kept = tree.where(is_corpus_file(F.col("path"), F.col("type"), F.col("size"), extensions))
-    return kept.orderBy(F.desc(F.round(file_priority(F.col("path")), 6)), "path").limit(most)
+    ranked = kept.orderBy(F.desc(F.round(file_priority(F.col("path")), 6)), "path")
+    return ranked if most is None else ranked.limit(most)
 
 
 def file_slice(content: Column, offset: int = 1, limit: int | None = None, unit: str = "lines") -> Column:

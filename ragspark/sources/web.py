@@ -15,6 +15,7 @@ from ragspark.functions import text as T
 from ragspark.functions import urls as U
 from ragspark.operators import hygiene, markup
 from ragspark.operators.dedup import keep_first, prefix_budget
+from ragspark.operators.tables import saved
 
 GONE = frozenset({"script", "style", "noscript", "svg", "nav"})
 
@@ -100,17 +101,22 @@ def select_xpath(pages: DataFrame, paths: dict[str, str], key: str = "page_id",
     """(key, field, position, value): the texts that XPath expressions (those of the standard library's trees) find."""
     from xml.etree import ElementTree as E
 
-    def tree(node: markup.Node) -> E.Element:
-        out, last = E.Element(node.tag, {k: v or "" for k, v in node.attrs.items()}), None
-        for c in node.children:
-            if isinstance(c, str):
-                if last is None:
+    def tree(top: markup.Node) -> E.Element:
+        made, left = {}, [top]
+        while left:
+            node = left.pop()
+            out, last = E.Element(node.tag, {k: v or "" for k, v in node.attrs.items()}) if node is top else made.pop(id(node)), None
+            first = out if node is top else None
+            for c in node.children:
+                if not isinstance(c, str):
+                    last = made[id(c)] = E.SubElement(out, c.tag, {k: v or "" for k, v in c.attrs.items()})
+                    left.append(c)
+                elif last is None:
                     out.text = (out.text or "") + c
                 else:
                     last.tail = (last.tail or "") + c
-            else:
-                out.append(last := tree(c))
-        return out
+            root = first if first is not None else root
+        return root
 
     def run(batches):
         for b in batches:
@@ -177,7 +183,7 @@ def trending(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     return df.select(key, rank, "owner", "repo", F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "repo").alias("url"), "description", "language", *[n(c).alias(c) for c in ("stars", "forks", "today")])
 
 
-def tweets(pages: DataFrame, base: str, key: str = "page_id", html: str = "html", most: int = 1000) -> DataFrame:
+def tweets(pages: DataFrame, base: str, key: str = "page_id", html: str = "html", most: int | None = 1000) -> DataFrame:
     """Posts of timeline pages: position, author, handle, content (cut to ``most`` characters, with a mark), url,
     timestamp, likes, retweets, replies; posts without text are left out."""
     counts = ["likes", "retweets", "replies"]
@@ -197,7 +203,7 @@ def tweets(pages: DataFrame, base: str, key: str = "page_id", html: str = "html"
     df = pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, author string, handle string, content string, href string, timestamp string, " + ", ".join(f"{c} string" for c in counts))
     url = F.when(F.col("href") == "", "").otherwise(U.absolute(F.col("href"), base))
     number = lambda c: N.with_suffix(F.regexp_extract(F.replace(F.col(c), F.lit(","), F.lit("")), r"([\d.]+[KkMm]?)", 1)).alias(c)
-    return df.where("content <> ''").select(key, "position", "author", "handle", T.truncated(F.col("content"), most).alias("content"), url.alias("url"), F.nullif("timestamp", F.lit("")).alias("timestamp"), *[number(c) for c in counts])
+    return df.where("content <> ''").select(key, "position", "author", "handle", (F.col("content") if most is None else T.truncated(F.col("content"), most)).alias("content"), url.alias("url"), F.nullif("timestamp", F.lit("")).alias("timestamp"), *[number(c) for c in counts])
 
 
 def seed_budgets(seeds: DataFrame, most: int, order: str = "position", group: tuple[str, ...] = ()) -> DataFrame:
@@ -227,27 +233,26 @@ def crawl_seeds(pages: DataFrame, seeds: DataFrame, most: int, order: str = "pag
     return ranked.where("_n <= budget").drop("_host", "_way", "_base", "_other", "_n", "budget", "seed").withColumnRenamed("position", "seed_position")
 
 
-def crawl(pages: DataFrame, seed: str, most: int = 100, budget: int = 250_000_000, prefix: bool = False, order: str = "page_id") -> DataFrame:
+def crawl(pages: DataFrame, seed: str, most: int | None = 100, budget: int | None = 250_000_000, prefix: bool = False, order: str = "page_id") -> DataFrame:
     """The pages of a crawl table that a crawl from ``seed`` would keep: safe URLs of its host, once by URL and once
-    by content, the seed first, within the number of pages and characters."""
+    by content, the seed first, within the number of pages and characters (None for no bound)."""
     host = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", seed)
     df = pages.where(U.is_safe(F.col("url")) & (U.host(F.col("url")) == (host[1].lower() if host else "")))
     if prefix:
         df = df.where(U.under(F.col("url"), seed))
     df = keep_first(df, U.normalized(F.col("url")), order)
     df = keep_first(df, F.sha2("text", 256), order)
-    df = df.withColumn("_other", (F.col("url") != seed).cast("int")).orderBy("_other", order).limit(most)
+    df = df.withColumn("_other", (F.col("url") != seed).cast("int")).orderBy("_other", order)
+    if most is not None:
+        df = df.limit(most)
+    if budget is None:
+        return df.drop("_other")
     return prefix_budget(df, F.length(F.coalesce("text", F.lit(""))), budget, "_other", order, keep_one=True).drop("_other", "used")
 
 
 def text_pages(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """Pages with text that are not mostly a consent banner."""
-    full = pages.where(F.coalesce(F.col(text), F.lit("")) != "")
-    banner = hygiene.banner_ratio(full, key, text).where("ratio > 0.4").select(key)
-    return full.join(banner, key, "left_anti")
-
-
-def recovered(first: DataFrame, second: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """The first rendering where it is meaningful, else the second's."""
-    again = second.select(key, F.col(text).alias("_again"))
-    return first.join(again, key, "left").withColumn(text, F.when(hygiene.quality(F.col(text)) == "meaningful", F.col(text)).otherwise(F.coalesce("_again", text))).drop("_again")
+    """Pages with text that are not mostly a consent banner, each row judged by itself, whatever its key."""
+    row = "_row"
+    full = saved(pages.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn(row, F.monotonically_increasing_id()), "text_pages")
+    banner = hygiene.banner_ratio(full, row, text).where("ratio > 0.4").select(row)
+    return full.join(banner, row, "left_anti").drop(row)
