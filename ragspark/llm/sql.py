@@ -4,7 +4,7 @@ tested against brute force."""
 from __future__ import annotations
 
 from ragspark.llm.quality import BOILERPLATE
-from ragspark.llm.urls import DAMPING, ROUNDS, RULES, THRESHOLD
+from ragspark.llm.urls import ATTRIBUTE, DAMPING, HIDDEN, OUTWARD, ROUNDS, RULES, SCHEME, THRESHOLD
 
 SQL: dict[str, str] = {}
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,11 +117,15 @@ def _walk(name: str, seed: str, source: str, target: str) -> str:
     return ", ".join([share, start, *rounds])
 
 
+_Q = lambda p: p.replace("'", "''")
+_HREFS = rf"""list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^({{n}})[\s/]')), lambda t: coalesce(regexp_extract(list_filter(regexp_extract_all(string_split(t, '>')[1], '{_Q(ATTRIBUTE)}'), lambda x: regexp_matches(x, '(?i)^[\s"''/]href\s*='))[1], '=\s*["'']?\s*([^"''\s>]*)', 1), ''))"""
 SQL["op10_link_graph"] = rf"""
 WITH p AS (SELECT page_id, coalesce({_HOST.replace("{u}", "url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 r AS (SELECT page_id, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule FROM ({_FIT}) GROUP BY page_id),
-l AS (SELECT host AS source, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM p),
-e AS (SELECT source, target, count(*)::DOUBLE AS n FROM (SELECT source, {_HOST.replace("{u}", "link")} AS target FROM (SELECT source, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM l WHERE regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//'))) WHERE source <> target AND source <> '' AND target <> '' GROUP BY source, target),
+h AS (SELECT host, list_slice(string_split(regexp_replace(html, '{HIDDEN}', ' ', 'g'), '<'), 2, NULL) AS tags FROM p WHERE contains(html, '//')),
+g AS (SELECT host, {_HREFS.replace("{n}", "a|area")} AS links, list_filter({_HREFS.replace("{n}", "base")}, lambda u: regexp_matches(u, '{OUTWARD}'))[1] AS base FROM h),
+l AS (SELECT host AS source, base, unnest(links) AS link FROM g),
+e AS (SELECT source, target, count(*)::DOUBLE AS n FROM (SELECT source, {_HOST.replace("{u}", "link")} AS target FROM (SELECT source, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS link FROM (SELECT source, CASE WHEN regexp_matches(link, '{OUTWARD}') THEN link WHEN link = '' OR regexp_matches(link, '{SCHEME}') THEN '' ELSE base END AS link FROM l))) WHERE source <> target AND source <> '' AND target <> '' GROUP BY source, target),
 seeds AS (SELECT host, avg(coalesce(verdict = 'allow', false)::INT) AS trusted, avg(coalesce(verdict = 'block', false)::INT) AS blocked FROM p LEFT JOIN r USING (page_id) WHERE host <> '' GROUP BY host),
 {_walk("t", "trusted", "source", "target")}, {_walk("d", "blocked", "target", "source")}
 SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN d{ROUNDS}.v > 0 AND round(d{ROUNDS}.v - coalesce(t{ROUNDS}.v, 0) - {THRESHOLD} * (SELECT avg(v) FROM d{ROUNDS} WHERE v > 0), 9) >= 0 THEN 'block' ELSE 'allow' END) AS verdict

@@ -9,9 +9,10 @@ and not from distributions, so a host's trust and distrust have one unit; what r
 there. A page without a rule is blocked when its host's distrust exceeds its trust by ``threshold`` times the mean
 distrust of the hosts that have any (so the verdict does not depend on the size of the graph), otherwise allowed.
 
-Links are the href values of the html, resolved as a browser does: those that begin with a scheme and ``//``, or with
-``//`` alone, lead to the host named there; every other one stays on the page's own host, whatever stands in its
-query, and links within a host carry nothing. Host edges are summed before any join, the table of verdicts is written
+Links are the href attributes of the a and area tags outside of comments, scripts, styles, text areas and titles (a tag
+ends at its first ``>``), resolved as a browser does: those that begin with a scheme and ``//``, or with ``//`` alone,
+lead to the host named there; one with another scheme leads nowhere; every other one stays on the host of the first
+base tag that names one, else on the page's own, whatever stands in its query. Links within a host carry nothing. Host edges are summed before any join, the table of verdicts is written
 first, so the join to the pages is broadcast if small or split by the adaptive skew join.
 
 Defined results: a null url or one without ``://`` has an empty host and path, matches no rule and is allowed; null
@@ -32,6 +33,10 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
 #: Links that name a host.
 OUTWARD = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: What is no markup: comments, and the content of some tags; and an attribute with what stands before it.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|textarea|title)[\s>].*?(?:</(?:script|style|textarea|title)|\z)"
+ATTRIBUTE = r"""[\s"'/][^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]*)"""
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,13 +57,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _href(tag: Column) -> Column:
+    """The first href of a tag's text: its attributes are read one after the other, so none is found in another's value."""
+    each = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+    own = F.get(F.filter(each, lambda x: x.rlike(r"""(?i)^[\s"'/]href\s*=""")), F.lit(0))
+    return F.regexp_extract(own, r"""=\s*["']?\s*([^"'\s>]*)""", 1)
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, n) between different hosts; ``pages`` has host and html."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
-    out = F.filter(found, lambda u: u.rlike(OUTWARD))
+    read = pages.where(F.col("html").contains("//")).select("host", F.split(F.regexp_replace("html", HIDDEN, " "), "<").alias("tags"))
+    tags = lambda names: F.transform(F.filter("tags", lambda t, i: (i > 0) & t.rlike(f"(?i)^(?:{names})[\\s/]")), lambda t: _href(F.substring_index(t, ">", 1)))
     # A link that starts with // takes the page's scheme, which the host does not depend on.
-    target = F.explode(F.transform(out, lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))))
-    links = pages.where(F.col("html").contains("//")).select(F.col("host").alias("source"), target.alias("target"))
+    named = lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))
+    base = F.get(F.filter(tags("base"), lambda u: u.rlike(OUTWARD)), F.lit(0))
+    found = read.select("host", F.coalesce(named(base), F.lit("")).alias("base"), tags("a|area").alias("links"))
+    target = lambda u: F.when(u.rlike(OUTWARD), named(u)).when(u.rlike(SCHEME) | (u == ""), "").otherwise(F.col("base"))
+    links = found.select(F.col("host").alias("source"), F.explode(F.transform("links", target)).alias("target"))
     return links.where("source <> target AND source <> '' AND target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 

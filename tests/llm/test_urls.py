@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 from ragspark.llm import queries as Q
 from ragspark.llm import urls as U
@@ -7,6 +8,25 @@ from ragspark.llm import urls as U
 SF = "/root/testdata/sf0.001"
 
 
+class Links(HTMLParser):
+    """The links of a page, with relative ones on the host of its first base, by another parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.base, self.hrefs = None, []
+        self.feed(html)
+        self.close()
+        relative = lambda u: u and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", u)
+        self.found = [self.base if relative(u) and self.base else u for u in self.hrefs]
+
+    def handle_starttag(self, tag, attrs):
+        href = (dict(reversed(attrs)).get("href") or "").strip()
+        if tag in ("a", "area"):
+            self.hrefs.append(href)
+        elif tag == "base" and self.base is None and re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", href):
+            self.base = href
+
+
 def split(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     return ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
@@ -22,7 +42,7 @@ def brute(pages, rules=U.RULES):
         rows.append((page_id, host, path, rule[1], rule[0]))
         if host:
             shares[host].append(rule[0])
-            for u in re.findall(r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", html or ""):
+            for u in Links(html or "").found:
                 if not re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", u):
                     continue
                 target = split("x:" + u if u.startswith("//") else u)[0]
@@ -105,3 +125,13 @@ def test_distrust_shared_by_many(spark):
     got = {r.page_id: r.verdict for r in U.judge(df).collect()}
     assert got == {r[0]: r[4] for r in brute(pages)}
     assert all(got[i] == "block" for i in range(2, 11))
+
+
+def test_only_anchors_are_links(spark):
+    html = """<a data-href="http://data.test/" title=" href=http://title.test/" HREF = 'http://real.test/x'>t</a><!-- <a href="http://comment.test/"> -->
+    href="http://plain.test/" <link rel=stylesheet href="http://cdn.test/c.css"><script>"<a href='http://script.test/'>"</script><a name=x> href=http://after.test/ </a>
+    <area/href=//area.test><a href="mailto:x@mail.test"><a href="">e</a><a\nhref=http://line.test>"""
+    based = '<base target=_top><base href="http://base.test/d/"><base href="http://second.test/"><a href="rel"><a href="#f"><a href="javascript:x"><a href=\'//own.test/\'>'
+    pages = spark.createDataFrame([("own.test", html), ("own.test", based), ("own.test", "<!-- open <a href=http://lost.test/>"), ("", "<a href=http://x.test/>"), ("own.test", None), ("own.test", "<a href=http://real.test/" + " x" * 300_000)], "host string, html string")
+    got = {r["target"]: r["n"] for r in U.host_edges(pages).collect()}
+    assert got == {"real.test": 2, "area.test": 1, "line.test": 1, "base.test": 2}
