@@ -178,6 +178,36 @@ def source_comments(spark, sf):
     return records.comments(table(spark, sf, "part").select("p_partkey", F.expr(raw).alias("raw")))
 
 
+# --- crawls by level ---------------------------------------------------------------------------------------------------
+
+
+def _graph(spark, sf):
+    """A page per part that links to three others, and two seeds."""
+    p = table(spark, sf, "part")
+    n = p.agg(F.count("*").alias("n"))
+    site = lambda k: f"concat('https://site.test/', {k})"
+    to = ["(3 * p_partkey + 1) % n", "(5 * p_partkey + 2) % n", "p_partkey - 1"]
+    links = p.crossJoin(F.broadcast(n)).select(F.expr(site("p_partkey")).alias("url"), F.posexplode(F.expr(f"array({', '.join(map(site, to))})")).alias("position", "target"))
+    return links, p.where("p_partkey IN (7, 11)").select(F.expr(site("p_partkey")).alias("url"), F.col("p_partkey").alias("position"))
+
+
+def _ways(order: str) -> str:
+    return f"""WITH RECURSIVE l AS (SELECT p_partkey AS k, unnest([(3 * p_partkey + 1) % n, (5 * p_partkey + 2) % n, p_partkey - 1]) AS t, unnest([0, 1, 2]) AS i FROM part, (SELECT count(*) AS n FROM part)),
+    w AS (SELECT p_partkey AS k, [p_partkey] AS way FROM part WHERE p_partkey IN (7, 11) UNION ALL SELECT t, list_append(way, i) FROM w JOIN l USING (k) WHERE len(way) <= 5),
+    b AS (SELECT k, min(len(way)) - 1 AS depth, min(way) FILTER (WHERE len(way) = short) AS way FROM (SELECT *, min(len(way)) OVER (PARTITION BY k) AS short FROM w) GROUP BY k)
+    SELECT * FROM (SELECT 'https://site.test/' || k AS url, depth, row_number() OVER (ORDER BY {order}) - 1 AS position FROM b) WHERE position < 200"""
+
+
+@query(_ways("depth, way"))
+def crawl_breadth(spark, sf):
+    return web.crawl_levels(*_graph(spark, sf), depth=5, most=200)
+
+
+@query(_ways("way"))
+def crawl_depth(spark, sf):
+    return web.crawl_levels(*_graph(spark, sf), depth=5, strategy="depth", most=200)
+
+
 # --- pages -------------------------------------------------------------------------------------------------------------
 
 

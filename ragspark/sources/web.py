@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragspark.errors import ValidationError, bounded
 from ragspark.functions import numbers as N
 from ragspark.functions import text as T
 from ragspark.functions import urls as U
 from ragspark.operators import hygiene, markup
 from ragspark.operators.dedup import keep_first, prefix_budget
-from ragspark.operators.tables import saved
+from ragspark.operators.tables import numbered, saved
 
 GONE = frozenset({"script", "style", "noscript", "svg", "nav"})
 
@@ -250,6 +251,33 @@ def crawl(pages: DataFrame, seed: str, most: int | None = 100, budget: int | Non
     return prefix_budget(df, F.length(F.coalesce("text", F.lit(""))), budget, "_other", order, keep_one=True).drop("_other", "used")
 
 
+def crawl_levels(links: DataFrame, seeds: DataFrame, depth: int = 2, strategy: str = "breadth", most: int | None = None) -> DataFrame:
+    """(url, depth, position): the pages that a crawl reaches from ``seeds`` (url, position) along ``links`` (url, target,
+    position) in at most ``depth`` (0 to 5) steps, numbered from 0 in the order of their visits, the first ``most`` of them.
+
+    Each level is a join of the last one with the links, less all pages seen before, and a table of its own. A page has
+    its least depth, and of the ways to it the first one by the links' positions; ``breadth`` goes level by level,
+    ``depth`` goes below a page before it goes to the next one. Null urls and targets are nowhere; of equal seeds and links
+    the first counts; a page that links to itself or back is not visited again."""
+    if strategy not in ("breadth", "depth"):
+        raise ValidationError("strategy must be breadth or depth")
+    bounded("depth", depth, 0, 5)
+    step = links.where("url IS NOT NULL AND target IS NOT NULL").groupBy("url", "target").agg(F.min(F.col("position").cast("long")).alias("step"))
+    step = saved(step, "links")
+    first = seeds.where("url IS NOT NULL").groupBy("url").agg(F.array(F.min(F.col("position").cast("long"))).alias("way"))
+    level = seen = saved(first.withColumn("depth", F.lit(0)), "level")
+    for d in range(1, depth + 1):
+        found = level.join(step, "url").select(F.col("target").alias("url"), F.concat("way", F.array("step")).alias("way"))
+        found = found.groupBy("url").agg(F.min("way").alias("way")).join(seen.select("url"), "url", "left_anti")
+        level = saved(found.withColumn("depth", F.lit(d)), "level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    order = ("depth", "way", "url") if strategy == "breadth" else ("way", "url")
+    out = numbered(seen, *order).select("url", "depth", "position")
+    return out if most is None else out.where(F.col("position") < most)
+
+
 def text_pages(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """Pages with text that are not mostly a consent banner, each row judged by itself, whatever its key."""
     row = "_row"

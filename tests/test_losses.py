@@ -59,3 +59,15 @@ def test_papers_by_update(spark):
     papers = papers.selectExpr("*", "int(substring(title, 2)) AS position")
     assert [r["title"] for r in records.chosen_papers(papers, sort="lastUpdatedDate").collect()] == ["T1", "T3", "T2"]
     assert [r["title"] for r in records.chosen_papers(papers, sort="submittedDate").collect()] == ["T3", "T2", "T1"]
+
+
+def test_crawl_levels(spark):
+    edges = [("a", "b", 1), ("a", "c", 0), ("c", "d", 0), ("d", "a", 0), ("b", "d", 0), ("b", "b", 1), ("d", "e", 3), ("d", "e", 3), (None, "x", 0), ("a", None, 5), ("e", "f", 0)]
+    links = spark.createDataFrame([(*e, 1) for e in edges], "url string, target string, position int, way int")
+    seeds = spark.createDataFrame([("a", 0), ("a", 4), (None, 1), ("z", 2)], "url string, position int")
+    run = lambda **o: [(r["url"], r["depth"]) for r in web.crawl_levels(links, seeds, **o).orderBy("position").collect()]
+    assert run(depth=0) == [("a", 0), ("z", 0)]
+    assert run(depth=3) == [("a", 0), ("z", 0), ("c", 1), ("b", 1), ("d", 2), ("e", 3)]
+    assert run(depth=3, strategy="depth") == [("a", 0), ("c", 1), ("d", 2), ("e", 3), ("b", 1), ("z", 0)]
+    assert run(depth=5, most=3) == [("a", 0), ("z", 0), ("c", 1)] and len(run(depth=5)) == 7
+    assert web.crawl_levels(links.limit(0), seeds.limit(0)).count() == 0
