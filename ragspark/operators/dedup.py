@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragspark.operators.tables import numbered, running, within_reach
+
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key; rows whose key is null or blank all stay.
@@ -27,9 +29,14 @@ def keep_best(df: DataFrame, key: Column, best: Column, position: str) -> DataFr
 
 
 def prefix_budget(df: DataFrame, size: Column, budget: int, *order: str, partition: tuple[str, ...] = (), keep_one: bool = False) -> DataFrame:
-    """Rows in order until the next would exceed the budget; the first always, if ``keep_one``.
+    """Rows in order until the next would exceed the budget; the first always, if ``keep_one``. Sizes are not negative.
 
-    The running sum over a whole table is inherently ordered; give a partition wherever the budget is per group."""
+    Over a whole table only the rows near the budget are added up one by one, and those in sorted ranges (a null size
+    is nothing there); with a partition each group is a window, for budgets of many groups."""
+    if not partition:
+        out = running(within_reach(df, size, budget, *order), size, *order, at="_n")
+        fits = (F.col("used") <= budget) & F.lit(budget > 0 or keep_one)
+        return out.where(fits | (F.col("_n") == 0) if keep_one else fits).drop("_n")
     w = Window.partitionBy(*partition).orderBy(*order)
     out = df.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.col("used") <= budget
@@ -41,14 +48,11 @@ def prefix_budget(df: DataFrame, size: Column, budget: int, *order: str, partiti
 
 def evict(corpora: DataFrame, as_of: int, ttl_ms: int, most: int = 50, most_bytes: int = 500_000_000, current: str | None = None) -> DataFrame:
     """The corpora that stay: not expired, the ``most`` last used, and of these as many as fit the bytes; the current
-    one always. Columns corpus_id, created_at, last_accessed_at (ms), total_bytes."""
+    one always. Columns corpus_id, created_at, last_accessed_at (ms), total_bytes (null: none)."""
     mine = F.col("corpus_id") == current if current is not None else F.lit(False)
     alive = corpora.where((F.lit(as_of) - F.col("created_at") <= ttl_ms) | mine)
-    w = Window.orderBy(F.desc("last_accessed_at"), F.asc("corpus_id"))
-    ranked = alive.withColumn("_n", F.row_number().over(w))
-    few = ranked.where((F.col("_n") <= most) | mine)
-    running = few.withColumn("_bytes", F.sum("total_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return running.where((F.col("_bytes") <= most_bytes) | mine).drop("_n", "_bytes")
+    few = numbered(alive, F.desc("last_accessed_at"), F.asc("corpus_id"), name="_n").where((F.col("_n") < most) | mine)
+    return running(few, F.col("total_bytes"), "_n", name="_bytes", at="_at").where((F.col("_bytes") <= most_bytes) | mine).drop("_n", "_bytes", "_at")
 
 
 def dedup_papers(papers: DataFrame, title: str = "title", position: str = "position") -> DataFrame:

@@ -44,3 +44,32 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> Dat
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_id", "_start")
+
+
+def running(df: DataFrame, size: Column, *order: str | Column, name: str = "used", at: str = "position") -> DataFrame:
+    """``df`` with the running sum of ``size`` (null: nothing) in ``order`` and the rows' numbers from 0: the sums of
+    ranges of a million numbers, one row each, are added up, and within a range the rows follow one another. No range
+    grows with a value that many rows share; rows that tie in ``order`` come in any order, the same in both columns."""
+    rows = numbered(df.withColumn("_size", F.coalesce(size, F.lit(0))), *order, name=at).withColumn("_range", F.shiftright(at, 20))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.sum("_size").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(name, F.sum("_size").over(within)).join(F.broadcast(starts), "_range")
+    return out.withColumn(name, F.col("_before") + F.col(name)).drop("_range", "_before", "_size")
+
+
+def within_reach(df: DataFrame, size: Column, budget: int, *order: str) -> DataFrame:
+    """The rows of ``df`` that a running sum of ``size`` (not negative) in ``order`` reaches within ``budget``, and those
+    after them up to the end of the sorted range in which it exceeds the budget. Only sizes and the order's columns are
+    shuffled for it; the end is one row that the driver reads and that filters the table when it is read again."""
+    ranged = df.select(F.struct(*order).alias("_end"), size.alias("_size")).repartitionByRange(*[f"_end.{c}" for c in order])
+    sums = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.sum("_size").alias("_sum"), F.max("_end").alias("_end"))
+    # One row a range.
+    ends = sums.withColumn("_sum", F.sum("_sum").over(Window.orderBy("_part"))).where(F.col("_sum") > budget).orderBy("_part").select("_end")
+    end = ends.first()
+    if end is None:
+        return df
+    first = end["_end"][0]
+    if isinstance(first, (int, str)) and not isinstance(first, bool):  # reaches the scan
+        df = df.where(F.col(order[0]).isNull() | (F.col(order[0]) <= F.lit(first)))
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([end], ends.schema)), F.struct(*order) <= F.col("_end")).drop("_end")

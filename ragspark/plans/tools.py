@@ -316,7 +316,7 @@ def extract_listings(pages: DataFrame, key: str = "page_id", url: str = "url", h
     )
     df = listings.confidence(df)
     status = F.when((F.col("source") == "jora") & text.rlike("(?i)aggregator|copied from|republished"), "aggregator_result").when(F.length(text) < 200, "search_result_only").when(F.col("confidence.overall") < 0.3, "needs_manual_check").otherwise("listing_page_fetched")
-    return df.withColumn("verification_status", status).withColumn("position", F.row_number().over(Window.orderBy(key, "n")).cast("long") - 1).drop("posted", "page_job_id", "n")
+    return numbered(df.withColumn("verification_status", status).drop("posted", "page_job_id"), key, "n").drop("n")
 
 
 def listing_text() -> Column:

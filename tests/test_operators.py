@@ -142,6 +142,30 @@ def test_budgets(spark):
     assert kept == sorted(kept)
 
 
+def test_budget_over_ranges_equals_a_plain_sum(spark):
+    rows = [(i * 7919 % 1000, f"s{i % 3}", i * 31 % 50 if i % 11 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, s string, n int").repartition(7)
+    for budget in (0, 1, 49, 700, 24_000, 10**9):
+        used, expected = 0, []
+        for r in sorted(rows, key=lambda r: (r[1], r[0])):
+            used += r[2] or 0
+            if used > budget or budget == 0:
+                break
+            expected.append((r[0], used))
+        got = dedup.prefix_budget(df, F.col("n"), budget, "s", "id")
+        assert got.columns == ["id", "s", "n", "used"]
+        assert [(r.id, r.used) for r in got.orderBy("s", "id").collect()] == expected
+    assert dedup.prefix_budget(df.limit(0), F.col("n"), 5, "s", "id", keep_one=True).count() == 0
+    ties = spark.createDataFrame([(None, 2)] * 3 + [(1, 2)] * 4, "k int, n int")
+    assert [(r.k, r.used) for r in dedup.prefix_budget(ties, F.col("n"), 9, "k").orderBy("used").collect()] == [(None, 2), (None, 4), (None, 6), (1, 8)]
+
+
+def test_whole_table_budgets_have_no_window_over_all_rows(spark):
+    df = spark.range(1000).select("id", F.lit("abc").alias("t"))
+    plan = dedup.prefix_budget(df, F.octet_length("t"), 90, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_range" in plan and "windowspecdefinition(id" not in plan
+
+
 def test_eviction(spark):
     rows = [("old", 0, 90, 10), ("a", 50, 80, 10), ("b", 50, 70, 10), ("c", 50, 60, 10)]
     df = spark.createDataFrame(rows, "corpus_id string, created_at long, last_accessed_at long, total_bytes long")
