@@ -322,6 +322,18 @@ def seed_shares(spark, sf):
     return web.seed_budgets(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("position")), 1000)
 
 
+@query(
+    """WITH RECURSIVE s AS (SELECT c_nationkey AS g, c_custkey, c_custkey * 7 % 5 AS found, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+w AS (SELECT g, c_custkey, found, i, (12 + n - 1) // n AS budget, least(found, (12 + n - 1) // n) AS kept, 12 - least(found, (12 + n - 1) // n) AS rest FROM s WHERE i = 0
+UNION ALL SELECT s.g, s.c_custkey, s.found, s.i, (rest + n - s.i - 1) // (n - s.i), least(s.found, (rest + n - s.i - 1) // (n - s.i)), rest - least(s.found, (rest + n - s.i - 1) // (n - s.i)) FROM w JOIN s ON s.g = w.g AND s.i = w.i + 1 WHERE rest > 0)
+SELECT c_custkey, budget, kept FROM w WHERE found > 0"""
+)
+def seed_carry(spark, sf):
+    """Crawls of 12 pages from the customers of each nation, of whom each fifth finds nothing."""
+    seeds = table(spark, sf, "customer").select("c_nationkey", "c_custkey", (F.col("c_custkey") * 7 % 5).alias("found"))
+    return web.seed_budgets(seeds, 12, "c_custkey", ("c_nationkey",), "found").select("c_custkey", "budget", "kept")
+
+
 @query(
     r"""WITH r AS (SELECT page_id, page_id % 97 AS position, url FROM pages WHERE page_id % 3 = 0), s AS (SELECT min(position) AS at, regexp_replace(url, '\?.*$', '') AS k FROM (SELECT * FROM r WHERE page_id < 10) GROUP BY ALL)
 SELECT min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(url, '\?.*$', '') AS k FROM pages) JOIN s USING (k) GROUP BY k"""

@@ -207,31 +207,66 @@ def tweets(pages: DataFrame, base: str, key: str = "page_id", html: str = "html"
     return df.where("content <> ''").select(key, "position", "author", "handle", (F.col("content") if most is None else T.truncated(F.col("content"), most)).alias("content"), url.alias("url"), F.nullif("timestamp", F.lit("")).alias("timestamp"), *[number(c) for c in counts])
 
 
-def seed_budgets(seeds: DataFrame, most: int, order: str = "position", group: tuple[str, ...] = ()) -> DataFrame:
-    """``seeds`` with the share of ``most`` pages that each gets where every seed uses its share up: what is left,
-    divided by the seeds still to come and rounded up, at least one; seeds beyond the last page get none."""
-    w = Window.partitionBy(*group)
-    i, n = F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w)
-    # Rounding up deals the remainder to the first seeds.
-    share = F.floor(F.lit(most) / n) + (i < F.lit(most) % n).cast("long")
-    return seeds.withColumn("budget", share.cast("long")).where("budget > 0")
+def seed_budgets(seeds: DataFrame, most: int, order: str = "position", group: tuple[str, ...] = (), found: str | None = None) -> DataFrame:
+    """``seeds`` with the share of ``most`` pages that each gets (``budget``): what is left, divided by the seeds still to
+    come and rounded up, at least one; seeds after the last page get none.
+
+    Without ``found`` every seed uses its share up. With the column of pages that a seed finds, it keeps (``kept``) no
+    more than these, and what it leaves goes to the seeds after it; seeds that find nothing (or null) count as seeds to
+    come and are left out. Each other one takes a page at least, so the fold of a group holds ``most`` seeds at most,
+    however many there are. Groups may be null; equal places in ``order`` follow one another in any order."""
+    if found is None:
+        w = Window.partitionBy(*group)
+        i, n = F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w)
+        # Rounding up deals the remainder to the first seeds.
+        share = F.floor(F.lit(most) / n) + (i < F.lit(most) % n).cast("long")
+        return seeds.withColumn("budget", share.cast("long")).where("budget > 0")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        left, out = most, []
+        for r in rows.sort_values("row").itertuples(index=False):
+            if left <= 0:
+                break
+            share = -(-left // (r.seeds - r.before)) if left > r.seeds - r.before else 1
+            kept = min(share, r.found)
+            left -= kept
+            out.append((r.row, share, kept))
+        return pd.DataFrame(out, columns=["_row", "budget", "kept"])
+
+    rows = numbered(seeds, *group, order, name="_row")
+    keys = [f"key{k}" for k in range(len(group))]
+    narrow = rows.select(F.col("_row").alias("row"), F.col(f"`{found}`").cast("long").alias("found"), *[F.col(f"`{g}`").alias(k) for g, k in zip(group, keys, strict=True)])
+    sizes = narrow.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys]).agg(F.min("row").alias("first"), F.count("*").alias("seeds"))
+    some = narrow.where("found > 0").join(sizes, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]) if keys else narrow.where("found > 0").crossJoin(F.broadcast(sizes))
+    some = some.select("first", "row", "seeds", (F.col("row") - F.col("first")).alias("before"), F.least("found", F.lit(most)).alias("found"))
+    some = some.withColumn("n", F.row_number().over(Window.partitionBy("first").orderBy("row"))).where(F.col("n") <= most)
+    shares = some.groupBy("first").applyInPandas(fold, "_row long, budget long, kept long")
+    return rows.join(shares, "_row").drop("_row")
 
 
 def crawl_seeds(pages: DataFrame, seeds: DataFrame, most: int, order: str = "page_id", prefix: bool = True) -> DataFrame:
-    """The pages (url, ...) of a crawl table that crawls from several seeds (position, seed) keep: each seed's own page
-    first, then those directly below it (on its host, without ``prefix``), within the seed's share of ``most`` pages;
-    a page goes to the first seed that keeps it, once by URL and once by content."""
-    from_ = seed_budgets(seeds.select("position", F.col("seed"), U.host(F.col("seed")).alias("_host"), F.regexp_replace(U.path(F.col("seed")), r"/+$", "").alias("_base")), most)
+    """The pages (url, text, ...) of a crawl table that crawls from several seeds (position, seed) keep: each seed's own
+    page first, then those directly below it (on its host, without ``prefix``), once by URL and once by content within
+    the seed, up to its share of ``most`` pages; pages that a seed leaves over go to the next ones' shares. Of pages that
+    several seeds keep, the first seed's stays, so there can be fewer than ``most``. Pages without text are no copies."""
+    from_ = seeds.select("position", F.col("seed"), U.host(F.col("seed")).alias("_host"), F.regexp_replace(U.path(F.col("seed")), r"/+$", "").alias("_base"))
     own = pages.where(U.is_safe(F.col("url"))).withColumns({"_host": U.host(F.col("url")), "_way": F.regexp_replace(U.path(F.col("url")), r"/+$", "")})
     near = own.join(from_, "_host")
     if prefix:
         rest = F.expr("substring(_way, length(_base) + 2)")
         near = near.where((F.col("_way") == F.col("_base")) | (F.expr("startswith(_way, concat(_base, '/'))") & ~rest.contains("/") & (rest != "")))
-    near = near.withColumn("_other", (F.col("url") != F.col("seed")).cast("int"))
-    once = keep_first(near, U.normalized(F.col("url")), "position", "_other", order)
-    once = keep_first(once, F.sha2("text", 256), "position", "_other", order)
-    ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy("position").orderBy("_other", order)))
-    return ranked.where("_n <= budget").drop("_host", "_way", "_base", "_other", "_n", "budget", "seed").withColumnRenamed("position", "seed_position")
+    near = near.withColumn("_other", (F.col("url") != F.col("seed")).cast("int")).withColumnRenamed("position", "seed_position").drop("_host", "_way", "_base", "seed")
+    by_url, by_text = U.normalized(F.col("url")), F.when(F.col("text") != "", F.sha2("text", 256))
+    of_seed = lambda key: F.when(key != "", F.concat_ws(" ", F.col("seed_position").cast("string"), key))
+    once = keep_first(near, of_seed(by_url), "_other", order)
+    once = saved(keep_first(once, of_seed(by_text), "_other", order), "seeds")
+    counts = once.groupBy("seed_position").agg(F.count("*").alias("_found"))
+    found = from_.select(F.col("position").alias("seed_position")).join(counts, "seed_position", "left")
+    shares = seed_budgets(found, most, "seed_position", found="_found").select("seed_position", "kept")
+    ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy("seed_position").orderBy("_other", order))).where(F.col("_n") <= most)
+    kept = ranked.join(shares, "seed_position").where("_n <= kept").drop("_n", "kept")
+    kept = keep_first(keep_first(kept, by_url, "seed_position", "_other", order), by_text, "seed_position", "_other", order)
+    return kept.drop("_other")
 
 
 def crawl(pages: DataFrame, seed: str, most: int | None = 100, budget: int | None = 250_000_000, prefix: bool = False, order: str = "page_id") -> DataFrame:

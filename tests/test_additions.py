@@ -1,6 +1,8 @@
 """Markup lists, seeds, repository details, extraction settings, prompts, packed vectors, merged elements."""
 
 import base64
+import math
+import random
 
 import numpy as np
 import pytest
@@ -51,6 +53,43 @@ def test_seed_shares(spark):
     assert shares(3, 10) == [4, 3, 3] and shares(4, 2) == [1, 1] and shares(1, 7) == [7] and shares(0, 5) == []
 
 
+def test_seeds_hand_on_what_they_leave(spark):
+    def plain(found, most):
+        left, out = most, []
+        for i, f in enumerate(found):
+            if left <= 0:
+                break
+            share = max(1, math.ceil(left / (len(found) - i)))
+            left -= min(f or 0, share)
+            if f:
+                out.append((i, share, min(f, share)))
+        return out
+
+    rng = random.Random(5)
+    groups = {g: [rng.choice([None, 0, 0, 1, 2, 5, 40]) for _ in range(rng.randint(1, 60))] for g in (None, "a", "b", "c")}
+    rows = [(g, i, f, "x") for g, fs in groups.items() for i, f in enumerate(fs)]
+    df = spark.createDataFrame(rows, "g string, position int, pages int, seeds string").repartition(5)
+    for most in (1, 7, 30, 500):
+        got = web.seed_budgets(df, most, group=("g",), found="pages")
+        assert got.columns == ["g", "position", "pages", "seeds", "budget", "kept"]
+        for g, fs in groups.items():
+            assert sorted((r.position, r.budget, r.kept) for r in got.collect() if r.g == g) == plain(fs, most)
+    one = web.seed_budgets(df.where("g = 'a'"), 30, found="pages")
+    assert sorted((r.position, r.budget, r.kept) for r in one.collect()) == plain(groups["a"], 30)
+    assert web.seed_budgets(df.limit(0), 30, found="pages").count() == 0
+    assert web.seed_budgets(df, 0, found="pages").count() == 0
+
+
+def test_crawls_hand_on_pages(spark):
+    pages = [(1, "https://a.test/", "seed a"), (2, "https://b.test/", ""), (3, "https://b.test/u", ""), (4, "https://b.test/v", "v"), (5, "https://b.test/w", "v"), (6, "https://b.test/x", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, text string")
+    seeds = spark.createDataFrame([(0, "https://none.test/"), (1, "https://a.test/"), (2, "https://b.test/")], "position long, seed string")
+    got = lambda most: sorted((r.page_id, r.seed_position) for r in web.crawl_seeds(df, seeds, most).collect())
+    assert got(3) == [(1, 1), (2, 2), (3, 2)]
+    assert got(4) == [(1, 1), (2, 2), (3, 2), (4, 2)]
+    assert got(9) == [(1, 1), (2, 2), (3, 2), (4, 2), (6, 2)]
+
+
 def test_pages_of_several_seeds(spark):
     pages = [(1, "https://a.test/docs/", "seed a"), (2, "https://a.test/docs/x", "x"), (3, "https://a.test/docs/y", "y"), (4, "https://a.test/docs/x/deep", "deep"), (5, "https://b.test/", "seed b"), (6, "https://b.test/z", "z"), (7, "https://b.test/x", "x"), (8, "http://localhost/", "no"), (9, "https://c.test/", "c")]
     df = spark.createDataFrame(pages, "page_id long, url string, text string")
