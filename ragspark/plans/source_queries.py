@@ -4,6 +4,7 @@ tables, taken apart by the library, and compared with what SQL makes of the tabl
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ragspark.functions import urls as U
 from ragspark.functions import vectors as V
 from ragspark.operators import chunking, dedup, elements, fusion, hygiene, listings, retrieve, threads
 from ragspark.operators.tables import folder
-from ragspark.plans import tools
+from ragspark.plans import searches, tools
 from ragspark.plans.catalogue import AS_OF, BM25, LISTING, ONE, QUERIES, QUESTION, SQL, STATS, comments, listing_rows, query, table
 from ragspark.sources import records, store, web
 
@@ -458,6 +459,48 @@ def repository_search(spark, sf):
     return tools.repository_search(repos, "widget", least, 10, 1000).select("p_partkey")
 
 
+# --- searches by the services' own filters -----------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 'widget') AND NOT contains(lower(p_name || ' ' || p_type), 'small') AND p_size BETWEEN 5 AND 40 AND p_partkey > 20 AND p_brand <> 'Brand#3' ORDER BY p_size DESC, p_name, p_partkey LIMIT 1000")
+def repository_qualifiers(spark, sf):
+    p = table(spark, sf, "part")
+    repos = p.select("p_partkey", F.format_string("%s %012d", "p_name", "p_partkey").alias("name"), F.col("p_type").alias("description"), F.col("p_size").alias("stars"), F.col("p_partkey").alias("forks"), F.col("p_brand").alias("language"))
+    return searches.repositories(repos, 'widget -small stars:5..40 forks:>20 -language:"Brand#3"', 1000).select("p_partkey")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'ing') AND lang = 'en' AND source = (SELECT min(source) FROM documents) AND doc_id::VARCHAR LIKE '1%' ORDER BY doc_id::VARCHAR LIMIT 1000")
+def code_qualifiers(spark, sf):
+    d = table(spark, sf, "documents")
+    first = d.agg(F.min("source")).first()[0]
+    files = d.select("doc_id", F.concat(F.lit("me/"), "source").alias("repository"), F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("language"), "text")
+    return searches.code(files, searches.code_query(" ing ", "me", first, "en", "1"), 1000).select("doc_id")
+
+
+def _answers(spark, sf, raw: str, source: str) -> DataFrame:
+    return records.normalize(table(spark, sf, "part").select("p_partkey", F.expr(f"to_json({raw})").alias("raw")), source)
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 1 AND contains(p_name, 'widget') AND p_size > 10 AND p_size < 20 ORDER BY p_size DESC, p_partkey::VARCHAR LIMIT 50")
+def story_filters(spark, sf):
+    """Comments of some days of January about a word."""
+    raw = "named_struct('hits', array(named_struct('objectID', CAST(p_partkey AS STRING), 'title', p_name, 'points', 1, '_tags', IF(p_partkey % 3 = 1, array('comment', 'author_a'), array('story')), 'created_at', date_format(timestampadd(DAY, p_size, TIMESTAMP '2024-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\"))))"
+    return searches.stories(_answers(spark, sf, raw, "hackernews"), "WIDGET", "comment", "date", datetime(2024, 1, 11), datetime(2024, 1, 21), 100).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_partkey % 2 = 0 AND NOT contains(p_name, 'red') ORDER BY p_size DESC, p_partkey::VARCHAR LIMIT 100")
+def question_filters(spark, sf):
+    raw = "named_struct('items', array(named_struct('question_id', p_partkey, 'title', p_name, 'tags', array('x', p_brand), 'last_activity_date', p_size, 'accepted_answer_id', IF(p_partkey % 2 = 0, 1, CAST(NULL AS INT)))))"
+    return searches.questions(_answers(spark, sf, raw, "stackoverflow"), "-red", "activity", "Brand#1; Brand#2;Brand#3", True, 500).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE (p_name LIKE 'red %' OR p_name LIKE '% widget') AND p_brand = 'Brand#2' ORDER BY p_size DESC, p_partkey::VARCHAR LIMIT 1000")
+def patent_assignees(spark, sf):
+    """Abstracts with one of two words, of one company: Brand#2, but not Brand#21."""
+    raw = "named_struct('patents', array(named_struct('patent_id', CAST(p_partkey AS STRING), 'patent_abstract', p_name, 'patent_date', CAST(date_add(DATE '2024-01-01', p_size) AS STRING), 'assignees', array(named_struct('assignee_organization', 'Other'), named_struct('assignee_organization', concat('The ', p_brand, ' Co.'))))))"
+    return searches.patents(_answers(spark, sf, raw, "patents"), "Red, WIDGET", "brand#2 co", 1000).select("p_partkey")
+
+
 @query("WITH c AS (SELECT DISTINCT unnest([lower(p_name), replace(lower(p_name), ' ', '-'), replace(lower(p_name), ' ', '_')]) AS name FROM part WHERE p_partkey % 2 = 0) SELECT name FROM c WHERE name NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 2 = 1)")
 def unknown_names(spark, sf):
     """Candidates for a direct lookup: names and their spellings that no index row has."""

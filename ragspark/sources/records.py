@@ -65,7 +65,7 @@ SOURCES: dict[str, Source] = {
     "hackernews": Source(
         "hits array<struct<objectID:string,title:string,story_title:string,url:string,author:string,points:long,num_comments:long,created_at:string,story_text:string,comment_text:string,_tags:array<string>>>",
         "hits",
-        lambda cap: {"id": _i("objectID"), "title": _or(_i("title"), _i("story_title")), "url": _i("url"), "author": _i("author"), "points": F.coalesce(_i("points"), F.lit(0)), "num_comments": F.coalesce(_i("num_comments"), F.lit(0)), "created": F.try_to_timestamp(_i("created_at")), "text": cap(T.stripped_html(_or(_i("story_text"), _i("comment_text"))), 2000)},
+        lambda cap: {"id": _i("objectID"), "title": _or(_i("title"), _i("story_title")), "url": _i("url"), "author": _i("author"), "points": F.coalesce(_i("points"), F.lit(0)), "num_comments": F.coalesce(_i("num_comments"), F.lit(0)), "created": F.try_to_timestamp(_i("created_at")), "text": cap(T.stripped_html(_or(_i("story_text"), _i("comment_text"))), 2000), "tags": _i("_tags")},
         "title IS NOT NULL OR text IS NOT NULL",
     ),
     "reddit": Source(
@@ -75,9 +75,9 @@ SOURCES: dict[str, Source] = {
         "title <> ''",
     ),
     "stackoverflow": Source(
-        "items array<struct<question_id:long,title:string,body:string,link:string,tags:array<string>,score:long,answer_count:long,is_answered:boolean,accepted_answer_id:long,creation_date:long,view_count:long>>",
+        "items array<struct<question_id:long,title:string,body:string,link:string,tags:array<string>,score:long,answer_count:long,is_answered:boolean,accepted_answer_id:long,creation_date:long,last_activity_date:long,view_count:long>>",
         "items",
-        lambda cap: {"id": _i("question_id").cast("string"), "title": T.decoded(_i("title")), "text": cap(T.stripped_html(_i("body")), 3000), "url": _i("link"), "tags": _i("tags"), "score": _i("score"), "answers": _i("answer_count"), "accepted": _i("accepted_answer_id").isNotNull(), "created": F.timestamp_seconds(_i("creation_date")), "views": _i("view_count")},
+        lambda cap: {"id": _i("question_id").cast("string"), "title": T.decoded(_i("title")), "text": cap(T.stripped_html(_i("body")), 3000), "url": _i("link"), "tags": _i("tags"), "score": _i("score"), "answers": _i("answer_count"), "accepted": _i("accepted_answer_id").isNotNull(), "created": F.timestamp_seconds(_i("creation_date")), "active": F.timestamp_seconds(_i("last_activity_date")), "views": _i("view_count")},
         "title <> ''",
     ),
     "npm": Source(
