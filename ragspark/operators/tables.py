@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+@cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="shared-")
+
+
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, a new one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, this process's own (a
+    running session takes no value for that setting)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or _own()).rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
