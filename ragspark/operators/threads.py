@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.errors import bounded
 from ragspark.functions.text import trimmed
 from ragspark.functions.urls import absolute
-from ragspark.operators.tables import saved
+from ragspark.operators.tables import running, saved
 
 SEGMENTS, CHARS, SECONDS = 12, 1200, 60.0
 
@@ -64,6 +65,62 @@ def flattened(comments: DataFrame, thread: str, most: int | None = None, paths:
     return out if most is None else out.where(F.col("depth") < most)
 
 
+def nested(comments: DataFrame, thread: str, *order: str | Column) -> DataFrame:
+    """Comments (id, parent_id, position) as nested intervals: ``depth``, ``lo`` (the place in the thread when replies
+    follow what they answer, siblings by ``order``, by position unless given) and ``hi`` (the place of the last comment
+    below, its own if there is none), so what is below a comment has its ``lo`` from its own to its ``hi``, and what is
+    above holds its ``lo`` between both. There is no bound on depth: sizes and places are handed on over ancestors twice
+    as far in every round, and siblings are added up over sorted ranges, so neither a long chain nor a
+    comment with most of the replies is one task's work. Rows without a thread or id, and those that hang from no root
+    (orphans, cycles), have no place; of rows that share an id the one of the smallest position (then parent) counts."""
+    order = order or ("position",)
+    own = comments.withColumn("parent_id", bare_id(F.col("parent_id"))).where(F.col(thread).isNotNull() & F.col("id").isNotNull())
+    one = own.groupBy(thread, "id").agg(F.min_by(F.struct(*own.columns), F.struct("position", "parent_id")).alias("_row")).select("_row.*")
+    rows = saved(flattened(saved(one, "comments"), thread, paths=False), "nested")
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+
+    def further(start: DataFrame, gained) -> DataFrame:
+        """``start`` (thread, id, up, v), after rounds in which ``up`` goes twice as far."""
+        step = 1
+        while step <= deepest:
+            start = saved(gained(start).join(start.select(thread, F.col("id").alias("up"), F.col("up").alias("_next")), [thread, "up"], "left").select(thread, "id", F.col("_next").alias("up"), "v"), "nested")
+            step *= 2
+        return start
+
+    def from_below(start):
+        more = start.where("up IS NOT NULL").groupBy(thread, F.col("up").alias("id")).agg(F.sum("v").alias("_more"))
+        return start.join(more, [thread, "id"], "left").withColumn("v", F.col("v") + F.coalesce("_more", F.lit(0)))
+
+    def from_above(start):
+        more = start.select(thread, F.col("id").alias("up"), F.col("v").alias("_more"))
+        return start.join(more, [thread, "up"], "left").withColumn("v", F.col("v") + F.coalesce("_more", F.lit(0)))
+
+    sizes = further(rows.select(thread, "id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("v")), from_below)
+    sized = rows.join(sizes.select(thread, "id", F.col("v").alias("_subtree")), [thread, "id"])
+    placed = running(sized, F.col("_subtree"), thread, "parent_id", *order, "id", name="_used", at="_at").select(thread, "id", F.col("parent_id").alias("up"), "_subtree", (F.col("_used") - F.col("_subtree")).alias("_offset"))
+    starts = placed.groupBy(thread, "up").agg(F.min("_offset").alias("_start")).select(F.col(thread).alias("_thread"), F.col("up").alias("_up"), "_start")
+    after = placed.join(starts, (F.col(thread) == F.col("_thread")) & F.col("up").eqNullSafe(F.col("_up")))
+    # A root's own offset; a reply also counts what it answers.
+    places = saved(after.select(thread, "id", "up", "_subtree", (F.col("_offset") - F.col("_start") + F.col("up").isNotNull().cast("int")).alias("v")), "nested")
+    ends = further(places.drop("_subtree"), from_above).select(thread, "id", F.col("v").alias("lo")).join(places.select(thread, "id", "_subtree"), [thread, "id"])
+    return rows.drop("lo", "hi").join(ends, [thread, "id"]).withColumn("hi", F.col("lo") + F.col("_subtree") - 1).drop("_subtree")
+
+
+def focused(tree: DataFrame, foci: DataFrame, thread: str, context: int = 0, depth: int | None = None) -> DataFrame:
+    """What a link to one comment of a thread shows. ``tree``: a result of ``nested``; ``foci``: (thread, comment). The
+    comment, ``context`` ancestors (0 to 8) and ``depth`` levels of it and what is below (1 to 10; none: all), with
+    ``comment`` and ``level`` (0 the comment, ancestors negative); ``lo`` orders them. A comment that is
+    not there gives no rows. Foci are joined by thread, so each of a thread's foci looks at all of its intervals."""
+    bounded("context", context, 0, 8)
+    if depth is not None:
+        bounded("depth", depth, 1, 10)
+    at = foci.select(thread, "comment").distinct().join(tree.select(thread, F.col("id").alias("comment"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("depth").alias("_depth")), [thread, "comment"])
+    level = F.col("depth") - F.col("_depth")
+    below = F.col("lo").between(F.col("_lo"), F.col("_hi")) & (F.lit(True) if depth is None else level < depth)
+    above = (F.col("lo") < F.col("_lo")) & (F.col("hi") >= F.col("_lo")) & (level >= -context)
+    return tree.join(at, thread).where(below | above).withColumn("level", level).drop("_lo", "_hi", "_depth")
+
+
 def _fold(segments: Column) -> Column:
     """Greedy groups over an ordered array of (seg_no, text, offset, duration): the state holds the finished groups
     and the open one's size."""

@@ -519,6 +519,33 @@ def thread_flatten(spark, sf):
     return threads.flattened(c, "conv_id", paths=False).select("conv_id", F.col("position").alias("turn"), F.col("depth").cast("long").alias("depth"))
 
 
+def _branching(spark, sf) -> DataFrame:
+    """Turn t answers turn (t - 1) // 2."""
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("position"))
+    return c.select("conv_id", F.col("position").cast("string").alias("id"), F.when(F.col("position") > 0, F.floor((F.col("position") - 1) / 2).cast("string")).alias("parent_id"), "position")
+
+
+NESTED = """WITH RECURSIVE p AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS up FROM conversations),
+t AS (SELECT conv_id, turn, 0 AS depth, [-turn] AS path FROM p WHERE up IS NULL UNION ALL SELECT p.conv_id, p.turn, t.depth + 1, list_append(t.path, -p.turn) FROM p JOIN t ON p.conv_id = t.conv_id AND p.up = t.turn),
+n AS (SELECT a.conv_id, a.turn, a.depth, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.path) - 1 AS lo, (SELECT count(*) FROM t b WHERE b.conv_id = a.conv_id AND b.path[1:len(a.path)] = a.path) AS size FROM t a)
+"""
+
+
+@query(NESTED + "SELECT conv_id, turn, depth::BIGINT AS depth, lo, lo + size - 1 AS hi FROM n")
+def thread_intervals(spark, sf):
+    """Nested intervals, the newest reply first."""
+    return threads.nested(_branching(spark, sf), "conv_id", F.desc("position")).select("conv_id", F.col("position").alias("turn"), F.col("depth").cast("long").alias("depth"), "lo", "hi")
+
+
+@query(NESTED + "SELECT n.conv_id, n.turn, (n.depth - f.depth)::BIGINT AS level, row_number() OVER (PARTITION BY n.conv_id ORDER BY n.lo) AS place FROM n JOIN n f ON f.conv_id = n.conv_id AND f.turn = 1 AND ((n.lo BETWEEN f.lo AND f.lo + f.size - 1 AND n.depth - f.depth < 2) OR (n.lo < f.lo AND n.lo + n.size - 1 >= f.lo AND n.depth >= f.depth - 1))")
+def thread_focus(spark, sf):
+    """Each conversation's turn 1 with its parent and its replies, not theirs; newest first."""
+    tree = threads.nested(_branching(spark, sf), "conv_id", F.desc("position"))
+    seen = threads.focused(tree, tree.select("conv_id", F.lit("1").alias("comment")).distinct(), "conv_id", context=1, depth=2)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("lo"))
+    return seen.select("conv_id", F.col("position").alias("turn"), F.col("level").cast("long").alias("level"), place.cast("long").alias("place"))
+
+
 @query(
     r"""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS c FROM conversations WHERE regexp_matches(text, '\S')),
 f AS (SELECT conv_id, i, c AS chars, 1 AS n, 7.0::DOUBLE AS secs, 0 AS g FROM s WHERE i = 1
