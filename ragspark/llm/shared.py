@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -10,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="shared-")
+
+
 def folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, a new one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, this process's own (a
+    running session takes no value for that setting)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _own()
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
