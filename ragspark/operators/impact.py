@@ -43,20 +43,24 @@ class BlockIndex:
     terms: DataFrame
 
 
-def _in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by term and falling impact as blocks; none spans two batches."""
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        term = b["term"]
-        first = np.flatnonzero(np.append(True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)))
-        runs = np.diff(np.append(first, n))
-        starts = np.flatnonzero((np.arange(n) - np.repeat(first, runs)) % BLOCK == 0)
-        ends = np.append(starts, n).astype("int32")
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([b["impact"], b["key"]], ["impact", "key"]))
-        made = [term.take(pa.array(starts)), b["impact"].take(pa.array(starts)), pa.array(np.diff(ends)), lists, b["shard"].take(pa.array(starts))]
-        yield pa.record_batch(made, ["term", "bound", "n", "postings", "shard"])
+def _in_blocks(most: int):
+    """Postings sorted by term and falling impact as blocks of ``most`` at most; none spans two batches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            term = b["term"]
+            first = np.flatnonzero(np.append(True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)))
+            runs = np.diff(np.append(first, n))
+            starts = np.flatnonzero((np.arange(n) - np.repeat(first, runs)) % most == 0)
+            ends = np.append(starts, n).astype("int32")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([b["impact"], b["key"]], ["impact", "key"]))
+            made = [term.take(pa.array(starts)), b["impact"].take(pa.array(starts)), pa.array(np.diff(ends)), lists, b["shard"].take(pa.array(starts))]
+            yield pa.record_batch(made, ["term", "bound", "n", "postings", "shard"])
+
+    return run
 
 
 def _counted(words: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
     order = ["shard", "term", F.desc("impact"), "key"]
     ranged = postings.select(shard, "term", "impact", "key").repartitionByRange(*order).sortWithinPartitions(*order)
     kind = f"term string, bound double, n int, postings array<struct<impact: double, key: {docs.schema[key].dataType.simpleString()}>>, shard int"
-    ranged.mapInArrow(_in_blocks, kind).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
+    ranged.mapInArrow(_in_blocks(BLOCK), kind).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
     terms = docs.sparkSession.read.schema(kind).parquet(f"{path}/blocks").groupBy("term", "shard").agg(F.sum("n").alias("df"), F.max("bound").alias("most"))
     idf = lexical.idf(F.lit(row["n"]), F.col("df"))
     terms.select("term", "shard", "df", idf.alias("idf"), (idf * F.col("most")).alias("best")).write.option("compression", "zstd").parquet(f"{path}/terms")
