@@ -196,7 +196,7 @@ POOLS = HYBRID.replace("{words}", "10").replace("{vectors}", "30")
 
 
 def lists(spark, sf) -> tuple[DataFrame, DataFrame]:
-    words = lexical.bm25(table(spark, sf, "documents"), one_query(spark)).select("doc_id", F.col("score").alias("lexical_score")).where("lexical_score > 0")
+    words = retrieve.word_list(table(spark, sf, "documents"), one_query(spark), "doc_id")
     vectors = retrieve.vector_list(table(spark, sf, "embeddings"), vector_zero(spark, sf), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
     return vectors, words
 

@@ -139,7 +139,7 @@ def semantic_search(
     # Chunks come numbered, so their table is written already; vectors are kept as 32-bit floats, as models give them.
     vectors = saved(chunks.select("position", embedder(F.col("text")).cast("array<float>").alias("vector")), "vectors")
     mine = spark.createDataFrame([(query,)], "text string").select(embedder(F.col("text")).alias("v")).collect()[0]["v"]
-    words = lexical.bm25(chunks, spark.createDataFrame([(0, query)], "query_id int, text string"), "position").select("position", F.col("score").alias("lexical_score")).where("lexical_score > 0")
+    words = retrieve.word_list(chunks, spark.createDataFrame([(0, query)], "query_id int, text string"))
     limits = {"pool_vectors": max(3 * top_k, 30), "pool_words": top_k} if pools else {}
     fused = saved(retrieve.fuse(retrieve.vector_list(vectors, mine), words, rrf_k=own.rrf_k, **limits), "fused")
     scored = retrieve.score_stats(fused, "vector_score", "lexical_score", "fused_score").join(chunks, "position").join(vectors, "position")
