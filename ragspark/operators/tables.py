@@ -33,6 +33,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int = 20_000, least: int = 500) -> DataFrame:
+    """``df``, whose rows a later step works long on, over a task for ``rows`` rows, and where they are fewer over all cores with
+    ``least`` rows each: a scan is split by bytes, and a few MB of narrow rows would be one task's work."""
+    n = df.count()
+    return df.repartition(max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // least))))
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df``, to be broadcast if it has ``most`` rows at most; a larger one is joined as the planner likes."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

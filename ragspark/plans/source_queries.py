@@ -14,7 +14,7 @@ from ragspark.functions import text as T
 from ragspark.functions import urls as U
 from ragspark.functions import vectors as V
 from ragspark.operators import chunking, dedup, elements, fusion, hygiene, listings, retrieve, threads
-from ragspark.operators.tables import folder
+from ragspark.operators.tables import dealt, folder
 from ragspark.plans import searches, tools
 from ragspark.plans.catalogue import AS_OF, BM25, LISTING, ONE, QUERIES, QUESTION, SQL, STATS, comments, listing_rows, query, table
 from ragspark.sources import records, store, web
@@ -276,7 +276,7 @@ PAGE_SQL = """SELECT p_partkey, unnest([
 
 
 def built_pages(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.lit("https://a.test/").alias("url"), F.expr(PAGE).alias("html"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", F.lit("https://a.test/").alias("url"), F.expr(PAGE).alias("html"))
 
 
 def _shown(found: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ def is_sitemap_index(xml: Column) -> Column:
     return xml.rlike(r"(?i)<sitemapindex\b")
 
 
-def metadata(html: str | None, url: str | None) -> dict:
-    """Title, description, image and date of a page, with the usual fallbacks."""
-    root = markup.parse(html)
+def metadata(html: str | markup.Node | None, url: str | None) -> dict:
+    """Title, description, image and date of a page (or its tree), with the usual fallbacks."""
+    root = html if isinstance(html, markup.Node) else markup.parse(html)
     meta = {}
     for m in root.select("meta"):
         name = (m.attrs.get("property") or m.attrs.get("name") or "").lower()
@@ -52,10 +52,10 @@ def metadata(html: str | None, url: str | None) -> dict:
     }
 
 
-def article(html: str | None, most: int | None = None) -> tuple[str | None, str]:
+def article(html: str | markup.Node | None, most: int | None = None) -> tuple[str | None, str]:
     """The text of the article (article, main, or the block with most paragraph text), else of the page, and which.
     ``most``: cut to so many characters, with a mark, where one page is the answer of a tool (there 50,000)."""
-    root = markup.parse(html)
+    root = html if isinstance(html, markup.Node) else markup.parse(html)
     best = root.first("article") or root.first("main") or root.first("[role=main]")
     method = "article"
     if best is None:
@@ -70,15 +70,17 @@ def article(html: str | None, most: int | None = None) -> tuple[str | None, str]
 
 
 def read_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most: int | None = None) -> DataFrame:
-    """Metadata and text of every page in one Arrow pass."""
+    """Metadata and text of every page in one Arrow pass; a page's tree is made once."""
+    fields = ["title", "description", "image", "published"]
 
     def run(batches):
         for b in batches:
             rows = []
             for k, u, h in zip(b[key], b[url], b[html], strict=True):
-                text, method = article(h, most)
-                rows.append({key: k, "url": u, **metadata(h, u), "text": text, "method": method})
-            yield pd.DataFrame(rows, columns=[key, "url", "title", "description", "image", "published", "text", "method"])
+                root = markup.parse(h)
+                found = metadata(root, u)
+                rows.append((k, u, *[found[f] for f in fields], *article(root, most)))
+            yield pd.DataFrame(rows, columns=[key, "url", *fields, "text", "method"])
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, url, html).mapInPandas(run, f"{key} {kind}, url string, title string, description string, image string, published string, text string, method string")

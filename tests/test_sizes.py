@@ -1,9 +1,12 @@
-"""What larger tables showed: scores that round to zero."""
+"""What larger tables showed: scores that round to zero, and work that lands in few tasks."""
+
+import random
 
 import duckdb
 import pytest
 
-from ragspark.plans import catalogue
+from ragspark.operators import markup
+from ragspark.plans import catalogue, source_queries  # noqa: F401  the latter adds its queries
 
 
 @pytest.fixture
@@ -40,3 +43,35 @@ def test_scores_that_round_to_zero(spark, tables):
         assert found == wanted, name
     found = catalogue.QUERIES["hybrid_trace"](spark, tables.path).collect()[0]
     assert (found["vector"], found["lexical"], found["fused"]) == (3, 2, 4)
+
+
+def shape(node):
+    """A tree as nested lists, and the tags that each node's walk finds."""
+    return [node.tag, node.attrs, sorted(node.within), [n.tag for n in node.walk()], [c if isinstance(c, str) else shape(c) for c in node.children]]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    bits = ["<p>", "</p>", '<div class="l m">', "</div>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "<br>", "<br/>", '<img src="a&amp;b" alt>', "<script>", "</script>", "<title>", "</title>"]
+    bits += ["x", "a & b", "&amp;", "&notit", "<", ">", "<!-- c -->", "<!--a-b-->", "<!doctype html>", "<a href='x'>", '<A HREF="x" href="y" b="">', "</a>", "<nav/>", "<textarea>", "</textarea>", "<1>", "</ p>", '<td a="<">', "\n"]
+    rng = random.Random(1)
+    plain = 0
+    for _ in range(3000):
+        html = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        b = markup._Builder()
+        b.feed(html)
+        b.close()
+        markup.ended(b.root)
+        assert shape(markup.parse(html)) == shape(b.root), html
+        plain += markup._plain(html) is not None
+    assert plain > 300
+    assert markup._plain('<title>a | b</title><p class="x">b &amp; c<img src="https://i.test/1.png" alt="al"><script>no</script>') is not None
+    assert [n.text() for n in markup.parse('<i class="a b">1</i><i class="b">2</i>').select("i.b")] == ["1", "2"]
+
+
+@pytest.mark.parametrize("name", ["page_texts", "page_elements"])
+def test_narrow_rows_are_dealt_over_tasks(spark, tables, name):
+    """One small file of many rows whose pages take long."""
+    part = spark.range(45_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "int(id % 50) AS p_size", "1.0D AS p_retailprice")
+    tables.write("part", part)
+    assert spark.read.parquet(f"{tables.path}/part.parquet").rdd.getNumPartitions() == 1
+    assert catalogue.QUERIES[name](spark, tables.path).rdd.getNumPartitions() == 4
