@@ -230,7 +230,7 @@ def trending_repositories(spark, sf):
 @query("SELECT p_partkey, 0 AS position, p_brand AS author, '@h' AS handle, p_name AS content, 'https://n.test/h/1' AS url, 'Jan 1' AS timestamp, 1200 AS likes, p_size AS retweets, 0 AS replies FROM part")
 def timeline_posts(spark, sf):
     html = F.expr("concat('<div class=\"timeline-item\"><a class=\"tweet-link\" href=\"/h/1\"></a><a class=\"fullname\">', p_brand, '</a><a class=\"username\">@h</a><span class=\"tweet-date\"><a href=\"/d\" title=\"Jan 1\">1h</a></span><div class=\"tweet-content\"> ', p_name, ' </div><span><i class=\"icon-heart\"></i> 1.2K</span><span><i class=\"icon-retweet\"></i> ', p_size, '</span><span><i class=\"icon-comment\"></i></span></div><div class=\"timeline-item\"></div>')")
-    return web.tweets(table(spark, sf, "part").select("p_partkey", html.alias("html")), "https://n.test", "p_partkey")
+    return web.tweets(dealt(table(spark, sf, "part")).select("p_partkey", html.alias("html")), "https://n.test", "p_partkey")
 
 
 NODES = "concat('<div id=\"a\"><ul class=\"l\"><li>', p_name, '<li data-x=\"y\"> ', p_brand, ' ', p_type, '</ul></div>')"

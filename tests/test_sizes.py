@@ -68,7 +68,7 @@ def test_plain_markup_is_read_as_the_parser_reads_it():
     assert [n.text() for n in markup.parse('<i class="a b">1</i><i class="b">2</i>').select("i.b")] == ["1", "2"]
 
 
-@pytest.mark.parametrize("name", ["page_texts", "page_elements"])
+@pytest.mark.parametrize("name", ["page_texts", "timeline_posts", "page_elements"])
 def test_narrow_rows_are_dealt_over_tasks(spark, tables, name):
     """One small file of many rows whose pages take long."""
     part = spark.range(45_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "int(id % 50) AS p_size", "1.0D AS p_retailprice")
