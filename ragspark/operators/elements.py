@@ -146,17 +146,26 @@ def from_markdown(text: str | None, most: int | None = MOST_RAW, most_text: int
     return limited(out, most, most_text)
 
 
-def extract(df: DataFrame, key: str, text: str, kind: str = "html", most: int | None = None, most_text: int | None = None) -> DataFrame:
+def extract(df: DataFrame, key: str, text: str, kind: str = "html", most: int | None = None, most_text: int | None = None, best: int | None = None) -> DataFrame:
     """A row per element: key, position and SCHEMA's fields. One Arrow pass, no shuffle. Whole, unless limits (a single
-    answer's are MOST_RAW and MOST_TEXT) are given."""
+    answer's are MOST_RAW and MOST_TEXT) are given. With ``best``, of each row only as many of the highest rank, in document
+    order and with ``omitted``, as ``finalized`` has them where a row is a key."""
     make = {"html": from_html, "markdown": from_markdown}[kind]
+    fields = FIELDS[1:] if best is None else [*FIELDS[1:], "omitted"]
+
+    def chosen(made: list[dict]):
+        if best is None:
+            return enumerate(made)
+        over = {"omitted": max(len(made) - best, 0)}
+        order = sorted(range(len(made)), key=lambda i: -RANKS.get(made[i]["type"], 0) - (7 - (made[i].get("level") or 0) if made[i]["type"] == "heading" else 0))
+        return ((i, made[i] | over) for i in sorted(order[:best]))
 
     def run(batches):
         for b in batches:
-            rows = [[k, i, *(e.get("id" if f == "element_id" else f) for f in FIELDS[1:])] for k, t in zip(b[key], b[text], strict=True) for i, e in enumerate(make(t, most, most_text))]
-            yield pd.DataFrame(rows, columns=[key, *FIELDS], dtype=object)
+            rows = [[k, i, *(e.get("id" if f == "element_id" else f) for f in fields)] for k, t in zip(b[key], b[text], strict=True) for i, e in chosen(make(t, most, most_text))]
+            yield pd.DataFrame(rows, columns=[key, "position", *fields], dtype=object)
 
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}" + ("" if best is None else ", omitted long"))
 
 
 def rank_of(kind: Column, level: Column) -> Column:

@@ -279,8 +279,8 @@ def built_pages(spark, sf) -> DataFrame:
     return dealt(table(spark, sf, "part")).select("p_partkey", F.lit("https://a.test/").alias("url"), F.expr(PAGE).alias("html"))
 
 
-def _shown(found: DataFrame) -> DataFrame:
-    return found.select("p_partkey", "position", "type", "level", "text", F.array_join("items", "|").alias("items"), "language", "markdown", "src")
+def _shown(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("p_partkey", "position", "type", "level", "text", F.array_join("items", "|").alias("items"), "language", "markdown", "src", *more)
 
 
 @query(PAGE_SQL)
@@ -291,9 +291,8 @@ def page_elements(spark, sf):
 
 @query(f"SELECT *, 3 AS omitted FROM ({PAGE_SQL}) WHERE position IN (0, 3, 4)")
 def best_page_elements(spark, sf):
-    """The three best of six, in document order."""
-    found = elements.finalized(elements.extract(built_pages(spark, sf), "p_partkey", "html"), "p_partkey", 3)
-    return _shown(found).join(found.select("p_partkey", "position", "omitted"), ["p_partkey", "position"])
+    """The three best of six, in document order; a page's are chosen where they are made."""
+    return _shown(elements.extract(built_pages(spark, sf), "p_partkey", "html", best=3), "omitted")
 
 
 @query("SELECT p_partkey, p_name || ' | Site' AS title, p_type AS description, p_name || 'The ' || p_type || ' part has the brand ' || p_brand || ' & is sold in many places.one' || p_brand || 'ab' || p_size || '2x = ' || p_size AS text, 'article' AS method FROM part")

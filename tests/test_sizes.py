@@ -3,9 +3,10 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 
-from ragspark.operators import markup
+from ragspark.operators import elements, markup
 from ragspark.plans import catalogue, source_queries  # noqa: F401  the latter adds its queries
 
 
@@ -28,7 +29,8 @@ def tables(spark, tmp_path):
         def both(self, name):
             """The rows of a query and of its SQL, sorted."""
             found, other = catalogue.QUERIES[name](spark, self.path).toPandas(), self.sql(name)
-            show = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+            plain = lambda v: v if isinstance(v, str) else None if pd.isna(v) else float(v)
+            show = lambda df: sorted(repr([plain(v) for v in row]) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
             return show(found), show(other)
 
     return Tables()
@@ -75,3 +77,18 @@ def test_narrow_rows_are_dealt_over_tasks(spark, tables, name):
     tables.write("part", part)
     assert spark.read.parquet(f"{tables.path}/part.parquet").rdd.getNumPartitions() == 1
     assert catalogue.QUERIES[name](spark, tables.path).rdd.getNumPartitions() == 4
+
+
+def test_best_elements_are_chosen_where_they_are_made(spark, tables):
+    pages = [(1, "<h2>a</h2><p>b</p><h1>c</h1><ul><li>d</ul><pre>e</pre><p>f</p>"), (2, "<p>x</p>"), (3, None), (4, "<img src=a><table><tr><td>1</table><h6>z</h6><h6>y</h6>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    for most in (1, 3, 50):
+        wanted = elements.finalized(elements.extract(df, "page_id", "html"), "page_id", most)
+        found = elements.extract(df, "page_id", "html", best=most)
+        assert sorted(map(repr, found.select(wanted.columns).collect())) == sorted(map(repr, wanted.withColumn("omitted", wanted["omitted"].cast("long")).collect()))
+    part = [(k, "n", "b", "t", 1, 1.0) for k in (1, 2, 2)]
+    tables.write("part", spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"))
+    found, wanted = tables.both("best_page_elements")
+    assert found == wanted and len(found) == 9
+    plan = catalogue.QUERIES["best_page_elements"](spark, tables.path)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
