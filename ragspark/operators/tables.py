@@ -40,6 +40,13 @@ def dealt(df: DataFrame, rows: int = 20_000, least: int = 500) -> DataFrame:
     return df.repartition(max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // least))))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of ``rows`` rows at most in this session, where a row holds much."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df``, to be broadcast if it has ``most`` rows at most; a larger one is joined as the planner likes."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

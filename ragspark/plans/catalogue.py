@@ -87,7 +87,7 @@ def bm25_topk(spark, sf):
 @query(BM25.replace("{queries}", "SELECT item_id AS query_id, text AS qtext FROM benchmark") + "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5")
 def bm25_multi_query(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.top(lexical.bm25(table(spark, sf, "documents"), items), 5, "query_id")
+    return lexical.best(table(spark, sf, "documents"), items, 5)
 
 
 @query(BM25.replace("{queries}", ONE) + "SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT 10")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ragspark.operators import elements, markup
+from ragspark.operators import elements, lexical, markup
 from ragspark.plans import catalogue, source_queries  # noqa: F401  the latter adds its queries
 
 
@@ -92,3 +92,22 @@ def test_best_elements_are_chosen_where_they_are_made(spark, tables):
     assert found == wanted and len(found) == 9
     plan = catalogue.QUERIES["best_page_elements"](spark, tables.path)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_best_documents_are_scored_within_their_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: f"w{min(int(rng.expovariate(0.08)), 60)}"
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(700)] + [(700, None), (None, "w1 w2"), (701, "W1, w2")] + [(i, "w3 w4 w9") for i in range(800, 900)]
+    queries = [(i, " ".join(word() for _ in range(rng.randint(1, 9)))) for i in range(40)] + [(40, "nowhere"), (41, ""), (None, "w3 w4"), (3, "w7 w8")]
+    df, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    rows = lambda d: sorted(map(repr, ((r["query_id"], r["doc_id"], r["rank"], r["score"]) for r in d.collect())))
+    wanted = rows(lexical.top(lexical.bm25(df, q), 5, "query_id"))
+    assert rows(lexical.best(df, q, 5)) == wanted
+    assert "query_id, doc_id" not in lexical.best(df, q, 5)._jdf.queryExecution().executedPlan().toString()  # no shuffle of pairs
+    monkeypatch.setattr(lexical, "PAIRS", 30)
+    assert rows(lexical.best(df.repartition(3), q, 5)) == wanted
+    twice = df.union(spark.createDataFrame([(5, "w1 w3"), (6, "w2")], df.schema))
+    assert rows(lexical.best(twice, q, 5)) == rows(lexical.top(lexical.bm25(twice, q), 5, "query_id"))
+    named = df.select(df.doc_id.cast("string").alias("id"), df.text.alias("body"))
+    assert lexical.best(named, q, 2, key="id", text="body").where("query_id = 0").count() == 2
+    assert lexical.best(df.limit(0), q, 5).count() == 0 and lexical.best(df, q.limit(0), 5).count() == 0
