@@ -111,3 +111,19 @@ def test_best_documents_are_scored_within_their_rows(spark, monkeypatch):
     named = df.select(df.doc_id.cast("string").alias("id"), df.text.alias("body"))
     assert lexical.best(named, q, 2, key="id", text="body").where("query_id = 0").count() == 2
     assert lexical.best(df.limit(0), q, 5).count() == 0 and lexical.best(df, q.limit(0), 5).count() == 0
+
+
+def test_recall_shuffles_no_text(spark, tables):
+    docs = [(i, f"alpha{i % 7} beta gamma{i}") for i in range(60)] + [(60, None), (61, "")]
+    tables.write("documents", spark.createDataFrame(docs, "doc_id long, text string"))
+    tables.write("benchmark", spark.createDataFrame([(0, "alpha1 beta gamma8"), (1, "alpha2"), (2, "none"), (3, "beta")], "item_id long, text string"))
+    for name in ("recall_at_5", "bm25_multi_query"):
+        found, wanted = tables.both(name)
+        assert found == wanted, name
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["recall_at_5"](spark, tables.path)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
