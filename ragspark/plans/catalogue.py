@@ -159,12 +159,9 @@ def cosine_topk(spark, sf):
 
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {cos('e.embedding', 'q.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
 def cosine_multi_query(spark, sf):
-    """The stated query set, ids divisible by 50, against all vectors: the queries go round as a broadcast while they
-    are few, else in blocks by the same join."""
+    """The stated query set, ids divisible by 50, against all vectors; the queries go round in blocks."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("qe")).alias("score"))
-    return lexical.top(scored, 5, "query_id", key="vec_id")
+    return retrieve.nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
 @query("WITH m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label) SELECT label, i::BIGINT AS i, round(m / n, 6) AS x FROM m JOIN n USING (label)")

@@ -5,8 +5,10 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from ragspark.operators import elements, lexical, markup
+from ragspark.functions import vectors as V
+from ragspark.operators import elements, lexical, markup, retrieve
 from ragspark.plans import catalogue, source_queries  # noqa: F401  the latter adds its queries
 
 
@@ -127,3 +129,23 @@ def test_recall_shuffles_no_text(spark, tables):
         assert "hashpartitioning(doc_id" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_nearest_equals_all_pairs(spark, tables, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [float(rng.choice((-1, 0, 0, 1, 2))) for _ in range(4)]) for i in range(300)] + [(300 + i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    rows += [(600, [0.0] * 4), (601, [1.0, 2.0]), (650, [3.0]), (602, None), (700, None), (None, [1.0] * 4), (50, [1.0, 0.0, 0.0, 0.0]), (750, [float("nan"), 1.0, 0.0, 0.0]), (603, [1.0, None, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = q.withColumnRenamed("embedding", "qe")
+    pairs = e.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("qe")).alias("score"))
+    show = lambda df: sorted(map(repr, ((r["query_id"], r["rank"], r["vec_id"], None if r["score"] is None else r["score"] + 0.0) for r in df.collect())))
+    wanted = show(lexical.top(pairs, 5, "query_id", key="vec_id"))
+    assert show(retrieve.nearest(e, q, 5)) == wanted
+    monkeypatch.setattr(retrieve, "ROUND", 3)
+    assert show(retrieve.nearest(e, q, 5)) == wanted
+    assert retrieve.nearest(e.limit(0), q.limit(0), 5).count() == 0
+    tables.write("embeddings", e.where("vec_id < 600 AND exists(embedding, x -> x <> 0)"))
+    found, wanted = tables.both("cosine_multi_query")
+    assert found == wanted
+    assert "NestedLoop" not in catalogue.QUERIES["cosine_multi_query"](spark, tables.path)._jdf.queryExecution().executedPlan().toString()
