@@ -14,8 +14,9 @@ outside of a ball can link with a member only if it is within one and a half tim
 meet the ball's members, which are dealt over tasks of bounded size. This part is exact.
 
 The grid's cells are dealt to tasks by blocks of neighbouring cells (regions), as many as keep a region's rows bounded;
-a vector is sent once to each region that it visits, and equal vectors are merged before they are sent. A region's
-task returns counts and, for the components, one edge a vector, not pairs.
+a vector is sent once to each region that it visits, with the cells that it visits there (at home with all of them), and
+equal vectors are merged before they are sent. A region's task holds the vectors at home in it; visitors pass by in chunks.
+It returns counts and, for the components, one edge a vector, not pairs.
 
 Defined results: a vector that is null, empty, zero, holds null or non-finite components, or has another length than
 most (of equally frequent lengths the larger counts) links with nothing; equal vectors link, also where rows share an
@@ -43,6 +44,8 @@ THRESHOLD = 0.95
 #: Rows of the sample, at most (in expectation), and its components; vectors a cell; rows a region; members of a ball
 #: in a task.
 SAMPLE, COMPONENTS, CELL, REGION, SPLIT = 16384, 1 << 23, 16, 1 << 16, 1 << 16
+#: Rows that are turned into rows for the tasks at once; visitors that a task compares at once.
+SEND, CHUNK = 1000, 1 << 15
 #: Share of perturbed copies, at the threshold exactly, that must meet; the stop is that much farther still, since real
 #: copies are not turned at random.
 TARGET, MARGIN = 0.9995, 1.25
@@ -122,7 +125,9 @@ class Index:
         ranked = np.take_along_axis(second, order, 1)
         row, one = np.nonzero(first <= self.stop)
         left = self.stop - first[row, one]
-        many = (ranked[row] <= left[:, None]).sum(1)
+        many, step = np.zeros(len(row), np.int64), max(1, (1 << 21) // width)
+        for i in range(0, len(row), step):
+            many[i : i + step] = (ranked[row[i : i + step]] <= left[i : i + step, None]).sum(1)
         which, step = K.many(many)
         return home, row[which], one[which] * width + order[row[which], step]
 
@@ -248,7 +253,7 @@ def _send(index: Index, splits: np.ndarray):
     first = np.concatenate(([0], np.cumsum(splits)))
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, SEND) for whole in batches for i in range(0, whole.num_rows, SEND)):
             rows, _ = read(batch.column(1), index.dims)
             if not len(rows):
                 continue
@@ -271,12 +276,14 @@ def _send(index: Index, splits: np.ndarray):
             if len(light):
                 own, row, cell = index.visits(turned[light])
                 region = index.region(cell)
+                order = np.lexsort((region, row))
+                row, region, body_of = row[order], region[order], cell[order].astype("<i4").tobytes()
                 begin = np.searchsorted(row, np.arange(len(light) + 1))
-                listed = [cell[i:j].astype("<i8").tobytes() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-                sent = np.unique(np.concatenate((np.stack((row, region), 1), np.stack((np.arange(len(light)), index.region(own)), 1))), axis=0)
-                at_home = sent[:, 1] == index.region(own)[sent[:, 0]]
-                for kind, chosen in ((HOME, sent[at_home]), (VISITOR, sent[~at_home])):
-                    add(chosen[:, 1], kind, light[chosen[:, 0]], own[chosen[:, 0]], [listed[i] for i in chosen[:, 0].tolist()])
+                add(index.region(own), HOME, light, own, [body_of[4 * i : 4 * j] for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
+                begin = np.append(np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(region) != 0)))), len(row))
+                away = np.flatnonzero(region[begin[:-1]] != index.region(own)[row[begin[:-1]]])
+                who_visits = row[begin[away]]
+                add(region[begin[away]], VISITOR, light[who_visits], own[who_visits], [body_of[4 * i : 4 * j] for i, j in zip(begin[away].tolist(), begin[away + 1].tolist(), strict=True)])
             inside = np.flatnonzero(ball >= 0)
             if len(inside):
                 spot = np.frombuffer(names[inside].tobytes(), "<u4").reshape(-1, 4)[:, 0] % splits[ball[inside]]
@@ -343,79 +350,123 @@ class Groups:
 def _found(index: Index, kind: str):
     """(key, links, other): the links that a task adds to a vector, and a vector of its component."""
 
-    def of_region(region: int, rows, count: np.ndarray, names: Groups) -> None:
-        role, home, vec, copies, listed = rows
-        size = np.array([len(c) // 8 for c in listed])
-        visitor = np.repeat(np.arange(len(home)), size)
-        cell = np.frombuffer(b"".join(listed), "<i8")
-        wide = len(home)
-        all_visits = np.sort(cell * wide + visitor)
-        here = index.region(cell) == region
-        order = np.argsort(cell[here], kind="stable")
-        cell, visitor = cell[here][order], visitor[here][order]
-        own = np.flatnonzero(role == HOME)
-        own = own[np.argsort(home[own], kind="stable")]
-        held, begin = np.unique(home[own], return_index=True)
-        begin = np.append(begin, len(own))
-        for c, i, j in zip(held.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            y = own[i:j]
-            x = visitor[slice(*np.searchsorted(cell, (c, c + 1)))]
-            for p, q in close(vec[x], vec[y], index.threshold):
-                p, q = x[p], y[q]
-                other = p != q
-                p, q = p[other], q[other]
-                np.add.at(count, p, copies[q])
-                # Does q visit p's cell? If not, it never meets p elsewhere.
-                code = home[p] * wide + q
-                spot = np.searchsorted(all_visits, code)
-                met = (spot < len(all_visits)) & (all_visits[np.minimum(spot, len(all_visits) - 1)] == code)
-                np.add.at(count, q[~met], copies[p[~met]])
-                names.add(p, q)
-
-    def of_ball(rows, count: np.ndarray, names: Groups) -> None:
-        role, _, vec, copies, _ = rows
-        inside, outside = np.flatnonzero(role == INSIDE), np.flatnonzero(role == OUTSIDE)
-        for p, q in close(vec[inside], vec[outside], index.threshold):
-            p, q = inside[p], outside[q]
-            np.add.at(count, p, copies[q])
-            np.add.at(count, q, copies[p])
-            names.add(p, q)
-
-    def work(task: int, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def distinct(held: list[pa.RecordBatch]):
+        """The equal vectors of some rows as one: keys, directions, copies, home cells, and visits (cell, row)."""
         t = pa.Table.from_batches(held)
         key = np.frombuffer(b"".join(t.column("key").to_pylist()), "V16")
         unique, at, back = np.unique(key, return_index=True, return_inverse=True)
         copies = np.bincount(back, weights=t.column("copies").to_numpy()).astype(np.int64)
         take = pa.array(at)
         vec = unit(np.frombuffer(b"".join(t.column("vec").take(take).to_pylist()), kind).reshape(len(at), index.dims))
-        rows = (t.column("role").to_numpy()[at], t.column("home").to_numpy()[at], vec, copies, t.column("cells").take(take).to_pylist())
-        count, names = np.zeros(len(at), np.int64), Groups(len(at))
-        if task < 0:
-            of_ball(rows, count, names)
-        else:
-            of_region(task, rows, count, names)
-        out = np.flatnonzero((count > 0) | (names.low != np.arange(len(at))))
-        if not len(out):
-            return None
-        name = [bytes(x) for x in unique.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([name[i] for i in out.tolist()], pa.binary()), pa.array(count[out]), pa.array([name[i] for i in names.low[out].tolist()], pa.binary())], names=["key", "links", "other"])
+        listed = t.column("cells").take(take).to_pylist()
+        visitor = np.repeat(np.arange(len(at)), [len(c) // 4 for c in listed])
+        return unique, vec, copies, t.column("home").to_numpy()[at], np.frombuffer(b"".join(listed), "<i4").astype(np.int64), visitor
+
+    class Task:
+        """A region or a part of a ball: the vectors at home in it, with what has been found for them."""
+
+        def __init__(self, task: int, held: list[pa.RecordBatch]):
+            self.task = task
+            self.key, self.vec, self.copies, home, cell, visitor = distinct(held)
+            self.count, self.names = np.zeros(len(self.key), np.int64), Groups(len(self.key))
+            if task >= 0:
+                self.visits = np.sort(cell * len(self.key) + visitor)
+                self.own = np.argsort(home, kind="stable")
+                self.held, begin = np.unique(home[self.own], return_index=True)
+                self.begin = np.append(begin, len(self.own))
+                for p, q in self.met(self.vec, cell, visitor):
+                    self.linked(p[p != q], q[p != q], self.copies, home, self.count, 0)
+
+        def met(self, vec: np.ndarray, cell: np.ndarray, visitor: np.ndarray):
+            """Blocks of pairs of a visitor and a vector at home that are close."""
+            if self.task < 0:
+                yield from ((p, q) for q, p in close(self.vec, vec, index.threshold))
+                return
+            here = index.region(cell) == self.task
+            order = np.argsort(cell[here], kind="stable")
+            cell, visitor = cell[here][order], visitor[here][order]
+            first, last = np.searchsorted(cell, self.held), np.searchsorted(cell, self.held, "right")
+            for c in np.flatnonzero(last > first).tolist():
+                x, y = visitor[first[c] : last[c]], self.own[self.begin[c] : self.begin[c + 1]]
+                yield from ((x[p], y[q]) for p, q in close(vec[x], self.vec[y], index.threshold))
+
+        def linked(self, p: np.ndarray, q: np.ndarray, copies: np.ndarray, home: np.ndarray, count: np.ndarray, offset: int) -> None:
+            """Counts visitors' links (p) with those at home (q); ``offset`` is where visitors stand in the groups."""
+            np.add.at(count, p, self.copies[q])
+            if self.task < 0:
+                np.add.at(self.count, q, copies[p])
+            else:
+                # Does q visit p's cell? If not, it never meets p elsewhere.
+                code = home[p] * len(self.key) + q
+                spot = np.searchsorted(self.visits, code)
+                met = (spot < len(self.visits)) & (self.visits[np.minimum(spot, len(self.visits) - 1)] == code)
+                np.add.at(self.count, q[~met], copies[p[~met]])
+            self.names.add(p + offset, q)
+
+        def visited(self, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+            """Visitors pass by: what is found for them. Their group is that of a vector at home, whose own row leads on."""
+            key, vec, copies, home, cell, visitor = distinct(held)
+            count, here = np.zeros(len(key), np.int64), len(self.key)
+            self.names.low = np.append(self.names.low, np.arange(here, here + len(key)))
+            for p, q in self.met(vec, cell, visitor):
+                self.linked(p, q, copies, home, count, here)
+            low, self.names.low = self.names.low[here:], self.names.low[:here]
+            return self.told(key, count, low, np.flatnonzero(low < here))
+
+        def ended(self) -> pa.RecordBatch | None:
+            low = self.names.low
+            return self.told(self.key, self.count, low, np.flatnonzero((self.count > 0) | (low != np.arange(len(low)))))
+
+        def told(self, key: np.ndarray, count: np.ndarray, low: np.ndarray, out: np.ndarray) -> pa.RecordBatch | None:
+            if not len(out):
+                return None
+            names = lambda x: pa.array([bytes(k) for k in x.tolist()], pa.binary())
+            return pa.RecordBatch.from_arrays([names(key[out]), pa.array(count[out]), names(self.key[low[out]])], names=["key", "links", "other"])
 
     def run(batches):
-        now, held = None, []
+        # Rows come by task, those at home first, then by key.
+        now, homes, task, passing, waiting = None, [], None, [], 0
+
+        def done():
+            if task is not None:
+                if passing:
+                    yield task.visited(passing)
+                yield task.ended()
+            elif homes:
+                yield Task(now, homes).ended()
+
         for batch in batches:
-            tasks = batch.column(0).to_numpy()
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(tasks)) + 1, [len(tasks)]))
+            tasks, away = batch.column(0).to_numpy(), np.isin(batch.column(1).to_numpy(), (VISITOR, OUTSIDE))
+            cut = np.concatenate(([0], np.flatnonzero((np.diff(tasks) != 0) | (np.diff(away) != 0)) + 1, [len(tasks)]))
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if i == j:
                     continue
-                if tasks[i] != now and held:
-                    if (out := work(now, held)) is not None:
-                        yield out
-                    held = []
-                now = int(tasks[i])
-                held.append(batch.slice(i, j - i))
-        if held and (out := work(now, held)) is not None:
-            yield out
+                if tasks[i] != now:
+                    yield from (x for x in done() if x is not None)
+                    now, homes, task, passing, waiting = int(tasks[i]), [], None, [], 0
+                rows = batch.slice(i, j - i)
+                if not away[i]:
+                    homes.append(rows)
+                    continue
+                if not homes and task is None:
+                    continue  # nobody is at home
+                if task is None:
+                    task, homes = Task(now, homes), []
+                # A key's rows stay together: a chunk ends before the first row of the last key.
+                if waiting >= CHUNK:
+                    key = rows.column(2).to_pylist()
+                    last = passing[-1].column(2)[-1].as_py()
+                    same = next((n for n, x in enumerate(key) if x != last), len(key))
+                    passing.append(rows.slice(0, same))
+                    if same < len(key):
+                        if (out := task.visited(passing)) is not None:
+                            yield out
+                        passing, waiting, rows = [], 0, rows.slice(same)
+                    else:
+                        continue
+                passing.append(rows)
+                waiting += len(rows)
+        yield from (x for x in done() if x is not None)
         K.release()
 
     return run
@@ -447,7 +498,7 @@ def near_copies(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     splits = np.maximum(1, -(-size // SPLIT))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = own.mapInArrow(_send(index, splits), SENT).repartition(parts, "task").sortWithinPartitions("task")
+    sent = own.mapInArrow(_send(index, splits), SENT).repartition(parts, "task").sortWithinPartitions("task", "role", "key")
     found = save(sent.mapInArrow(_found(index, kind), "key binary, links long, other binary"), "found")
 
     # Components over nodes: a ball is one node, other vectors are nodes of their own.

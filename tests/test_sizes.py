@@ -3,11 +3,14 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ragspark.functions import vectors as V
+from ragspark.llm import multiindex
 from ragspark.operators import elements, lexical, markup, retrieve
 from ragspark.plans import catalogue, source_queries  # noqa: F401  the latter adds its queries
 
@@ -149,3 +152,34 @@ def test_nearest_equals_all_pairs(spark, tables, monkeypatch):
     found, wanted = tables.both("cosine_multi_query")
     assert found == wanted
     assert "NestedLoop" not in catalogue.QUERIES["cosine_multi_query"](spark, tables.path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_regions_visitors_pass_by_in_chunks(monkeypatch):
+    """Vectors are sent to regions with the cells that they visit there, and chunks of visitors find what all of them at once find."""
+    rng = np.random.default_rng(3)
+    rows = np.repeat(rng.normal(size=(150, 8)), 20, 0) + rng.normal(size=(3000, 8)) * 0.25
+    rows = np.concatenate((rows, rows[:200])).astype(np.float32)
+    monkeypatch.setattr(multiindex, "REGION", 64)
+    index = multiindex.fit(multiindex.unit(rows), 40_000)
+    listed = pa.array(list(rows), pa.list_(pa.float32()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)))[i : i + 700], listed[i : i + 700]], names=["vec_id", "vec"]) for i in range(0, len(rows), 700)]
+    sent = pa.Table.from_batches(list(multiindex._send(index, np.ones(max(1, len(index.pivots)), np.int64))(iter(batches))))
+    sent = sent.sort_by([("task", "ascending"), ("role", "ascending"), ("key", "ascending")])
+    role, task = sent["role"].to_numpy(), sent["task"].to_numpy()
+    assert len(set(task.tolist())) > 4 and (role == multiindex.VISITOR).sum() > 1000
+    for t, r, c in zip(task.tolist(), role.tolist(), sent["cells"].to_pylist(), strict=True):
+        if r == multiindex.VISITOR:
+            assert c and (index.region(np.frombuffer(c, "<i4").astype(np.int64)) == t).all()
+    held = []
+    whole = multiindex._found.__globals__["unit"]
+    monkeypatch.setattr(multiindex, "unit", lambda x: held.append(len(x)) or whole(x))
+
+    def links(chunk: int, size: int):
+        held.clear()
+        monkeypatch.setattr(multiindex, "CHUNK", chunk)
+        out = pa.Table.from_batches(list(multiindex._found(index, "<f4")(iter(sent.combine_chunks().to_batches(size)))))
+        got = out.group_by("key").aggregate([("links", "sum")])
+        return dict(zip(got["key"].to_pylist(), got["links_sum"].to_pylist(), strict=True)), max(held)
+
+    (one, most), (other, least) = links(1 << 20, 10_000), links(16, 7)
+    assert one == other and sum(one.values()) > 1000 and least < most
